@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, jaccard, langid, quality, quality_sql, sharding
+from quillon.llm import bpe, decontaminate, jaccard, kneser_ney, langid, quality, quality_sql, sharding, site_style, token_files
 from quillon.llm.common import documents, remainder
 
 
@@ -23,11 +23,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.search(documents(spark, sf_dir), items, width=5, percent=80)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_files.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    return counted.select("doc_id", "n_tokens")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir), width=3, percent=90)
 
@@ -37,5 +47,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op4_quality_rules, op6_ngram_jaccard, op7_bpe)}
-ORACLES = {"op4_quality_rules": quality_sql.sql()}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kneser_ney.judge(documents(spark, sf_dir), kneser_ney.trusted_ids(labels), carry=["doc_id", "lang"])
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_style.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+SQL3 = r"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+held AS (SELECT DISTINCT doc_id, rn, array_to_string(ws[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(1, len(ws) - 3))) AS u(i)),
+items AS (SELECT item_id, row_number() OVER () AS ir, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, ir, array_to_string(ws[i:i + 4], ' ') AS g FROM items, unnest(range(1, greatest(1, len(ws) - 3))) AS u(i)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY ir) AS n_item FROM wanted)
+SELECT doc_id, item_id, n_item, count(*) AS n_found FROM held JOIN sized USING (g) GROUP BY doc_id, rn, item_id, ir, n_item HAVING 100 * count(*) >= 80 * n_item"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_quality_rules, op5_token_counts, op6_ngram_jaccard, op7_bpe, op8_quality_classifier, op9_html_extraction)}
+ORACLES = {"op3_decontamination": SQL3, "op4_quality_rules": quality_sql.sql()}
