@@ -1,27 +1,77 @@
-"""The corpus pipeline: quality rules, classifier, near copies, decontamination, encoding."""
+"""The corpus pipeline: quality rules, classifier, near copies, decontamination, encoding.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given and, but
+for the last, returns the columns of its input. Stages pass the input's columns
+through under names of their own, so extra columns may have any names.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import quality
+from quillon.llm import bpe, decontaminate, jaccard, kneser_ney, quality
 from quillon.llm.common import table
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs under plain names, the plain name of a column, and the way back."""
+    names = docs.columns
+    plain = [f"in{i}_" for i in range(len(names))]
+    return docs.toDF(*plain), lambda name: plain[names.index(name)], lambda df: df.select(*plain).toDF(*names)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive rules keep."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    """Documents that neither the base rule nor their group's thresholds reject."""
+    inner, name, back = _renamed(docs)
+    return back(quality.judge(inner, name("text"), name("lang"), name("source")).filter("kept"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity stays below their language's threshold."""
+    inner, name, back = _renamed(docs)
+    trusted = kneser_ney.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return back(kneser_ney.judge(inner, trusted, doc_id=name("doc_id"), text=name("text"), language=name("lang")).filter("kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at five words and a similarity of 0.8: the least id.
+
+    Rows that repeat an id and text stay once; rows without an id, which no
+    group can be named by, stay once for each text.
+    """
+    inner, name, back = _renamed(docs)
+    doc_id, text = name("doc_id"), name("text")
+    linked = jaccard.link(inner, doc_id, text, width=5, percent=80)
+    least = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    named = inner.join(least, F.col(doc_id) == F.col("_least"), "left_semi")
+    unnamed = inner.filter(F.col(doc_id).isNull())
+    both = named.unionByName(unnamed).withColumn("_hash", F.xxhash64(text))
+    return back(both.dropDuplicates([doc_id, "_hash"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    inner, name, back = _renamed(docs)
+    return back(decontaminate.clean(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=name("text"), width=5, percent=80))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and decoded text."""
+    coded = bpe.encode(docs.select("doc_id", "text"), "text", public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", encoding)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = table(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, jaccard, kneser_ney, langid, quality, quality_sql, sharding, site_style, token_files
+from quillon.llm import bpe, decontaminate, gated_lm, jaccard, kneser_ney, langid, quality, quality_sql, sharding, site_style, token_files
 from quillon.llm.common import documents, remainder
 
 
@@ -57,6 +57,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(documents(spark, sf_dir))
+
+
 SQL3 = r"""
 WITH words AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 held AS (SELECT DISTINCT doc_id, rn, array_to_string(ws[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(1, len(ws) - 3))) AS u(i)),
@@ -65,5 +69,5 @@ wanted AS (SELECT DISTINCT item_id, ir, array_to_string(ws[i:i + 4], ' ') AS g F
 sized AS (SELECT *, count(*) OVER (PARTITION BY ir) AS n_item FROM wanted)
 SELECT doc_id, item_id, n_item, count(*) AS n_found FROM held JOIN sized USING (g) GROUP BY doc_id, rn, item_id, ir, n_item HAVING 100 * count(*) >= 80 * n_item"""
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_quality_rules, op5_token_counts, op6_ngram_jaccard, op7_bpe, op8_quality_classifier, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_quality_rules, op5_token_counts, op6_ngram_jaccard, op7_bpe, op8_quality_classifier, op9_html_extraction, op10_lm_scoring)}
 ORACLES = {"op3_decontamination": SQL3, "op4_quality_rules": quality_sql.sql()}
