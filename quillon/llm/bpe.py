@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +37,15 @@ from pyspark.sql import types as T
 from quillon.llm.common import with_fields
 
 SUFFIX = "</w>"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 250_000
+SHORT = 64
 #: code points whose case, composition and class are the same everywhere
 PLAIN = regex.compile("[\u0000-ʯΆ-ϿЀ-ҁҊ-ԯ‐-‧‰-⁞₠-₿぀-ゖァ-ヺ一-龥가-힣]*")
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|"
+SPLIT_ASCII = re.compile(f"{_CUT}[a-z]+|[0-9]|[^{_SPACE}a-z0-9]+")
+#: within PLAIN the only numbers beside 0-9 are these six
+SPLIT = re.compile(rf"{_CUT}[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:_|[^{_SPACE}\w])+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -71,6 +78,7 @@ class Merges:
             self.merge[i, j] = (r, k)
             if self.rank[k] == 0:
                 self.rank[k], self.left[k], self.right[k] = r, i, j
+        self.fast = {i << 32 | j: r << 32 | k for (i, j), (r, k) in self.merge.items()}
         keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
@@ -87,6 +95,18 @@ class Merges:
         """Merge the pair of least rank, leftmost first, until none is left."""
         ids = self.symbols(word, ends)
         n = len(ids)
+        if n <= SHORT:
+            get, none = self.fast.get, 1 << 62
+            pairs = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+            while pairs and (least := min(pairs)) != none:
+                i = pairs.index(least)
+                ids[i] = least & 0xFFFFFFFF
+                del ids[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+                if i < len(pairs):
+                    pairs[i] = get(ids[i] << 32 | ids[i + 1], none)
+            return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -174,7 +194,7 @@ class Coder:
     """Encodes texts; keeps a bounded number of words."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.kept = merges, {}
+        self.merges, self.ids, self.decoded = merges, {}, {}
         self.cut = regex.compile("|".join(regex.escape(a) for a in sorted(merges.added, key=len, reverse=True))) if merges.added else None
         self.table = byte_alphabet()
         self.library = None
@@ -192,7 +212,7 @@ class Coder:
 
     def plain(self, text: str) -> list[str]:
         if text.isascii():
-            return SPLIT.findall(text.lower())
+            return SPLIT_ASCII.findall(text.lower())
         if PLAIN.fullmatch(text):
             text = unicodedata.normalize("NFC", text)
             return SPLIT.findall(text.replace("Σ", "σ").lower())
@@ -207,24 +227,21 @@ class Coder:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """Little-endian 32-bit ids and the decoded text of each."""
         split = [self.pieces(t) if t else [] for t in texts]
-        new = {w for words in split for w in words} - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_WORDS and self.kept:
-            self.kept = {}
-            new = {w for words in split for w in words}
+        used = set().union(*split)
+        if len(self.ids) + len(used) > KEPT_WORDS:  # keep what this batch uses again
+            self.ids = {w: self.ids[w] for w in used if w in self.ids}
+            self.decoded = {w: self.decoded[w] for w in self.ids}
+        new = used - self.ids.keys()
         fresh = [w for w in new if isinstance(w, str)]
         level = [w.encode("utf-8", "surrogateescape").decode("latin-1").translate(self.table) for w in fresh]
-        name = self.merges.names
+        name = self.merges.names.__getitem__
         for w, ids in zip(fresh, self.merges.words(level)):
-            self.kept[w] = (np.array(ids, "<u4").tobytes(), " ".join(map(name.__getitem__, ids)))
+            self.ids[w], self.decoded[w] = array("I", ids).tobytes(), " ".join(map(name, ids))
         for i in new:
             if isinstance(i, int):
-                self.kept[i] = (np.array([i], "<u4").tobytes(), name[i])
-        ids, decoded = [], []
-        for words in split:
-            got = [self.kept[w] for w in words]
-            ids.append(b"".join([g[0] for g in got]))
-            decoded.append(" ".join([g[1] for g in got]))
-        return ids, decoded
+                self.ids[i], self.decoded[i] = array("I", [i]).tobytes(), name(i)
+        ids = [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        return ids, [" ".join(map(self.decoded.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
