@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from quillon.plans import join_queries, rule_queries, text_queries  # noqa: F401
+from quillon.plans import join_queries, rule_queries, sequence_queries, text_queries  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
