@@ -26,14 +26,18 @@ def event_log(spark: SparkSession, path: str, job_id: str | None = None, base_se
 def glossary_csv(spark: SparkSession, path: str) -> DataFrame:
     """Glossary rows of a CSV file with or without a header; columns by name, else by place."""
     raw = spark.read.option("header", False).option("multiLine", True).option("mode", "PERMISSIVE").csv(path, schema=", ".join(f"_c{i} string" for i in range(6)))
-    first = [(x or "").strip().strip("﻿").lower() for x in (raw.first() or [None] * 6)]  # one row
+    top = list(raw.first() or [None] * 6)  # one row
+    first = [(x or "").strip().strip("\ufeff").lower() for x in top]
     place = {name: next((i for i, x in enumerate(first) if x in names), None) for name, names in HEADERS.items()}
     headed = place["source"] is not None and place["target"] is not None
     if not headed:
         place = {name: i for i, name in enumerate(HEADERS)}
     rows = raw
     if headed:
-        rows = raw.filter(~F.lower(F.trim(F.regexp_replace(F.coalesce(f"_c{place['source']}", F.lit("")), "﻿", ""))).isin(HEADERS["source"]))
+        same = F.lit(True)
+        for i, x in enumerate(top):
+            same = same & F.col(f"_c{i}").eqNullSafe(F.lit(x))
+        rows = raw.filter(~same)
     return normalize(rows.select(*[(F.col(f"_c{i}") if i is not None else F.lit(None).cast("string")).alias(n) for n, i in place.items()]))
 
 
