@@ -16,9 +16,10 @@ empty in both sets don't count: a set with more empty groups than the spare
 ones is dealt again under other hashes, and in the last round its empty groups
 are cells as well.
 
-In every cell the tree is asked first for the partners of the cell's first
-member only; verified links form components. Cells whose members still lie in
-more than one component are joined in full, skipping pairs of one component.
+In every cell the tree is asked first for the partners of one member only;
+verified links form components. In cells whose members still lie in more than
+one component another member, drawn by the cell's hash, is asked; the cells
+then left are joined in full, skipping pairs of one component.
 That gives the components of all links without listing all pairs of a group of
 near copies. Cells of more than ``BLOCK`` members are joined block by block.
 Surviving pairs are verified on the texts' own shingles.
@@ -33,17 +34,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
+from quillon.llm.common import Scratch, table
 from quillon.llm.components import components
 from quillon.llm.words import FOLD, chunks, mix, ngrams
 
 DIMS = 32
 LEAF = 16
 BLOCK = 2048
+FINE_BITS = 12
 ROUNDS = 3
 _U = np.uint64
 
@@ -99,11 +101,29 @@ def cells(h: np.ndarray, percent: int, ladder: list[int]) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+def fine_point(h: np.ndarray) -> bytes:
+    """Counts of a set in about two groups per shingle: a byte for the counts' width, then the counts."""
+    bits = min(FINE_BITS, max(6, int(2 * len(h) - 1).bit_length()))
+    counts = np.bincount((h >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if counts.max() < 256 else 2 if counts.max() < 65536 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """One row per document: set size, class (two hashes), and, once per class and task, point and cells."""
+def fine_counts(points: list[bytes]) -> np.ndarray:
+    """Count vectors of one length: neighbouring groups of the longer ones are summed."""
+    found = [np.frombuffer(p, f"<u{p[0]}", offset=1) for p in points]
+    short = min(len(f) for f in found)
+    wide = max(f.dtype.itemsize for f in found)
+    kind = np.uint8 if wide == 1 and all(len(f) == short for f in found) else np.uint32
+    return np.stack([f.astype(kind) if len(f) == short else f.astype(kind).reshape(short, -1).sum(axis=1, dtype=kind) for f in found])
+
+
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())])
+CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("member", T.LongType())])
+
+
+def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, only_cells: bool) -> DataFrame:
+    """One row per document: set size, class (two hashes) and, once per class and task, points; or the cells of the classes."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -111,7 +131,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
         for batch in batches:
             ids = batch.column(0)
             for c in chunks(batch.column(1), fold=True):
-                size, one, two, points, keys = [], [], [], [], []
+                size, one, two, points, fine, keys, owner = [], [], [], [], [], [], []
                 for i in range(c.last - c.first):
                     h = shingles(c.row(i), width)
                     n = len(h)
@@ -122,17 +142,23 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
                     size.append(n)
                     one.append(a)
                     two.append(b)
-                    if n == 0 or (a, b) in seen:
-                        points.append(None)
-                        keys.append(None)
-                        continue
-                    if len(seen) < 1_000_000:
+                    fresh = n > 0 and (a, b) not in seen
+                    if fresh and len(seen) < 1_000_000:
                         seen.add((a, b))
-                    points.append(np.bincount((h >> _U(59)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes())
-                    keys.append(cells(h, percent, ladder).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids[c.first : c.last], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=SKETCH.names)
+                    if only_cells:
+                        if fresh:
+                            keys.append(cells(h, percent, ladder).view(np.int64))
+                            owner.append(a)
+                        continue
+                    points.append(np.bincount((h >> _U(59)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes() if fresh else None)
+                    fine.append(fine_point(h) if fresh else None)
+                if only_cells:
+                    if keys:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), [len(k) for k in keys]))], names=CELLS.names)
+                    continue
+                yield pa.RecordBatch.from_arrays([ids[c.first : c.last], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], names=SKETCH.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CELLS if only_cells else SKETCH)
 
 
 class RTree:
@@ -175,23 +201,31 @@ class RTree:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _cell_pairs(percent: int, full: bool):
+def _cell_pairs(percent: int, full: bool, one: bool):
     """Candidate pairs of the cells in a partition sorted by cell.
 
-    Rows are (cell, side, member, point, component); a cell that was split has
-    rows of two sides, of which only pairs across sides are wanted.
+    Rows are (cell, side, member, point, component, fine point); a cell that was
+    split has rows of two sides, of which only pairs across sides are wanted.
+    ``one``: only for the first member of each cell. ``full``: only partners of
+    another component, and the tree's answers meet the same bound again on the
+    fine points, so that sets just below the threshold are not emitted.
     """
 
-    def of_cell(side, member, points, comp):
+    def of_cell(side, member, points, comp, fine):
         tree = RTree(points)
         out = []
-        for i in range(len(member)) if full else (0,):
-            if full and side[i] == 2:
+        sharp = fine_counts(fine) if full and comp.min() != comp.max() else None
+        size = points.sum(axis=1)
+        for i in (0,) if one else range(len(member)):
+            if full and (side[i] == 2 or sharp is None):
                 continue
             near = tree.partners(points[i], percent)
             if full:
                 near = near[(comp[near] != comp[i]) & ((side[near] == 2) if side[i] == 1 else (near > i))]
             near = near[member[near] != member[i]]
+            if full and len(near):
+                bound = np.minimum(sharp[near], sharp[i]).sum(axis=1, dtype=np.int64)
+                near = near[bound * (100 + percent) >= percent * (size[near] + size[i])]
             if len(near):
                 out.append(np.stack([np.full(len(near), member[i]), member[near]]))
         return out
@@ -223,7 +257,7 @@ def _cell_pairs(percent: int, full: bool):
             out.append(np.stack([member[i][fit], member[i + 1][fit]]))
         for s, e in zip(edge[:-1][~two], edge[1:][~two]):
             if e - s > 1:
-                out += of_cell(side[s:e], member[s:e], points[s:e], comp[s:e])
+                out += of_cell(side[s:e], member[s:e], points[s:e], comp[s:e], t.column(5).slice(s, e - s).to_pylist() if full else None)
         if out:
             pairs = np.concatenate(out, axis=1)
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -263,47 +297,55 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     ``links`` counts the verified links of the document's class that the
     components were built from; copies of one set need none.
     """
-    rows = table(sketch(docs, doc_id, text, width, percent), "sketch")
-    spread = rows.filter("cells is not null")
-    member = spread.select(F.explode("cells").alias("cell"), F.col("c1").alias("member"))
-    tiles = member.repartition("cell").dropDuplicates(["cell", "member"])
-    by_cell = Window.partitionBy("cell")
-    # a cell matters if two classes meet in it: its least and largest member differ
-    shared = tiles.withColumn("n", F.count(F.lit(1)).over(by_cell)).filter("n > 1")
-    shared = table(shared, "cells")
-    point = spread.filter("point is not null").select(F.col("c1").alias("p"), "point").dropDuplicates(["p"])
-
-    def candidates(cell_rows: DataFrame, full: bool) -> DataFrame:
-        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "point", "comp")
-        return ready.repartition("cell").sortWithinPartitions("cell", "side", "member").mapInArrow(_cell_pairs(percent, full), PAIRS).distinct()
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(sketch(docs, doc_id, text, width, percent, False), "sketch")
+    # cells go straight into the shuffle: the texts are read again rather than all cells be stored
+    tiles = sketch(docs, doc_id, text, width, percent, True).repartition("cell").dropDuplicates(["cell", "member"])
+    # a cell matters if two classes meet in it
+    shared = tiles.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1")
+    shared = scratch.table(shared, "cells")
+    spread = rows.filter("point is not null")
+    point = spread.select(F.col("c1").alias("p"), "point", "fine").dropDuplicates(["p"])
+
+    def candidates(cell_rows: DataFrame, full: bool, one: bool, order: Column) -> DataFrame:
+        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "point", "comp", *(["fine"] if full else []))
+        return ready.repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_pairs(percent, full, one), PAIRS).distinct()
 
     texts = rows.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
 
+    # texts of the classes that meet any other, fetched once
+    wanted = shared.select(F.col("member").alias("m")).distinct()
+    reps = texts.join(wanted, F.col("c1") == F.col("m")).select("m", "rep")
+    body = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("body")).join(reps, "rep").dropDuplicates(["m", "rep"]).select("m", "body")
+    body = scratch.table(body, "bodies")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = table(pairs, name)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
-        reps = texts.join(wanted, F.col("c1") == F.col("m")).select("m", "rep")
-        body = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("body")).join(reps, "rep").dropDuplicates(["m", "rep"]).select("m", "body")
-        body = table(body, "bodies")
+        pairs = scratch.table(pairs, name)
         pairs = pairs.join(body.select(F.col("m").alias("a"), F.col("body").alias("ta")), "a").join(body.select(F.col("m").alias("b"), F.col("body").alias("tb")), "b")
-        return table(pairs.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(percent, width), PAIRS).distinct(), "links")
+        return scratch.table(pairs.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(percent, width), PAIRS).distinct(), "links")
 
     start = shared.select("cell", F.lit(0).alias("side"), "member", F.col("member").alias("comp"))
-    links = verified(candidates(start, False), "pairs")
-    comp = table(components(links), "components")
-
-    placed = shared.join(comp, F.col("member") == F.col("node"), "left").select("cell", "member", F.coalesce("component", "member").alias("comp"))
-    open_cells = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("cell", "n")
-    left = placed.join(open_cells, "cell")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("member"), parts).cast("int")
-    # block pairs (i, j), i <= j: a member of block b goes to (i, b) and (b, j)
-    pair = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
-    small = left.filter(F.col("n") <= BLOCK).select("cell", F.lit(0).alias("side"), "member", "comp")
-    large = left.filter(F.col("n") > BLOCK).withColumn("pair", pair).select(F.xxhash64("cell", "pair.i", "pair.j").alias("cell"), F.when(F.col("pair.i") == F.col("pair.j"), 0).when(mine == F.col("pair.i"), 1).otherwise(2).alias("side"), "member", "comp")
-    more = verified(candidates(small.unionByName(large), True), "pairs")
-    links = table(links.union(more).distinct(), "links")
-    comp = table(components(links), "components")
+    links = verified(candidates(start, False, True, F.col("member")), "pairs")
+    comp = scratch.table(components(links, scratch), "components")
+
+    def still_open() -> DataFrame:
+        """Cells whose members lie in several components, the large ones in pairs of blocks."""
+        placed = shared.join(comp, F.col("member") == F.col("node"), "left").select("cell", "member", F.coalesce("component", "member").alias("comp"))
+        several = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("cell", "n")
+        left = placed.join(several, "cell")
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("member"), parts).cast("int")
+        # block pairs (i, j), i <= j: a member of block b goes to (i, b) and (b, j)
+        pair = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
+        small = left.filter(F.col("n") <= BLOCK).select("cell", F.lit(0).alias("side"), "member", "comp")
+        large = left.filter(F.col("n") > BLOCK).withColumn("pair", pair).select(F.xxhash64("cell", "pair.i", "pair.j").alias("cell"), F.when(F.col("pair.i") == F.col("pair.j"), 0).when(mine == F.col("pair.i"), 1).otherwise(2).alias("side"), "member", "comp")
+        return small.unionByName(large)
+
+    # once with one member of each cell, another in every cell, then with all
+    for one, order in ((True, F.xxhash64("cell", "member")), (False, F.col("member"))):
+        more = verified(candidates(still_open(), True, one, order), "pairs")
+        links = scratch.table(links.union(more).distinct(), "links")
+        comp = scratch.table(components(links, scratch), "components")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     joined = comp.join(degree, "node")
@@ -311,5 +353,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     classes = texts.groupBy("c1", "c2").agg(F.min("rep").alias("rep")).join(joined, F.col("c1") == F.col("node"), "left")
     named = classes.filter("component is not null").groupBy(F.col("component").alias("k")).agg(F.min("rep").alias("least"))
     classes = classes.join(named, F.col("component") == F.col("k"), "left").select("c1", "c2", F.coalesce("least", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    # most classes are one document: only the others need a look-up
-    return rows.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    # the result is a few numbers per row: written, so that everything else can go
+    joined = rows.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    result = table(joined, "linked")
+    scratch.clear()
+    return result
