@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillon.plans import all_queries
@@ -13,10 +14,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, float):
-        return repr(round(value, 6))
+        return repr(round(value, 6)).removesuffix(".0")
     return str(value)
 
 
