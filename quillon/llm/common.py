@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,7 +34,15 @@ class Scratch:
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        self.sweep()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def sweep(self) -> None:
+        """Let Spark remove shuffle files that nothing refers to any more, rather than when the driver next happens to collect."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

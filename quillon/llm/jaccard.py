@@ -102,8 +102,8 @@ def cells(h: np.ndarray, percent: int, ladder: list[int]) -> np.ndarray:
 
 
 def fine_point(h: np.ndarray) -> bytes:
-    """Counts of a set in about two groups per shingle: a byte for the counts' width, then the counts."""
-    bits = min(FINE_BITS, max(6, int(2 * len(h) - 1).bit_length()))
+    """Counts of a set in about one group per shingle: a byte for the counts' width, then the counts."""
+    bits = min(FINE_BITS, max(6, len(h).bit_length() - 1))
     counts = np.bincount((h >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
     width = 1 if counts.max() < 256 else 2 if counts.max() < 65536 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
@@ -118,12 +118,13 @@ def fine_counts(points: list[bytes]) -> np.ndarray:
     return np.stack([f.astype(kind) if len(f) == short else f.astype(kind).reshape(short, -1).sum(axis=1, dtype=kind) for f in found])
 
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType())])
+POINTS = T.StructType([T.StructField("p", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())])
 CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("member", T.LongType())])
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, only_cells: bool) -> DataFrame:
-    """One row per document: set size, class (two hashes) and, once per class and task, points; or the cells of the classes."""
+    """One row per document: set size and class (two hashes); or the cells of the classes, once per class and task."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -131,7 +132,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, on
         for batch in batches:
             ids = batch.column(0)
             for c in chunks(batch.column(1), fold=True):
-                size, one, two, points, fine, keys, owner = [], [], [], [], [], [], []
+                size, one, two, keys, owner = [], [], [], [], []
                 for i in range(c.last - c.first):
                     h = shingles(c.row(i), width)
                     n = len(h)
@@ -145,22 +146,31 @@ def sketch(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, on
                     fresh = n > 0 and (a, b) not in seen
                     if fresh and len(seen) < 1_000_000:
                         seen.add((a, b))
-                    if only_cells:
-                        if fresh:
-                            keys.append(cells(h, percent, ladder).view(np.int64))
-                            owner.append(a)
-                        continue
-                    points.append(np.bincount((h >> _U(59)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes() if fresh else None)
-                    fine.append(fine_point(h) if fresh else None)
+                    if only_cells and fresh:
+                        keys.append(cells(h, percent, ladder).view(np.int64))
+                        owner.append(a)
                 if only_cells:
                     if keys:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), [len(k) for k in keys]))], names=CELLS.names)
                     continue
-                yield pa.RecordBatch.from_arrays([ids[c.first : c.last], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], names=SKETCH.names)
+                yield pa.RecordBatch.from_arrays([ids[c.first : c.last], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=SKETCH.names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CELLS if only_cells else SKETCH)
 
 
+def _points(width: int):
+    """Count vectors of (class, text) rows."""
+
+    def run(batches):
+        for batch in batches:
+            for c in chunks(batch.column(1), fold=True):
+                sets = [shingles(c.row(i), width) for i in range(c.last - c.first)]
+                coarse = [np.bincount((h >> _U(59)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.first : c.last], pa.array(coarse, pa.binary()), pa.array([fine_point(h) for h in sets], pa.binary())], names=POINTS.names)
+
+    return run
+
+
 class RTree:
     """Packed R-tree over count vectors; a node keeps the maxima of its coordinates and its sizes' range."""
 
@@ -201,29 +211,28 @@ class RTree:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _cell_pairs(percent: int, full: bool, one: bool):
+def _cell_pairs(percent: int, one: bool):
     """Candidate pairs of the cells in a partition sorted by cell.
 
     Rows are (cell, side, member, point, component, fine point); a cell that was
     split has rows of two sides, of which only pairs across sides are wanted.
-    ``one``: only for the first member of each cell. ``full``: only partners of
-    another component, and the tree's answers meet the same bound again on the
-    fine points, so that sets just below the threshold are not emitted.
+    ``one``: only for the first member of each cell. Partners are of another
+    component, and the tree's answers meet the same bound again on the fine
+    points, so that sets just below the threshold are not emitted.
     """
 
     def of_cell(side, member, points, comp, fine):
         tree = RTree(points)
         out = []
-        sharp = fine_counts(fine) if full and comp.min() != comp.max() else None
+        sharp = fine_counts(fine) if comp.min() != comp.max() else None
         size = points.sum(axis=1)
         for i in (0,) if one else range(len(member)):
-            if full and (side[i] == 2 or sharp is None):
+            if side[i] == 2 or sharp is None:
                 continue
             near = tree.partners(points[i], percent)
-            if full:
-                near = near[(comp[near] != comp[i]) & ((side[near] == 2) if side[i] == 1 else (near > i))]
+            near = near[(comp[near] != comp[i]) & ((side[near] == 2) if side[i] == 1 else (near > i))]
             near = near[member[near] != member[i]]
-            if full and len(near):
+            if len(near):
                 bound = np.minimum(sharp[near], sharp[i]).sum(axis=1, dtype=np.int64)
                 near = near[bound * (100 + percent) >= percent * (size[near] + size[i])]
             if len(near):
@@ -231,7 +240,7 @@ def _cell_pairs(percent: int, full: bool, one: bool):
         return out
 
     def run(batches):
-        rest, emitted = None, []
+        rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             key = t.column(0).to_numpy()
@@ -246,18 +255,13 @@ def _cell_pairs(percent: int, full: bool, one: bool):
         if not t.num_rows:
             return
         key, side, member, comp = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+        fine = t.column(5).to_pylist()
         points = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u4").reshape(-1, DIMS).astype(np.int64)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        two = (np.diff(edge) == 2) & (not full)
         out = []
-        if two.any():  # a tree of two members is its one leaf
-            i = edge[:-1][two]
-            bound = np.minimum(points[i], points[i + 1]).sum(axis=1) * (100 + percent)
-            fit = (bound >= percent * (points[i].sum(axis=1) + points[i + 1].sum(axis=1))) & (member[i] != member[i + 1])
-            out.append(np.stack([member[i][fit], member[i + 1][fit]]))
-        for s, e in zip(edge[:-1][~two], edge[1:][~two]):
+        for s, e in zip(edge[:-1], edge[1:]):
             if e - s > 1:
-                out += of_cell(side[s:e], member[s:e], points[s:e], comp[s:e], t.column(5).slice(s, e - s).to_pylist() if full else None)
+                out += of_cell(side[s:e], member[s:e], points[s:e], comp[s:e], fine[s:e])
         if out:
             pairs = np.concatenate(out, axis=1)
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -299,25 +303,35 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketch(docs, doc_id, text, width, percent, False), "sketch")
-    # cells go straight into the shuffle: the texts are read again rather than all cells be stored
-    tiles = sketch(docs, doc_id, text, width, percent, True).repartition("cell").dropDuplicates(["cell", "member"])
-    # a cell matters if two classes meet in it
-    shared = tiles.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1")
-    shared = scratch.table(shared, "cells")
-    spread = rows.filter("point is not null")
-    point = spread.select(F.col("c1").alias("p"), "point", "fine").dropDuplicates(["p"])
-
-    def candidates(cell_rows: DataFrame, full: bool, one: bool, order: Column) -> DataFrame:
-        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "point", "comp", *(["fine"] if full else []))
-        return ready.repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_pairs(percent, full, one), PAIRS).distinct()
 
+    def met_cells() -> DataFrame:
+        # cells go straight into the shuffle: the texts are read again rather than all cells be stored
+        tiles = sketch(docs, doc_id, text, width, percent, True).repartition("cell").dropDuplicates(["cell", "member"])
+        # a cell matters if two classes meet in it
+        w = Window.partitionBy("cell")
+        return tiles.select("*", F.count(F.lit(1)).over(w).alias("n"), F.bit_xor(F.xxhash64("member")).over(w).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "member")).over(w).alias("s2")).filter("n > 1")
+
+    def distinct_cells() -> DataFrame:
+        # of the cells with the same members (a pair shares many), one is enough
+        kept = met.groupBy("s1", "s2", "n").agg(F.min("cell").alias("cell")).select("cell")
+        return met.select("cell", "member", "n").join(kept, "cell", "left_semi")
+
+    met = scratch.table(met_cells(), "met")
+    shared = scratch.table(distinct_cells(), "cells")
     texts = rows.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
 
-    # texts of the classes that meet any other, fetched once
-    wanted = shared.select(F.col("member").alias("m")).distinct()
-    reps = texts.join(wanted, F.col("c1") == F.col("m")).select("m", "rep")
-    body = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("body")).join(reps, "rep").dropDuplicates(["m", "rep"]).select("m", "body")
-    body = scratch.table(body, "bodies")
+    def met_texts() -> DataFrame:
+        wanted = shared.select(F.col("member").alias("m")).distinct()
+        reps = texts.join(wanted, F.col("c1") == F.col("m")).select("m", "rep")
+        return docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("body")).join(reps, "rep").dropDuplicates(["m", "rep"]).select("m", "body")
+
+    # texts and points of the classes that meet any other, made once
+    body = scratch.table(met_texts(), "bodies")
+    point = scratch.table(body.mapInArrow(_points(width), POINTS).dropDuplicates(["p"]), "points")
+
+    def candidates(cell_rows: DataFrame, one: bool, order: Column) -> DataFrame:
+        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "point", "comp", "fine")
+        return ready.repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_pairs(percent, one), PAIRS).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.table(pairs, name)
@@ -325,7 +339,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         return scratch.table(pairs.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(percent, width), PAIRS).distinct(), "links")
 
     start = shared.select("cell", F.lit(0).alias("side"), "member", F.col("member").alias("comp"))
-    links = verified(candidates(start, False, True, F.col("member")), "pairs")
+    links = verified(candidates(start, True, F.col("member")), "pairs")
     comp = scratch.table(components(links, scratch), "components")
 
     def still_open() -> DataFrame:
@@ -343,7 +357,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
     # once with one member of each cell, another in every cell, then with all
     for one, order in ((True, F.xxhash64("cell", "member")), (False, F.col("member"))):
-        more = verified(candidates(still_open(), True, one, order), "pairs")
+        more = verified(candidates(still_open(), one, order), "pairs")
         links = scratch.table(links.union(more).distinct(), "links")
         comp = scratch.table(components(links, scratch), "components")
 

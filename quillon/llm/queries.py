@@ -39,7 +39,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(documents(spark, sf_dir), width=3, percent=90)
+    return jaccard.link(documents(spark, sf_dir), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,14 @@ wanted AS (SELECT DISTINCT item_id, ir, array_to_string(ws[i:i + 4], ' ') AS g F
 sized AS (SELECT *, count(*) OVER (PARTITION BY ir) AS n_item FROM wanted)
 SELECT doc_id, item_id, n_item, count(*) AS n_found FROM held JOIN sized USING (g) GROUP BY doc_id, rn, item_id, ir, n_item HAVING 100 * count(*) >= 80 * n_item"""
 
+SQL6 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT DISTINCT rn, array_to_string(ws[i:i + 2], ' ') AS g FROM words, unnest(range(1, greatest(2, len(ws) - 1))) AS u(i) WHERE len(ws) > 0),
+sizes AS (SELECT rn, count(*) AS n FROM grams GROUP BY rn),
+shared AS (SELECT a.rn AS a, b.rn AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rn <> b.rn GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.rn = a JOIN sizes y ON y.rn = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT rn AS a, rn AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id FROM words w JOIN reach r ON r.a = w.rn JOIN words o ON o.rn = r.b LEFT JOIN sizes s ON s.rn = w.rn GROUP BY w.rn, w.doc_id, n"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_quality_rules, op5_token_counts, op6_ngram_jaccard, op7_bpe, op8_quality_classifier, op9_html_extraction, op10_lm_scoring)}
-ORACLES = {"op3_decontamination": SQL3, "op4_quality_rules": quality_sql.sql()}
+ORACLES = {"op3_decontamination": SQL3, "op4_quality_rules": quality_sql.sql(), "op6_ngram_jaccard": SQL6}

@@ -10,7 +10,9 @@ partition, a task one count per cell.
 
 Each task then permutes its rows locally, the rows are exchanged by cell, and
 each cell is permuted again. Cells are runs of consecutive output slots, so a
-shard of any size is spread over many tasks and no task holds a shard.
+shard of any size is spread over many tasks and no task holds a shard. A cell
+has ``CELL_ROWS`` rows; beyond ``MOST_CELLS`` cells they grow instead, so that a
+task's part of the plan stays small.
 
 The law is ``rows``: shard sizes differ by at most one. Rows may hold nulls,
 repeat or be empty; every row gets a slot of its own. An input partition must
@@ -31,12 +33,14 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import with_fields
 
-CELL_ROWS = 8192
+CELL_ROWS = 4096
+MOST_CELLS = 1 << 16
 
 
 def cell_bounds(n_rows: int, shards: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first slot of each cell in its shard, rows of each cell, shard of each cell)."""
     first, rows, owner = [], [], []
+    cell_rows = max(cell_rows, -(-n_rows // MOST_CELLS))
     for s in range(shards):
         size = n_rows // shards + (s < n_rows % shards)
         k = max(1, -(-size // cell_rows))
@@ -76,6 +80,8 @@ def split(counts: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
     """How many of each cell's rows come from the left half, which has ``left`` rows."""
     rng = np.random.default_rng(seed)
     rest, out = int(counts.sum()), np.zeros_like(counts)
+    if rest < 10**9:
+        return rng.multivariate_hypergeometric(counts, left, method="marginals")
     for c in range(len(counts)):
         if left == 0:
             break

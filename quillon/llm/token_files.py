@@ -122,4 +122,5 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, eod: int) -> DataFrame
     """(doc_id, n_tokens): texts to token files, files to counts, counts to ids."""
     manifest = write(docs, ranks_path, pattern, eod)
     found = scan(manifest.select("file").distinct(), eod)
-    return manifest.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "first_token")
+    # both sides have a row per document, but files so small that Spark would take them for broadcastable
+    return manifest.hint("merge").join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "first_token")
