@@ -16,10 +16,11 @@ empty in both sets don't count: a set with more empty groups than the spare
 ones is dealt again under other hashes, and in the last round its empty groups
 are cells as well.
 
-In every cell the tree is asked first for the partners of one member only;
-verified links form components. In cells whose members still lie in more than
-one component another member, drawn by the cell's hash, is asked; the cells
-then left are joined in full, skipping pairs of one component.
+Cells of up to ``SMALL`` members are joined at once. Of the larger ones the tree
+is first asked, in every eighth, for the partners of one member only; verified
+links form components. In those whose members still lie in more than one
+component a member drawn by the cell's hash is asked; the cells then left are
+joined in full, skipping pairs of one component.
 That gives the components of all links without listing all pairs of a group of
 near copies. Cells of more than ``BLOCK`` members are joined block by block.
 Surviving pairs are verified on the texts' own shingles.
@@ -45,6 +46,7 @@ from quillon.llm.words import FOLD, chunks, mix, ngrams
 DIMS = 32
 LEAF = 16
 BLOCK = 2048
+SMALL = 8
 FINE_BITS = 12
 ROUNDS = 3
 _U = np.uint64
@@ -119,7 +121,7 @@ def fine_counts(points: list[bytes]) -> np.ndarray:
 
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType())])
-POINTS = T.StructType([T.StructField("p", T.LongType()), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType())])
+POINTS = T.StructType([T.StructField("p", T.LongType()), T.StructField("fine", T.BinaryType())])
 CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("member", T.LongType())])
 
 
@@ -165,8 +167,7 @@ def _points(width: int):
         for batch in batches:
             for c in chunks(batch.column(1), fold=True):
                 sets = [shingles(c.row(i), width) for i in range(c.last - c.first)]
-                coarse = [np.bincount((h >> _U(59)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes() for h in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.first : c.last], pa.array(coarse, pa.binary()), pa.array([fine_point(h) for h in sets], pa.binary())], names=POINTS.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.first : c.last], pa.array([fine_point(h) for h in sets], pa.binary())], names=POINTS.names)
 
     return run
 
@@ -214,20 +215,23 @@ PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 def _cell_pairs(percent: int, one: bool):
     """Candidate pairs of the cells in a partition sorted by cell.
 
-    Rows are (cell, side, member, point, component, fine point); a cell that was
+    Rows are (cell, side, member, component, fine point); a cell that was
     split has rows of two sides, of which only pairs across sides are wanted.
-    ``one``: only for the first member of each cell. Partners are of another
+    ``one``: in cells of more than ``SMALL`` rows only for the first. Partners are of another
     component, and the tree's answers meet the same bound again on the fine
     points, so that sets just below the threshold are not emitted.
     """
 
-    def of_cell(side, member, points, comp, fine):
-        tree = RTree(points)
+    def of_cell(side, member, comp, fine):
         out = []
-        sharp = fine_counts(fine) if comp.min() != comp.max() else None
+        if comp.min() == comp.max():
+            return out
+        sharp = fine_counts(fine)
+        points = sharp.reshape(len(member), DIMS, -1).sum(axis=2, dtype=np.int64)
+        tree = RTree(points)
         size = points.sum(axis=1)
-        for i in (0,) if one else range(len(member)):
-            if side[i] == 2 or sharp is None:
+        for i in (0,) if one and len(member) > SMALL else range(len(member)):
+            if side[i] == 2:
                 continue
             near = tree.partners(points[i], percent)
             near = near[(comp[near] != comp[i]) & ((side[near] == 2) if side[i] == 1 else (near > i))]
@@ -254,14 +258,13 @@ def _cell_pairs(percent: int, one: bool):
     def flush(t):
         if not t.num_rows:
             return
-        key, side, member, comp = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
-        fine = t.column(5).to_pylist()
-        points = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u4").reshape(-1, DIMS).astype(np.int64)
+        key, side, member, comp = (t.column(i).to_numpy() for i in range(4))
+        fine = t.column(4).to_pylist()
         edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         out = []
         for s, e in zip(edge[:-1], edge[1:]):
             if e - s > 1:
-                out += of_cell(side[s:e], member[s:e], points[s:e], comp[s:e], fine[s:e])
+                out += of_cell(side[s:e], member[s:e], comp[s:e], fine[s:e])
         if out:
             pairs = np.concatenate(out, axis=1)
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -330,7 +333,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     point = scratch.table(body.mapInArrow(_points(width), POINTS).dropDuplicates(["p"]), "points")
 
     def candidates(cell_rows: DataFrame, one: bool, order: Column) -> DataFrame:
-        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "point", "comp", "fine")
+        ready = cell_rows.join(point, F.col("member") == F.col("p")).select("cell", "side", "member", "comp", "fine")
         return ready.repartition("cell").sortWithinPartitions("cell", "side", order).mapInArrow(_cell_pairs(percent, one), PAIRS).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -338,28 +341,37 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         pairs = pairs.join(body.select(F.col("m").alias("a"), F.col("body").alias("ta")), "a").join(body.select(F.col("m").alias("b"), F.col("body").alias("tb")), "b")
         return scratch.table(pairs.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(_verify(percent, width), PAIRS).distinct(), "links")
 
-    start = shared.select("cell", F.lit(0).alias("side"), "member", F.col("member").alias("comp"))
-    links = verified(candidates(start, True, F.col("member")), "pairs")
-    comp = scratch.table(components(links, scratch), "components")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("member"), parts).cast("int")
 
-    def still_open() -> DataFrame:
-        """Cells whose members lie in several components, the large ones in pairs of blocks."""
-        placed = shared.join(comp, F.col("member") == F.col("node"), "left").select("cell", "member", F.coalesce("component", "member").alias("comp"))
-        several = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("cell", "n")
-        left = placed.join(several, "cell")
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("member"), parts).cast("int")
-        # block pairs (i, j), i <= j: a member of block b goes to (i, b) and (b, j)
+    def in_parts(cell_rows: DataFrame) -> DataFrame:
+        """Large cells cut into parts, without the pairs across parts."""
+        return cell_rows.select(F.when(parts == 1, F.col("cell")).otherwise(F.xxhash64("cell", mine)).alias("cell"), F.lit(0).alias("side"), "member", "comp")
+
+    def in_block_pairs(cell_rows: DataFrame) -> DataFrame:
+        """Large cells as pairs of blocks (i, j), i <= j: a member of block b goes to (i, b) and (b, j)."""
         pair = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
-        small = left.filter(F.col("n") <= BLOCK).select("cell", F.lit(0).alias("side"), "member", "comp")
-        large = left.filter(F.col("n") > BLOCK).withColumn("pair", pair).select(F.xxhash64("cell", "pair.i", "pair.j").alias("cell"), F.when(F.col("pair.i") == F.col("pair.j"), 0).when(mine == F.col("pair.i"), 1).otherwise(2).alias("side"), "member", "comp")
-        return small.unionByName(large)
-
-    # once with one member of each cell, another in every cell, then with all
-    for one, order in ((True, F.xxhash64("cell", "member")), (False, F.col("member"))):
-        more = verified(candidates(still_open(), one, order), "pairs")
-        links = scratch.table(links.union(more).distinct(), "links")
-        comp = scratch.table(components(links, scratch), "components")
+        one = cell_rows.filter(parts == 1).select("cell", F.lit(0).alias("side"), "member", "comp")
+        more = cell_rows.filter(parts > 1).withColumn("pair", pair)
+        return one.unionByName(more.select(F.xxhash64("cell", "pair.i", "pair.j").alias("cell"), F.when(F.col("pair.i") == F.col("pair.j"), 0).when(mine == F.col("pair.i"), 1).otherwise(2).alias("side"), "member", "comp"))
+
+    def still_open() -> DataFrame:
+        """Rows of the cells of more than SMALL members whose members lie in several components."""
+        placed = shared.filter(F.col("n") > SMALL).join(comp, F.col("member") == F.col("node"), "left").select("cell", "member", "n", F.coalesce("component", "member").alias("comp"))
+        several = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("cell")
+        return placed.join(several, "cell", "left_semi")
+
+    # small cells in full and some of the larger ones with their first member;
+    # then all larger ones that are still open with a drawn member; then in full
+    start = shared.filter((F.col("n") <= SMALL) | (F.pmod(F.xxhash64("cell"), F.lit(8)) == 0)).withColumn("comp", F.col("member"))
+    links = verified(candidates(in_parts(start), True, F.col("member")), "pairs")
+    comp = scratch.table(components(links, scratch), "components")
+    more = verified(candidates(in_parts(still_open()), True, F.xxhash64("cell", "member")), "pairs")
+    links = scratch.table(links.union(more).distinct(), "links")
+    comp = scratch.table(components(links, scratch), "components")
+    more = verified(candidates(in_block_pairs(still_open()), False, F.col("member")), "pairs")
+    links = scratch.table(links.union(more).distinct(), "links")
+    comp = scratch.table(components(links, scratch), "components")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     joined = comp.join(degree, "node")
