@@ -31,10 +31,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity stays below their language's threshold."""
+    """Documents whose perplexity stays below their language's threshold and whose words don't tell of toxic ones."""
     inner, name, back = _renamed(docs)
-    trusted = kneser_ney.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return back(kneser_ney.judge(inner, trusted, doc_id=name("doc_id"), text=name("text"), language=name("lang")).filter("kept"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted, toxic = kneser_ney.trusted_ids(labels), kneser_ney.toxic_ids(labels)
+    return back(kneser_ney.judge(inner, trusted, doc_id=name("doc_id"), text=name("text"), language=name("lang"), toxic=toxic).filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

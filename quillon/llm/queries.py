@@ -49,7 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser_ney.judge(documents(spark, sf_dir), kneser_ney.trusted_ids(labels), carry=["doc_id", "lang"])
+    return kneser_ney.judge(documents(spark, sf_dir), kneser_ney.trusted_ids(labels), carry=["doc_id", "lang"], toxic=kneser_ney.toxic_ids(labels))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
