@@ -458,7 +458,7 @@ def lenient(t):
 def copy_similarity(t):
     """How like a conversation's turn is to the one before."""
     before = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.withColumn("before", before).select("conv_id", "turn", S.similarity(F.substring("before", 1, 400), F.substring("text", 1, 400)).alias("ratio"))
+    return t.conversations.withColumn("before", before).select("conv_id", "turn", S.similarity(F.col("before"), F.col("text")).alias("ratio"))
 
 
 @query("c14_weighted_split")
