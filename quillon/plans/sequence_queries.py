@@ -252,7 +252,7 @@ def reference_cutoff(t):
 def event_union(t):
     """Events of all sources renumbered in order."""
     u = t.events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp"), F.col("event_id").alias("source_seq"), F.col("event_type").alias("event"))
-    o = t.orders.filter("o_custkey < 200").select(F.col("o_custkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("source_seq"), F.col("o_orderstatus").alias("event"))
+    o = t.orders.select(F.col("o_custkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("source_seq"), F.col("o_orderstatus").alias("event"))
     return u.unionByName(o).select("job_id", "source_seq", "event", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "source_seq", "event")).alias("seq"))
 
 
