@@ -48,3 +48,16 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate.search(odd, items).filter("doc_id = 1").count() == 2
     assert decontaminate.search(none, items).count() == 0
     assert decontaminate.clean(odd, items.limit(0)).count() == 14
+
+
+def test_items_of_few_shingles_are_found(spark):
+    """Items of five to eight words in long documents, each held once."""
+    rng = random.Random(3)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(400):
+        item = word(5 + i % 4)
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([*word(40 + i % 23), *item, *word(60)])))
+    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert sorted(zip(got.doc_id, got.item_id)) == [(i, i) for i in range(400)]
