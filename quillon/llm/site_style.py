@@ -48,6 +48,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas title textarea select option button head".split())
 PLAIN_TEXT = frozenset("script style title textarea iframe noscript".split())
+#: what a head may hold; any other element ends it, with or without its end tag
+IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe signup login search widget pagination pager skip toolbar".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
@@ -82,7 +84,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
     style: dict[str, list[str]] = {}
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, marked
     text: list[str] = []
-    at, skip = 0, None
+    at, skip, outer = 0, None, None
     page = page or ""
 
     def flush():
@@ -103,8 +105,16 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
         tag, closing = m[2].lower(), bool(m[1])
         if skip is not None:
             if closing and tag == skip:
-                skip = None
-            continue
+                skip, outer = outer, None
+                continue
+            if skip == "head" and not closing and tag in PLAIN_TEXT & IN_HEAD:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif skip == "head" and not closing and tag == "template":
+                skip, outer = tag, skip
+            if not (skip == "head" and not closing and tag not in IN_HEAD or skip == "option" and (tag in BLOCKS or closing and tag in ("select", "datalist", "optgroup"))):
+                continue
+            skip = None
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
                 if tag in PLAIN_TEXT:

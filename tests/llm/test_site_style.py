@@ -47,3 +47,17 @@ def test_whole_site_without_markup(spark, sf):
     for r in got:
         body = r["html"].partition("<article>")[2].partition("</article>")[0]
         assert r["main_text"] and r["main_text"].split()[-1] in body.replace("&amp;", "&").replace("&quot;", '"')
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>no</title><script>var t='<div>no</div>';</script><template><p>no</p></template><body><p>yes</p>", "yes"),
+        ("<head><meta charset=utf-8><title>no</title><p>yes</p>", "yes"),
+        ("<head><title>no</title></head><body><p>yes</p>", "yes"),
+        ("<datalist><option>no<option>no</datalist><p>yes</p>", "yes"),
+        ("<p>a<option>no<p>yes</p>", "a\n\nyes"),
+    ],
+)
+def test_end_tags_that_may_be_left_out(page, want):
+    assert "\n\n".join(b[2] for b in S.parse(page)[0]) == want
