@@ -94,3 +94,66 @@ def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(6), scratch).collect()}
     scratch.clear()
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_linked_sets_share_a_cell_without_their_hottest():
+    rng = np.random.default_rng(6)
+    for percent in (80, 90):
+        ladder = jaccard.bands(1 << 12, percent)
+        for n in (10, 19, 31, 60, 200, 777):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                differ = int(rng.integers(1, max(2, n * (100 - percent) * 2 // (100 + percent))))
+                b = np.unique(np.concatenate([a[differ // 2 :], rng.integers(0, 2**64, differ - differ // 2, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if both * 100 < percent * (len(a) + len(b) - both) or len(a) == len(b) == both:
+                    continue
+                heat = {int(k): int(rng.integers(0, 9)) for s in (a, b) for k in jaccard.cells(s, percent, ladder)}
+                kept = []
+                for s in (a, b):
+                    key, lot = jaccard.dealt_cells(s, percent, ladder)
+                    own = set()
+                    for x in np.unique(lot):
+                        ranked = sorted(((-heat[int(k)], int(k)) for k in key[lot == x]))
+                        own |= {k for _, k in ranked[x & ((1 << 20) - 1) :]}
+                    kept.append(own)
+                assert kept[0] & kept[1], (percent, len(a), len(b), both)
+
+
+def test_bound_is_never_below_the_overlap():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (3, 70, 90, 300, 2000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 5 :], rng.integers(0, 2**64, len(s), dtype=np.uint64)])) for s in sets]
+    points = jaccard.Points([jaccard.point(s) for s in sets])
+    for i, s in enumerate(sets):
+        bound = points.bound(i, np.arange(len(sets)))
+        assert all(bound[j] >= len(np.intersect1d(s, t)) for j, t in enumerate(sets)) and bound[i] == len(s)
+
+
+def test_repeated_and_missing_ids_keep_their_own_text(spark):
+    base = [f"b{i}" for i in range(200)]
+    text = lambda k: " ".join(base + [f"x{i}" for i in range(k)])
+    rows = [(5, " ".join(f"z{i}" for i in range(200))), (5, text(0)), (9, text(1)), (7, text(2)), (None, text(3))]
+    got = [tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "n_shingles").collect()]
+    assert sorted(got, key=str) == sorted([(5, 5, 198), (5, 5, 198), (9, 5, 199), (7, 5, 200), (None, 5, 201)], key=str)
+    alone = [(None, text(0)), (9, text(1))]
+    got = jaccard.link(spark.createDataFrame(alone, "doc_id long, text string")).select("component_id").collect()
+    assert [r[0] for r in got] == [9, 9]
+    unnamed = jaccard.link(spark.createDataFrame([(None, text(0)), (None, text(1)), (None, None)], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in unnamed} == {None} and len({r["component"] for r in unnamed if r["n_shingles"]}) == 1
+
+
+def test_heavy_cells_and_failed_forests(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 2)
+    monkeypatch.setattr(jaccard, "HEAVY_SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):  # pairs lie around the threshold
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(100)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(t)))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].values.tolist())) == brute(rows, 3, 85)
