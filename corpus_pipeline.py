@@ -39,19 +39,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at five words and a similarity of 0.8: the least id.
+    """One document of each group linked at five words and a similarity of 0.8: the one with the least id.
 
-    Rows that repeat an id and text stay once; rows without an id, which no
-    group can be named by, stay once for each text.
+    A group's documents without an id come after those with one; of equal ids
+    with different texts the text with the least hash stays. Rows that repeat
+    an id and text stay once. Documents without words are in no group: of
+    those, too, rows that repeat an id and text stay once. An empty table
+    stays empty.
     """
     inner, name, back = _renamed(docs)
     doc_id, text = name("doc_id"), name("text")
     linked = jaccard.link(inner, doc_id, text, width=5, percent=80)
-    least = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
-    named = inner.join(least, F.col(doc_id) == F.col("_least"), "left_semi")
-    unnamed = inner.filter(F.col(doc_id).isNull())
-    both = named.unionByName(unnamed).withColumn("_hash", F.xxhash64(text))
-    return back(both.dropDuplicates([doc_id, "_hash"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    chosen = linked.filter("component is not null").groupBy("component").agg(first.alias("first")).select("first._id", "first._hash")
+    wordless = linked.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    chosen = chosen.union(wordless).distinct()
+    hashed = inner.withColumn("_text_hash", F.xxhash64(text))
+    kept = hashed.join(chosen, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return back(kept.dropDuplicates([doc_id, "_text_hash"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
