@@ -60,6 +60,8 @@ LEAF = 16
 BLOCK = 2048
 MOST_BITS = 18
 ROUNDS = 3
+#: class numbers that are broadcast, 8 bytes each, to pick the texts of classes that meet any other
+SEMI_ROWS = 2_000_000
 #: A cell is heavy if it has so many members among the classes whose number's hash is 0 modulo HEAVY_SAMPLE; so many heavy cells are dealt over several tasks.
 HEAVY, HEAVY_SAMPLE, HEAVY_CELLS, HEAVY_PARTS = 256, 64, 65_536, 64
 _U = np.uint64
@@ -443,6 +445,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     cool = scratch.table(cool_cells(), "cool")
     shared = scratch.table(distinct_cells(), "cells")
     wanted = shared.select("node").distinct()
+    if wanted.count() <= SEMI_ROWS:  # else both sides are shuffled
+        wanted = F.broadcast(wanted)
     body_of = scratch.table(texts.join(wanted, "node", "left_semi"), "bodies")
     point_of = scratch.table(body_of.mapInArrow(_points(width), POINTS), "points")
 
