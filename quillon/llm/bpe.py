@@ -34,7 +34,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import with_fields
+from quillon.llm.common import positional, with_fields
 
 SUFFIX = "</w>"
 KEPT_WORDS = 250_000
@@ -251,9 +251,13 @@ def load(path: str) -> Merges:
 
 
 def encode(docs: DataFrame, text: str, path: str, batch_chars: int = 1_000_000) -> DataFrame:
-    """docs with ``ids`` (little-endian unsigned 32-bit) and ``decoded``; no shuffle."""
+    """docs with ``ids`` (little-endian unsigned 32-bit) and ``decoded``; no shuffle.
+
+    Input columns of these two names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     at = docs.columns.index(text)
+    plain, _, back = positional(docs)
 
     def run(batches):
         coder = Coder(shared.value)
@@ -268,4 +272,4 @@ def encode(docs: DataFrame, text: str, path: str, batch_chars: int = 1_000_000)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
                 start += len(texts)
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ("ids", T.BinaryType()), ("decoded", T.StringType())))
+    return back(plain.mapInArrow(run, with_fields(plain.schema, ("ids", T.BinaryType()), ("decoded", T.StringType()))), "ids", "decoded")

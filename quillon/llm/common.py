@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positional(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[..., DataFrame]]:
+    """docs under names by position, the new name of a column, and the way back.
+
+    So nothing that an operator adds meets a column of the input. The way back
+    takes names of result columns, too; an input column of such a name is left out.
+    """
+    names = docs.columns
+    plain = [f"in{i}_" for i in range(len(names))]
+
+    def back(df: DataFrame, *results: str) -> DataFrame:
+        return df.select(*[F.col(p).alias(n) for p, n in zip(plain, names) if n not in results], *results)
+
+    return docs.toDF(*plain), lambda name: plain[names.index(name)], back
+
+
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 

@@ -5,19 +5,29 @@ distinct word shingles. A short item inside a long document has a tiny Jaccard
 similarity with it, so items are partitioned by set size, and for the partition
 with sizes up to U a document is cut into windows of 2U shingles that start
 every U: a passage of up to U shingles lies whole in one window, and its
-similarity with it is at least 0.19. Partitions start at one shingle. With ``PERMUTATIONS`` minima the chance of
-missing one is below 0.81 ** 48 (under 1 in 20,000). Window minima are made once for the
-smallest partition's stride and merged upwards for the others. Every candidate
-is verified by exact containment against the whole document's shingles.
+similarity with it is at least 0.19. Partitions start at one shingle. With
+``PERMUTATIONS`` minima the chance of missing one is below 0.81 ** 48 (under 1
+in 20,000). Window minima are made once for the smallest partition's stride and
+merged upwards for the others. Every candidate is verified by exact containment
+against the whole document's shingles. The search finds passages: an item whose
+shingles are scattered over a document, farther apart than its partition's
+window, is only found if one window holds enough of them.
+
+An item with fewer words than a shingle is one shingle of all its words, which
+is looked up among the document's word n-grams of that length.
 
 The items are the stated query set: they are taken in blocks of ``BLOCK_ITEMS``
 and each block is searched for in all documents in one narrow pass (no
-shuffle); what is broadcast is bounded by the block.
-
-Defined results: null or empty texts contain nothing; items with fewer words
-than a shingle are never searched for (they can't be told from chance); items
-with equal texts are each reported; repeated documents are each annotated.
-Words are split at ASCII white space and A-Z are lower-cased.
+shuffle); what is broadcast is bounded by the block. With several blocks each
+pass returns only the hits, keyed by two hashes of the text, which are joined
+to the documents once; the documents aren't written between passes.
+
+Defined results: null or empty texts contain nothing; items that are null or
+without words are never found; items with equal texts are each reported, and so
+is one with a null id (with that null); repeated documents are each annotated;
+without documents or items there are no hits. Words are split at ASCII white
+space and A-Z are lower-cased. Input columns may have any names; one that is
+called like the result column is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table, with_fields
+from quillon.llm.common import positional, table, with_fields
 from quillon.llm.words import chunks, ngrams
 
 PERMUTATIONS = 48
@@ -43,10 +53,11 @@ HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_ite
 
 
 class Items:
-    """MinHash tables of one block of items, by size partition."""
+    """MinHash tables of one block of items, by size partition; and the hashes of short items, by words."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+    def __init__(self, ids: list[int | None], sets: list[np.ndarray], short: dict[int, list[tuple[int, int | None]]]):
         self.ids, self.sets = ids, sets
+        self.short = {n: (np.array(sorted({h for h, _ in own}), np.uint64), own) for n, own in short.items()}
         self.parts: dict[int, list] = {}
         members: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
@@ -63,6 +74,14 @@ class Items:
                 tables.append((least[order], np.array(own)[order], might))
             self.parts[upto] = tables
 
+    def short_hits(self, words: np.ndarray) -> list[tuple[int | None, int, int]]:
+        """Hits of the items with fewer words than a shingle, in one row's words."""
+        found = []
+        for n, (wanted, own) in self.short.items():
+            held = set(np.intersect1d(wanted, ngrams(words, n)).tolist())
+            found += [(i, 1, 1) for h, i in own if h in held]
+        return found
+
     def hits(self, grams: np.ndarray, at: np.ndarray, percent: int) -> dict[int, list[tuple[int, int, int]]]:
         """row -> hits; row i's shingles, in order, are grams[at[i]:at[i+1]]."""
         found: set[tuple[int, int]] = set()
@@ -106,44 +125,66 @@ class Items:
 
 def _blocks(items: DataFrame, item_id: str, text: str, width: int) -> Iterator[Items]:
     """The items in blocks of bounded size."""
-    ids, sets, total = [], [], 0
+    ids, sets, short, total, n = [], [], {}, 0, 0
     for row in items.select(F.col(item_id).cast("long"), text).toLocalIterator(prefetchPartitions=False):
         for c in chunks(pa.array([row[1]], pa.string()), fold=True):
-            own = np.unique(ngrams(c.row(0), width))
-            if row[0] is not None and len(own):
+            words = c.row(0)
+            if not len(words):
+                continue
+            n += 1
+            if len(words) < width:
+                short.setdefault(len(words), []).append((int(ngrams(words, len(words))[0]), row[0]))
+            else:
+                own = np.unique(ngrams(words, width))
                 ids.append(row[0])
                 sets.append(own)
                 total += len(own)
-        if len(ids) >= BLOCK_ITEMS or total >= BLOCK_SHINGLES:
-            yield Items(ids, sets)
-            ids, sets, total = [], [], 0
-    if ids:
-        yield Items(ids, sets)
+        if n >= BLOCK_ITEMS or total >= BLOCK_SHINGLES:
+            yield Items(ids, sets, short)
+            ids, sets, short, total, n = [], [], {}, 0, 0
+    if n:
+        yield Items(ids, sets, short)
+
+
+def _searched(docs: DataFrame, at: int, block: Items, width: int, percent: int) -> DataFrame:
+    """docs with the block's hits in their last column ``found``."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    names = [*docs.columns, "found"]
+
+    def run(batches):
+        for batch in batches:
+            hits: list[list] = [[] for _ in range(batch.num_rows)]
+            for c in chunks(batch.column(at), fold=True):
+                grams = [ngrams(c.row(i), width) for i in range(c.last - c.first)]
+                edge = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
+                for r, own in shared.value.hits(np.concatenate(grams), edge, percent).items():
+                    hits[c.first + r] += [dict(zip(HIT.names, h)) for h in own]
+                if shared.value.short:
+                    for i in range(c.last - c.first):
+                        hits[c.first + i] += [dict(zip(HIT.names, h)) for h in shared.value.short_hits(c.row(i))]
+            kind = pa.list_(pa.struct([(f, pa.int64()) for f in HIT.names]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=names)
+
+    return docs.mapInArrow(run, with_fields(docs.schema, ("found", T.ArrayType(HIT))))
 
 
 def annotate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 80, out: str = "hits") -> DataFrame:
     """docs with an array of (item_id, n_item, n_found) of the items found in each."""
-    done, columns, schema = docs.withColumn(out, F.array().cast(T.ArrayType(HIT))), [*docs.columns, out], None
-    schema = with_fields(docs.schema, (out, T.ArrayType(HIT)))
-    at = docs.columns.index(text)
-    for n, block in enumerate(_blocks(items, item_id, item_text, width)):
-        if n:
-            done = table(done, "annotated")
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                hits: list[list] = batch.column(len(columns) - 1).to_pylist()
-                for c in chunks(batch.column(at), fold=True):
-                    grams = [ngrams(c.row(i), width) for i in range(c.last - c.first)]
-                    edge = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
-                    for r, own in shared.value.hits(np.concatenate(grams), edge, percent).items():
-                        hits[c.first + r] = hits[c.first + r] + [dict(zip(HIT.names, h)) for h in own]
-                kind = pa.list_(pa.struct([(f, pa.int64()) for f in HIT.names]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=columns)
-
-        done = done.mapInArrow(run, schema)
-    return done
+    plain, name, back = positional(docs)
+    blocks = list(_blocks(items, item_id, item_text, width)) if items.limit(BLOCK_ITEMS).count() < BLOCK_ITEMS else None
+    if blocks is not None and len(blocks) < 2:
+        done = _searched(plain, docs.columns.index(text), blocks[0], width, percent) if blocks else plain.withColumn("found", F.array().cast(T.ArrayType(HIT)))
+        return back(done.withColumnRenamed("found", out), out)
+    # hits depend on the text alone
+    key = [F.xxhash64(name(text)).alias("h1"), F.xxhash64(F.lit(1), name(text)).alias("h2")]
+    every: DataFrame | None = None
+    for block in blocks or _blocks(items, item_id, item_text, width):
+        hit = _searched(plain.select(name(text), *key), 0, block, width, percent).filter(F.size("found") > 0)
+        hit = table(hit.select("h1", "h2", "found").dropDuplicates(["h1", "h2"]), "hits")
+        every = hit if every is None else every.union(hit)
+    whole = every.groupBy("h1", "h2").agg(F.flatten(F.collect_list("found")).alias(out))
+    done = plain.select("*", *key).join(whole, ["h1", "h2"], "left")
+    return back(done.withColumn(out, F.coalesce(out, F.array().cast(T.ArrayType(HIT)))), out)
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -152,8 +193,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.n_item", "h.n_found")
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The documents in which no item was found, with their own columns."""
-    return annotate(docs, items, out="_hits", **how).filter(F.size("_hits") == 0).drop("_hits")
-
-
+    plain, name, back = positional(docs)
+    return back(annotate(plain, items, text=name(text), out="found_", **how).filter(F.size("found_") == 0))

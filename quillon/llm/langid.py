@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import with_fields
+from quillon.llm.common import positional, with_fields
 from quillon.llm.words import mix
 
 ORDERS = (2, 3, 4)
@@ -184,9 +184,10 @@ def fit(docs: DataFrame, text: str, language: str, doc_id: str, train: Column, *
 
 
 def identify(docs: DataFrame, text: str, model: BitSlicedBloom, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """docs with ``lang_pred`` and ``score``; one narrow pass, no shuffle."""
+    """docs with ``lang_pred`` and ``score`` (input columns of these names are replaced); one narrow pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    plain, _, back = positional(docs)
 
     def run(batches):
         for batch in batches:
@@ -204,4 +205,4 @@ def identify(docs: DataFrame, text: str, model: BitSlicedBloom, orders: tuple[in
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType())))
+    return back(plain.mapInArrow(run, with_fields(plain.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))), "lang_pred", "score")

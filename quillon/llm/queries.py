@@ -63,11 +63,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL3 = r"""
 WITH words AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-held AS (SELECT DISTINCT doc_id, rn, array_to_string(ws[i:i + 4], ' ') AS g FROM words, unnest(range(1, greatest(1, len(ws) - 3))) AS u(i)),
 items AS (SELECT item_id, row_number() OVER () AS ir, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
-wanted AS (SELECT DISTINCT item_id, ir, array_to_string(ws[i:i + 4], ' ') AS g FROM items, unnest(range(1, greatest(1, len(ws) - 3))) AS u(i)),
+widths AS (SELECT DISTINCT least(5, len(ws)) AS k FROM items WHERE len(ws) > 0),
+held AS (SELECT DISTINCT doc_id, rn, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM words, widths, unnest(range(1, greatest(1, len(ws) - k + 2))) AS u(i)),
+wanted AS (SELECT DISTINCT item_id, ir, least(5, len(ws)) AS k, array_to_string(ws[i:i + 4], ' ') AS g FROM items, unnest(range(1, greatest(2, len(ws) - 3))) AS u(i) WHERE len(ws) > 0),
 sized AS (SELECT *, count(*) OVER (PARTITION BY ir) AS n_item FROM wanted)
-SELECT doc_id, item_id, n_item, count(*) AS n_found FROM held JOIN sized USING (g) GROUP BY doc_id, rn, item_id, ir, n_item HAVING 100 * count(*) >= 80 * n_item"""
+SELECT doc_id, item_id, n_item, count(*) AS n_found FROM held JOIN sized USING (g, k) GROUP BY doc_id, rn, item_id, ir, n_item HAVING 100 * count(*) >= 80 * n_item"""
 
 SQL6 = r"""
 WITH RECURSIVE words AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import with_fields
+from quillon.llm.common import positional, with_fields
 
 CELL_ROWS = 4096
 MOST_CELLS = 1 << 16
@@ -108,7 +108,8 @@ def matrix_row(p: int, sizes: np.ndarray, cells: np.ndarray, seed: int) -> np.nd
 
 def shard(df: DataFrame, shards: int, seed: int = 11, cell_rows: int = CELL_ROWS) -> DataFrame:
     """df with ``shard`` and ``slot`` (gapless from 0 in each shard), uniformly shuffled."""
-    counted = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    plain, _, back = positional(df)
+    counted = plain.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     sizes = np.zeros(max((r[0] for r in counted), default=-1) + 1, dtype=np.int64)
     for r in counted:
         sizes[r[0]] = r[1]
@@ -134,8 +135,8 @@ def shard(df: DataFrame, shards: int, seed: int = 11, cell_rows: int = CELL_ROWS
             raise RuntimeError(f"partition {p} has {at} rows where {n} were counted; materialise the input first")
 
     fields = (("_cell", T.IntegerType()), ("_order", T.LongType()), ("_tie", T.LongType()))
-    dealt = df.mapInArrow(deal, with_fields(df.schema, *fields))
+    dealt = plain.mapInArrow(deal, with_fields(plain.schema, *fields))
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_order", "_tie"))
     where = F.broadcast(df.sparkSession.createDataFrame([(int(c), int(owner[c]), int(first[c])) for c in range(len(rows))], "_cell int, shard int, _first long"))
     ranked = dealt.withColumn("_rank", rank)
-    return ranked.join(where, "_cell").select(*[ranked[c] for c in df.columns], "shard", (F.col("_first") + F.col("_rank") - 1).alias("slot"))
+    return back(ranked.join(where, "_cell").withColumn("slot", F.col("_first") + F.col("_rank") - 1), "shard", "slot")

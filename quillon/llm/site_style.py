@@ -2,27 +2,33 @@
 
 The DOMs of all pages of a host are merged: nodes with the same path of block
 elements (tag and first class or id) are one node of the host's tree. A node
-has two features on every page: its presentation (the run-length-free sequence
-of its child elements) and its content (the text directly in it). Over the m
+has two features on every page: its presentation (the sequence of its child
+elements and texts) and its content (the text directly in it). Over the m
 pages that have the node, a feature's importance is its entropy divided by
 log m: 0 where all pages show the same, 1 where all differ. A branch's
 importance is the mean over its nodes, discounted by ``GAMMA`` per level.
 Branches whose importance is below ``LEAST`` are removed from every page of the
-host, and so are branches whose element or class names mark them as navigation,
-notices, forms and the like (their importance counts as 0: a footer that varies
-from page to page has entropy but no article text).
+host. Inside ``article`` and ``main``, where lists and tables of one shape hold
+different texts, it must be below ``LEAST_INSIDE`` on ``ARTICLE_PAGES`` pages or
+more, so that a site of copies keeps its text.
+
+Two kinds of boilerplate have no low entropy: texts that vary from page to page
+in a fixed place (rotating adverts, footers with dates) and pages of hosts with
+fewer than ``LEAST_PAGES`` pages. These are told by the element or by class, id
+and role names: a name counts if all its parts are such names (``main-nav``, but
+not ``has-sidebar`` or ``article-header``), and never on html, body, main and
+article.
 
 Feature counts are aggregated by host, node and feature, so a hot host is
 spread over many tasks; what returns to the pages of a host is the list of its
 low branches, whose length depends on its templates and not on its pages.
 
 Defined results: a null or empty html gives an empty text; a page without a
-usable host, or whose host has fewer than ``LEAST_PAGES`` pages with a node, is
-judged by names only; unclosed elements end with their parent or the page;
-``<br>`` is white space; a lone ``<`` is text; repeated pages count as often as
-they occur. Inside ``article`` and ``main`` a node must be the same on
-``ARTICLE_PAGES`` pages or more before entropy removes it, so that a site of
-copies keeps its text.
+usable host is judged by names only; unclosed elements end with their parent or
+the page, and one whose text would be skipped is then markup only; ``<br>`` is
+white space; a lone ``<`` is text; repeated pages count as often as they occur;
+an empty table gives no rows. Input columns may have any names; one that is
+called ``main_text`` is replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table, with_fields
+from quillon.llm.common import positional, table, with_fields
 
 GAMMA = 0.9
-LEAST = 0.15
+LEAST = 0.3
+LEAST_INSIDE = 0.05
 LEAST_PAGES = 5
 ARTICLE_PAGES = 40
-BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 8 << 20
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,10 +59,15 @@ PLAIN_TEXT = frozenset("script style title textarea iframe noscript".split())
 IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe signup login search widget pagination pager skip toolbar".split())
+NEUTRAL_NAMES = frozenset("area bar bottom box container content global inner item items left link links list main primary right secondary section site slot text top unit wrap wrapper".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: elements that a new one of the key's kind closes
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "p"}}
 CLOSES |= {t: {"p"} for t in BLOCKS - CLOSES.keys() - {"html", "body", "hr"}}
+#: elements that names never mark
+SPARED = frozenset("html body main article".split())
+#: skipped elements that hold others of their kind
+NESTED = frozenset("svg math object template noscript".split())
 FENCE = frozenset("html body article main section div ul ol dl table blockquote nav aside footer header form fieldset figure details dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S)
@@ -73,55 +85,82 @@ def _names(attributes: str) -> tuple[str, bool]:
             marked |= value in BOILERPLATE_ROLES
         elif kind != "hidden":
             words = value.split()
-            label = label or (f".{words[0][:40]}" if words else "")
-            marked |= any(p in BOILERPLATE_NAMES for w in words for p in _PART.findall(w))
+            label = label or ("." + words[0].replace("%", "%25").replace("/", "%2f") if words else "")
+            for w in words:
+                parts = set(_PART.findall(w))
+                marked |= bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | NEUTRAL_NAMES
     return label, marked
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tuple[str, str]]]:
     """Blocks (path, marked, text) in page order; and path -> (child sequence, own text)."""
+    page = page or ""
     blocks: list[tuple[str, bool, str]] = []
     style: dict[str, list[str]] = {}
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, marked
     text: list[str] = []
-    at, skip, outer = 0, None, None
-    page = page or ""
+    skip, depth, opened = "", 0, 0  # the element whose text is skipped, those of its kind within, blocks open in it
+    at = 0
+    closes: dict[str, int] = {}  # where an element's last end tag is
+
+    def shown(child: str) -> None:
+        style.setdefault(stack[-1][1], []).append(child)
 
-    def flush():
+    def flush() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
+                shown("#")
                 blocks.append((stack[-1][1], stack[-1][2], " ".join(words)))
 
+    def after(tag: str, start: int) -> int:
+        end = re.compile(rf"</{tag}\s*>", re.I).search(page, start)
+        return end.end() if end else len(page)
+
+    def ends_later(tag: str) -> bool:
+        if tag not in closes:
+            closes[tag] = max((m.start() for m in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+        return closes[tag] >= at
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and skip is None:
+        if m.start() > at and not skip:
             text.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if skip is not None:
-            if closing and tag == skip:
-                skip, outer = outer, None
+        open_ = not closing and not m[3].endswith("/")
+        if skip:
+            if tag == skip:
+                depth += -1 if closing else (open_ and tag in NESTED)
+                if depth < 0:
+                    skip = ""
                 continue
-            if skip == "head" and not closing and tag in PLAIN_TEXT & IN_HEAD:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif skip == "head" and not closing and tag == "template":
-                skip, outer = tag, skip
-            if not (skip == "head" and not closing and tag not in IN_HEAD or skip == "option" and (tag in BLOCKS or closing and tag in ("select", "datalist", "optgroup"))):
+            if open_ and tag in PLAIN_TEXT:
+                at = after(tag, at)
+                continue
+            if skip == "head":
+                over = not closing and tag not in IN_HEAD
+                if open_ and tag == "template":
+                    at = after(tag, at)
+            elif tag in BLOCKS and tag not in VOID:
+                # a block's end that began outside ends the element; so does any block for an option
+                over = skip == "option" or closing and opened == 0
+                opened += -1 if closing else 1
+            else:
+                over = skip == "option" and closing and tag in ("select", "datalist", "optgroup")
+            if not over:
                 continue
-            skip = None
+            skip = ""
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+            if open_:
                 if tag in PLAIN_TEXT:
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    skip = tag
+                    at = after(tag, at)
+                elif tag in ("head", "option") or ends_later(tag):
+                    skip, depth, opened = tag, 0, 0
             text.append(" ")
             continue
         if tag in VOID or tag in ("td", "th"):
@@ -129,14 +168,18 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
                 flush()
             else:
                 text.append(" ")
+            if not closing:
+                shown(tag)
             continue
         if tag not in BLOCKS:
+            if not closing:
+                shown(tag)
             continue
         flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                del stack[depth:]
+            level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            if level:
+                del stack[level:]
             continue
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in CLOSES.get(tag, ()):
@@ -146,15 +189,13 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
                 break
         label, marked = _names(m[3])
         inside = any(s[0] in ("article", "main") for s in stack)
-        marked = marked or tag in BOILERPLATE_TAGS or (tag == "header" and not inside)
+        marked = tag not in SPARED and (marked or tag in BOILERPLATE_TAGS or (tag == "header" and not inside))
         child = tag + label
-        children = style.setdefault(stack[-1][1], [])
-        if not children or children[-1] != child:
-            children.append(child)
+        shown(child)
         path = f"{stack[-1][1]}/{child}"
         style.setdefault(path, [])
         stack.append((tag, path, stack[-1][2] or marked))
-    if at < len(page) and skip is None:
+    if at < len(page) and not skip:
         text.append(page[at:])
     flush()
     own: dict[str, list[str]] = {}
@@ -186,7 +227,7 @@ def _features(batches):
 
 def importance(pages: DataFrame, host: str, page: str) -> DataFrame:
     """(host, path, pages, importance) of every node of every host's tree."""
-    seen = pages.filter(F.col(host) != "").select(F.col(host), F.col(page)).mapInArrow(_features, FEATURES)
+    seen = pages.filter(F.col(host) != "").select(host, page).mapInArrow(_features, FEATURES)
     counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
     kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))).otherwise(F.lit(1.0))
@@ -199,19 +240,21 @@ def importance(pages: DataFrame, host: str, page: str) -> DataFrame:
     return up.groupBy("host", "path").agg(F.max("m").alias("pages"), (F.sum("wh") / F.sum("w")).alias("importance"))
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """pages with ``main_text``."""
-    named = pages.withColumn("_host", F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
-    tree = importance(named, "_host", page)
+def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool = True) -> DataFrame:
+    """pages with ``main_text``; without ``names`` the tree alone decides."""
+    plain, name, back = positional(pages)
+    host = F.regexp_extract(F.col(name(url)), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    named = plain.withColumn("host_", F.lower(F.coalesce(host, F.lit(""))))
+    tree = importance(named, "host_", name(page))
     inside = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
-    low = tree.filter((F.col("importance") < LEAST) & (F.col("pages") >= F.when(inside, ARTICLE_PAGES).otherwise(LEAST_PAGES)))
-    low = table(low.groupBy(F.col("host").alias("_h")).agg(F.collect_list("path").alias("_low")), "style-tree")
-    if low.count() <= BROADCAST_ROWS:
+    low = F.when(inside, (F.col("importance") < LEAST_INSIDE) & (F.col("pages") >= ARTICLE_PAGES)).otherwise((F.col("importance") < LEAST) & (F.col("pages") >= LEAST_PAGES))
+    low = table(tree.filter(low).groupBy(F.col("host").alias("tree_host")).agg(F.collect_list("path").alias("low")), "style-tree")
+    size = low.agg(F.sum(F.octet_length(F.concat_ws(" ", "low", "tree_host")))).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
         low = F.broadcast(low)
-    joined = named.join(low, named["_host"] == F.col("_h"), "left")
-    slim = joined.select(*[named[c] for c in pages.columns], "_low")
-    columns = pages.columns
-    at, n = columns.index(page), len(columns)
+    slim = named.join(low, F.col("host_") == F.col("tree_host"), "left").select(*plain.columns, "low")
+    at, n = pages.columns.index(page), len(pages.columns)
+    result = [*plain.columns, "main_text"]
 
     def run(batches):
         for batch in batches:
@@ -220,8 +263,9 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
                 texts = []
                 for p, branches in zip(part.column(at), part.column(n)):
                     cut = tuple(branches.as_py() or ())
-                    inside = tuple(c + "/" for c in cut)
-                    texts.append("\n\n".join(t for path, marked, t in parse(p.as_py())[0] if not marked and path not in cut and not path.startswith(inside)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=[*columns, "main_text"])
+                    within = tuple(c + "/" for c in cut)
+                    texts.append("\n\n".join(t for path, marked, t in parse(p.as_py())[0] if not (marked and names) and path not in cut and not path.startswith(within)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=result)
 
-    return slim.mapInArrow(run, with_fields(pages.schema, ("main_text", T.StringType())))
+    done = slim.mapInArrow(run, with_fields(plain.schema, ("main_text", T.StringType())))
+    return back(done, "main_text")

@@ -61,3 +61,74 @@ def test_whole_site_without_markup(spark, sf):
 )
 def test_end_tags_that_may_be_left_out(page, want):
     assert "\n\n".join(b[2] for b in S.parse(page)[0]) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>no</title><body><p>yes</p></body></html>", "yes"),
+        ('<body class="has-sidebar"><p>yes</p></body>', "yes"),
+        ('<main class="with-sidebar"><p>yes</p></main>', "yes"),
+        ('<article><h1 class="article-header">yes</h1><p>x</p></article>', "yes\n\nx"),
+        ("<p>a</p><button>b<p>c</p>", "a\n\nb\n\nc"),
+        ("<div><button><div>no</div></button><p>yes</p></div>", "yes"),
+        ("<svg><svg>no</svg>no</svg><p>yes</p>", "yes"),
+        ('<div class="w-1/2 x"><p>yes</p></div>', "yes"),
+        ('<div class="main-nav"><p>no</p></div><div class="ad-slot">no</div><p>yes</p>', "yes"),
+        ('<body class="menu"><article id="comments"><p>yes</p></article></body>', "yes"),
+    ],
+)
+def test_pages_that_lost_text(page, want):
+    assert "\n\n".join(b[2] for b in S.parse(page)[0] if not b[1]) == want
+
+
+def test_paths_with_slashes_in_names(spark):
+    rows = [(i, "http://h/", f'<div class="w-1/2"><p>same</p></div><div class="w-1/3"><p>text {i}</p><p>more {i * 7}</p></div>') for i in range(9)]
+    got = [r["main_text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).orderBy("page_id").collect()]
+    assert got == [f"text {i}\n\nmore {i * 7}" for i in range(9)]
+
+
+def brute_importance(pages):
+    """Every node's importance from the definition: entropy of its features over the pages that have it, averaged over its branch."""
+    import math
+    from collections import Counter, defaultdict
+
+    seen = defaultdict(list)
+    for host, page in pages:
+        for path, (children, own) in S.parse(page)[1].items():
+            if path and children:
+                seen[host, path, 0].append(children)
+            if path and own:
+                seen[host, path, 1].append(own)
+    h = {}
+    for key, values in seen.items():
+        m = len(values)
+        h[key] = (m, max(0.0, -sum(c / m * math.log(c / m) for c in Counter(values).values()) / math.log(m)) if m > 1 else 1.0)
+    out = {}
+    for host, path, _ in h:
+        below = [(m * S.GAMMA ** (p.count("/") - path.count("/")), e, m) for (o, p, _), (m, e) in h.items() if o == host and (p == path or p.startswith(path + "/"))]
+        out[host, path] = (max(m for _, _, m in below), sum(w * e for w, e, _ in below) / sum(w for w, _, _ in below))
+    return out
+
+
+def test_importance_against_brute_force(spark, sf):
+    rows = [(r["url"].split("/")[2].lower(), r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect()]
+    rows += [("h", f"<div class='a/b'><ul><li>x<li>{i % 2}</ul></div><p>{i}<p>same") for i in range(6)]
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in S.importance(spark.createDataFrame(rows, "host string, page string"), "host", "page").collect()}
+    want = brute_importance(rows)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9
+
+
+def test_a_fixed_menu_of_changing_links_falls_to_entropy(spark):
+    """The presentation is the same on every page, the links aren't; names are off."""
+    rows = [(i, "http://h/", f"<nav><ul><li>a{i}</li><li>b{i}</li><li>c{i}</li></ul></nav><article>{'<p>t%d</p>' % i * (1 + i % 5)}<h2>x{i}</h2></article>") for i in range(30)]
+    got = [r["main_text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).orderBy("page_id").collect()]
+    assert got == ["\n\n".join([f"t{i}"] * (1 + i % 5) + [f"x{i}"]) for i in range(30)]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://h/", "<p>a", "old", 5, 6)], "page_id long, url string, html string, main_text string, host_ int, low int")
+    got = S.extract(df)
+    assert got.columns == ["page_id", "url", "html", "host_", "low", "main_text"] and tuple(got.first()) == (1, "http://h/", "<p>a", 5, 6, "a")
