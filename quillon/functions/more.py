@@ -88,3 +88,47 @@ def pick_by_id(entries: Column, item_id: Column) -> Column:
     """Text of the entry with an id, or of the only entry."""
     mine = F.filter(entries, lambda e: e["item_id"] == item_id)
     return F.coalesce(F.get(mine, F.lit(0))["text"], F.when(F.size(entries) == 1, F.get(entries, F.lit(0))["text"]))
+
+
+def job_id(now: Column, seed: int | None = None) -> Column:
+    """A job's id: the UTC second and six random hex digits."""
+    digits = F.lpad(F.lower(F.hex(F.floor(F.rand(seed) * (1 << 24)).cast("long"))), 6, "0")
+    return F.concat(F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyyMMddHHmmss"), F.lit("-"), digits)
+
+
+def iso_seconds(now: Column) -> Column:
+    """A timestamp in UTC as RFC 3339 with seconds."""
+    return F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def item_diagnostics(payload: Column, item_id: Column, page: Column, math_mode: Column) -> Column:
+    """A payload (struct) with its missing fields filled from the item; what is there stays.
+
+    The excerpt is the first text that there is: the payload's own raw texts,
+    then those of its error trace in order.
+    """
+    some = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
+    traced = F.filter(F.transform(F.coalesce(payload["error_trace"], F.array()), lambda e: some(e["raw_excerpt"], e["raw_output"], e["message"])), lambda x: x != "")
+    excerpt = X.preview(some(payload["raw_excerpt"], payload["raw_output"], payload["raw_response"], F.get(traced, F.lit(0))), 260)
+    return F.struct(
+        F.coalesce(payload["item_id"], item_id).alias("item_id"), F.coalesce(payload["page_idx"], page).alias("page_idx"), F.coalesce(payload["provider"], some(payload["provider_family"], F.lit("translation"))).alias("provider"),
+        F.coalesce(payload["prompt_mode"], some(math_mode)).alias("prompt_mode"), F.coalesce(payload["request_label"], F.lit("")).alias("request_label"), F.coalesce(payload["raw_excerpt"], excerpt).alias("raw_excerpt"),
+    )
+
+
+REPORT = (
+    "provider string, detected_provider string, provider_was_explicit boolean, defaults struct<pages_seen:bigint,blocks_seen:bigint,document_defaults:map<string,bigint>,page_defaults:map<string,bigint>,block_defaults:map<string,bigint>>, "
+    "validation struct<schema:string,schema_version:string,page_count:bigint,block_count:bigint>"
+)
+
+
+def normalization_view(report: Column) -> Column:
+    """Counts and names of a normalization report in JSON, which may stand under ``normalization``."""
+    r = F.from_json(F.coalesce(F.get_json_object(report, "$.normalization"), report), REPORT)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    kinds = lambda m: F.coalesce(F.size(m), F.lit(0))
+    d, v = r["defaults"], r["validation"]
+    return F.struct(
+        text(r["provider"]).alias("provider"), text(r["detected_provider"]).alias("detected_provider"), F.coalesce(r["provider_was_explicit"], F.lit(False)).alias("provider_was_explicit"), d["pages_seen"].alias("pages_seen"), d["blocks_seen"].alias("blocks_seen"),
+        *[kinds(d[n]).alias(n) for n in ("document_defaults", "page_defaults", "block_defaults")], text(v["schema"]).alias("schema"), text(v["schema_version"]).alias("schema_version"), v["page_count"].alias("page_count"), v["block_count"].alias("block_count"),
+    )

@@ -34,49 +34,69 @@ def has_any(tags: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(normalize_tags(tags), F.array(*map(F.lit, wanted)))
 
 
+def plain(c: Column) -> Column:
+    """A name as it is compared: trimmed and in lower case, '' for null."""
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
+def first_role(rules: list[tuple[Column, Column | str]]) -> Column:
+    """The role of the first rule that holds; a null role counts as not holding."""
+    return F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), r if isinstance(r, Column) else F.lit(r)) for p, r in rules])
+
+
 def layout_role(given: Column, block_type: Column, sub_type: Column, derived: Column, tags: Column) -> Column:
-    caption = (derived == "caption") | has_any(tags, CAPTION_TAGS) | sub_type.isin(CAPTION_SUB_TYPES)
-    text = F.coalesce(lookup(LAYOUT_OF_SUB_TYPE, sub_type), F.when(caption, "caption"), F.lit("paragraph"))
-    return F.coalesce(explicit(given), F.when(block_type == "text", text).otherwise("unknown"))
+    sub, role, text = plain(sub_type), plain(derived), plain(block_type) == "text"
+    caption = (role == "caption") | has_any(tags, CAPTION_TAGS) | sub.isin(CAPTION_SUB_TYPES)
+    rules = [(F.lit(True), explicit(given)), (text, lookup(LAYOUT_OF_SUB_TYPE, sub)), (text & caption, "caption"), (text, "paragraph"), (F.lit(True), "unknown")]
+    return first_role(rules)
 
 
 def semantic_role(given: Column, block_type: Column, sub_type: Column, derived: Column, tags: Column, layout: Column) -> Column:
-    ladder = (
-        F.when((derived == "abstract") | has_any(tags, ["abstract"]), "abstract")
-        .when((derived == "formula_number") | (sub_type == "formula_number"), "metadata")
-        .when((derived == "reference_entry") | has_any(tags, REFERENCE_TAGS) | (sub_type == "reference_entry"), "reference")
-        .when((sub_type == "metadata") | (derived == "metadata"), "metadata")
-        .when(derived.isin("acknowledgments", "acknowledgements", "acknowledgement"), "acknowledgement")
-        .when(derived == "affiliation", "affiliation")
-        .when(layout.isin(ANCILLARY), "metadata")
-        .when((block_type == "text") & layout.isin("paragraph", "list_item"), "body")
-        .otherwise("unknown")
-    )
-    return F.coalesce(explicit(given), ladder)
-
-
-def structure_role(given: Column, sub_type: Column, layout: Column, semantic: Column) -> Column:
-    ladder = (
-        F.when(sub_type.isin(CAPTION_SUB_TYPES[1:]), sub_type)
-        .when((sub_type == "reference_entry") | (semantic == "reference"), "reference_entry")
-        .when(semantic == "abstract", "body")
-        .when(layout == "caption", "caption")
-        .when(semantic == "metadata", "metadata")
-        .otherwise(F.coalesce(lookup(STRUCTURE_OF_LAYOUT, layout), F.lit("")))
-    )
-    return F.coalesce(explicit(given), ladder)
+    sub, role = plain(sub_type), plain(derived)
+    rules = [
+        (F.lit(True), explicit(given)),
+        ((role == "abstract") | has_any(tags, ["abstract"]), "abstract"),
+        ((role == "formula_number") | (sub == "formula_number"), "metadata"),
+        ((role == "reference_entry") | has_any(tags, REFERENCE_TAGS) | (sub == "reference_entry"), "reference"),
+        ((sub == "metadata") | (role == "metadata"), "metadata"),
+        (role.isin("acknowledgments", "acknowledgements", "acknowledgement"), "acknowledgement"),
+        (role == "affiliation", "affiliation"),
+        (layout.isin(ANCILLARY), "metadata"),
+        ((plain(block_type) == "text") & layout.isin("paragraph", "list_item"), "body"),
+        (F.lit(True), "unknown"),
+    ]
+    return first_role(rules)
+
+
+def structure_role(given: Column, sub_type: Column, layout: Column, semantic: Column, in_metadata: Column | None = None) -> Column:
+    """The given role, else the one in the block's metadata, else what the other roles say."""
+    sub = plain(sub_type)
+    rules = [
+        (F.lit(True), explicit(given)),
+        (F.lit(True), explicit(in_metadata) if in_metadata is not None else F.lit(None).cast("string")),
+        (sub.isin(CAPTION_SUB_TYPES[1:]), sub),
+        ((sub == "reference_entry") | (semantic == "reference"), "reference_entry"),
+        (semantic == "abstract", "body"),
+        (layout == "caption", "caption"),
+        (semantic == "metadata", "metadata"),
+        (F.lit(True), lookup(STRUCTURE_OF_LAYOUT, layout)),
+        (F.lit(True), ""),
+    ]
+    return first_role(rules)
 
 
 def translate_reason(kind: Column, layout: Column, semantic: Column) -> Column:
-    return (
-        F.when(kind != "text", "non_text")
-        .when(layout == "caption", "caption_text")
-        .when(layout.isin(ANCILLARY), F.concat(F.lit("layout_role="), layout))
-        .when(semantic.isin("reference", "metadata", "affiliation", "acknowledgement", "unknown"), F.concat(F.lit("semantic_role="), semantic))
-        .when(layout.isin(BODYLIKE_LAYOUT) & (semantic == "abstract"), "semantic_role=abstract")
-        .when(layout.isin(BODYLIKE_LAYOUT) & semantic.isin(BODYLIKE_SEMANTIC), "main_text")
-        .otherwise("conservative_skip")
-    )
+    bodylike = layout.isin(BODYLIKE_LAYOUT)
+    rules = [
+        (plain(kind) != "text", "non_text"),
+        (layout == "caption", "caption_text"),
+        (layout.isin(ANCILLARY), F.concat(F.lit("layout_role="), layout)),
+        (semantic.isin("reference", "metadata", "affiliation", "acknowledgement", "unknown"), F.concat(F.lit("semantic_role="), semantic)),
+        (bodylike & (semantic == "abstract"), "semantic_role=abstract"),
+        (bodylike & semantic.isin(BODYLIKE_SEMANTIC), "main_text"),
+        (F.lit(True), "conservative_skip"),
+    ]
+    return first_role(rules)
 
 
 def translates(reason: Column) -> Column:

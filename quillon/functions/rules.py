@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,7 +25,16 @@ PROSE_CUE = (
 )
 OPERATORS = r"[(){}\[\]=*<>+/,;:]"
 CODE_TOKEN = [r"[A-Za-z_][A-Za-z0-9_]*\([A-Za-z0-9_,]+\)", r"(?i)\b\d+(?:\.\d+)?D[+-]?\d+\b", OPERATORS, r"^[A-Z][A-Z0-9_.-]{3,}$", "_", r"[A-Za-z].*\d|\d.*[A-Za-z]"]
-EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+EMAIL = r"(?U)^[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}$"
+RIGHTS = r"(?i)\b(?:copyright|all rights reserved|trademarks?|registered|unregistered|intellectual property rights?)\b"
+RIGHTS_SIGNALS = ("all rights reserved", "copyright", "trademark", "trademarks", "registered trademark", "registered and unregistered", "intellectual property rights", "key symbol", "periodicals")
+RIGHTS_DISCLAIMERS = ("redistribution of this document", "accepts no liability", "written permission", "this material is distributed", "advised to seek independent professional advice")
+GLUED = r"ASMALL|ABIG|\b[A-Z][A-Z][a-z]{3,}\b|\b([A-Z]{2,})(?=\s+\1\b)"
+LEGACY_STYLE = r"\\(?:bf|rm|it|sf|tt|pmb)\b"
+CLEAN_STYLE = r"\\(?:mathrm|mathbf|mathit|mathsf|mathtt|text|textit|textbf)\b"
+ALPHA = r"\\alpha|α"
+BRACED_ALPHA = r"\{\s*\{\s*(?:\\alpha|α)\s*\}\s*\}"
+GROUP_UNIT = "__cg__:"
 
 
 def first_match(rules: list[tuple[str, Column]]) -> Column:
@@ -35,9 +46,27 @@ def all_match(rules: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(False)) for r in rules])
 
 
+def _unwrapped(c: Column) -> Column:
+    """Text without the brackets, quotes and commas around it."""
+    return F.regexp_replace(F.trim(c), "^[()\\[\\]<>\"'“”‘’,;]+|[()\\[\\]<>\"'“”‘’,;]+$", "")
+
+
 def url_fragment(c: Column) -> Column:
-    s = F.regexp_replace(F.trim(c), "^[()\\[\\]<>\"'“”‘’,;]+|[()\\[\\]<>\"'“”‘’,;]+$", "")
-    return s.rlike(URL_LIKE)
+    return _unwrapped(c).rlike(URL_LIKE)
+
+
+def rights_notice(c: Column) -> Column:
+    """A short copyright or trademark line that isn't a disclaimer."""
+    s = X.normalize_space(c)
+    low = F.lower(s)
+    holds = lambda marks: reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
+    return all_match([F.length(s).between(1, 220), X.english_words(s) <= 32, s.rlike(RIGHTS), holds(RIGHTS_SIGNALS), ~holds(RIGHTS_DISCLAIMERS)])
+
+
+def hard_metadata(c: Column) -> Column:
+    """Text that is nothing but a link, an address or a rights notice."""
+    s = X.normalize_space(c)
+    return (s != "") & (url_fragment(s) | _unwrapped(s).rlike(EMAIL) | rights_notice(s))
 
 
 def code_literal(c: Column) -> Column:
@@ -93,24 +122,85 @@ def cjk_dominant(c: Column) -> Column:
 
 
 def garbled_formula(c: Column) -> Column:
-    """Counts of styled fragments and Greek commands that betray a broken formula."""
+    """Counts of styled fragments and Greek commands that betray a broken formula; the first rule that applies decides."""
     s = F.trim(c)
     n = lambda p: F.regexp_count(s, F.lit(p))
-    greek, legacy, double, clean = n(r"\\(?:alpha|beta|gamma|delta|epsilon|theta|lambda|mu|nu|pi|rho|sigma|tau|phi|psi|omega)\b"), n(r"\{\\(?:bf|rm|it|cal)\b"), n(r"\{\{[A-Za-z]\}\}"), n(r"\\(?:frac|sqrt|sum|int|left|right|mathrm|mathbf)\b")
-    sure = (greek >= 8) | (legacy >= 2) | (double >= 2)
-    sound = (clean >= 3) & (legacy == 0) & (greek <= 2) & (double == 0)
-    return (s != "") & (sure | (~sound & (F.length(s) >= 180) & (greek >= 4)))
-
-
-#: reasons to keep an item as it is, first match wins; each takes (text, skip label)
-KEEP_RULES = [
-    ("empty", lambda t, skip: X.normalize_space(t) == ""),
-    ("placeholder_only", lambda t, skip: X.normalize_space(X.strip_placeholders(t)) == ""),
-    ("policy_skip", lambda t, skip: F.coalesce(skip, F.lit("")).startswith("skip_")),
-    ("hard_metadata", lambda t, skip: url_fragment(X.normalize_space(t)) | X.normalize_space(t).rlike(EMAIL)),
-    ("short_label", lambda t, skip: X.short_fragment(X.normalize_space(t))),
+    greek, legacy, double, clean = n(ALPHA), n(LEGACY_STYLE), n(BRACED_ALPHA), n(CLEAN_STYLE)
+    ladder = [
+        (s == "", False),
+        ((greek >= 8) | (legacy >= 2) | (double >= 2), True),
+        ((clean >= 3) & (legacy == 0) & (greek <= 2) & (double == 0), False),
+        ((F.length(s) >= 180) & (greek >= 4), True),
+    ]
+    return F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), F.lit(v)) for p, v in ladder], F.lit(False))
+
+
+def rebuilds(kind: Column, translates: Column, source: Column, translated: Column, formulas: Column, has_identity: Column) -> Column:
+    """Whether a text item is to be reconstructed: broken formulas or glued words, and enough text to do it from.
+
+    ``formulas`` is an array of formula texts; an item whose formulas are known (``has_identity``) stays.
+    """
+    broken = F.exists(F.coalesce(formulas, F.array().cast("array<string>")), garbled_formula)
+    long = F.length(F.trim(source)) >= 80
+    glued = source.rlike(GLUED)
+    none = F.trim(F.coalesce(translated, F.lit(""))) == ""
+    reasons = (broken & (~none | long)) | (glued & long) | (none & (F.length(F.trim(source)) >= 120))
+    return all_match([kind == "text", F.coalesce(translates, F.lit(True)), ~F.coalesce(has_identity, F.lit(False)), reasons])
+
+
+@dataclass(frozen=True)
+class Item:
+    """The columns that decide over an item; ``translates`` may be null where no policy has decided."""
+
+    text: Column
+    translates: Column
+    caption: Column
+    zone: Column
+
+    @property
+    def compact(self) -> Column:
+        return X.normalize_space(X.strip_placeholders(self.text))
+
+    @property
+    def label(self) -> Column:
+        """At most four characters, only letters and digits."""
+        return (F.length(self.compact) <= 4) & F.replace(self.compact, F.lit(" "), F.lit("")).rlike(r"^[\p{L}\p{N}]+$")
+
+
+#: reasons to keep an item as it is, first match wins
+KEEP_RULES: list[tuple[str, Callable[[Item], Column]]] = [
+    ("empty_source_text", lambda i: F.trim(X.normalize_space(i.text)) == ""),
+    ("placeholder_only", lambda i: i.compact == ""),
+    ("policy_skip", lambda i: ~i.translates),
+    ("hard_metadata_fragment", lambda i: hard_metadata(i.text)),
+    ("short_non_body_label", lambda i: i.label & i.caption),
+    ("short_non_body_label", lambda i: i.label & ~F.coalesce(i.translates, F.lit(False)) & (i.zone == "non_flow")),
 ]
 
 
-def keep_reason(text: Column, skip: Column) -> Column:
-    return first_match([(n, r(text, skip)) for n, r in KEEP_RULES])
+def keep_reason(item: Item) -> Column:
+    return first_match([(n, r(item)) for n, r in KEEP_RULES])
+
+
+def forced_body(text: Column, kind: Column, bodylike: Column, grouped: Column, has_formula: Column) -> Column:
+    """Body text that is translated whatever else is said: prose with enough words for its place."""
+    words = X.english_words(X.strip_placeholders(text))
+    enough = F.when(grouped, words >= 6).when(has_formula, words >= 5).otherwise(words >= 8)
+    return all_match([F.trim(text) != "", ~code_literal(text), ~garbled(text), ~X.short_fragment(text), kind == "text", bodylike, enough, english_prose(text)])
+
+
+def batchable(text: Column, kind: Column, bodylike: Column, math_mode: Column, group: Column, unit: Column, has_formula: Column, least: int = 16, most: int = 1200, placeholders: int = 8) -> Column:
+    """Items that can share a request: plain body text by itself, of bounded length, with few placeholders."""
+    grouped = F.trim(F.coalesce(group, F.lit(""))) != ""
+    compact = X.normalize_space(X.strip_placeholders(text))
+    rules = [
+        F.coalesce(F.trim(math_mode), F.lit("")) != "direct_typst",
+        ~grouped,
+        ~F.coalesce(unit, F.lit("")).startswith(GROUP_UNIT),
+        kind == "text",
+        bodylike,
+        forced_body(text, kind, bodylike, grouped, has_formula),
+        F.length(compact).between(least, most),
+        F.size(X.placeholder_sequence(text)) <= placeholders,
+    ]
+    return all_match(rules)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import geometry as G
+from quillon.sources.shared import written
 
-#: rows up to which a term list is sent to every task; beyond it the list is joined by first word
-TERM_ROWS = 50_000
+#: terms of one automaton, and their characters; a longer list is taken in blocks
+TERM_ROWS, TERM_CHARS = 50_000, 2_000_000
 
 
 def lookup_with_fallback(left: DataFrame, right: DataFrame, keys: list[str], right_key: str, value: str, out: str) -> DataFrame:
@@ -37,9 +40,10 @@ def words_of(text: Column) -> Column:
 def term_matches(texts: DataFrame, text: str, terms: DataFrame, term: str, whole_words: bool) -> DataFrame:
     """Every pair of a text and a term that occurs in it, letter case aside.
 
-    For whole words the pairs come from an equality join on the term's rarest
-    word, so neither side needs to be small. For substrings no key exists; a
-    term list of checked size is broadcast, and a longer one is taken in blocks.
+    For whole words the pairs come from an equality join on the term's longest
+    word, so neither side needs to be small. For substrings no key exists: an
+    Aho-Corasick automaton of the terms reads every text once, and a longer term
+    list is taken in blocks of bounded size.
     """
     if whole_words:
         split = F.split(F.lower(term), r"[^\p{L}\p{N}]+")
@@ -48,14 +52,41 @@ def term_matches(texts: DataFrame, text: str, terms: DataFrame, term: str, whole
         exploded = texts.withColumn("_word", F.explode(words_of(F.col(text))))
         edge = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), F.col(term), F.lit(r"\E(?![A-Za-z0-9])"))
         return exploded.join(anchored, F.col("_word") == F.col("_anchor")).filter(F.regexp_like(F.col(text), edge)).drop("_word", "_anchor")
-    n = terms.count()
-    blocks = max(1, -(-n // TERM_ROWS))
     found = None
+    listed = terms.select(F.col(term).alias("t"), F.lower(term).alias("low")).distinct().filter("length(low) > 0")
+    lowered = texts.withColumn("_low", F.lower(text))
+    size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("low")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // TERM_ROWS), -(-size[1] // TERM_CHARS))
     for b in range(blocks):
-        part = F.broadcast(terms.filter(F.pmod(F.xxhash64(term), F.lit(blocks)) == b))
-        one = texts.join(part, F.lower(text).contains(F.lower(term)))
+        part = {}
+        for t, low in listed.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).toLocalIterator():  # at most about TERM_ROWS terms
+            part.setdefault(low, []).append(t)
+        one = _holding(lowered, "_low", part).drop("_low")
         found = one if found is None else found.unionByName(one)
-    return found
+    return found.join(terms, F.col("_term") == F.col(term)).drop("_term")
+
+
+def _holding(texts: DataFrame, text: str, terms: dict[str, list[str]]) -> DataFrame:
+    """texts with ``_term``: a row for each term whose key occurs in the text, by one pass of an automaton over it."""
+    at = texts.columns.index(text)
+    names = [*texts.columns, "_term"]
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for key in terms:
+            automaton.add_word(key, key)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for i, value in enumerate(batch.column(at).to_pylist() if terms else ()):
+                for key in {k for _, k in automaton.iter(value or "")}:
+                    rows += [i] * len(terms[key])
+                    hits += terms[key]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(hits, pa.string())], names=names)
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("_term", T.StringType())]))
 
 
 def containing_box(points: DataFrame, boxes: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -99,18 +130,22 @@ def split_cached(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataF
 def chains(edges: DataFrame) -> DataFrame:
     """(chain, position, node) of the paths that edges prev -> next form; at most one edge leaves or enters a node.
 
-    Done by pointer doubling: the number of rounds is the logarithm of the longest chain.
+    Done by pointer doubling: the number of rounds is the logarithm of the
+    longest chain. A cycle has no head, so its nodes are in no chain: after as
+    many rounds as any path can need, what still has a node above is on one.
     """
     nodes = edges.select(F.col("prev").alias("node")).union(edges.select("next")).distinct()
     now = nodes.join(edges.select(F.col("next").alias("node"), F.col("prev").alias("up")), "node", "left").select("node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("d"))
-    heads = lambda df: df.filter("up is not null and up_up is not null").limit(1).count() == 0
-    while True:
+    now = written(now, "chains")
+    for _ in range(now.count().bit_length() + 1):
         step = now.select(F.col("node").alias("n2"), F.col("up").alias("up_up"), F.col("d").alias("d2"))
         both = now.join(step, F.col("up") == F.col("n2"), "left")
-        if heads(both):
-            break
-        now = both.select("node", F.coalesce("up_up", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")).checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else both.select("node", F.coalesce("up_up", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
-    return now.select(F.coalesce("up", "node").alias("chain"), F.col("d").alias("position"), "node")
+        after = written(both.select("node", F.coalesce("up_up", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up_up").isNotNull().alias("moved")), "chains")
+        now = after.drop("moved")
+        if after.filter("moved").limit(1).count() == 0:
+            return now.select(F.coalesce("up", "node").alias("chain"), F.col("d").alias("position"), "node")
+    heads = now.filter("up is null").select(F.col("node").alias("head"))
+    return now.join(heads, F.coalesce("up", "node") == F.col("head"), "left_semi").select(F.coalesce("up", "node").alias("chain"), F.col("d").alias("position"), "node")
 
 
 def exactly_one(pairs: DataFrame, key: str) -> DataFrame:

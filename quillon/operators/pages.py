@@ -1,14 +1,14 @@
-"""Page policies as a named list of stages, switched by a profile; span protection and fitting."""
+"""Page policies as a named list of stages, switched by a profile; fitting and command prefixes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillon.functions import text as X
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -34,59 +34,52 @@ def skip_stage(label: str, when) -> Stage:
     return lambda df: df.withColumn("label", F.when((F.col("label") == "") & F.coalesce(when, F.lit(False)), label).otherwise(F.col("label")))
 
 
-PROTECTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("offset", T.IntegerType())])))])
-
-
-@F.pandas_udf(PROTECTED)
-def protect(text: pd.Series) -> pd.DataFrame:
-    """Formulas between dollar signs, URLs and numbers with units replaced by tags, leftmost and longest first."""
-    import hashlib
-    import re
-
-    kinds = [("f", re.compile(r"\$[^$\n]{1,200}\$")), ("t", re.compile(r"https?://\S+")), ("t", re.compile(r"\b\d+(?:\.\d+)?\s?(?:%|nm|kg|mm|cm|km|Hz|eV)"))]
-    out = []
-    for t in text:
-        t = t or ""
-        found = sorted(((m.start(), -(m.end() - m.start()), k, m[0]) for k, p in kinds for m in p.finditer(t)), key=lambda x: x[:2])
-        parts, spans, at = [], [], 0
-        for start, _, kind, body in found:
-            if start < at:
-                continue
-            tag = f"<{kind}{len(spans) + 1}-{hashlib.blake2s(f'{kind}{chr(0)}{body}'.encode(), digest_size=2).hexdigest()[:3]}/>"
-            parts += [t[at:start], tag]
-            spans.append({"tag": tag, "text": body, "offset": start})
-            at = start + len(body)
-        out.append({"text": "".join([*parts, t[at:]]), "spans": spans})
-    return pd.DataFrame(out, columns=["text", "spans"])
-
-
-@F.pandas_udf(T.DoubleType())
-def fitted_size(width: pd.Series, height: pd.Series, chars: pd.Series) -> pd.Series:
-    """Largest font size from 4 to 24 points, in steps of 1/64, at which the characters fit the box."""
-    low, high = pd.Series(4.0, index=width.index), pd.Series(24.0, index=width.index)
-    for _ in range(11):
-        mid = (low + high) / 2
-        lines = (chars / (width / (mid * 0.92)).clip(lower=4.0)).apply(lambda x: -(-x // 1)).clip(lower=1)
-        fits = lines * mid * 1.2 <= height
-        low, high = low.where(~fits, mid), high.where(fits, mid)
-    return (low * 64 // 1) / 64
-
-
-@F.pandas_udf(T.StructType([T.StructField("prefix", T.StringType()), T.StructField("tail", T.StringType())]))
-def command_prefix(text: pd.Series) -> pd.DataFrame:
-    """The longest run of command tokens at a text's start, if its evidence is 2 or more and six words follow."""
-    import re
-
-    flag, file, head = re.compile(r"^-{1,2}[A-Za-z0-9][\w.-]*$"), re.compile(r"^[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}$"), re.compile(r"^[A-Za-z][\w.-]{0,31}$")
-    out = []
-    for t in text:
-        tokens, end, score = (t or "").split(), 0, 0
-        for i, x in enumerate(tokens):
-            worth = 2 if flag.match(x) or x in {">", "<", "|", "||", "&&", ">>", "="} else 1 if file.match(x) else 0
-            if worth == 0 and not (i == 0 and head.match(x)):
-                break
-            score += worth
-            end = i + 1
-        ok = score >= 2 and len(tokens) - end >= 6
-        out.append({"prefix": " ".join(tokens[:end]) if ok else "", "tail": " ".join(tokens[end:]) if ok else " ".join(tokens)})
-    return pd.DataFrame(out, columns=["prefix", "tail"])
+def fitted_size(width: Column, height: Column, chars: Column, low: float = 4.0, high: float = 24.0) -> Column:
+    """Largest font size from 4 to 24 points, in steps of 1/64, at which the characters fit the box: a binary search folded over its rounds."""
+
+    def narrowed(span: Column) -> Column:
+        mid = (span["low"] + span["high"]) / 2
+        per_line = F.greatest(F.lit(4.0), width / (mid * 0.92))
+        fits = F.greatest(F.lit(1), F.ceil(chars / per_line)) * mid * 1.2 <= height
+        return F.struct(F.when(fits, mid).otherwise(span["low"]).alias("low"), F.when(fits, span["high"]).otherwise(mid).alias("high"))
+
+    start = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(11)), start, lambda span, _: narrowed(span))
+    return F.floor(found["low"] * 64) / 64
+
+
+# What command tokens look like.
+COMMAND_HEAD = r"^[A-Za-z][\w.-]{0,31}$"
+COMMAND_FLAG = r"^-{1,2}[A-Za-z0-9][\w.-]*$"
+COMMAND_FILE = r"^[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}$"
+COMMAND_NUMBER = r"^-?\d+(?:\.\d+)?$"
+COMMAND_ARGUMENT = r"^<[^<>\n]+>$"
+COMMAND_OPERATORS = (">", "<", "|", "||", "&&", "2>", "1>", ">>", "=", ":")
+
+
+def command_prefix(text: Column) -> Column:
+    """The longest run of command tokens at a text's start, or ''.
+
+    A token belongs if it looks like a command's value or follows an operator
+    or a flag. The run needs three tokens, evidence worth 2, and six words of
+    prose (three letters or more) behind it.
+    """
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    head = F.get(tokens, F.lit(0))
+    headed = head.rlike(COMMAND_HEAD) & ((F.lower(head) == head) | head.rlike(r"[\d.-]"))
+    operator = lambda t: t.isin(*COMMAND_OPERATORS)
+    value = lambda t: operator(t) | t.rlike("|".join((COMMAND_ARGUMENT, COMMAND_FLAG, COMMAND_NUMBER, COMMAND_FILE, r"[/\\_=]")))
+    opens = lambda t: operator(t) | t.rlike(COMMAND_FLAG)
+    belongs = F.transform(tokens, lambda t, i: (i == 0) | value(t) | F.coalesce(F.when(i > 0, opens(F.get(tokens, i - 1))), F.lit(False)))
+    end = F.array_position(belongs, False)
+    n = F.when(end > 0, end - 1).otherwise(F.size(tokens).cast("long")).cast("int")
+    run, rest = F.slice(tokens, F.lit(1), n), F.slice(tokens, n + 1, F.greatest(F.lit(0), F.size(tokens) - n))
+    tail = F.slice(run, F.lit(2), F.greatest(F.lit(0), n - 1))
+    worth = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
+    evidence = (
+        worth(F.exists(tail, lambda t: t.rlike(COMMAND_FLAG)), 2) + worth(F.exists(tail, lambda t: t.rlike(COMMAND_FILE)), 2) + worth(F.exists(tail, lambda t: t.rlike(COMMAND_ARGUMENT)), 2)
+        + worth(F.exists(run, operator), 2) + worth(F.size(F.filter(tail, lambda t: t.rlike(COMMAND_NUMBER))) >= 2, 1) + worth(F.exists(tail, lambda t: t.rlike(r"[/\\=]")), 1) + worth(head.rlike(r"[\d.-]"), 1)
+    )
+    prose = F.size(F.filter(F.regexp_extract_all(F.array_join(rest, " "), F.lit(X.WORD), F.lit(0)), lambda w: F.length(w) >= 3))
+    ok = headed & (F.size(tokens) >= 3) & (n >= 3) & (evidence >= 2) & (prose >= 6)
+    return F.when(F.coalesce(ok, F.lit(False)), F.array_join(run, " ")).otherwise("")

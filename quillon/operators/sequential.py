@@ -6,6 +6,9 @@ what it is (a page of boxes, a paragraph's segments, one worker's requests).
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +182,133 @@ def split_by_weight(text: pd.Series, weights: pd.Series) -> pd.Series:
     return pd.Series([parts(t or "", list(w)) for t, w in zip(text, weights)])
 
 
+# Weights and limits of the split over boxes.
+SPLIT_PUNCTUATION = (".", "。", "!", "！", "?", "？", ";", "；", ":", "：", ",", "，")
+BOX_TOKEN = r"<[futnvc]\d+-[0-9a-z]{3}/>|\[\[FORMULA_\d+]]|\s+|[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*|[一-鿿]|."
+MATH_TOKEN = r"(?<!\\)\$(?:\\.|[^$\\\n])+(?<!\\)\$|\s+|[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*|[一-鿿]|."
+STYLE_COMMAND = r"\\(?:left|right|mathrm|mathbf|mathit|mathsf|mathtt|text|operatorname|displaystyle|textstyle|scriptstyle|scriptscriptstyle)\b"
+SPLIT = {"window": 24, "fill": 0.98, "full": 1.01, "later_full": 1.03, "least_fill": 0.55, "underfill": 0.1, "no_punctuation": 1.25, "roomy": 2.0, "roomy_weights": (28.0, 140.0), "weights": (72.0, 108.0)}
+REBALANCE = {"passes": 3, "window": 80, "tolerance": 3.5, "trigger": 12.0, "no_punctuation": 1.75, "least_move": 18.0, "ratio_gap": 0.08, "ratio_weight": 6.0}
+
+
+class BoxText:
+    """A text's tokens with their widths in character units, as sums up to each token."""
+
+    def __init__(self, text: str, formulas: dict[str, str], direct: bool):
+        self.tokens = [t for t in re.findall(MATH_TOKEN if direct else BOX_TOKEN, text, re.S) if t]
+        self.upto = np.concatenate([[0.0], np.cumsum([self.units(t, formulas) for t in self.tokens])])
+        solid = np.array([-1] + [-1 if t.isspace() else i for i, t in enumerate(self.tokens)])
+        self.solid = np.maximum.accumulate(solid)  # the last token before a position that isn't space
+        self.stops = np.array([t.endswith(SPLIT_PUNCTUATION) for t in self.tokens] + [False])
+
+    @staticmethod
+    def units(token: str, formulas: dict[str, str]) -> float:
+        if token.isspace():
+            return max(0.2, len(token) * 0.25)
+        if re.fullmatch(r"<[futnvc]\d+-[0-9a-z]{3}/>|\[\[FORMULA_\d+]]|\$(?!\s)(?:\\.|[^$\n]){1,240}?\$", token):
+            body = formulas.get(token, token.strip("$"))
+            seen = re.sub(r"[{}~\s]", "", re.sub(r"\\[A-Za-z]+", "x", re.sub(STYLE_COMMAND, "", body)))
+            return max(1.35, len(seen or re.sub(r"\s+", "", body)) * 0.42)
+        if re.fullmatch(r"[一-鿿]", token):
+            return 1.0
+        return max(1.0, len(token) * 0.55) if re.fullmatch(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*", token) else 0.45
+
+    def cost(self, start, end):
+        return self.upto[end] - self.upto[start]
+
+    def after_stop(self, start: int, ends: np.ndarray) -> np.ndarray:
+        """Whether the text from start up to each end closes with punctuation."""
+        last = self.solid[ends]
+        return (last >= start) & self.stops[last]
+
+    def cut(self, start: int, end: int) -> str:
+        return "".join(self.tokens[start:end]).strip()
+
+
+def _first_ends(t: BoxText, capacities: np.ndarray, shares: np.ndarray) -> list[int]:
+    """Where each box but the last ends, one box after the other."""
+    ends, at, n = [], 0, len(t.tokens)
+    for i in range(len(capacities) - 1):
+        most = n - (len(capacities) - i - 1)
+        rest = t.cost(at, n)
+        aim = rest * shares[i] / max(1.0, shares[i:].sum())
+        soft = min(aim, capacities[i] * SPLIT["fill"])
+        anchor = max(at + 1, min(most, int(np.searchsorted(t.upto, t.upto[at] + soft, "left"))))
+        every = np.arange(at + 1, max(most, at + 1) + 1)
+        every = every[every <= most]
+        if not len(every):
+            ends.append(min(at + 1, n))
+            at = ends[-1]
+            continue
+        stop = t.after_stop(at, every)
+        probe = every[stop | (np.abs(every - anchor) <= SPLIT["window"]) | (every == at + 1) | (every == most)]
+        stop = t.after_stop(at, probe)
+        later = capacities[i + 1 :].sum()
+        now_weight, later_weight = SPLIT["roomy_weights"] if later > 0 and capacities[i] >= later * SPLIT["roomy"] else SPLIT["weights"]
+        here = t.cost(at, probe)
+        score = np.maximum(0.0, here - capacities[i] * SPLIT["full"]) * now_weight + np.maximum(0.0, rest - here - later * SPLIT["later_full"]) * later_weight
+        score += np.abs(here - aim) + np.maximum(0.0, capacities[i] * SPLIT["least_fill"] - here) * SPLIT["underfill"] + np.where(stop, 0.0, SPLIT["no_punctuation"])
+        at = int(probe[np.argmin(score)])
+        ends.append(at)
+    return ends
+
+
+def _moved_end(t: BoxText, start: int, end: int, stop_at: int, left: float, right: float) -> int | None:
+    """A better end of the left of two neighbouring boxes, or None."""
+    a, b = t.cost(start, end), t.cost(end, stop_at)
+    if start >= end or end >= stop_at or a + b <= 0:
+        return None
+    target = (a + b) * left / (left + right)
+    if a - target <= REBALANCE["trigger"] or a / left <= b / right + REBALANCE["ratio_gap"]:
+        return None
+    back = end - 1 - np.arange(0, end - 1 - start)
+    reached = np.flatnonzero(t.upto[end] - t.upto[back] >= a - target) if len(back) else np.zeros(0, int)
+    ideal = int(back[reached[0]]) if len(reached) else end - 1
+    probe = np.arange(start + 1, end)
+    stop = t.after_stop(start, probe)
+    probe = probe[(stop | (np.abs(probe - ideal) <= REBALANCE["window"]) | (probe == start + 1) | (probe == end - 1))]
+    stop = t.after_stop(start, probe)
+    moved = t.cost(probe, end)
+    fine = (moved > 0) & (stop | (moved >= REBALANCE["least_move"]))
+    probe, stop, moved = probe[fine], stop[fine], moved[fine]
+    if not len(probe):
+        return None
+    new_left, new_right = t.cost(start, probe), moved + b
+    score = np.abs(new_left - target) + np.abs(new_left / left - new_right / right) * REBALANCE["ratio_weight"] + np.where(stop, 0.0, REBALANCE["no_punctuation"])
+    best = int(np.argmin(score))
+    return int(probe[best]) if moved[best] > REBALANCE["tolerance"] else None
+
+
+def split_for_boxes(text: str, formulas: dict[str, str], capacities: list[float], weights: list[float] | None = None, direct: bool = False) -> list[str]:
+    """A text cut into one part for each box by capacity, at punctuation where it can, then evened out between neighbours.
+
+    A formula's width is that of its visible characters; no text gives empty parts.
+    """
+    if len(capacities) <= 1:
+        return [text.strip()]
+    t = BoxText(text, formulas, direct)
+    room = np.maximum(1.0, np.array(capacities, float))
+    if not len(t.tokens) or t.upto[-1] <= 0:
+        return [t.cut(0, len(t.tokens))] + [""] * (len(capacities) - 1)
+    ends = [0, *_first_ends(t, room, np.maximum(1.0, np.array(weights, float)) if weights else room), len(t.tokens)]
+    for _ in range(REBALANCE["passes"]):
+        changed = False
+        for i in range(len(room) - 1):
+            new = _moved_end(t, ends[i], ends[i + 1], ends[i + 2], room[i], room[i + 1])
+            if new is not None:
+                ends[i + 1], changed = new, True
+        if not changed:
+            break
+    return [t.cut(a, b) for a, b in zip(ends, ends[1:])]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def box_parts(text: pd.Series, formulas: pd.Series, capacities: pd.Series) -> pd.Series:
+    """Parts of each text for its boxes; ``formulas`` are arrays of struct<placeholder, formula_text>."""
+    known = lambda row: {e["placeholder"]: e["formula_text"] for e in row} if row is not None else {}
+    return pd.Series([split_for_boxes(t or "", known(f), list(c)) for t, f, c in zip(text, formulas, capacities)])
+
+
 @F.pandas_udf(T.StringType())
 def lenient_json(text: pd.Series) -> pd.Series:
     """The JSON object in a reply: fences cut, curly quotes straightened, trailing commas dropped; null if none is left."""

@@ -101,3 +101,19 @@ def gauge(df: DataFrame, key: str, ts: str, delta: Column, tie: str) -> DataFram
     w = Window.partitionBy(key).orderBy(ts, tie)
     run = df.withColumn("_d", delta).withColumn("_run", F.sum("_d").over(w))
     return run.groupBy(key).agg(F.max("_run").alias("peak"), F.sum("_d").alias("at_end"))
+
+
+def numbered(df: DataFrame, by: list[str], run: Column, order: list[str], out: str) -> DataFrame:
+    """df with ``out``: rows numbered from 1 in order within each group.
+
+    A group may be large: its rows are ranked within runs (``run`` grows with
+    the order), and only the runs' sizes are summed over the whole group.
+    """
+    d = df.withColumn("_run", run)
+    own = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order))
+    sizes = d.groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_n")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_run")]
+    joined = d.withColumn("_own", own).alias("a").join(sizes.alias("b"), on)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._before") + F.col("a._own")).alias(out))

@@ -36,10 +36,20 @@ def eligible(t):
     return roled(t.documents).select("doc_id", "item_id", (_body() & (X.dollar_balance(c) % 2 == 0) & (X.normalize_space(c) != "")).alias("eligible"))
 
 
-@query("f13_structured", f"WITH {ITEMS}, n AS (SELECT doc_id, item_id, 'Size' || CASE block_idx % 3 WHEN 0 THEN ': ' || block_idx WHEN 1 THEN ': some words' ELSE ': 1 - Type: x' END AS s FROM items) SELECT doc_id, item_id, len(regexp_extract_all(s, '(?:^|\\s*[•\\-]\\s+)([A-Za-z][A-Za-z0-9 _./-]{{1,40}})\\s*:')) >= 2 OR regexp_matches(s, '^Size: [0-9]+$') AS structured FROM n")
+_WORDY = "regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')"
+
+
+@query(
+    "f13_structured",
+    f"WITH {ITEMS}, n AS (SELECT doc_id, item_id, {norm("CASE block_idx % 5 WHEN 0 THEN 'Size: ' || block_idx WHEN 1 THEN text WHEN 2 THEN 'A' || " + _WORDY + " || ': 1 - B' || " + _WORDY + " || ': x' WHEN 3 THEN 'Name: ' || text ELSE 'Flag: \"' || replace(split_part(text, ' ', 1), '\"', '') || '\"' END")} AS s FROM items), "
+    f"l AS (SELECT *, len(regexp_extract_all(s, '{M.FIELD_LABEL}')) AS n, trim(regexp_extract(s, '^[^:]*:(.*)$', 1)) AS v FROM n) SELECT doc_id, item_id, s <> '' AND length(s) <= 1200 AND (n >= 2 OR (n = 1 AND regexp_matches(v, '{M.LITERAL.replace("'", "''")}'))) AS structured FROM l",
+)
 def structured(t):
-    i = F.col("block_idx")
-    s = F.concat(F.lit("Size"), F.when(i % 3 == 0, F.concat(F.lit(": "), i.cast("string"))).when(i % 3 == 1, ": some words").otherwise(": 1 - Type: x"))
+    """Fields of several forms around the items' own words."""
+    i, word = F.col("block_idx") % 5, F.split_part("text", F.lit(" "), F.lit(1))
+    plain = F.regexp_replace(word, "[^A-Za-z]", "")
+    s = F.when(i == 0, F.concat(F.lit("Size: "), F.col("block_idx").cast("string"))).when(i == 1, F.col("text")).when(i == 2, F.concat(F.lit("A"), plain, F.lit(": 1 - B"), plain, F.lit(": x")))
+    s = s.when(i == 3, F.concat(F.lit("Name: "), F.col("text"))).otherwise(F.concat(F.lit('Flag: "'), F.replace(word, F.lit('"'), F.lit("")), F.lit('"')))
     return items(t.documents).select("doc_id", "item_id", M.structured_block(s).alias("structured"))
 
 
@@ -222,12 +232,14 @@ def term_candidates(t):
     return items(t.documents).select("doc_id", "item_id", F.size(ts).cast("long").alias("n"))
 
 
-@query("c28_result_union", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'keep_origin' END AS decision, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS output FROM events")
+@query("c28_result_union", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN event_type ELSE 'text' END AS decision, CASE event_id % 3 WHEN 0 THEN event_type || ' ' || user_id WHEN 1 THEN '' ELSE user_id || ':' || event_id END AS output FROM events")
 def result_union(t):
-    """A result is a text, or an object with a decision and a text."""
-    raw = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.to_json(F.struct(F.lit("keep_origin").alias("decision"), F.lit("").alias("translated_text"))))
-    parsed = F.when(raw.startswith("{"), F.from_json(raw, "decision string, translated_text string"))
-    return t.events.select("event_id", F.coalesce(parsed["decision"], F.lit("text")).alias("decision"), F.coalesce(parsed["translated_text"], raw).alias("output"))
+    """A result is a text, or an object with a decision, a text or both."""
+    i, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    text = F.when(i == 0, F.concat_ws(" ", "event_type", user)).when(i == 1, F.to_json(F.struct(F.col("event_type").alias("decision")))).otherwise(F.to_json(F.struct(F.concat_ws(":", user, "event_id").alias("translated_text"))))
+    parsed = F.when(text.startswith("{"), F.from_json(text, "decision string, translated_text string"))
+    output = F.when(parsed.isNotNull(), F.coalesce(parsed["translated_text"], F.lit(""))).otherwise(text)
+    return t.events.select("event_id", F.coalesce(parsed["decision"], F.lit("text")).alias("decision"), output.alias("output"))
 
 
 @query("m04_fit", f"WITH {BLOCKS} SELECT doc_id, item_id, round_even(greatest(1, floor(greatest(8.0, y1 - y0) / greatest(10 * 1.02, 10 * (1.0 + 0.2)))) * greatest(4.0, greatest(8.0, x1 - x0) / greatest(10 * 0.92, 1.0)) * 0.98, 6) AS capacity, CAST(greatest(1, ceil(length(text) / greatest(greatest(4.0, greatest(8.0, x1 - x0) / 9.2) * 0.98, 1.0))) AS BIGINT) AS lines FROM blocks")
@@ -236,12 +248,16 @@ def fit(t):
     return blocks(t.documents).select("doc_id", "item_id", F.bround(M.box_capacity(*e, font, F.lit(0.2)), 6).alias("capacity"), M.required_lines(e[0], e[2], F.length("text"), font).cast("long").alias("lines"))
 
 
-@query("m07_box_difference", f"WITH {BLOCKS} SELECT doc_id, item_id, (x1 - x0) * (y1 - y0) - (x1 - x0 - 20) * (y1 - y0 - 10) AS outside FROM blocks")
+_COVERED = "greatest(0, least(x1, {0}) - greatest(x0, {1})) * greatest(0, least(y1, {2}) - greatest(y0, {3}))"
+
+
+@query("m07_box_difference", f"WITH {BLOCKS}, h AS (SELECT *, x0 + 60 * (block_idx % 6) - 80 AS hx, x0 + 50 * (doc_id % 5) - 30 AS kx FROM blocks) SELECT doc_id, item_id, (x1 - x0) * (y1 - y0) - {_COVERED.format('hx + 70', 'hx', 'y0 + 9', 'y0 - 5')} - {_COVERED.format('kx + 40', 'kx', 'y1 + 10', 'y1 - 6')} AS outside FROM h")
 def box_difference(t):
-    """Area of a box outside a hole in its middle."""
-    box = F.struct("x0", "y0", "x1", "y1")
-    hole = F.struct((F.col("x0") + 10).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x1") - 10).alias("x1"), (F.col("y1") - 5).alias("y1"))
-    pieces = M.subtract_boxes(box, F.array(hole))
+    """Area of a box outside two holes, which may lie in it, across its edges or beside it."""
+    hx, kx = F.col("x0") + 60 * (F.col("block_idx") % 6) - 80, F.col("x0") + 50 * (F.col("doc_id") % 5) - 30
+    hole = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+    holes = F.array(hole(hx, F.col("y0") - 5, hx + 70, F.col("y0") + 9), hole(kx, F.col("y1") - 6, kx + 40, F.col("y1") + 10))
+    pieces = M.subtract_boxes(F.struct("x0", "y0", "x1", "y1"), holes)
     total = F.aggregate(pieces, F.lit(0.0), lambda a, p: a + (p["x1"] - p["x0"]) * (p["y1"] - p["y0"]))
     return blocks(t.documents).select("doc_id", "item_id", total.alias("outside"))
 
@@ -261,20 +277,23 @@ def segments(t):
     return items(t.documents).select("doc_id", "item_id", F.array_join(F.transform(seg, lambda s: s["content"]), " + ").alias("merged"), F.size(seg).cast("long").alias("n"))
 
 
-@query("g07_redact_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '[REDACTED]' AS token FROM events")
+@query("g07_redact_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS name, CASE WHEN event_id % 3 <> 0 THEN '[REDACTED]' END AS token, CASE WHEN event_id % 4 = 1 THEN '[REDACTED]' END AS password FROM events")
 def redact_json(t):
-    secret = F.to_json(F.struct(F.from_json("props", "k long")["k"].alias("k"), F.lit("s3cret").alias("token")))
-    m = F.from_json(secret, "map<string,string>")
-    clean = F.transform_values(m, lambda k, v: F.when(k.isin("token", "api_key", "password"), F.lit("[REDACTED]")).otherwise(v))
-    return t.events.select("event_id", clean["k"].cast("long").alias("k"), clean["token"].alias("token"))
+    """Secret keys that are there are masked, other keys stay."""
+    i = F.col("event_id")
+    raw = F.to_json(F.struct(F.from_json("props", "k long")["k"].alias("k"), F.col("event_type").alias("name"), F.when(i % 3 != 0, F.concat("event_type", F.lit("-key"))).alias("token"), F.when(i % 4 == 1, F.col("user_id").cast("string")).alias("password")))
+    clean = F.transform_values(F.from_json(raw, "map<string,string>"), lambda k, v: F.when(k.isin("token", "api_key", "password"), F.lit("[REDACTED]")).otherwise(v))
+    return t.events.select("event_id", clean["k"].cast("long").alias("k"), clean["name"].alias("name"), clean["token"].alias("token"), clean["password"].alias("password"))
 
 
-@query("g08_pick_by_id", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'only' END AS picked FROM events")
+@query("g08_pick_by_id", "WITH e AS (SELECT event_id, event_id % 5 AS n, event_id + event_id % 4 - 1 AS wanted, [event_id - 1, event_id, event_id + 1] AS ids, [event_type || 1, event_type || 2, 'u' || user_id] AS texts FROM events), c AS (SELECT event_id, wanted, ids[1:least(n, 3)] AS ids, texts[1:least(n, 3)] AS texts FROM e) SELECT event_id, CASE WHEN list_contains(ids, wanted) THEN texts[list_position(ids, wanted)] WHEN len(ids) = 1 THEN texts[1] END AS picked FROM c")
 def pick_by_id(t):
-    entry = lambda i, x: F.struct(i.cast("string").alias("item_id"), x.alias("text"))
+    """The entry of the id that is asked for, the only entry, or none."""
     i = F.col("event_id")
-    entries = F.when(i % 3 == 0, F.array(entry(i + 1, F.lit("other")), entry(i, F.col("event_type")))).otherwise(F.array(entry(i + 1, F.lit("only"))))
-    return t.events.select("event_id", M.pick_by_id(entries, i.cast("string")).alias("picked"))
+    entry = lambda n, x: F.struct(n.cast("string").alias("item_id"), x.alias("text"))
+    every = F.array(entry(i - 1, F.concat("event_type", F.lit("1"))), entry(i, F.concat("event_type", F.lit("2"))), entry(i + 1, F.concat(F.lit("u"), F.col("user_id").cast("string"))))
+    entries = F.slice(every, F.lit(1), F.least(i % 5, F.lit(3)).cast("int"))
+    return t.events.select("event_id", M.pick_by_id(entries, (i + i % 4 - 1).cast("string")).alias("picked"))
 
 
 @query("g09_normal_box", f"WITH {BLOCKS} SELECT doc_id, item_id, CASE WHEN block_idx % 4 = 0 THEN 0.0 WHEN block_idx % 4 = 1 THEN 0.0 ELSE x1 END AS right_edge FROM blocks")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import more as M
 from quillon.functions import text as X
 from quillon.operators import pages as G
-from quillon.plans.items import BLOCKS, ITEMS, blocks, items
+from quillon.operators import protection as Z
+from quillon.operators import sequential as S
+from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import ROLES_SQL, roled
 from quillon.plans.text_queries import norm
+from quillon.sources import sinks
 
 
 @query("p11_records", f"WITH {ROLES_SQL} SELECT doc_id, item_id, page_idx, block_idx, block_type, layout_role, semantic_role, structure_role, text AS source_text, text AS protected_source_text, reason IN ('caption_text', 'semantic_role=abstract', 'main_text') AS should_translate, '' AS translated_text, 'single' AS unit_kind FROM roles")
@@ -39,11 +44,13 @@ def mirror_child(t):
     return t.events.select("event_id", F.concat(F.lit("ocr_"), "event_type").alias("event"), w["child_job"].alias("child_job"), w["payload"]["k"].cast("long").alias("payload_k"))
 
 
+_COMMANDS = ["run --fast in.txt > out.txt ", "tool2 <input> -v 3 ", "Run the model ", "sort a.csv ", "x = 3 4 ", "make "]
+
+
 @query("f12_command_prefix")
 def command_prefix(t):
-    made = F.concat(F.lit("run --fast in.txt > out.txt "), F.col("text"))
-    c = G.command_prefix(F.when(F.col("block_idx") % 2 == 0, made).otherwise(F.col("text")))
-    return items(t.documents).select("doc_id", "item_id", c.alias("c")).select("doc_id", "item_id", "c.prefix", F.length("c.tail").alias("tail_chars"))
+    text = F.concat(cycle(_COMMANDS, F.col("doc_id") + F.col("block_idx")), F.col("text"))
+    return items(t.documents).select("doc_id", "item_id", G.command_prefix(text).alias("prefix"))
 
 
 @query("f14_literal_label", f"WITH {BLOCKS} SELECT doc_id, item_id, CASE WHEN block_type = 'table' THEN 'code' WHEN contains(text, '###') THEN 'translate_literal' ELSE '' END AS label FROM blocks")
@@ -73,11 +80,40 @@ def profile_stages(t):
     return done.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TERMS = [
+    {"source": "the", "target": "der", "level": "canonical", "match_mode": "case_insensitive", "context": ""}, {"source": "of", "target": "von", "level": "preserve", "match_mode": "exact", "context": "that"},
+    {"source": r"\b[a-z]+tion\b", "target": "Sache", "level": "preserve", "match_mode": "regex", "context": ""},
+]
+
+
+def tagged(t):
+    """Items with formulas between their words, protected with a glossary."""
+    i = F.col("doc_id") + F.col("block_idx")
+    math = cycle([" \\alpha_{1}+x^{2} ", " E = m c^{2}, ", " C-H ", " {\\bf k}where ", " \\beta ", " a, b, c "], i)
+    text = F.concat(F.substring_index("text", " ", 3), math, F.col("text"))
+    return items(t.documents).select("doc_id", "item_id", Z.protect(_TERMS)(text).alias("p")).select("doc_id", "item_id", "p.*")
+
+
 @query("c07_protect")
 def protect(t):
-    made = F.concat(F.col("text"), F.lit(" $a+b$ see https://x.example/y and 12 nm"))
-    p = G.protect(made)
-    return items(t.documents).select("doc_id", "item_id", p.alias("p")).select("doc_id", "item_id", F.right("p.text", F.lit(40)).alias("tail"), F.size("p.spans").alias("n"))
+    return tagged(t).select("doc_id", "item_id", "text", F.size("protected_map").alias("n"))
+
+
+@query("g05_formula_maps")
+def formula_maps(t):
+    """Formulas of a protected map, and the protected map made of them again."""
+    formulas = Z.formula_map(F.col("protected_map"))
+    back = Z.protected_map(formulas)
+    return tagged(t).select("doc_id", "item_id", F.to_json(formulas).alias("formulas"), F.to_json(back).alias("protected_map"))
+
+
+@query("c15_box_split")
+def box_split(t):
+    """Protected texts split over three boxes of different room."""
+    formulas = Z.formula_map(F.col("protected_map"))
+    n = F.length("text").cast("double")
+    room = F.array(n * 0.2, n * 0.1, n * 0.3)
+    return tagged(t).select("doc_id", "item_id", F.array_join(S.box_parts("text", formulas, room), "\n").alias("parts"))
 
 
 @query("c25_pseudo_lines", f"WITH {ITEMS}, w AS (SELECT doc_id, item_id, string_split({norm('text')}, ' ') AS ws FROM items) SELECT doc_id, item_id, i // 10 AS line, array_to_string(ws[i + 1:i + 10], ' ') AS line_text, CAST(40 + 12 * (i // 10) AS DOUBLE) AS y0 FROM w, unnest(range(0, len(ws), 10)) AS u(i)")
@@ -87,12 +123,16 @@ def pseudo_lines(t):
     return lines.select("doc_id", "item_id", F.col("line").cast("long").alias("line"), "line_text", (40 + 12 * F.col("line")).cast("double").alias("y0"))
 
 
-@query("c26_repair_math", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'the angle \\theta is' ELSE 'a b' END AS repaired FROM events")
+_CUES = ["angle", "value", "rotation angle", "function of", "sum", "angles"]
+
+
+@query("c26_repair_math", f"WITH {ITEMS} SELECT doc_id, item_id, split_part(text, ' ', 1) || ' the ' || ({_CUES})[(doc_id + block_idx) % 6 + 1] || CASE WHEN (doc_id + block_idx) % 6 IN (0, 2, 3, 5) THEN ' \\theta' ELSE '  ' END || ' and ' || text AS repaired FROM items")
 def repair_math(t):
     """A control character behind an angle is the letter theta, any other is a space."""
-    raw = F.when(F.col("event_id") % 2 == 0, "the angle \u0008 is").otherwise("a\u0008b")
+    lost = cycle(["\u0008", "\u0001", "\u001f"], F.col("block_idx"))
+    raw = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" the "), cycle(_CUES, F.col("doc_id") + F.col("block_idx")), F.lit(" "), lost, F.lit(" and "), F.col("text"))
     theta = F.regexp_replace(raw, r"(?<=\b(?:fixing|rotation angle|torsion angle|dihedral angle|angle|angles|function of)\s{1,3})[\x01-\x08\x0b\x0c\x0e-\x1f]", r"\\theta")
-    return t.events.select("event_id", F.regexp_replace(theta, r"[\x01-\x08\x0b\x0c\x0e-\x1f]", " ").alias("repaired"))
+    return items(t.documents).select("doc_id", "item_id", F.regexp_replace(theta, r"[\x01-\x08\x0b\x0c\x0e-\x1f]", " ").alias("repaired"))
 
 
 @query("m05_fitted_size")
@@ -113,6 +153,65 @@ def fit_plan(t):
     return blocks(t.documents).select("doc_id", "item_id", F.when(dense, "shrink").when(low, "single_line").otherwise("keep").alias("plan"), F.concat_ws(",", F.when(dense, "dense"), F.when(low, "low")).alias("reasons"))
 
 
-@query("e05_replay_item", f"WITH {ROLES_SQL} SELECT doc_id, item_id, reason FROM roles WHERE doc_id = 3 AND item_id = 'p000-b001'")
-def replay_item(t):
-    return roled(t.documents.filter("doc_id = 3")).filter("item_id = 'p000-b001'").select("doc_id", "item_id", "reason")
+def replay(df: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that are asked for, by an equality join on their key."""
+    return df.join(wanted.select(*key).distinct(), key, "left_semi")
+
+
+@query("e05_replay_item", f"WITH {ROLES_SQL} SELECT doc_id, item_id, reason, reason IN ('caption_text', 'semantic_role=abstract', 'main_text') AS translates FROM roles WHERE block_idx = doc_id % 9")
+def replay_items(t):
+    """One item of every document looked up by its id and put through the policies again."""
+    from quillon.functions.roles import translates
+
+    d = t.documents.select("doc_id", (F.col("doc_id") % 9).alias("b"))
+    wanted = d.select("doc_id", F.format_string("p%03d-b%03d", F.expr("b div 8"), F.col("b")).alias("item_id"))
+    return replay(roled(t.documents), wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "reason", translates(F.col("reason")).alias("translates"))
+
+
+_CUT = "CASE WHEN length(x) <= 260 THEN x ELSE rtrim(left(x, 259)) || '…' END"
+
+
+@query(
+    "p15_item_diagnostics",
+    f"WITH {ITEMS}, m AS (SELECT *, CASE block_idx % 4 WHEN 0 THEN {norm('text')} WHEN 1 THEN 'kept' ELSE 'from trace' END AS x FROM items) SELECT doc_id, item_id, CASE WHEN block_idx % 3 = 0 THEN 'own' ELSE item_id END AS diagnosed_id, CASE WHEN block_idx % 5 = 0 THEN 'family' ELSE 'translation' END AS provider, 'placeholder' AS prompt_mode, {_CUT} AS raw_excerpt FROM m",
+)
+def item_diagnostics(t):
+    """Diagnostics with their gaps filled; every payload lacks something else."""
+    b = F.col("block_idx")
+    none = F.lit(None).cast("string")
+    step = lambda c: F.struct(none.alias("raw_excerpt"), F.lit("").alias("raw_output"), c.alias("message"))
+    payload = F.struct(
+        F.when(b % 3 == 0, "own").alias("item_id"), none.cast("bigint").alias("page_idx"), none.alias("provider"), F.when(b % 5 == 0, "family").alias("provider_family"), none.alias("prompt_mode"), none.alias("request_label"),
+        F.when(b % 4 == 1, "kept").alias("raw_excerpt"), F.when(b % 4 == 0, F.col("text")).alias("raw_output"), F.lit("").alias("raw_response"), F.array(step(F.lit("")), step(F.lit("from trace")), step(F.lit("later"))).alias("error_trace"),
+    )
+    d = M.item_diagnostics(payload, F.col("item_id"), F.col("page_idx"), F.lit("placeholder"))
+    return items(t.documents).select("doc_id", "item_id", d.alias("d")).select("doc_id", "item_id", F.col("d.item_id").alias("diagnosed_id"), "d.provider", "d.prompt_mode", "d.raw_excerpt")
+
+
+@query("a26_normalization_view", "SELECT doc_id, lang AS provider, doc_id % 2 = 0 AS provider_was_explicit, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS blocks_seen, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS page_defaults, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'v1' END AS \"schema\" FROM documents")
+def normalization_view(t):
+    """Reports with and without their outer object, defaults and validation."""
+    d, n = F.col("doc_id"), F.col("n_chars").cast("bigint")
+    defaults = F.when(d % 3 != 0, F.struct(F.lit(1).cast("bigint").alias("pages_seen"), n.alias("blocks_seen"), F.create_map(F.lit("unit"), n, F.lit("width"), n).alias("page_defaults")))
+    inner = F.struct(F.col("lang").alias("provider"), (d % 2 == 0).alias("provider_was_explicit"), defaults.alias("defaults"), F.when(d % 5 != 0, F.struct(F.lit("v1").alias("schema"))).alias("validation"))
+    report = F.when(d % 2 == 0, F.to_json(F.struct(inner.alias("normalization")))).otherwise(F.to_json(inner))
+    return t.documents.select("doc_id", M.normalization_view(report).alias("v")).select("doc_id", "v.provider", "v.provider_was_explicit", "v.blocks_seen", F.col("v.page_defaults").cast("long").alias("page_defaults"), "v.schema")
+
+
+@query("a28_run_report", f"WITH {BLOCKS} SELECT count(DISTINCT doc_id || '/' || page_idx) AS pages_processed, count(*) FILTER (final_status = 'translated') AS translated_items_total, max(latency_ms) AS slowest, count(*) FILTER (len(error_types) > 0) AS failed_requests, 'book' AS mode FROM blocks")
+def run_report(t):
+    """A run's figures written as one JSON document and read again."""
+    b = blocks(t.documents)
+    metrics = b.agg(F.count_distinct("doc_id", "page_idx").alias("pages_processed"), F.count_if(F.col("final_status") == "translated").alias("translated_items_total"), F.lit("book").alias("mode"))
+    requests = b.agg(F.max("latency_ms").alias("slowest"), F.count_if(F.size("error_types") > 0).alias("failed_requests"))
+    doc = sinks.run_report(metrics, {"requests": requests})
+    got = F.from_json("value", "pages_processed bigint, translated_items_total bigint, mode string, requests struct<slowest:bigint,failed_requests:bigint>")
+    return doc.select(got.alias("d")).select("d.pages_processed", "d.translated_items_total", "d.requests.slowest", "d.requests.failed_requests", "d.mode")
+
+
+@query("m01_job_ids", "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y%m%d%H%M%S') AS prefix, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y-%m-%dT%H:%M:%SZ') AS made, 6 AS digits FROM orders")
+def job_ids(t):
+    """Ids of jobs made at given times: a second in UTC and six random hex digits."""
+    at = F.timestamp_add("SECOND", F.col("o_orderkey") % 86400, F.col("o_orderdate").cast("timestamp"))
+    made = t.orders.select("o_orderkey", M.job_id(at).alias("id"), M.iso_seconds(at).alias("made"))
+    return made.select("o_orderkey", F.split_part("id", F.lit("-"), F.lit(1)).alias("prefix"), "made", F.length(F.regexp_extract("id", "-([0-9a-f]{6})$", 1)).cast("int").alias("digits"))

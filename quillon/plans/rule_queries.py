@@ -21,7 +21,7 @@ _TAG = "lower(trim(tag))"
 _LAYOUT = f"CASE WHEN block_type = 'text' THEN coalesce({_map_case(R.LAYOUT_OF_SUB_TYPE, 'sub_type')}, CASE WHEN derived_role = 'caption' OR {_TAG} IN {listed(R.CAPTION_TAGS)} OR sub_type IN {listed(R.CAPTION_SUB_TYPES)} THEN 'caption' END, 'paragraph') ELSE 'unknown' END"
 _SEMANTIC = f"""CASE WHEN derived_role = 'abstract' OR {_TAG} = 'abstract' THEN 'abstract' WHEN derived_role = 'reference_entry' OR {_TAG} IN {listed(R.REFERENCE_TAGS)} OR sub_type = 'reference_entry' THEN 'reference'
  WHEN sub_type = 'metadata' OR derived_role = 'metadata' THEN 'metadata' WHEN derived_role = 'affiliation' THEN 'affiliation' WHEN layout_role IN {listed(R.ANCILLARY)} THEN 'metadata' WHEN block_type = 'text' AND layout_role IN ('paragraph', 'list_item') THEN 'body' ELSE 'unknown' END"""
-_STRUCTURE = f"""CASE WHEN sub_type IN {listed(R.CAPTION_SUB_TYPES[1:])} THEN sub_type WHEN sub_type = 'reference_entry' OR semantic_role = 'reference' THEN 'reference_entry' WHEN semantic_role = 'abstract' THEN 'body' WHEN layout_role = 'caption' THEN 'caption' WHEN semantic_role = 'metadata' THEN 'metadata'
+_STRUCTURE = f"""CASE WHEN block_idx % 17 = 5 THEN 'sidebar' WHEN sub_type IN {listed(R.CAPTION_SUB_TYPES[1:])} THEN sub_type WHEN sub_type = 'reference_entry' OR semantic_role = 'reference' THEN 'reference_entry' WHEN semantic_role = 'abstract' THEN 'body' WHEN layout_role = 'caption' THEN 'caption' WHEN semantic_role = 'metadata' THEN 'metadata'
  ELSE coalesce({_map_case(R.STRUCTURE_OF_LAYOUT, 'layout_role')}, '') END"""
 _REASON = f"""CASE WHEN block_type <> 'text' THEN 'non_text' WHEN layout_role = 'caption' THEN 'caption_text' WHEN layout_role IN {listed(R.ANCILLARY)} THEN 'layout_role=' || layout_role WHEN semantic_role IN ('reference', 'metadata', 'affiliation', 'acknowledgement', 'unknown') THEN 'semantic_role=' || semantic_role
  WHEN layout_role IN {listed(R.BODYLIKE_LAYOUT)} AND semantic_role = 'abstract' THEN 'semantic_role=abstract' WHEN layout_role IN {listed(R.BODYLIKE_LAYOUT)} AND semantic_role = 'body' THEN 'main_text' ELSE 'conservative_skip' END"""
@@ -29,11 +29,18 @@ ROLES_SQL = f"{BLOCKS}, lay AS (SELECT *, {_LAYOUT} AS layout_role FROM blocks),
 
 
 def roled(documents: DataFrame) -> DataFrame:
-    """Blocks with layout, semantic and structure role and the reason to translate or not."""
+    """Blocks with layout, semantic and structure role and the reason to translate or not.
+
+    Some names are untidy, as in files, and some blocks have a structure role in their metadata.
+    """
     c, none, tags = F.col, F.lit(""), F.array("tag")
-    b = blocks(documents).withColumn("layout_role", R.layout_role(none, c("block_type"), c("sub_type"), c("derived_role"), tags))
-    b = b.withColumn("semantic_role", R.semantic_role(none, c("block_type"), c("sub_type"), c("derived_role"), tags, c("layout_role")))
-    return b.withColumns({"structure_role": R.structure_role(none, c("sub_type"), c("layout_role"), c("semantic_role")), "reason": R.translate_reason(c("block_type"), c("layout_role"), c("semantic_role"))})
+    i = c("block_idx")
+    sub = F.when(i % 19 == 3, F.concat(F.lit(" "), F.upper("sub_type"))).otherwise(c("sub_type"))
+    kind = F.when(i % 23 == 2, F.initcap("block_type")).otherwise(c("block_type"))
+    stored = F.when(i % 17 == 5, " Sidebar ").when(i % 17 == 6, "unknown")
+    b = blocks(documents).withColumn("layout_role", R.layout_role(none, kind, sub, c("derived_role"), tags))
+    b = b.withColumn("semantic_role", R.semantic_role(none, kind, sub, c("derived_role"), tags, c("layout_role")))
+    return b.withColumns({"structure_role": R.structure_role(none, sub, c("layout_role"), c("semantic_role"), stored), "reason": R.translate_reason(kind, c("layout_role"), c("semantic_role"))})
 
 
 @query("p01_default_hits", f"WITH {BLOCKS} SELECT count(*) FILTER (sub_type = '') AS sub_type_hits, count(*) FILTER (derived_role = '') AS derived_hits, count(*) FILTER (trim(tag) = '') AS tag_hits, count(*) AS blocks FROM blocks")
@@ -137,12 +144,43 @@ def review_candidates(t):
 
 
 _URL = Q.URL_LIKE.replace("'", "''")
+_BARE = "regexp_replace(s, '^[()\\[\\]<>\"''“”‘’,;]+|[()\\[\\]<>\"''“”‘’,;]+$', '', 'g')"
+_HARD = (
+    f"(s <> '' AND (regexp_matches({_BARE}, '{_URL}') OR regexp_matches({_BARE}, '^[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}$') OR (length(s) <= 220 AND len({words('s')}) <= 32 AND regexp_matches(s, '{Q.RIGHTS}') "
+    f"AND len(list_filter({list(Q.RIGHTS_SIGNALS)}, lambda m: contains(lower(s), m))) > 0 AND len(list_filter({list(Q.RIGHTS_DISCLAIMERS)}, lambda m: contains(lower(s), m))) = 0)))"
+)
+#: items of every kind that the rules tell apart
+_MADE = """CASE (doc_id + block_idx) % 13 WHEN 0 THEN 'https://a.example/' || block_idx WHEN 1 THEN '(me.' || block_idx || '@b.example)' WHEN 2 THEN 'Copyright ' || block_idx || ' ' || split_part(text, ' ', 1) || '. All rights reserved.'
+ WHEN 3 THEN 'F ' || block_idx % 90 WHEN 4 THEN '  ' WHEN 5 THEN '<f1-abc/> ' WHEN 6 THEN 'Copyright: written permission of ' || split_part(text, ' ', 1) ELSE text END"""
+
+
+def made(t):
+    """Blocks with roles, some of whose texts are links, addresses, notices, labels or blank; every fifth without a policy."""
+    c, b = F.col("text"), F.col("block_idx")
+    word, n = F.split_part("text", F.lit(" "), F.lit(1)), b.cast("string")
+    kinds = [F.concat(F.lit("https://a.example/"), n), F.concat(F.lit("(me."), n, F.lit("@b.example)")), F.concat(F.lit("Copyright "), n, F.lit(" "), word, F.lit(". All rights reserved.")), F.concat(F.lit("F "), (b % 90).cast("string")), F.lit("  "), F.lit("<f1-abc/> "), F.concat(F.lit("Copyright: written permission of "), word)]
+    text = F.coalesce(*[F.when((F.col("doc_id") + b) % 13 == i, k) for i, k in enumerate(kinds)], c)
+    r = roled(t.documents)
+    caption = (F.col("derived_role") == "caption") | R.has_any(F.array("tag"), R.CAPTION_TAGS)
+    return r.withColumns({"text": text, "policy": F.when(b % 5 != 0, R.translates(F.col("reason"))), "caption": caption, "zone": F.when(b % 3 == 0, "non_flow").otherwise("flow")})
+
+
+_MADE_SQL = f"{ROLES_SQL}, made AS (SELECT * EXCLUDE (text, s0), s0 AS text, trim(regexp_replace(regexp_replace(s0, '<[ft]\\d+-[0-9a-z]{{3}}/>', ' ', 'g'), '\\s+', ' ', 'g')) AS compact, {norm('s0')} AS s FROM (SELECT *, {_MADE} AS s0, CASE WHEN block_idx % 5 <> 0 THEN reason IN ('caption_text', 'semantic_role=abstract', 'main_text') END AS policy, derived_role = 'caption' OR {_TAG} = 'caption' AS caption, CASE WHEN block_idx % 3 = 0 THEN 'non_flow' ELSE 'flow' END AS zone FROM roles))"
+_LABEL = "(length(compact) <= 4 AND regexp_matches(replace(compact, ' ', ''), '^[\\p{L}\\p{N}]+$'))"
+
+
+@query(
+    "f06_keep_reason",
+    f"WITH {_MADE_SQL} SELECT doc_id, item_id, CASE WHEN s = '' THEN 'empty_source_text' WHEN compact = '' THEN 'placeholder_only' WHEN NOT policy THEN 'policy_skip' WHEN {_HARD} THEN 'hard_metadata_fragment' WHEN {_LABEL} AND caption THEN 'short_non_body_label' WHEN {_LABEL} AND NOT coalesce(policy, false) AND zone = 'non_flow' THEN 'short_non_body_label' END AS reason FROM made",
+)
+def keep_reason(t):
+    item = Q.Item(F.col("text"), F.col("policy"), F.col("caption"), F.col("zone"))
+    return made(t).select("doc_id", "item_id", Q.keep_reason(item).alias("reason"))
 
 
-@query("f06_keep_reason", f"WITH {BLOCKS}, n AS (SELECT *, {norm('text')} AS s FROM blocks) SELECT doc_id, item_id, CASE WHEN s = '' THEN 'empty' WHEN sub_type = 'metadata' THEN 'policy_skip' WHEN regexp_matches(s, '{_URL}') OR regexp_matches(s, '{Q.EMAIL}') THEN 'hard_metadata' WHEN regexp_matches(s, '{X.SHORT_FRAGMENT}') THEN 'short_label' END AS reason FROM n")
-def keep_reason(t):
-    skip = F.when(F.col("sub_type") == "metadata", "skip_metadata")
-    return blocks(t.documents).select("doc_id", "item_id", Q.keep_reason(F.col("text"), skip).alias("reason"))
+@query("f09_hard_metadata", f"WITH {_MADE_SQL} SELECT doc_id, item_id, {_HARD} AS hard FROM made")
+def hard_metadata(t):
+    return made(t).select("doc_id", "item_id", Q.hard_metadata(F.col("text")).alias("hard"))
 
 
 _LETTERS = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))"
@@ -161,13 +199,26 @@ def _code(s: str) -> str:
     return f"(length({s}) >= 24 AND NOT regexp_matches({s}, '[一-鿿]') AND {n} BETWEEN 2 AND 64 AND {codeish} >= greatest(3, {n} // 2) AND (len({words(s)}) <= 4 OR ({upper} >= 0.55 AND NOT regexp_matches({s}, '{Q.PROSE_CUE}')) OR {operators} >= greatest(6, length({s}) // 18)))"
 
 
-@query("f07_batchable", f"WITH {ROLES_SQL}, n AS (SELECT *, {norm('text')} AS s FROM roles) SELECT doc_id, item_id FROM n WHERE block_type = 'text' AND (semantic_role IN ('body', 'abstract') OR structure_role = 'body' OR layout_role = 'paragraph') AND length(s) BETWEEN 16 AND 1200 AND {_prose('s')}")
+_BODYLIKE = f"(semantic_role IN ('body', 'abstract') OR structure_role = 'body' OR layout_role = 'paragraph') AND NOT (caption OR layout_role IN ('footnote', 'title', 'heading') OR semantic_role = 'reference' OR structure_role = 'reference_entry')"
+_ODD = "CAST(length(regexp_replace({0}, '[\\p{{L}}\\p{{N}}.,;:!?()\\[\\]{{}}''\"\\-_/+*&%$#=@\\s]', '', 'g')) AS DOUBLE) / greatest(1, length(regexp_replace({0}, '\\s+', '', 'g'))) > 0.35"
+_UNIT = "CASE WHEN block_idx % 11 = 4 THEN '__cg__:' || block_idx ELSE item_id END"
+
+
+@query(
+    "f07_batchable",
+    f"WITH {_MADE_SQL}, b AS (SELECT *, (doc_id + block_idx) % 7 = 3 AS formula, trim(regexp_replace(compact, '\\s+', ' ', 'g')) AS p FROM made) SELECT doc_id, item_id FROM b WHERE (doc_id + block_idx) % 9 <> 1 AND block_idx % 10 <> 7 AND NOT starts_with({_UNIT}, '__cg__:') AND block_type = 'text' AND {_BODYLIKE} "
+    f"AND p <> '' AND NOT {_code('s')} AND NOT ({_ODD.format('p')}) AND NOT regexp_matches(trim(text), '{X.SHORT_FRAGMENT}') AND len({words('p')}) >= CASE WHEN formula THEN 5 ELSE 8 END AND {_prose('p')} AND length(compact) BETWEEN 16 AND 1200 AND len(regexp_extract_all(text, '<[ft]\\d+-[0-9a-z]{{3}}/>')) <= 8",
+)
 def batchable(t):
-    """Body text of 16 to 1200 characters, few placeholders, prose."""
-    s = X.normalize_space(F.col("text"))
-    body = F.col("semantic_role").isin("body", "abstract") | (F.col("structure_role") == "body") | (F.col("layout_role") == "paragraph")
-    rules = [F.col("block_type") == "text", body, F.length(s).between(16, 1200), F.size(X.placeholder_sequence(s)) <= 8, Q.english_prose(s)]
-    return roled(t.documents).filter(Q.all_match(rules)).select("doc_id", "item_id")
+    """Plain body prose that can share a request."""
+    c, i = F.col, F.col("doc_id") + F.col("block_idx")
+    body = c("semantic_role").isin("body", "abstract") | (c("structure_role") == "body") | (c("layout_role") == "paragraph")
+    other = c("caption") | c("layout_role").isin("footnote", "title", "heading") | (c("semantic_role") == "reference") | (c("structure_role") == "reference_entry")
+    unit = F.when(c("block_idx") % 11 == 4, F.concat(F.lit(Q.GROUP_UNIT), c("block_idx").cast("string"))).otherwise(c("item_id"))
+    group = F.when(c("block_idx") % 10 == 7, "g").otherwise("")
+    mode = F.when(i % 9 == 1, "direct_typst").otherwise("placeholder")
+    ok = Q.batchable(c("text"), c("block_type"), body & ~other, mode, group, unit, i % 7 == 3)
+    return made(t).filter(ok).select("doc_id", "item_id")
 
 
 @query("f10_references", f"""WITH {ITEMS}, n AS (SELECT *, {norm('text')} AS s, regexp_replace({norm('text')}, '[À-ÖØ-öø-ÿ]', 'z', 'g') AS z FROM items), m AS (SELECT *, len(regexp_extract_all(s, '[,;]')) AS commas, regexp_matches(z, '{Q.YEAR}') AS y, regexp_matches(z, '{Q.DOI}') AS d, regexp_matches(z, '{Q.JOURNAL}') AS j, regexp_matches(z, '{Q.PAGE_RANGE}') AS p,
@@ -198,9 +249,22 @@ def author_list(t):
     return items(t.documents).select("doc_id", "item_id", Q.author_list(F.col("text")).alias("authors"))
 
 
-@query("f19_garbled_formula")
+_FORMULA = "repeat('\\alpha_1 ', block_idx % 10) || repeat('{\\bf x} ', doc_id % 4) || repeat('{{α}} ', (doc_id + block_idx) % 3) || repeat('\\mathrm{a} ', block_idx % 5) || left(text, 150)"
+
+
+def _times(p: str) -> str:
+    return f"len(regexp_extract_all(s, '{p}'))"
+
+
+@query(
+    "f19_garbled_formula",
+    f"WITH {ITEMS}, n AS (SELECT doc_id, item_id, trim({_FORMULA}) AS s FROM items), k AS (SELECT *, {_times(Q.ALPHA)} AS g, {_times(Q.LEGACY_STYLE)} AS l, {_times(Q.BRACED_ALPHA)} AS d, {_times(Q.CLEAN_STYLE)} AS c FROM n) SELECT doc_id, item_id, CASE WHEN s = '' THEN false WHEN g >= 8 OR l >= 2 OR d >= 2 THEN true WHEN c >= 3 AND l = 0 AND g <= 2 AND d = 0 THEN false ELSE length(s) >= 180 AND g >= 4 END AS garbled_formula FROM k",
+)
 def garbled_formula(t):
-    return items(t.documents).select("doc_id", "item_id", Q.garbled_formula(F.col("text")).alias("garbled_formula"))
+    b, d = F.col("block_idx"), F.col("doc_id")
+    times = lambda x, n: F.repeat(F.lit(x), n.cast("int"))
+    s = F.concat(times("\\alpha_1 ", b % 10), times("{\\bf x} ", d % 4), times("{{α}} ", (d + b) % 3), times("\\mathrm{a} ", b % 5), F.substring("text", 1, 150))
+    return items(t.documents).select("doc_id", "item_id", Q.garbled_formula(s).alias("garbled_formula"))
 
 
 @query("f20_validate_blocks", f"WITH {ROLES_SQL} SELECT doc_id, item_id, CASE WHEN x1 - 30 * (block_idx % 13) <= x0 THEN item_id || '.bbox: not a box' ELSE '' END || CASE WHEN sub_type = '' THEN item_id || '.sub_type: missing' ELSE '' END AS problems FROM roles WHERE x1 - 30 * (block_idx % 13) <= x0 OR sub_type = ''")
@@ -265,10 +329,10 @@ def case_drift(t):
     return saved.join(replay, ["doc_id", "item_id"]).filter(~F.col("saved").eqNullSafe(F.col("replayed")))
 
 
-@query("e03_manifest_check", "SELECT source AS id, count(*) AS n FROM documents WHERE doc_id < 30 GROUP BY source HAVING count(*) > 1")
+@query("e03_manifest_check", "SELECT source || '/' || n_chars AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def manifest_check(t):
     """Ids that a manifest lists more than once."""
-    return t.documents.filter("doc_id < 30").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return t.documents.groupBy(F.concat_ws("/", "source", "n_chars").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query("x05_policy_hints", f"WITH {ITEMS}, h AS (SELECT doc_id, item_id, hint, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k_at DESC) AS rn FROM (SELECT doc_id, item_id, 'style ' || k AS hint, k AS k_at FROM items, unnest(range(3)) AS u(k) WHERE (block_idx + k) % 3 = 0)) SELECT doc_id, item_id, concat_ws(chr(10), source, hint) AS hints FROM items i LEFT JOIN (SELECT doc_id, item_id, hint FROM h WHERE rn = 1) USING (doc_id, item_id)")
@@ -286,3 +350,36 @@ def policy_counts(t):
     policies = [("skip_type", F.col("block_type") != "text"), ("skip_title", F.col("sub_type") == "title"), ("skip_reference", F.col("semantic_role") == "reference"), ("skip_short", X.short_fragment(X.normalize_space(F.col("text"))))]
     label = F.coalesce(Q.first_match(policies), F.lit("translate"))
     return roled(t.documents).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scan_saved(saved: DataFrame, replayed: DataFrame, key: list[str], order: list[str], *, status: str = "", reason: str = "", page: int | None = None, query: str = "", offset: int = 0, limit: int = 20, only_drifted: bool = True) -> DataFrame:
+    """Saved rows that the filters take, in order and cut to a slice, beside their replays; of those with ``only_drifted`` the changed ones.
+
+    ``query`` is looked for in ids, texts, reasons and labels, letter case aside.
+    """
+    s = saved
+    if status.strip():
+        s = s.filter(F.col("final_status") == status.strip())
+    if reason.strip():
+        s = s.filter(F.col("skip_reason") == reason.strip())
+    if page is not None:
+        s = s.filter(F.col("page_idx") + 1 == page)
+    if query.strip():
+        hay = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("item_id", "source_text", "translated_text", "skip_reason", "label")]
+        s = s.filter(F.exists(F.array(*hay), lambda x: x.contains(query.strip().lower())))
+    s = s.orderBy(*order).offset(offset).limit(max(0, limit))
+    both = s.join(replayed.select(*key, F.col("final_status").alias("replayed")), key, "left")
+    drifted = ~F.col("final_status").eqNullSafe(F.col("replayed"))
+    return both.withColumn("drifted", drifted).filter("drifted") if only_drifted else both.withColumn("drifted", drifted)
+
+
+@query(
+    "f03_scan_drift",
+    f"WITH {ROLES_SQL}, s AS (SELECT * FROM roles WHERE final_status = 'kept_origin' AND page_idx = 0 AND contains(lower(item_id || chr(0) || text || chr(0) || '' || chr(0) || reason || chr(0) || sub_type), 'an') ORDER BY block_idx, doc_id LIMIT 300 OFFSET 20) SELECT doc_id, item_id, final_status AS saved, CASE WHEN (doc_id + block_idx) % 3 = 0 THEN 'translated' ELSE final_status END AS replayed FROM s WHERE (doc_id + block_idx) % 3 = 0",
+)
+def scan_drift(t):
+    """The saved side is filtered, ordered and sliced before the replays are looked up."""
+    r = roled(t.documents).select("doc_id", "page_idx", "block_idx", "item_id", F.col("text").alias("source_text"), F.lit("").alias("translated_text"), F.col("reason").alias("skip_reason"), F.col("sub_type").alias("label"), "final_status")
+    replayed = r.select("doc_id", "item_id", F.when((F.col("doc_id") + F.col("block_idx")) % 3 == 0, "translated").otherwise(F.col("final_status")).alias("final_status"))
+    found = scan_saved(r, replayed, ["doc_id", "item_id"], ["block_idx", "doc_id"], status="kept_origin", page=1, query=" AN ", offset=20, limit=300)
+    return found.select("doc_id", "item_id", F.col("final_status").alias("saved"), "replayed")

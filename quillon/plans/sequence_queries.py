@@ -130,10 +130,10 @@ def units(t):
     return blocks(t.documents).select("doc_id", "item_id", F.when(n >= 2, F.concat(F.lit("unit-"), "sub_type")).otherwise(F.col("item_id")).alias("unit_id"), n.alias("members"))
 
 
-@query("a23_group_text", f"WITH {BLOCKS} SELECT doc_id, sub_type, string_agg(left(text, 12), ' ' ORDER BY block_idx) AS merged FROM blocks GROUP BY doc_id, sub_type HAVING count(*) >= 2 AND sum(length(text)) <= 4000")
+@query("a23_group_text", f"WITH {BLOCKS} SELECT doc_id, sub_type, string_agg(text, ' ' ORDER BY block_idx) AS merged FROM blocks GROUP BY doc_id, sub_type HAVING count(*) >= 2 AND sum(length(text)) <= 4000")
 def group_text(t):
     """Members in order as one text, for groups that are not too heavy."""
-    g = blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.array_sort(F.collect_list(F.struct("block_idx", F.substring("text", 1, 12).alias("s")))).alias("m"))
+    g = blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.array_sort(F.collect_list(F.struct("block_idx", F.col("text").alias("s")))).alias("m"))
     return g.filter("n >= 2 and chars <= 4000").select("doc_id", "sub_type", F.array_join(F.transform("m", lambda x: x["s"]), " ").alias("merged"))
 
 
@@ -248,7 +248,7 @@ def reference_cutoff(t):
     return r.join(cut, "doc_id").filter(F.struct("page_idx", "block_idx") >= F.col("cut")).select("doc_id", "item_id", "page_idx")
 
 
-@query("w15_event_union", "WITH u AS (SELECT user_id AS job_id, ts, event_id AS seq, event_type AS event FROM events UNION ALL SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM orders WHERE o_custkey < 200) SELECT job_id, seq AS source_seq, event, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq, event) AS seq FROM u")
+@query("w15_event_union", "WITH u AS (SELECT user_id AS job_id, ts, event_id AS seq, event_type AS event FROM events UNION ALL SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM orders) SELECT job_id, seq AS source_seq, event, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq, event) AS seq FROM u")
 def event_union(t):
     """Events of all sources renumbered in order."""
     u = t.events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp"), F.col("event_id").alias("source_seq"), F.col("event_type").alias("event"))
@@ -450,7 +450,10 @@ def checksums(t):
 
 @query("c12_lenient_json")
 def lenient(t):
-    raw = F.concat(F.lit("```json\n{id: "), F.col("event_id").cast("string"), F.lit(', "k": “v”,}\n```'))
+    """Replies with fences, bare names, curly quotes, commas too many, or nothing to read."""
+    i, kind = F.col("event_id").cast("string"), F.col("event_type")
+    forms = [F.concat(F.lit("```json\n{id: "), i, F.lit(', "k": “'), kind, F.lit("”,}\n```")), F.concat(F.lit('Here: {"k": ["'), kind, F.lit('", '), i, F.lit(",]} done")), kind, F.concat(F.lit('{"a": {"b": '), i, F.lit("}")), F.col("props")]
+    raw = F.coalesce(*[F.when(F.col("event_id") % len(forms) == n, f) for n, f in enumerate(forms)])
     return t.events.select("event_id", S.lenient_json(raw).alias("json"))
 
 

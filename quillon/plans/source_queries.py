@@ -2,40 +2,91 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillon.operators import sets as U
-from quillon.plans.items import BLOCKS, ITEMS, blocks, items
+from quillon.operators import windows as W
+from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
 from quillon.sources import documents as D
 from quillon.sources import files, sinks
+from quillon.sources.shared import shared_folder
 from quillon.streaming import events as E
 
 
 def raw_documents(t):
-    """Every document as JSON in one of three raw formats, by its id."""
-    b = blocks(t.documents).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("block_idx", "block_type", "sub_type", "x0", "y0", "x1", "y1", F.substring("text", 1, 40).alias("s")))).alias("b"))
+    """Every document as JSON in one of four raw formats, by its id."""
+    b = blocks(t.documents).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("block_idx", "block_type", "sub_type", "derived_role", "x0", "y0", "x1", "y1", F.col("text").alias("s")))).alias("b"))
     box = lambda x: F.array(x["x0"], x["y0"], x["x1"], x["y1"])
     p = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "b"))).alias("p"))
-    generic = F.to_json(F.struct(F.lit("flat").alias("provider"), F.transform("p", lambda g: F.struct(F.lit(600.0).alias("width"), F.transform(g["b"], lambda x: F.struct(x["block_type"].alias("type"), x["sub_type"].alias("sub_type"), box(x).alias("bbox"), x["s"].alias("text"))).alias("blocks"))).alias("pages")))
-    lists = F.to_json(F.transform("p", lambda g: F.transform(g["b"], lambda x: F.struct(x["block_type"].alias("type"), box(x).alias("bbox"), F.array(F.struct(F.lit("text").alias("type"), x["s"].alias("text"))).alias("content")))))
-    layout = F.to_json(F.struct(F.transform("p", lambda g: F.struct(F.struct(F.transform(g["b"], lambda x: F.struct(x["block_type"].alias("block_label"), x["s"].alias("block_content"), box(x).alias("block_bbox"))).alias("parsing_res_list")).alias("prunedResult"))).alias("layoutParsingResults")))
-    return p.select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, generic).when(F.col("doc_id") % 3 == 1, lists).otherwise(layout).alias("raw"))
-
-
-@query("s03_detect_format", "SELECT CAST(doc_id AS VARCHAR) AS document_id, (['generic_flat_ocr', 'content_list_v2', 'layout_parsing'])[doc_id % 3 + 1] AS provider FROM documents")
+    flat = lambda x: F.struct(x["block_type"].alias("type"), x["sub_type"].alias("sub_type"), F.struct(x["derived_role"].alias("role")).alias("derived"), box(x).alias("bbox"), x["s"].alias("text"))
+    generic = F.to_json(F.struct(F.lit("flat").alias("provider"), F.transform("p", lambda g: F.struct(F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.transform(g["b"], flat).alias("blocks"))).alias("pages")))
+    cut = lambda x: F.floor(F.length(x["s"]) / 2).cast("int")
+    segment = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    halves = lambda x: F.array(segment(F.substr(x["s"], F.lit(1), cut(x))), segment(F.substr(x["s"], cut(x) + 1)))
+    lists = F.to_json(F.transform("p", lambda g: F.transform(g["b"], lambda x: F.struct(x["block_type"].alias("type"), box(x).alias("bbox"), halves(x).alias("content")))))
+    span = lambda c: F.struct(F.lit("text").alias("type"), c.alias("content"))
+    para = lambda x: F.struct(x["block_type"].alias("type"), box(x).alias("bbox"), F.array(F.struct(F.array(span(x["s"]), span(F.lit("and"))).alias("spans")), F.struct(F.array(span(F.lit("more"))).alias("spans"))).alias("lines"))
+    paras = F.to_json(F.struct(F.transform("p", lambda g, i: F.struct(i.cast("long").alias("page_idx"), F.array(F.lit(610.0), F.lit(790.0)).alias("page_size"), F.transform(g["b"], para).alias("para_blocks"))).alias("pdf_info")))
+    layout = F.to_json(F.struct(F.transform("p", lambda g: F.struct(F.struct(F.lit(620.0).alias("width"), F.lit(780.0).alias("height"), F.transform(g["b"], lambda x: F.struct(x["block_type"].alias("block_label"), x["s"].alias("block_content"), box(x).alias("block_bbox"))).alias("parsing_res_list")).alias("prunedResult"))).alias("layoutParsingResults")))
+    kind = F.col("doc_id") % 4
+    return p.select(F.col("doc_id").cast("string").alias("document_id"), F.when(kind == 0, generic).when(kind == 1, lists).when(kind == 2, paras).otherwise(layout).alias("raw"))
+
+
+@query("s03_detect_format", "SELECT CAST(doc_id AS VARCHAR) AS document_id, (['generic_flat_ocr', 'content_list_v2', 'para_blocks', 'layout_parsing'])[doc_id % 4 + 1] AS provider FROM documents WHERE regexp_matches(text, '[^ \\n]')")
 def detect_format(t):
     return raw_documents(t).select("document_id", D.default_adapters().detect(F.col("raw")).alias("provider"))
 
 
-@query("s04_normalize_raw", f"WITH {BLOCKS}, r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS p, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) - 1 AS o FROM blocks) SELECT CAST(doc_id AS VARCHAR) AS document_id, p AS page_index, o AS block_order, block_type AS type, left(text, 40) AS text, x1 AS right_edge FROM r")
+_RANKED = "r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS p, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) - 1 AS o, coalesce(nullif(derived_role, ''), nullif(sub_type, ''), 'body') AS explicit, max(x1) OVER (PARTITION BY doc_id, page_idx) AS far_x, max(y1) OVER (PARTITION BY doc_id, page_idx) AS far_y FROM blocks)"
+
+
+@query(
+    "s04_normalize_raw",
+    f"""WITH {BLOCKS}, {_RANKED}, z AS (SELECT *, lag(explicit) OVER w AS before, lead(explicit) OVER w AS after FROM r WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx))
+SELECT CAST(doc_id AS VARCHAR) AS document_id, p AS page_index, o AS block_order, block_type AS type, text || CASE WHEN doc_id % 4 = 2 THEN ' and' || chr(10) || 'more' ELSE '' END AS text, x1 AS right_edge,
+ CASE doc_id % 4 WHEN 0 THEN 600.0 WHEN 1 THEN far_x WHEN 2 THEN 610.0 ELSE 620.0 END AS page_width, CASE doc_id % 4 WHEN 0 THEN 800.0 WHEN 1 THEN far_y WHEN 2 THEN 790.0 ELSE 780.0 END AS page_height,
+ CASE WHEN doc_id % 4 <> 0 THEN '' WHEN block_type = 'text' AND coalesce(nullif(sub_type, ''), 'body') = 'body' AND before = 'title' AND after IN ('abstract', 'heading') THEN 'metadata' ELSE sub_type END AS sub_type FROM z""",
+)
 def normalize_raw(t):
     """Raw JSON of all formats to one block table."""
     flat = D.default_adapters().normalize(raw_documents(t))
-    return flat.select("document_id", "page_index", "block_order", "type", "text", F.get("bbox", F.lit(2)).alias("right_edge"))
+    return flat.select("document_id", "page_index", "block_order", "type", "text", F.get("bbox", F.lit(2)).alias("right_edge"), "page_width", "page_height", "sub_type")
+
+
+_LABELS = ["text", "text", "paragraph_title", "text", "footnote", "image", "text"]
+
+
+def layout_blocks(t):
+    """Blocks with layout labels, some without text and one in eleven without a box."""
+    b, d = F.col("block_idx"), F.col("doc_id")
+    box = F.when((d + b) % 11 != 0, F.array("x0", "y0", "x1", "y1"))
+    return blocks(t.documents).select(d.cast("string").alias("document_id"), F.col("page_idx").alias("page_index"), F.when(d % 9 == 0, 0.0).otherwise(600.0).alias("page_width"), b.alias("block_order"), cycle(_LABELS, d + b).alias("type"), box.alias("bbox"), F.when((d + 3 * b) % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
+
+
+_SIGNALS = f"""{BLOCKS}, v AS (SELECT doc_id, page_idx, block_idx, CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE 600.0 END AS w, ([{", ".join(f"'{x}'" for x in _LABELS)}])[(doc_id + block_idx) % 7 + 1] AS label, (doc_id + block_idx) % 11 <> 0 AS valid, x0, y0, x1, y1, CASE WHEN (doc_id + 3 * block_idx) % 5 = 0 THEN '' ELSE trim(text) END AS s FROM blocks),
+c AS (SELECT *, CASE WHEN NOT valid OR w <= 0 THEN 'unknown' WHEN x1 - x0 >= 0.62 * w THEN 'full' WHEN (x0 + x1) / 2 <= w / 2 THEN 'left' ELSE 'right' END AS col, valid AND length(s) < 2 AS hollow, coalesce(valid AND label IN ('text', 'paragraph_title', 'footnote') AND (x1 - x0) / nullif(w, 0) BETWEEN 0.18 AND 0.48, false) AS sized, label = 'footnote' AS side FROM v),
+m AS (SELECT doc_id, page_idx, any_value(w) AS pw, count(*) FILTER (sized AND col = 'left') AS sl, count(*) FILTER (sized AND col = 'right') AS sr, count(*) FILTER (sized AND col = 'left' AND s <> '') AS tl, count(*) FILTER (sized AND col = 'right' AND s <> '') AS tr, bool_or(hollow AND col IN ('left', 'right')) AS any_hollow,
+ median((x0 + x1) / 2) FILTER (sized AND col = 'left' AND s <> '') AS ml, median((x0 + x1) / 2) FILTER (sized AND col = 'right' AND s <> '') AS mr FROM c GROUP BY ALL),
+k AS (SELECT *, pw > 0 AND ((tl >= 2 AND tr >= 2) OR (sl >= 2 AND sr >= 2) OR (sl >= 1 AND sr >= 1 AND any_hollow)) AS double FROM m),
+j AS (SELECT c.*, double, CASE WHEN pw <= 0 THEN 'unknown' WHEN double THEN 'double' ELSE 'single' END AS mode, round_even(CASE WHEN double THEN coalesce((ml + mr) / 2, pw / 2) WHEN pw > 0 THEN pw / 2 ELSE 0 END, 3) AS split_x, double AND valid AND NOT side AND col IN ('left', 'right') AS ok FROM c JOIN k USING (doc_id, page_idx)),
+n AS (SELECT *, lag((ok, col, hollow, y0, y1)) OVER o AS b, lead((ok, col, hollow, y0, y1)) OVER o AS a FROM (SELECT *, row(ok, col, hollow, y0, y1) AS me FROM j) WINDOW o AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)),
+signals AS (SELECT *, before OR after AS suspected, (before OR after) AND hollow AS text_missing, (before OR after) AND NOT hollow AS absorbed, CASE WHEN after THEN block_idx + 1 WHEN before THEN block_idx - 1 END AS peer FROM (SELECT *,
+ coalesce(ok AND b[1] AND b[2] <> col AND b[3] <> hollow AND least(y1, b[5]) - greatest(y0, b[4]) >= 0.25 * least(greatest(1, y1 - y0), greatest(1, b[5] - b[4])), false) AS before,
+ coalesce(ok AND a[1] AND a[2] <> col AND a[3] <> hollow AND least(y1, a[5]) - greatest(y0, a[4]) >= 0.25 * least(greatest(1, y1 - y0), greatest(1, a[5] - a[4])), false) AS after FROM n))"""
+
+
+@query("s08_column_signals", f"WITH {_SIGNALS} SELECT CAST(doc_id AS VARCHAR) AS document_id, page_idx AS page_index, block_idx AS block_order, col AS column, mode, split_x, suspected, text_missing, absorbed, peer AS peer_order FROM signals".replace("AS column", 'AS "column"'))
+def column_signals(t):
+    return D.column_signals(layout_blocks(t)).select("document_id", "page_index", "block_order", "column", "mode", "split_x", "suspected", "text_missing", "absorbed", "peer_order")
+
+
+@query("a04_signal_summary", f"WITH {_SIGNALS}, p AS (SELECT doc_id, page_idx, any_value(mode) AS mode, count(*) FILTER (suspected) AS s, count(*) FILTER (text_missing) AS m, count(*) FILTER (absorbed) AS b FROM signals GROUP BY ALL) SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) FILTER (s > 0) AS suspicious_pages, CAST(sum(s) AS BIGINT) AS suspicious_blocks, string_agg(concat_ws('/', page_idx, mode, s, m, b), ',' ORDER BY page_idx) AS pages FROM p GROUP BY doc_id")
+def signal_summary(t):
+    pages = F.array_join(F.transform("pages", lambda p: F.concat_ws("/", p["page_index"], p["mode"], p["suspected"], p["missing"], p["absorbed"])), ",")
+    return D.signal_summary(D.column_signals(layout_blocks(t))).withColumn("pages", pages)
 
 
 def normalized(t):
@@ -57,7 +108,7 @@ def document_problems(t):
     return D.problems(normalized(t))
 
 
-@query("s09_json_lines", "SELECT user_id, count(*) AS lines, string_agg(event_id, ',' ORDER BY event_id) AS results FROM events WHERE user_id < 40 GROUP BY user_id")
+@query("s09_json_lines", "SELECT user_id, count(*) AS lines, string_agg(event_id, ',' ORDER BY event_id) AS results FROM events GROUP BY user_id")
 def json_lines(t):
     e = t.events
     js = F.to_json(F.struct(F.struct(F.array(F.col("event_id").cast("string")).alias("layoutParsingResults")).alias("result")))
@@ -92,9 +143,9 @@ def head_text(t):
     return head.select("doc_id", F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("head"))
 
 
-@query("k03_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM customer WHERE c_custkey % 4 = 0 OR c_custkey < 500")
+@query("k03_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 <> 0")
 def upsert(t):
-    old = t.customer.filter("c_custkey < 500").select("c_custkey", F.lit("old").alias("version"))
+    old = t.customer.filter("c_custkey % 3 != 0").select("c_custkey", F.lit("old").alias("version"))
     return sinks.merged(old, t.customer.filter("c_custkey % 4 = 0").select("c_custkey", F.lit("new").alias("version")), ["c_custkey"])
 
 
@@ -124,11 +175,9 @@ def recover_stale(t):
 
 @query("d01_concatenate", f"WITH {ITEMS}, p AS (SELECT DISTINCT source, doc_id, page_idx FROM items) SELECT source, doc_id, page_idx, row_number() OVER (PARTITION BY source ORDER BY doc_id, page_idx) AS page_number FROM p")
 def concatenate(t):
-    """Pages of all documents of a source as one book."""
-    from pyspark.sql import Window
-
+    """Pages of all documents of a source as one book; a source may be large, so its pages are numbered in runs of documents."""
     p = items(t.documents).select("source", "doc_id", "page_idx").distinct()
-    return p.withColumn("page_number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "page_idx")))
+    return W.numbered(p, ["source"], F.expr("doc_id div 1000"), ["doc_id", "page_idx"], "page_number")
 
 
 @query("d02_split_ranges", f"WITH {ITEMS}, p AS (SELECT DISTINCT doc_id, page_idx + 1 AS page FROM items) SELECT doc_id, page, 'part-' || k AS part FROM p JOIN (VALUES (1, 1, 2), (2, 3, 99)) AS r(k, lo, hi) ON page BETWEEN lo AND hi")
@@ -170,9 +219,9 @@ def _event_stream(t):
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet*").parquet(t.folder)
 
 
-def _run(t, stream, mode):
+def _run(t, stream, mode, keys=()):
     name = f"q{uuid.uuid4().hex}"
-    return E.run_once(stream, name, mode, f"{tempfile.mkdtemp(prefix='quillon-')}/cp")
+    return E.run_once(stream, name, mode, f"{shared_folder(t.spark)}/{name}", keys)
 
 
 @query("t02_latest_state", "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 0 END, ts, event_id)) AS stage, count(*) AS n FROM events GROUP BY user_id")
@@ -182,12 +231,12 @@ def latest_state(t):
 
 @query("t03_stream_gauge", "WITH r AS (SELECT event_type, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events) SELECT event_type, CAST(sum(d) AS BIGINT) AS running, CAST(greatest(0, max(run)) AS BIGINT) AS peak FROM r GROUP BY event_type")
 def stream_gauge(t):
-    return _run(t, E.gauge(_event_stream(t)), "update")
+    return _run(t, E.gauge(_event_stream(t)), "update", ("event_type",))
 
 
 @query("t06_stream_memory", "SELECT event_type AS term, count(*) AS hits, arg_max(value, event_id) AS latest, max(event_id) AS at FROM events GROUP BY event_type".replace("AS at", 'AS "at"'))
 def stream_memory(t):
-    return _run(t, E.term_memory(_event_stream(t)), "update")
+    return _run(t, E.term_memory(_event_stream(t)), "update", ("term",))
 
 
 @query("t08_log_lines", "SELECT event_id, event_type AS stage, event_id % 7 AS current, CAST(7 AS BIGINT) AS total FROM events")

@@ -228,14 +228,14 @@ def canonical_id(t):
     return items(t.documents).select("doc_id", "item_id", F.concat(part(1), F.lit("-b"), F.lpad(part(2), 4, "0")).alias("canonical_id"))
 
 
-@query("f23_page_ranges", "WITH r AS (SELECT o_orderkey, (o_orderkey % 7 + 1) || '-' || (o_orderkey % 7 + 1 + o_orderkey % 4) || ', ' || (o_orderkey % 3 + 1) AS ranges FROM orders WHERE o_orderkey < 4000) SELECT o_orderkey, array_to_string(list_sort(list_distinct(range(o_orderkey % 7 + 1, o_orderkey % 7 + 2 + o_orderkey % 4) || [o_orderkey % 3 + 1])), ',') AS pages FROM r")
+@query("f23_page_ranges", "WITH r AS (SELECT o_orderkey, (o_orderkey % 7 + 1) || '-' || (o_orderkey % 7 + 1 + o_orderkey % 4) || ', ' || (o_orderkey % 3 + 1) AS ranges FROM orders) SELECT o_orderkey, array_to_string(list_sort(list_distinct(range(o_orderkey % 7 + 1, o_orderkey % 7 + 2 + o_orderkey % 4) || [o_orderkey % 3 + 1])), ',') AS pages FROM r")
 def page_ranges(t):
     k = F.col("o_orderkey")
     text = F.format_string("%d-%d, %d", k % 7 + 1, k % 7 + 1 + k % 4, k % 3 + 1)
     return t.orders.select("o_orderkey", F.array_join(X.parse_page_ranges(text), ",").alias("pages"))
 
 
-@query("f24_order_ranges", "SELECT o_orderkey, array_to_string(list_sort(list_filter(range(least(o_orderkey % 9, o_orderkey % 5), greatest(o_orderkey % 9, o_orderkey % 5) + 1), lambda x: x % 2 = 0)), ',') AS ids FROM orders WHERE o_orderkey < 4000")
+@query("f24_order_ranges", "SELECT o_orderkey, array_to_string(list_sort(list_filter(range(least(o_orderkey % 9, o_orderkey % 5), greatest(o_orderkey % 9, o_orderkey % 5) + 1), lambda x: x % 2 = 0)), ',') AS ids FROM orders")
 def order_ranges(t):
     """Ranges in either direction, kept to the valid (even) ids."""
     k = F.col("o_orderkey")
@@ -257,8 +257,8 @@ def json_columns(t):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"), X.first_non_blank(F.col("event_type"), F.lit("event")).alias("kind"))
 
 
-@query("g10_guidance_lines", "SELECT source, string_agg(doc_id || ': ' || lang, chr(10) ORDER BY doc_id) AS lines FROM documents WHERE doc_id % 10 = 0 GROUP BY source")
+@query("g10_guidance_lines", "SELECT source, doc_id // 20 AS part, string_agg(doc_id || ': ' || lang, chr(10) ORDER BY doc_id) AS lines FROM documents GROUP BY source, doc_id // 20")
 def guidance_lines(t):
-    """Rows of a group as ordered lines of text."""
-    d = t.documents.filter("doc_id % 10 = 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
-    return d.select("source", F.array_join(F.transform("r", lambda x: F.concat_ws(": ", x["doc_id"].cast("string"), x["lang"])), "\n").alias("lines"))
+    """Rows of a group as ordered lines of text; a source's documents in parts of twenty ids."""
+    d = t.documents.groupBy("source", F.expr("doc_id div 20").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
+    return d.select("source", "part", F.array_join(F.transform("r", lambda x: F.concat_ws(": ", x["doc_id"].cast("string"), x["lang"])), "\n").alias("lines"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,15 +69,43 @@ def json_lines_results(df: DataFrame, column: str, by: str, order: str) -> DataF
 
 
 def manifest_pages(spark: SparkSession, manifest: str, item_schema: str) -> DataFrame:
-    """Items of the page files that a manifest lists, with their page; a page listed twice is an error."""
+    """Items of the page files that a manifest lists, with their page; a page listed twice is an error.
+
+    The manifest is a table like any other: the files of its folder are joined
+    to it by their path below the folder, so it may list any number of pages.
+    """
     m = spark.read.schema("schema string, schema_version string, pages array<struct<page_index:bigint,page_number:bigint,path:string>>").option("multiLine", True).json(manifest)
-    listed = m.select(F.explode("pages").alias("p")).select("p.page_index", "p.path").collect()  # one row per page of one book
-    if len({r[0] for r in listed}) != len(listed):
+    listed = m.select(F.explode("pages").alias("p")).select(F.col("p.page_index").alias("page_idx"), F.col("p.path").alias("_path"))
+    if listed.groupBy("page_idx").count().filter("count > 1").limit(1).count():
         raise ValueError("manifest lists a page twice")
     base = manifest.rsplit("/", 1)[0]
-    rows = spark.read.schema(item_schema).option("multiLine", True).json([f"{base}/{r[1]}" for r in listed])
-    of = spark.createDataFrame([(r[0], r[1].rsplit("/", 1)[-1]) for r in listed], "page_idx long, _name string")
-    return rows.withColumn("_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(F.broadcast(of), "_name").drop("_name")
+    rows = spark.read.schema(item_schema).option("multiLine", True).option("recursiveFileLookup", True).json(base)
+    below = F.element_at(F.split(F.col("_metadata.file_path"), "/" + re.escape(base.rsplit("/", 1)[-1]) + "/", 2), -1)
+    return rows.withColumn("_below", F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))).join(listed, F.col("_below") == F.col("_path")).drop("_below", "_path")
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, size, content) of the files in ZIP archives; one archive is in memory at a time.
+
+    A member whose name leads out of the archive is an error, a folder no member.
+    """
+
+    def run(batches):
+        import io
+        import zipfile
+
+        for pdf in batches:
+            for at, raw in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for m in z.infolist():
+                        if m.is_dir():
+                            continue
+                        if m.filename.startswith("/") or ".." in m.filename.split("/"):
+                            raise ValueError(f"member leads out of its archive: {m.filename}")
+                        yield pd.DataFrame([(at, m.filename, m.file_size, z.read(m))], columns=["archive", "name", "size", "content"])
+
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    return archives.mapInPandas(run, "archive string, name string, size bigint, content binary")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

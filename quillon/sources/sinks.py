@@ -34,6 +34,19 @@ def numbered(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> Data
     return new.withColumn("_n", n).join(last, F.col(key) == F.col("_k"), "left").withColumn("seq", F.coalesce("_last", F.lit(0)) + F.col("_n")).drop("_k", "_last", "_n")
 
 
+def append_events(df: DataFrame, path: str) -> None:
+    """Events appended as JSON lines; nulls are left out of a line."""
+    df.write.mode("append").option("ignoreNullFields", True).json(path)
+
+
+def run_report(metrics: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row with a run's document as JSON: the columns of a one-row table and, under their names, one-row parts."""
+    doc = metrics
+    for name, part in parts.items():
+        doc = doc.join(F.broadcast(part.select(F.struct(*part.columns).alias(name))))  # one row each
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("value"))
+
+
 def report(df: DataFrame, path: str) -> None:
     """A report of a few rows as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

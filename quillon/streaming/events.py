@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,19 @@ GAUGE_STATE = "running bigint, peak bigint"
 
 
 def gauge(events: DataFrame) -> DataFrame:
-    """Running requests per type and their peak: even ids start one, odd ids end one."""
+    """Running requests per type and their peak: even ids start one, odd ids end one.
+
+    The events of a key in one micro-batch are ordered as a whole, 16 bytes for
+    each (``maxFilesPerTrigger`` bounds them); events of a later micro-batch
+    count as later.
+    """
 
     def step(key: tuple, batches, state: GroupState):
         running, peak = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            for i in pdf.sort_values(["ts", "event_id"])["event_id"]:
-                running += 1 if i % 2 == 0 else -1
-                peak = max(peak, running)
+        parts = [(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(np.int64)) for pdf in batches]
+        ts, ids = (np.concatenate(x) for x in zip(*parts))
+        run = running + np.cumsum(np.where(ids[np.lexsort((ids, ts))] % 2 == 0, 1, -1))
+        running, peak = int(run[-1]), max(peak, int(run.max()))
         state.update((running, peak))
         yield pd.DataFrame([(key[0], running, peak)], columns=["event_type", "running", "peak"])
 
@@ -87,8 +93,26 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select("*", part(1).alias("stage"), part(2).alias("message"), F.try_to_number(F.nullif(part(3), F.lit("")), F.lit("999999999")).cast("long").alias("current"), F.try_to_number(F.nullif(part(4), F.lit("")), F.lit("999999999")).cast("long").alias("total")).filter("stage != ''")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a stream has now, as a table in memory (for small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that a stream has now, as a table beside its checkpoint; in update mode the last row of each of ``keys``.
+
+    Every micro-batch replaces its own folder, so one that runs again changes nothing.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out).withColumn("_batch", F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).cast("long"))
+    if mode == "append":
+        return rows.drop("_batch")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("v"))
+        return last.select(*[F.col(c) if c in keys else F.col(f"v.{c}") for c in stream.columns])
+    top = rows.agg(F.max("_batch").alias("_top"))  # one row
+    return rows.join(F.broadcast(top), F.col("_batch") == F.col("_top")).drop("_batch", "_top")

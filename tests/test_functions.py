@@ -48,9 +48,10 @@ def test_preview_is_cut(spark):
 
 
 def test_keep_reasons(spark):
-    df = spark.createDataFrame([(" ", None), ("<f1-abc/>", None), ("long enough text here", "skip_x"), ("https://a.example/x", None), ("Fig.1", None), ("some words of text", None)], "t string, s string")
-    got = [r[0] for r in df.select(rules.keep_reason(F.col("t"), F.col("s"))).collect()]
-    assert got == ["empty", "placeholder_only", "policy_skip", "hard_metadata", "short_label", None]
+    rows = [(" ", True, False, ""), ("<f1-abc/>", True, False, ""), ("long enough text here", False, False, ""), ("https://a.example/x", True, False, ""), ("Fig1", True, True, ""), ("Fig1", None, False, "non_flow"), ("Fig1", True, False, "non_flow"), ("Fig.1", True, True, ""), ("some words of text", True, True, "non_flow")]
+    df = spark.createDataFrame(rows, "t string, p boolean, c boolean, z string")
+    got = [r[0] for r in df.select(rules.keep_reason(rules.Item(*[F.col(c) for c in "tpcz"]))).collect()]
+    assert got == ["empty_source_text", "placeholder_only", "policy_skip", "hard_metadata_fragment", "short_non_body_label", "short_non_body_label", None, None, None]
 
 
 def test_references_and_code(spark):
