@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,17 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share.
+#: paths of the tables that operators have written and results may still read, in order
+_written: list[str] = []
 
-    Where the session names none (single-machine tests), one is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.environ.get("QUILLON_CHECKPOINT_DIR") or os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in whatever store they lie; without a JVM at hand (Spark Connect) they stay."""
+    jvm = getattr(spark, "_jvm", None)
+    for p in paths if jvm is not None else ():
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Scratch:
@@ -43,21 +42,43 @@ class Scratch:
     def sweep(self) -> None:
         """Let Spark remove shuffle files that nothing refers to any more, rather than when the driver next happens to collect."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        if getattr(self.spark, "_jvm", None) is not None:
+            self.spark._jvm.System.gc()
 
     def clear(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, self.paths)
         self.paths = []
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back (cuts lineage, survives lost executors), and where it is."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back. The table stays until ``release``, since results read it lazily."""
+    return stored(df, name)[0]
+
+
+def track(path: str) -> str:
+    """A folder that ``release`` deletes like a table."""
+    _written.append(path)
+    return path
+
+
+def written_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables that operators wrote since a mark, but for ``keep``; call it when the results that read them are written."""
+    gone = [p for p in _written[since:] if p not in keep]
+    _delete(spark, gone)
+    _written[since:] = [p for p in _written[since:] if p in keep]
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[..., DataFrame]]:

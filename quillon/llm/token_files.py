@@ -15,7 +15,9 @@ as a table, names only those of attempts that counted.
 
 Defined results: a null or empty text is a document of no tokens; tokens after
 the last separator of a file form a document with ``closed`` false; an empty
-file has no documents; repeated rows are documents of their own.
+file has no documents; repeated rows are documents of their own; an empty table
+writes no file. Columns other than id and text aren't read, whatever their names.
+Files and manifest stay until ``common.release``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import shared_folder, table
+from quillon.llm.common import shared_folder, table, track
 
 BLOCK_BYTES = 4 << 20
 
@@ -45,7 +47,7 @@ MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("o
 
 def write(docs: DataFrame, ranks_path: str, pattern: str, eod: int, folder: str | None = None, *, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """Encode every text with a byte-level vocabulary into token files; returns the manifest."""
-    folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or track(f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)

@@ -40,3 +40,17 @@ def test_blocks_are_stitched(spark, tmp_path, block):
     names.append((f"file://{tmp_path}/empty.tokens",))
     got = token_files.scan(spark.createDataFrame(names, "file string"), 100, block_bytes=block).collect()
     assert sorted((int(r["file"][-8]), r["ordinal"], r["n_tokens"], r["closed"]) for r in got) == want
+
+
+def test_extra_columns_and_release(spark, odd):
+    from quillon.llm import common
+
+    mark = common.written_so_far()
+    clash = odd.withColumnRenamed("lang", "file").withColumnRenamed("source", "n_tokens")
+    assert token_files.count(clash, RANKS, P.PATTERN, 50256).count() == 14
+    made = common._written[mark:]
+    import os
+
+    assert len(made) == 2 and all(os.path.isdir(p) for p in made)
+    common.release(spark, mark)
+    assert not any(os.path.exists(p) for p in made) and common.written_so_far() == mark
