@@ -16,7 +16,9 @@ texts with any other code point use the library's own normaliser and splitter
 file's added tokens in a text become those tokens, as in the library.
 
 Defined results: a null text is encoded as an empty one (no tokens, empty
-decoded text); texts of any length are encoded whole.
+decoded text); texts of any length are encoded whole; repeated rows are encoded
+alike; of overlapping added tokens the leftmost counts, as in the library; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 from quillon.llm.common import positional, with_fields
 
 SUFFIX = "</w>"
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 SHORT = 64
 #: code points whose case, composition and class are the same everywhere
 PLAIN = regex.compile("[\u0000-ʯΆ-ϿЀ-ҁҊ-ԯ‐-‧‰-⁞₠-₿぀-ゖァ-ヺ一-龥가-힣]*")

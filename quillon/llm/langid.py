@@ -14,7 +14,8 @@ text with letters but no known n-gram gives the language with most training
 documents and 0.0; ties go to the language with more training documents, then
 to the smaller name; with no labelled training row every text gives ``und``.
 The model is fitted on at most ``sample_docs`` whole documents per language,
-chosen by a hash of the id; prediction covers every row and whole texts.
+chosen by a hash of the id; prediction covers every row and whole texts, and
+repeated rows alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

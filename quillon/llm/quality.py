@@ -12,7 +12,8 @@ documents. Documents are joined with their group's thresholds and filtered.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null languages or sources form groups of their own; equal texts in one group
-get equal verdicts; an empty table gives an empty result.
+get equal verdicts; an empty table gives an empty result. Input columns may have
+any names; one called like a result column is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from quillon.llm.common import table, with_fields
 from quillon.llm.words import chunks, ngrams
 
-#: ratio name -> slack in parts per million that is always granted
-SLACK = {"r_symbols": 50_000, "r_dup_lines": 500_000, "r_repeat": 200_000, "r_again": 150_000, "r_upper": 200_000, "r_length": 4_000_000}
+#: ratio name -> slack in parts per million that is always granted; those of repeats lie below the base rule, so that groups with few repeats decide by their own quartiles
+SLACK = {"r_symbols": 50_000, "r_dup_lines": 400_000, "r_repeat": 175_000, "r_again": 150_000, "r_upper": 200_000, "r_length": 4_000_000}
 LEADING_BITS = 5
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -142,10 +143,11 @@ def thresholds(rated: DataFrame, language: str, source: str, *, spread: int = 4,
 
 def judge(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", *, spread: int = 4, least_docs: int = 100, carry: list[str] | None = None) -> DataFrame:
     """docs (or the columns ``carry``) with measures, ratios, ``base_failed`` and ``kept``."""
-    carry = docs.columns if carry is None else carry
+    whole = text in (docs.columns if carry is None else carry)
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*MEASURES, *SLACK, "base_failed", "kept")]
     slim = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col(language).alias("d_lang"), F.col(source).alias("d_source"), F.col(text).alias("d_text"))
     rated = ratios(measure(slim, "d_text")).drop("d_text")
-    if text not in carry:  # without the texts it is small: measure them once only
+    if not whole:  # without the texts it is small: measure them once only
         rated = table(rated, "measures")
     most = thresholds(rated, "d_lang", "d_source", spread=spread, least_docs=least_docs)
     joined = rated.join(most, F.col("d_lang").eqNullSafe(F.col("g_lang")) & F.col("d_source").eqNullSafe(F.col("g_source")), "left")

@@ -62,3 +62,8 @@ def test_odd_rows_and_forgetting(odd, none, monkeypatch):
     coder = bpe.Coder(bpe.load(PATH))
     for _ in range(3):
         assert coder.encode(["one two three four five six", "seven"])[0] == CODER.encode(["one two three four five six", "seven"])[0]
+
+
+def test_clashing_names(odd):
+    got = bpe.encode(odd.withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded"), "text", PATH)
+    assert got.columns == ["doc_id", "text", "n_chars", "ids", "decoded"] and got.count() == 14

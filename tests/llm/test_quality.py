@@ -45,3 +45,8 @@ def test_merging_sketches_is_adding(odd):
     whole = quality.sketches(rated, []).toPandas().set_index(["ratio", "bucket"]).n.to_dict()
     parts = quality.merge(quality.sketches(rated, ["lang"]), []).toPandas().set_index(["ratio", "bucket"]).n.to_dict()
     assert whole == parts
+
+
+def test_clashing_names(odd):
+    got = quality.judge(odd.withColumnRenamed("n_chars", "kept").withColumn("n_words", odd["doc_id"]))
+    assert got.columns[:4] == ["doc_id", "text", "lang", "source"] and len(set(got.columns)) == len(got.columns) and got.count() == 14

@@ -45,3 +45,29 @@ def test_draws_beyond_a_billion(good, bad, draws):
     sd = max(1.0, (mean * (bad / (good + bad)) * ((good + bad - draws) / (good + bad - 1))) ** 0.5)
     assert all(max(0, draws - bad) <= g <= min(good, draws) for g in got)
     assert abs(np.mean(got) - mean) < 6 * sd / 20
+
+
+def test_deal_against_brute_force(spark):
+    """The plan of every partition worked out again row by row: draws from the tree, the deal, the order in each cell."""
+    rows, parts, shards, seed, cell_rows = 137, 5, 3, 11, 10
+    df = spark.range(rows, numPartitions=parts)
+    layout = [[r["id"] for r in df.collect()][i * rows // parts : (i + 1) * rows // parts] for i in range(parts)]
+    sizes = np.array([len(p) for p in layout])
+    first, cells, owner = sharding.cell_bounds(rows, shards, cell_rows)
+    inside = [[] for _ in cells]
+    for p, ids in enumerate(layout):
+        counts = sharding.matrix_row(p, sizes, cells, seed)
+        rng = np.random.default_rng([seed, 1, p])
+        cell = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+        order = rng.integers(0, 2**63, len(ids), dtype=np.int64)
+        for k, i in enumerate(ids):
+            inside[cell[k]].append((order[k], (p << 40) + k, i))
+    want = {i: (int(owner[c]), int(first[c]) + n) for c, held in enumerate(inside) for n, (_, _, i) in enumerate(sorted(held))}
+    got = {r["id"]: (r["shard"], r["slot"]) for r in sharding.shard(df, shards, seed, cell_rows).collect()}
+    assert got == want and [len(h) for h in inside] == cells.tolist()
+
+
+def test_clashing_names(odd):
+    clash = odd.withColumnRenamed("lang", "shard").withColumnRenamed("source", "_cell").withColumnRenamed("n_chars", "_rank")
+    got = sharding.shard(clash, 2)
+    assert got.columns == ["doc_id", "text", "_cell", "_rank", "shard", "slot"] and got.count() == 14
