@@ -1,4 +1,4 @@
-"""Page policies as a named list of stages, switched by a profile; fitting and command prefixes."""
+"""Page policies as a named list of stages, switched by a profile; command prefixes."""
 
 from __future__ import annotations
 
@@ -34,20 +34,6 @@ def skip_stage(label: str, when) -> Stage:
     return lambda df: df.withColumn("label", F.when((F.col("label") == "") & F.coalesce(when, F.lit(False)), label).otherwise(F.col("label")))
 
 
-def fitted_size(width: Column, height: Column, chars: Column, low: float = 4.0, high: float = 24.0) -> Column:
-    """Largest font size from 4 to 24 points, in steps of 1/64, at which the characters fit the box: a binary search folded over its rounds."""
-
-    def narrowed(span: Column) -> Column:
-        mid = (span["low"] + span["high"]) / 2
-        per_line = F.greatest(F.lit(4.0), width / (mid * 0.92))
-        fits = F.greatest(F.lit(1), F.ceil(chars / per_line)) * mid * 1.2 <= height
-        return F.struct(F.when(fits, mid).otherwise(span["low"]).alias("low"), F.when(fits, span["high"]).otherwise(mid).alias("high"))
-
-    start = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(11)), start, lambda span, _: narrowed(span))
-    return F.floor(found["low"] * 64) / 64
-
-
 # What command tokens look like.
 COMMAND_HEAD = r"^[A-Za-z][\w.-]{0,31}$"
 COMMAND_FLAG = r"^-{1,2}[A-Za-z0-9][\w.-]*$"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import more as M
 from quillon.functions import text as X
+from quillon.operators import fitting as T
 from quillon.operators import pages as G
 from quillon.operators import protection as Z
 from quillon.operators import sequential as S
@@ -135,9 +136,18 @@ def repair_math(t):
     return items(t.documents).select("doc_id", "item_id", F.regexp_replace(theta, r"[\x01-\x08\x0b\x0c\x0e-\x1f]", " ").alias("repaired"))
 
 
+def _fit_case(t):
+    """Tagged items with the box and size that they are to be fitted with."""
+    b = blocks(t.documents).select("doc_id", "item_id", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    formulas = F.transform(Z.formula_map(F.col("protected_map")), lambda e: F.struct(e["placeholder"].alias("placeholder"), e["formula_text"].alias("formula_text")))
+    return tagged(t).join(b, ["doc_id", "item_id"]).withColumns({"formulas": formulas, "size": F.lit(9.0) + (F.col("doc_id") % 4), "leading": F.lit(0.2)})
+
+
 @query("m05_fitted_size")
 def fitted_size(t):
-    return blocks(t.documents).select("doc_id", "item_id", G.fitted_size(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.length("text").cast("double")).alias("size"))
+    d = _fit_case(t)
+    got = T.solve("w", "h", "text", "formulas", "leading", F.lit(6.0), F.lit(14.0))
+    return d.select("doc_id", "item_id", got.alias("g")).select("doc_id", "item_id", "g.size", "g.lines", "g.overflow")
 
 
 @query("m11_seed_type", f"WITH {BLOCKS} SELECT doc_id, item_id, round_even((y1 - y0) / greatest(1, ceil(length(text) / 40.0)) * 0.8, 3) AS font_size, least(0.6, greatest(0.1, round_even((x1 - x0) / 1000, 3))) AS leading FROM blocks")
@@ -146,11 +156,27 @@ def seed_type(t):
     return blocks(t.documents).select("doc_id", "item_id", F.bround((F.col("y1") - F.col("y0")) / lines * 0.8, 3).alias("font_size"), F.least(F.lit(0.6), F.greatest(F.lit(0.1), F.bround((F.col("x1") - F.col("x0")) / 1000, 3))).alias("leading"))
 
 
-@query("m12_fit_plan", f"WITH {BLOCKS}, d AS (SELECT doc_id, item_id, length(text) / ((x1 - x0) * (y1 - y0)) AS density, y1 - y0 AS h FROM blocks) SELECT doc_id, item_id, CASE WHEN density > 0.1 THEN 'shrink' WHEN h < 30 THEN 'single_line' ELSE 'keep' END AS plan, concat_ws(',', CASE WHEN density > 0.1 THEN 'dense' END, CASE WHEN h < 30 THEN 'low' END) AS reasons FROM d")
+def _pull(x: str, slope: str) -> str:
+    return f"greatest(0.0, least(1.0, (1.0 / (1.0 + exp(-{slope} * ({x}))) - 0.5) * 2.0))"
+
+
+_PLAN = f"""{BLOCKS}, c AS (SELECT doc_id, item_id, CAST(y1 - y0 AS DOUBLE) AS h, doc_id % 3 AS n, CAST(9.0004 AS DOUBLE) + doc_id % 4 AS size, CAST(block_idx % 5 AS DOUBLE) / 8 AS ratio, CAST(ceil(length(text) / 20.0) * 12 AS DOUBLE) AS tall, CAST(greatest(1, length(regexp_replace(text, '\\s+', '', 'g'))) AS DOUBLE) AS chars FROM blocks),
+f AS (SELECT *, CASE WHEN n > 0 THEN round_even(least(1.0, n / (n + chars / 12.0)), 3) ELSE 0.0 END AS share, CASE WHEN n > 0 THEN round_even(least(1.0, n * CAST(0.16 AS DOUBLE) + n * CAST(0.025 AS DOUBLE)), 3) ELSE 0.0 END AS cx FROM c),
+w AS (SELECT *, greatest(0.22, exp(-1.35 * (ratio * 0.65 + share * 0.55 + n * 0.26 + cx * 0.45))) AS trust, tall * (1.0 - 0.18 * {_pull('ratio * 0.42 + share * 0.38 + n * 0.05', '3.0')}) / greatest(h, 1.0) AS fill FROM f),
+g AS (SELECT *, round_even(0.2 * {_pull('(0.86 - fill) / 0.86', '5.0')} * trust, 3) AS growth, round_even(CASE WHEN ratio <= 0.15 THEN 0.6 WHEN ratio <= 0.35 THEN 0.4 ELSE 0.2 END * {_pull('fill - 0.86', '4.2')} * trust * trust, 3) AS shrink FROM w),
+z AS (SELECT *, round_even(greatest(7.8, least(round_even(size + growth - shrink, 2), size + 0.2)), 2) AS new FROM g)"""
+
+
+@query("m12_fit_plan", f"WITH {_PLAN} SELECT doc_id, item_id, new AS size, CASE WHEN abs(new - size) >= 0.005 THEN 'continuous_fit' ELSE 'fast_estimate' END AS mode, concat_ws(',', CASE WHEN growth > 0 THEN 'underfilled_body' END, CASE WHEN shrink > 0 THEN 'height_pressure' END, CASE WHEN ratio > 0 THEN 'formula_weighted' END, CASE WHEN cx > 0 THEN 'formula_complexity' END, CASE WHEN n > 0 THEN 'formula_count_weighted' END) AS reasons FROM z")
 def fit_plan(t):
-    """A decision and the codes of what it rests on."""
-    dense, low = F.length("text") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) > 0.1, F.col("y1") - F.col("y0") < 30
-    return blocks(t.documents).select("doc_id", "item_id", F.when(dense, "shrink").when(low, "single_line").otherwise("keep").alias("plan"), F.concat_ws(",", F.when(dense, "dense"), F.when(low, "low")).alias("reasons"))
+    """A change of size and the codes of what it rests on; the estimate is a formula here, so that SQL can follow."""
+    d, b = F.col("doc_id"), F.col("block_idx")
+    entry = F.struct(F.lit("p").alias("placeholder"), F.lit(r"\frac{a}{b}_2").alias("formula_text"))
+    formulas = F.array_repeat(entry, (d % 3).cast("int"))
+    estimated = F.struct((F.ceil(F.length("text") / 20.0) * 12).cast("double").alias("height"), ((b % 5).cast("double") / 8).alias("formula_ratio"))
+    size = F.lit(9.0004) + d % 4  # no sum lies halfway between two hundredths
+    p = T.plan((F.col("y1") - F.col("y0")).cast("double"), F.col("text"), formulas, size, estimated, size + 0.2)
+    return blocks(t.documents).select("doc_id", "item_id", p.alias("p")).select("doc_id", "item_id", "p.size", "p.mode", F.concat_ws(",", "p.reasons").alias("reasons"))
 
 
 def replay(df: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:

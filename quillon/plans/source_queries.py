@@ -89,6 +89,27 @@ def signal_summary(t):
     return D.signal_summary(D.column_signals(layout_blocks(t))).withColumn("pages", pages)
 
 
+def block_trees(t):
+    """Each page's lines as trees: every third is a top block, the next its child, the one after that child's child."""
+    i = items(t.documents).select("doc_id", "page_idx", "block_idx", "text", F.expr("block_idx div 3").alias("top"), (F.col("block_idx") % 3).alias("level"))
+    block = lambda level, below: F.struct(F.max(F.when(F.col("level") == level, F.col("text"))).alias("text"), F.when(F.max(F.col("level") >= level + 1), F.array(below)).alias("children")) if below is not None else F.struct(F.max(F.when(F.col("level") == level, F.col("text"))).alias("text"))
+    kind = F.when(F.col("top") % 4 == 0, "algorithm").otherwise("body")
+    tree = block(0, block(1, block(2, None)))
+    tops = i.groupBy("doc_id", "page_idx", "top").agg(tree.alias("b")).withColumn("b", F.struct(kind.alias("sub_type"), F.col("b.text").alias("text"), F.col("b.children").alias("children")))
+    pages = tops.groupBy("doc_id", "page_idx").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("top", "b"))), lambda x: x["b"])).alias("blocks"))
+    return pages.select(F.col("doc_id").cast("string").alias("document_id"), F.col("page_idx").alias("page_index"), "blocks")
+
+
+@query(
+    "p10_block_tree",
+    f"WITH {ITEMS}, l AS (SELECT *, block_idx // 3 AS top, block_idx % 3 AS level FROM items), k AS (SELECT doc_id, page_idx, top, max(level) AS deepest FROM l GROUP BY doc_id, page_idx, top), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY top) - 1 AS b FROM k), r AS (SELECT *, unnest(range(deepest + 1)) AS depth FROM g) "
+    "SELECT CAST(r.doc_id AS VARCHAR) AS document_id, printf('p%03d-b%03d', r.page_idx + 1, b) || repeat('-i000', depth) AS item_id, r.top % 4 = 0 AS inside, depth, coalesce(text, '') AS text FROM r LEFT JOIN l ON l.doc_id = r.doc_id AND l.page_idx = r.page_idx AND l.top = r.top AND l.level = r.depth",
+)
+def block_tree(t):
+    flat = D.tree_items(block_trees(t), inherits=F.get_json_object("block", "$.sub_type") == "algorithm")
+    return flat.select("document_id", "item_id", "inside", F.col("depth").cast("long").alias("depth"), F.coalesce(F.get_json_object("block", "$.text"), F.lit("")).alias("text"))
+
+
 def normalized(t):
     """Documents in the normalized schema, as structs."""
     b = blocks(t.documents).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("block_idx", "block_type", "sub_type", "text"))).alias("b"))

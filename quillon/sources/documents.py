@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import roles as R
+from quillon.sources.shared import written
 
 SCHEMA_NAME, SCHEMA_VERSION = "normalized_document_v1", "1.1"
 BLOCK = "block_id string, page_index bigint, `order` bigint, reading_order bigint, type string, sub_type string, bbox array<double>, text string, tags array<string>, layout_role string, semantic_role string, structure_role string, derived struct<role:string,by:string,confidence:double>, metadata map<string,string>, lines array<struct<bbox:array<double>,spans:array<struct<type:string,content:string,bbox:array<double>>>>>"
@@ -200,6 +201,28 @@ def signal_summary(signals: DataFrame) -> DataFrame:
     return p.groupBy("document_id").agg(F.count_if(F.col("suspected") > 0).alias("suspicious_pages"), F.sum("suspected").alias("suspicious_blocks"), pages.alias("pages"))
 
 
+def tree_items(pages_of: DataFrame, children: str = "children", inherits: Column | None = None) -> DataFrame:
+    """One row per block of the block trees in (document_id, page_index, blocks): blocks is a JSON array.
+
+    An id is p, the page from 1, -b and the place of the top block, and -i with
+    its place for every level below. ``inherits`` tells of a block (JSON column
+    ``block``) what holds for all blocks under it, too, such as being part of an
+    algorithm. Every level of the trees is one pass; their depth is unbounded.
+    """
+    own = F.coalesce(inherits, F.lit(False)) if inherits is not None else F.lit(False)
+    listed = lambda c: F.from_json(c, "array<string>")
+    level = pages_of.select("document_id", "page_index", F.posexplode(listed(F.col("blocks"))).alias("block_index", "block"))
+    level = level.withColumns({"item_id": F.format_string("p%03d-b%03d", F.col("page_index") + 1, "block_index"), "inside": own, "depth": F.lit(0)})
+    out: DataFrame | None = None
+    while True:
+        level = written(level, "blocks")
+        if level.limit(1).count() == 0:
+            return level if out is None else out
+        out = level if out is None else out.unionByName(level)
+        below = level.select("document_id", "page_index", "block_index", "item_id", "inside", "depth", F.posexplode(listed(F.get_json_object("block", f"$.{children}"))).alias("i", "block"))
+        level = below.select("document_id", "page_index", "block_index", "block", F.concat("item_id", F.format_string("-i%03d", "i")).alias("item_id"), (F.col("inside") | own).alias("inside"), (F.col("depth") + 1).alias("depth"))
+
+
 def problems(docs: DataFrame) -> DataFrame:
     """(document_id, problem): broken rules of normalized documents with their path."""
     top = F.array_compact(F.array(
@@ -212,4 +235,4 @@ def problems(docs: DataFrame) -> DataFrame:
 
 
 ITEM_ID = "p%03d-b%03d"
-__all__ = ["Adapters", "BLOCK", "DOCUMENT", "FLAT", "ITEM_ID", "column_signals", "default_adapters", "flatten", "pages", "problems", "read_documents", "signal_summary"]
+__all__ = ["Adapters", "BLOCK", "DOCUMENT", "FLAT", "ITEM_ID", "column_signals", "default_adapters", "flatten", "pages", "problems", "read_documents", "signal_summary", "tree_items"]
