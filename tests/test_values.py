@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import more, roles, rules
-from quillon.operators import joins, pages, protection, sequential, windows
+from quillon.operators import fitting, joins, pages, protection, sequential, windows
 from quillon.sources import documents, files, sinks
 from quillon.streaming import events
 
@@ -60,22 +60,68 @@ def test_formula_maps_there_and_back(spark):
     assert got["m"][0]["checksum"] == got["protected_map"][0]["checksum"] and got["m"][0]["source_offset"] == -1
 
 
-def test_fitted_size_is_the_largest_that_fits(spark):
-    cases = [(200.0, 30.0, 40.0), (100.0, 200.0, 90.0), (50.0, 10.0, 400.0), (300.0, 15.0, 5.0)]
-
-    def fits(w, h, n, size):
-        return max(1, math.ceil(n / max(4.0, w / (size * 0.92)))) * size * 1.2 <= h
-
-    df = spark.createDataFrame(cases, "w double, h double, n double")
-    for w, h, n, got in df.select("w", "h", "n", pages.fitted_size(F.col("w"), F.col("h"), F.col("n"))).collect():
-        best = 4.0
-        low, high = 4.0, 24.0
-        for _ in range(11):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(w, h, n, mid) else (low, mid)
-        best = math.floor(low * 64) / 64
-        assert got == best
-        assert got == 4.0 or fits(w, h, n, got)
+def brute_lines(ems, box, size):
+    room, lines, marked, used, has = max(1.0, box * fitting.LINE_SAFETY / size), 1, 0, 0.0, False
+    for width, formula in zip(ems.width, ems.formula):
+        if used > 0 and used + width > room + 1e-9:
+            marked, lines, used, has = marked + has, lines + 1, 0.0, False
+        if width > room:
+            lines, used = lines + math.ceil(width / room) - 1, width % room
+        else:
+            used += width
+        has = has or formula
+    return lines, marked + has
+
+
+def test_lines_against_a_loop():
+    rng = random.Random(7)
+    pieces = ["中", "word ", "a ", "longer-than/most_lines ", "$x^{2}$ ", "，", "\n", "⟦FORMULA_1⟧", "x" * 30 + " "]
+    for _ in range(400):
+        ems = fitting.Ems.of("".join(rng.choice(pieces) for _ in range(rng.randrange(60))), {"⟦FORMULA_1⟧": r"\frac{a}{b}"})
+        box, size = rng.uniform(5, 300), rng.uniform(6, 20)
+        assert ems.lines(box, size) == brute_lines(ems, box, size)
+    assert fitting.Ems.of("", {}).lines(10, 5) == (1, 0) and fitting.Ems.of("a", {}).lines(0, 5) == (1, 0)
+    assert fitting.Ems.of("中文 ab, $x$", {}).width.tolist() == pytest.approx([1, 1, 0.32, 1.1, 0.62, 0.32, 0.89])
+
+
+def test_solved_size_is_the_largest_that_fits(spark):
+    rows = [(200.0, 60.0, "words and 中文 text " * 9), (90.0, 12.0, "too much " * 30), (300.0, 500.0, "little")]
+    df = spark.createDataFrame(rows, "w double, h double, t string")
+    none = F.array().cast("array<struct<placeholder:string,formula_text:string>>")
+    got = df.select("w", "h", "t", fitting.solve("w", "h", "t", none, F.lit(0.2), F.lit(6.0), F.lit(14.0)).alias("g")).collect()
+    for r in got:
+        ems = fitting.Ems.of(r["t"], {})
+        sizes = [7.8 + i * 0.01 for i in range(621)]
+        fits = [s for s in sizes if ems.height(r["w"], s, 0.2)[0] <= r["h"]]
+        assert r["g"]["size"] == 7.8 if not fits else abs(r["g"]["size"] - max(fits)) <= 0.1 or ems.height(r["w"], r["g"]["size"], 0.2)[0] <= r["h"]
+    assert [r["g"]["size"] for r in got][1:] == [7.8, pytest.approx(14.0, abs=0.05)]
+
+
+def test_fit_plans(spark):
+    none = F.array().cast("array<struct<placeholder:string,formula_text:string>>")
+    one_ = F.array(F.struct(F.lit("p").alias("placeholder"), F.lit(r"\frac{a}{b}_2").alias("formula_text")))
+    est = lambda h, r: F.struct(F.lit(h).alias("height"), F.lit(r).alias("formula_ratio"))
+    df = spark.range(1)
+    low = df.select(fitting.plan(F.lit(100.0), F.lit("abc"), none, F.lit(10.0), est(20.0, 0.0)).alias("p")).first()["p"]
+    force = lambda x, s: max(0.0, min(1.0, (1 / (1 + math.exp(-s * x)) - 0.5) * 2))
+    assert low["size"] == round(10 + round(0.35 * force((0.86 - 0.2) / 0.86, 5.0), 3), 2) and low["reasons"] == ["underfilled_body"] and low["mode"] == "continuous_fit"
+    high = df.select(fitting.plan(F.lit(100.0), F.lit("a b c"), one_, F.lit(10.0), est(150.0, 0.2)).alias("p")).first()["p"]
+    share, complexity = round(1 / (1 + 3 / 12), 3), round(0.16 + 0.025, 3)
+    trust = max(0.22, math.exp(-1.35 * (0.2 * 0.65 + share * 0.55 + 0.26 + complexity * 0.45)))
+    fill = 1.5 * (1 - 0.18 * force(0.2 * 0.42 + share * 0.38 + 0.05, 3.0))
+    assert high["overflow"] == pytest.approx(fill) and high["trust"] == pytest.approx(trust)
+    assert high["size"] == round(10 - round(0.4 * force(fill - 0.86, 4.2) * trust * trust, 3), 2)
+    assert high["reasons"] == ["height_pressure", "formula_weighted", "formula_complexity", "formula_count_weighted"]
+    capped = df.select(fitting.plan(F.lit(100.0), F.lit("abc"), none, F.lit(7.0), est(20.0, 0.0), F.lit(7.05)).alias("p")).first()["p"]
+    assert capped["size"] == 7.8
+
+
+def test_block_trees_of_any_depth(spark):
+    tree = '[{"t":"a","k":"algorithm","children":[{"t":"b"},{"t":"c","children":[{"t":"d","children":[{"t":"e"}]}]}]},{"t":"f"}]'
+    df = spark.createDataFrame([("x", 0, tree), ("x", 1, "[]"), ("y", 4, None)], "document_id string, page_index int, blocks string")
+    flat = documents.tree_items(df, inherits=F.get_json_object("block", "$.k") == "algorithm")
+    got = {(r["item_id"], r["t"], r["inside"]) for r in flat.withColumn("t", F.get_json_object("block", "$.t")).collect()}
+    assert got == {("p001-b000", "a", True), ("p001-b000-i000", "b", True), ("p001-b000-i001", "c", True), ("p001-b000-i001-i000", "d", True), ("p001-b000-i001-i000-i000", "e", True), ("p001-b001", "f", False)}
 
 
 @pytest.mark.parametrize(
