@@ -3,14 +3,17 @@
 The DOMs of all pages of a host are merged: nodes with the same path of block
 elements (tag and first class or id) are one node of the host's tree. A node
 has two features on every page: its presentation (the sequence of its child
-elements and texts) and its content (the text directly in it). Over the m
+elements and texts, unless it is all text) and its content (the text directly in it). Over the m
 pages that have the node, a feature's importance is its entropy divided by
 log m: 0 where all pages show the same, 1 where all differ. A branch's
 importance is the mean over its nodes, discounted by ``GAMMA`` per level.
 Branches whose importance is below ``LEAST`` are removed from every page of the
-host. Inside ``article`` and ``main``, where lists and tables of one shape hold
-different texts, it must be below ``LEAST_INSIDE`` on ``ARTICLE_PAGES`` pages or
-more, so that a site of copies keeps its text.
+host: a menu of fixed shape goes even if its links change. A text of more than
+``MENU_WORDS`` words goes only if its node's content alone has so little
+importance, so a fixed frame around new prose takes nothing along. Inside
+``article`` and ``main``, where lists and tables of one shape hold different
+texts, a branch's importance must be below ``LEAST_INSIDE`` on ``ARTICLE_PAGES``
+pages or more, so that a site of copies keeps its text.
 
 Two kinds of boilerplate have no low entropy: texts that vary from page to page
 in a fixed place (rotating adverts, footers with dates) and pages of hosts with
@@ -47,6 +50,7 @@ from quillon.llm.common import positional, table, with_fields
 GAMMA = 0.9
 LEAST = 0.3
 LEAST_INSIDE = 0.05
+MENU_WORDS = 5
 LEAST_PAGES = 5
 ARTICLE_PAGES = 40
 BROADCAST_BYTES = 8 << 20
@@ -201,7 +205,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
     own: dict[str, list[str]] = {}
     for path, _, t in blocks:
         own.setdefault(path, []).append(t)
-    return blocks, {p: (" ".join(c), "\n".join(own.get(p, ()))) for p, c in style.items()}
+    return blocks, {p: (" ".join(c) if set(c) - {"#"} else "", "\n".join(own.get(p, ()))) for p, c in style.items()}
 
 
 FEATURES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType())])
@@ -226,18 +230,18 @@ def _features(batches):
 
 
 def importance(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, path, pages, importance) of every node of every host's tree."""
+    """(host, path, pages, importance, content) of every node of every host's tree; content is its own text's importance."""
     seen = pages.filter(F.col(host) != "").select(host, page).mapInArrow(_features, FEATURES)
     counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
     kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))).otherwise(F.lit(1.0))
-    nodes = kinds.select("host", "path", "m", entropy.alias("h"))
+    nodes = kinds.select("host", "path", "kind", "m", entropy.alias("h"))
     # every node adds to the branches above it, less by GAMMA for each level
     steps = F.split(F.expr("substring(path, 2)"), "/")
     up = nodes.withColumn("steps", steps).withColumn("d", F.explode(F.sequence(F.lit(1), F.size("steps"))))
     weight = F.col("m") * F.pow(F.lit(GAMMA), F.size("steps") - F.col("d"))
-    up = up.select("host", F.concat(F.lit("/"), F.array_join(F.slice("steps", F.lit(1), F.col("d")), "/")).alias("path"), weight.alias("w"), (weight * F.col("h")).alias("wh"), "m")
-    return up.groupBy("host", "path").agg(F.max("m").alias("pages"), (F.sum("wh") / F.sum("w")).alias("importance"))
+    up = up.select("host", F.concat(F.lit("/"), F.array_join(F.slice("steps", F.lit(1), F.col("d")), "/")).alias("path"), weight.alias("w"), (weight * F.col("h")).alias("wh"), "m", F.when((F.col("kind") == 1) & (F.col("d") == F.size("steps")), F.col("h")).alias("own"))
+    return up.groupBy("host", "path").agg(F.max("m").alias("pages"), (F.sum("wh") / F.sum("w")).alias("importance"), F.max("own").alias("content"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool = True) -> DataFrame:
@@ -248,11 +252,14 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool
     tree = importance(named, "host_", name(page))
     inside = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
     low = F.when(inside, (F.col("importance") < LEAST_INSIDE) & (F.col("pages") >= ARTICLE_PAGES)).otherwise((F.col("importance") < LEAST) & (F.col("pages") >= LEAST_PAGES))
-    low = table(tree.filter(low).groupBy(F.col("host").alias("tree_host")).agg(F.collect_list("path").alias("low")), "style-tree")
-    size = low.agg(F.sum(F.octet_length(F.concat_ws(" ", "low", "tree_host")))).first()[0]
+    dull = F.coalesce(F.col("content") < LEAST, F.lit(False))
+    marks = tree.select("host", "path", low.alias("is_low"), dull.alias("is_dull")).filter("is_low or is_dull")
+    lists = [F.collect_list(F.when(F.col(f"is_{k}"), F.col("path"))).alias(k) for k in ("low", "dull")]
+    low = table(marks.groupBy(F.col("host").alias("tree_host")).agg(*lists), "style-tree")
+    size = low.agg(F.sum(F.octet_length(F.concat_ws(" ", "low", "dull", "tree_host")))).first()[0]
     if (size or 0) <= BROADCAST_BYTES:
         low = F.broadcast(low)
-    slim = named.join(low, F.col("host_") == F.col("tree_host"), "left").select(*plain.columns, "low")
+    slim = named.join(low, F.col("host_") == F.col("tree_host"), "left").select(*plain.columns, "low", "dull")
     at, n = pages.columns.index(page), len(pages.columns)
     result = [*plain.columns, "main_text"]
 
@@ -261,10 +268,11 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = []
-                for p, branches in zip(part.column(at), part.column(n)):
-                    cut = tuple(branches.as_py() or ())
-                    within = tuple(c + "/" for c in cut)
-                    texts.append("\n\n".join(t for path, marked, t in parse(p.as_py())[0] if not (marked and names) and path not in cut and not path.startswith(within)))
+                for p, branches, nodes in zip(part.column(at), part.column(n), part.column(n + 1)):
+                    cut = tuple(c + "/" for c in branches.as_py() or ())
+                    dull = frozenset(nodes.as_py() or ())
+                    falls = lambda path, t: f"{path}/".startswith(cut) and (path in dull or t.count(" ") < MENU_WORDS)  # noqa: B023, E731
+                    texts.append("\n\n".join(t for path, marked, t in parse(p.as_py())[0] if not (marked and names) and not falls(path, t)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=result)
 
     done = slim.mapInArrow(run, with_fields(plain.schema, ("main_text", T.StringType())))

@@ -132,3 +132,10 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "http://h/", "<p>a", "old", 5, 6)], "page_id long, url string, html string, main_text string, host_ int, low int")
     got = S.extract(df)
     assert got.columns == ["page_id", "url", "html", "host_", "low", "main_text"] and tuple(got.first()) == (1, "http://h/", "<p>a", 5, 6, "a")
+
+
+def test_a_fixed_frame_keeps_new_prose(spark):
+    frame = "<div><div><div><div><div><p>{}</p></div></div></div></div></div><div class=x><p>the same notice of many words on every page</p></div>"
+    rows = [(i, "http://h/", frame.format(f"page {i} tells of {i * 3} things at some length")) for i in range(12)]
+    got = [r["main_text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == [f"page {i} tells of {i * 3} things at some length" for i in range(12)]
