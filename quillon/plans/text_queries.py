@@ -257,8 +257,8 @@ def json_columns(t):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"), X.first_non_blank(F.col("event_type"), F.lit("event")).alias("kind"))
 
 
-@query("g10_guidance_lines", "SELECT source, doc_id // 20 AS part, string_agg(doc_id || ': ' || lang, chr(10) ORDER BY doc_id) AS lines FROM documents GROUP BY source, doc_id // 20")
+@query("g10_guidance_lines", "SELECT source, doc_id // 400 AS part, string_agg(doc_id || ': ' || lang, chr(10) ORDER BY doc_id) AS lines FROM documents GROUP BY source, doc_id // 400")
 def guidance_lines(t):
-    """Rows of a group as ordered lines of text; a source's documents in parts of twenty ids."""
-    d = t.documents.groupBy("source", F.expr("doc_id div 20").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
+    """Rows of a group as ordered lines of text; a source's documents in parts of four hundred ids."""
+    d = t.documents.groupBy("source", F.expr("doc_id div 400").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
     return d.select("source", "part", F.array_join(F.transform("r", lambda x: F.concat_ws(": ", x["doc_id"].cast("string"), x["lang"])), "\n").alias("lines"))
