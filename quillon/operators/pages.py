@@ -1,15 +1,13 @@
-"""Page policies as a named list of stages, switched by a profile; command prefixes."""
+"""Page policies as a named list of stages, switched by a profile."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import text as X
-
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -32,40 +30,3 @@ def run_stages(df: DataFrame, stages: list[tuple[str, Stage]], profile: Profile
 def skip_stage(label: str, when) -> Stage:
     """A stage that labels the rows for which a rule holds, unless they have a label."""
     return lambda df: df.withColumn("label", F.when((F.col("label") == "") & F.coalesce(when, F.lit(False)), label).otherwise(F.col("label")))
-
-
-# What command tokens look like.
-COMMAND_HEAD = r"^[A-Za-z][\w.-]{0,31}$"
-COMMAND_FLAG = r"^-{1,2}[A-Za-z0-9][\w.-]*$"
-COMMAND_FILE = r"^[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}$"
-COMMAND_NUMBER = r"^-?\d+(?:\.\d+)?$"
-COMMAND_ARGUMENT = r"^<[^<>\n]+>$"
-COMMAND_OPERATORS = (">", "<", "|", "||", "&&", "2>", "1>", ">>", "=", ":")
-
-
-def command_prefix(text: Column) -> Column:
-    """The longest run of command tokens at a text's start, or ''.
-
-    A token belongs if it looks like a command's value or follows an operator
-    or a flag. The run needs three tokens, evidence worth 2, and six words of
-    prose (three letters or more) behind it.
-    """
-    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-    head = F.get(tokens, F.lit(0))
-    headed = head.rlike(COMMAND_HEAD) & ((F.lower(head) == head) | head.rlike(r"[\d.-]"))
-    operator = lambda t: t.isin(*COMMAND_OPERATORS)
-    value = lambda t: operator(t) | t.rlike("|".join((COMMAND_ARGUMENT, COMMAND_FLAG, COMMAND_NUMBER, COMMAND_FILE, r"[/\\_=]")))
-    opens = lambda t: operator(t) | t.rlike(COMMAND_FLAG)
-    belongs = F.transform(tokens, lambda t, i: (i == 0) | value(t) | F.coalesce(F.when(i > 0, opens(F.get(tokens, i - 1))), F.lit(False)))
-    end = F.array_position(belongs, False)
-    n = F.when(end > 0, end - 1).otherwise(F.size(tokens).cast("long")).cast("int")
-    run, rest = F.slice(tokens, F.lit(1), n), F.slice(tokens, n + 1, F.greatest(F.lit(0), F.size(tokens) - n))
-    tail = F.slice(run, F.lit(2), F.greatest(F.lit(0), n - 1))
-    worth = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
-    evidence = (
-        worth(F.exists(tail, lambda t: t.rlike(COMMAND_FLAG)), 2) + worth(F.exists(tail, lambda t: t.rlike(COMMAND_FILE)), 2) + worth(F.exists(tail, lambda t: t.rlike(COMMAND_ARGUMENT)), 2)
-        + worth(F.exists(run, operator), 2) + worth(F.size(F.filter(tail, lambda t: t.rlike(COMMAND_NUMBER))) >= 2, 1) + worth(F.exists(tail, lambda t: t.rlike(r"[/\\=]")), 1) + worth(head.rlike(r"[\d.-]"), 1)
-    )
-    prose = F.size(F.filter(F.regexp_extract_all(F.array_join(rest, " "), F.lit(X.WORD), F.lit(0)), lambda w: F.length(w) >= 3))
-    ok = headed & (F.size(tokens) >= 3) & (n >= 3) & (evidence >= 2) & (prose >= 6)
-    return F.when(F.coalesce(ok, F.lit(False)), F.array_join(run, " ")).otherwise("")

@@ -81,15 +81,6 @@ def refilled_page(t):
     return U.page(t.orders.filter("o_orderstatus = 'F' and o_orderpriority != ''"), [F.desc("o_orderdate"), "o_orderkey"], 20, 100).select("o_orderkey")
 
 
-@query("f33_mixed_decision", f"WITH {ITEMS}, c AS (SELECT doc_id, item_id, 'keep_all' AS d FROM items WHERE block_idx % 9 = 0) SELECT doc_id, item_id, coalesce(d, CASE WHEN contains(text, '|') THEN 'translate_tail' END, CASE WHEN length(text) < 20 THEN 'keep_all' END, 'translate_all') AS decision FROM items LEFT JOIN c USING (doc_id, item_id)")
-def mixed_decision(t):
-    """Cached, then local rules, then the fallback."""
-    i = items(t.documents)
-    cached = i.filter("block_idx % 9 = 0").select("doc_id", "item_id", F.lit("keep_all").alias("d"))
-    local, short = F.when(F.col("text").contains("|"), "translate_tail"), F.when(F.length("text") < 20, "keep_all")
-    return i.join(cached, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.coalesce("d", local, short, F.lit("translate_all")).alias("decision"))
-
-
 @query("j05_boundary_pairs", f"WITH {BLOCKS}, z AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id, page_idx, x0) AS n FROM blocks WINDOW w AS (PARTITION BY doc_id, page_idx, x0 ORDER BY y0)) SELECT a.doc_id, a.item_id AS prev_id, b.item_id AS next_id FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.page_idx = a.page_idx + 1 AND a.x0 = b.x0 WHERE a.r = a.n AND b.r = 1 AND a.block_type = 'text' AND b.block_type = 'text'")
 def boundary_pairs(t):
     """The last item of a zone with the first of the same zone on the next page."""

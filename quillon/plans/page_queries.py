@@ -45,15 +45,6 @@ def mirror_child(t):
     return t.events.select("event_id", F.concat(F.lit("ocr_"), "event_type").alias("event"), w["child_job"].alias("child_job"), w["payload"]["k"].cast("long").alias("payload_k"))
 
 
-_COMMANDS = ["run --fast in.txt > out.txt ", "tool2 <input> -v 3 ", "Run the model ", "sort a.csv ", "x = 3 4 ", "make "]
-
-
-@query("f12_command_prefix")
-def command_prefix(t):
-    text = F.concat(cycle(_COMMANDS, F.col("doc_id") + F.col("block_idx")), F.col("text"))
-    return items(t.documents).select("doc_id", "item_id", G.command_prefix(text).alias("prefix"))
-
-
 @query("f14_literal_label", f"WITH {BLOCKS} SELECT doc_id, item_id, CASE WHEN block_type = 'table' THEN 'code' WHEN contains(text, '###') THEN 'translate_literal' ELSE '' END AS label FROM blocks")
 def literal_label(t):
     return blocks(t.documents).select("doc_id", "item_id", F.when(F.col("block_type") == "table", "code").when(F.col("text").contains("###"), "translate_literal").otherwise("").alias("label"))

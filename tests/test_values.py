@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import more, roles, rules
-from quillon.operators import fitting, joins, pages, protection, sequential, windows
+from quillon.operators import commands, fitting, joins, pages, protection, sequential, windows
 from quillon.sources import documents, files, sinks
 from quillon.streaming import events
 
@@ -136,7 +136,7 @@ def test_block_trees_of_any_depth(spark):
     ],
 )
 def test_command_prefix(spark, text, prefix):
-    assert spark.createDataFrame([(text,)], "t string").select(pages.command_prefix(F.col("t"))).first()[0] == prefix
+    assert spark.createDataFrame([(text,)], "t string").select(commands.command_prefix(F.col("t"))).first()[0] == prefix
 
 
 def test_garbled_formulas(spark):
