@@ -170,7 +170,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, carry:
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("d_id"), F.col(text).alias("d_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     rows = table(_rows(slim, "d_text", block_bytes, seed, keyed), "rows")
     found = table(rows.drop("keys").join(identities(rows.select("rid", "keys"), names), "rid"), "identified")
-    stays = found.groupBy("identity").agg(F.max(F.struct("d_id", "rid")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join deals out both sides and Spark can split a hot text's rows
+    stays = table(found.groupBy("identity").agg(F.max(F.struct("d_id", "rid")).alias("stays"), F.count(F.lit(1)).alias("group_size")), "stays")
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
     return found.join(stays, "identity").select(*back, F.col("stays.d_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("stays.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
