@@ -35,18 +35,21 @@ from quillon.llm.words import mix
 ORDERS = (2, 3, 4)
 _U = np.uint64
 _fold: np.ndarray | None = None
+_mark: np.ndarray | None = None
 
 
 def fold_table() -> np.ndarray:
-    """Code point to lower-case letter, or 32 for what is no letter."""
-    global _fold
+    """Code point to lower-case letter, or to itself for a combining mark, or 32 for what is neither."""
+    global _fold, _mark
     if _fold is None:
         table = np.full(0x110000, 32, dtype=np.uint32)
+        _mark = np.zeros(0x110000, dtype=bool)
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000:
                 continue
             ch = chr(c)
-            if ch.isalpha() or unicodedata.category(ch) in ("Mn", "Mc"):
+            _mark[c] = unicodedata.category(ch) in ("Mn", "Mc")
+            if ch.isalpha() or _mark[c]:
                 low = ch.lower()
                 table[c] = ord(low) if len(low) == 1 else c
         _fold = table
@@ -56,7 +59,8 @@ def fold_table() -> np.ndarray:
 def grams(texts: list[str | None], orders: tuple[int, ...]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Per order (gram hashes, row of each); and which rows have a letter.
 
-    Letters keep their place, runs of other characters become one space.
+    Letters and their marks keep their place, runs of other characters become
+    one space; marks alone are no letter.
     """
     joined = "".join(f" {t} " if t else "  " for t in texts)
     lengths = np.array([(len(t) if t else 0) + 2 for t in texts], dtype=np.int64)
@@ -67,7 +71,7 @@ def grams(texts: list[str | None], orders: tuple[int, ...]) -> tuple[list[tuple[
     keep[1:] = ~(space[1:] & space[:-1] & (row[1:] == row[:-1]))
     code, row = code[keep].astype(np.uint64), row[keep]
     lettered = np.zeros(len(texts), dtype=bool)
-    lettered[row[code != 32]] = True
+    lettered[row[(code != 32) & ~_mark[code]]] = True
     found = []
     for n in orders:
         m = len(code) - n + 1

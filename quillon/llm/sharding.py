@@ -15,7 +15,8 @@ has ``CELL_ROWS`` rows; beyond ``MOST_CELLS`` cells they grow instead, so that a
 task's part of the plan stays small.
 
 The law is ``rows``: shard sizes differ by at most one. Rows may hold nulls,
-repeat or be empty; every row gets a slot of its own. An input partition must
+repeat or be empty; every row gets a slot of its own; an empty table gives an
+empty result. An input partition must
 yield the same rows when it is read twice (a scan of files does); a task that
 meets another number of rows than was counted fails rather than lose rows.
 """
@@ -35,6 +36,8 @@ from quillon.llm.common import positional, with_fields
 
 CELL_ROWS = 4096
 MOST_CELLS = 1 << 16
+#: kinds of seeds, so that no node of the tree shares a stream with a partition
+TREE, DEAL = 0, 1
 
 
 def cell_bounds(n_rows: int, shards: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def matrix_row(p: int, sizes: np.ndarray, cells: np.ndarray, seed: int) -> np.nd
     upto = np.concatenate([[0], np.cumsum(sizes)])
     while high - low > 1:
         mid = (low + high) // 2
-        left = split(counts, int(upto[mid] - upto[low]), [seed, low, high])
+        left = split(counts, int(upto[mid] - upto[low]), [seed, TREE, low, high])
         if p < mid:
             high, counts = mid, left
         else:
@@ -121,7 +124,7 @@ def shard(df: DataFrame, shards: int, seed: int = 11, cell_rows: int = CELL_ROWS
         p = TaskContext.get().partitionId()
         n = int(sizes[p]) if p < len(sizes) else 0
         row = matrix_row(p, sizes, rows, seed) if n else np.zeros(0, np.int64)
-        rng = np.random.default_rng([seed, 1, p])
+        rng = np.random.default_rng([seed, DEAL, p])
         cell = rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
         order = rng.integers(0, 2**63, n, dtype=np.int64)
         at = 0

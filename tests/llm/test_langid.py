@@ -73,3 +73,7 @@ def test_clashing_names(spark, odd, sf):
     model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"), "text", "lang", "doc_id", F.lit(True))
     got = langid.identify(odd.withColumnRenamed("lang", "score").withColumnRenamed("source", "lang_pred"), "text", model)
     assert got.columns == ["doc_id", "text", "n_chars", "lang_pred", "score"] and got.count() == 14
+
+
+def test_marks_alone_are_no_letters():
+    assert langid.grams(["\u0301 \u0300", "e\u0301", "1 \u0903", None], (2,))[1].tolist() == [False, True, False, False]

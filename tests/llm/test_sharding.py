@@ -71,3 +71,15 @@ def test_clashing_names(odd):
     clash = odd.withColumnRenamed("lang", "shard").withColumnRenamed("source", "_cell").withColumnRenamed("n_chars", "_rank")
     got = sharding.shard(clash, 2)
     assert got.columns == ["doc_id", "text", "_cell", "_rank", "shard", "slot"] and got.count() == 14
+
+
+@pytest.mark.parametrize("parts", [6, 7, 12, 48])
+def test_nodes_and_partitions_draw_from_streams_of_their_own(parts):
+    nodes, stack = [], [(0, parts)]
+    while stack:
+        low, high = stack.pop()
+        if high - low > 1:
+            nodes.append((low, high))
+            stack += [(low, (low + high) // 2), ((low + high) // 2, high)]
+    seeds = [[11, sharding.TREE, *n] for n in nodes] + [[11, sharding.DEAL, p] for p in range(parts)]
+    assert len({np.random.default_rng(s).integers(2**63) for s in seeds}) == len(seeds)
