@@ -32,6 +32,7 @@ may have any names.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ SCALE = 10**9
 FINISH = 4096
 DIGIT = 16
 #: (language, source, term) rows that a task holds before it sends them
-HELD = 500_000
+HELD = 300_000
 #: pairs of sources that are expanded at once
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: groups whose totals are broadcast
 BROADCAST_GROUPS = 50_000
 _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -62,28 +63,28 @@ def terms(text: str | None) -> list[bytes]:
 def count_terms(docs: DataFrame, text: str, language: str, source: str) -> DataFrame:
     """(lang, source, term, n, docs), several rows of a key at most one for each task and flush."""
 
-    def send(counts: dict, seen: dict):
-        rows = [(*group, t.decode(), n, seen[group][t]) for group, own in counts.items() for t, n in own.items()]
-        for k in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + (1 << 16)]), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+
+    def send(counts: dict):
+        rows = ((*group, t.decode(), both >> 32, both & 0xFFFFFFFF) for group, own in counts.items() for t, both in own.items())
+        while part := list(islice(rows, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part), kinds)], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
-        counts: dict[tuple[str, str], Counter] = {}
-        seen: dict[tuple[str, str], Counter] = {}
-        held, since = 0, 0
+        counts: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's occurrences, times 2**32, and documents
+        held = 0
         for batch in batches:
             for t, lang, src in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = Counter(terms(t))
-                group = (lang or "", src or "")
-                counts.setdefault(group, Counter()).update(found)
-                seen.setdefault(group, Counter()).update(found.keys())
-                since += len(found)
-                if since > HELD // 4:
-                    held, since = sum(map(len, counts.values())), 0
-                    if held > HELD:
-                        yield from send(counts, seen)
-                        counts, seen = {}, {}
-        yield from send(counts, seen)
+                own = counts.setdefault((lang or "", src or ""), {})
+                held -= len(own)
+                get = own.get
+                for term, n in Counter(terms(t)).items():
+                    own[term] = get(term, 0) + (n << 32) + 1
+                held += len(own)
+                if held > HELD:
+                    yield from send(counts)
+                    counts, held = {}, 0
+        yield from send(counts)
 
     return docs.select(text, language, source).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
