@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import terms as K
 from quillon.operators import commands as C
-from quillon.plans.items import ITEMS, cycle, items
+from quillon.operators import continuation as N
+from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import _code
+from quillon.plans.source_queries import _event_stream, _run
 from quillon.plans.text_queries import norm
+from quillon.streaming import job_logs as J
 
 _COMMANDS = ["run --fast in.txt > out.txt ", "tool2 <input> -v 3 ", "Run the model ", "sort a.csv ", "x = 3 4 ", "make ", "solver.exe -n 4 --grid mesh_01.dat /tmp/out ", "DO10I = K(I,J)+2.5D0 ", ""]
 _COMMAND_SQL = "([" + ", ".join(f"'{c}'" for c in _COMMANDS) + "])[(doc_id + block_idx) % 9 + 1]"
@@ -59,3 +64,151 @@ def mixed_decision(t):
     lines = F.when(F.col("block_idx") % 3 == 0, F.array(cmd, F.col("text"))).otherwise(F.array(text))
     found = items(t.documents).select("doc_id", "item_id", C.local_decision(text, lines).alias("d"))
     return found.select("doc_id", "item_id", "d.action", "d.prefix", F.col("d.by").alias("decided_by"))
+
+
+# A provider's groups over blocks, some suppressed by column signals, some without an order
+_GLOBAL_ID = "CASE WHEN block_idx % 10 IN (7, 8, 9) THEN ' G#' || (block_idx // 10) || ' ' WHEN block_idx % 10 = 5 THEN '##' END"
+_LOCAL_ID = "CASE WHEN block_idx % 10 IN (1, 2) THEN CAST(block_idx // 10 AS VARCHAR) WHEN block_idx % 10 = 4 THEN 'one/' || block_idx END"
+_RAW_ORDER = "CASE WHEN (doc_id + block_idx) % 23 = 5 THEN 'none' WHEN (doc_id + block_idx) % 31 = 6 THEN NULL ELSE ' ' || (block_idx % 8) END"
+_TOKEN = "trim(regexp_replace(trim({0}), '[^A-Za-z0-9_.-]+', '-', 'g'), '-')"
+
+
+def _raw_groups(t):
+    b, d = F.col("block_idx"), F.col("doc_id")
+    tens = F.expr("block_idx div 10").cast("string")
+    return blocks(t.documents).withColumns({
+        "page_index": F.col("page_idx"), "order": b % 8,
+        "raw_global_group_id": F.when(b % 10 >= 7, F.concat(F.lit(" G#"), tens, F.lit(" "))).when(b % 10 == 5, "##"),
+        "raw_group_id": F.when((b % 10).isin(1, 2), tens).when(b % 10 == 4, F.concat(F.lit("one/"), b.cast("string"))),
+        "raw_block_order": F.when((d + b) % 23 == 5, "none").when((d + b) % 31 != 6, F.concat(F.lit(" "), (b % 8).cast("string"))),
+        "merge_suspected": (d + F.expr("block_idx div 10")) % 13 == 3, "order_unreliable": F.lit(None).cast("boolean"), "body_repaired": (d + b) % 29 == 7,
+    })
+
+
+@query(
+    "s08_provider_hints",
+    f"WITH {BLOCKS}, r AS (SELECT *, coalesce({_TOKEN.format(_GLOBAL_ID)}, '') AS g, coalesce({_TOKEN.format(_LOCAL_ID)}, '') AS l, CASE WHEN regexp_matches(trim({_RAW_ORDER}), '^-?[0-9]+$') THEN CAST(trim({_RAW_ORDER}) AS BIGINT) END AS o, (doc_id + block_idx // 10) % 13 = 3 AS merged, (doc_id + block_idx) % 29 = 7 AS repaired FROM blocks), "
+    "k AS (SELECT *, CASE WHEN g <> '' THEN 'provider-paddle-global-' || g WHEN l <> '' THEN printf('provider-paddle-page-%03d-group-%s', page_idx + 1, l) ELSE '' END AS grp FROM r), "
+    "w AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY doc_id, grp ORDER BY page_idx, coalesce(o, -1), block_idx % 8) AS place, bool_or(merged OR repaired) OVER p AS signal, bool_or(o IS NULL) OVER p AS open, min(page_idx) OVER p <> max(page_idx) OVER p AS pages FROM k WINDOW p AS (PARTITION BY doc_id, grp)), "
+    "h AS (SELECT *, grp <> '' AND NOT signal AND NOT (n > 1 AND open) AS hinted FROM w) "
+    "SELECT doc_id, item_id, CASE WHEN hinted THEN 'provider' ELSE '' END AS hint_source, CASE WHEN hinted THEN grp ELSE '' END AS hint_group, CASE WHEN NOT hinted THEN '' WHEN n = 1 THEN 'single' WHEN place = 1 THEN 'head' WHEN place = n THEN 'tail' ELSE 'middle' END AS hint_role, "
+    "CASE WHEN NOT hinted THEN '' WHEN pages THEN 'cross_page' ELSE 'intra_page' END AS hint_scope, CASE WHEN hinted THEN coalesce(o, -1) ELSE -1 END AS hint_order, CASE WHEN hinted THEN 0.98 ELSE 0.0 END AS hint_confidence, grp <> '' AND signal AS suppressed, CASE WHEN grp = '' OR NOT signal THEN '' WHEN repaired THEN 'body_repair_applied' ELSE 'cross_column_merge_suspected' END AS suppressed_reason FROM h",
+)
+def provider_hints(t):
+    """Groups over a page break, within a page and of one block; suppressed ones; ones without an order."""
+    hinted = N.provider_hints(_raw_groups(t), ["doc_id"])
+    return hinted.select("doc_id", "item_id", "hint_source", "hint_group", "hint_role", "hint_scope", "hint_order", "hint_confidence", "suppressed", "suppressed_reason")
+
+
+_KINDS = ["text", "image", "text", "table", "text", "formula", "text", "text"]
+_SUBS = ["", "image_body", "", "table_html", "", "", "", "body"]
+_NOTES = ["Note on figure ", "表注 ", "see Table ", "", "图注 ", " "]
+
+
+@query(
+    "s08_relations",
+    f"WITH {BLOCKS}, k AS (SELECT *, ([{', '.join(repr(x) for x in _KINDS)}])[(3 * doc_id + 5 * block_idx) % 8 + 1] AS kind, ([{', '.join(repr(x) for x in _SUBS)}])[(3 * doc_id + 5 * block_idx) % 8 + 1] AS sub, CASE block_idx % 4 WHEN 2 THEN ' Figure_Title' WHEN 3 THEN 'vision_footnote' ELSE 'text' END AS label, ([{', '.join(repr(x) for x in _NOTES)}])[(doc_id + block_idx) % 6 + 1] || text AS note FROM blocks), "
+    "a AS (SELECT *, lower(trim(note)) AS low, last_value(CASE WHEN kind IN ('image', 'table', 'code', 'formula') THEN coalesce(nullif(sub, ''), kind) END IGNORE NULLS) OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM k) "
+    "SELECT doc_id, item_id, CASE lower(trim(label)) WHEN 'figure_title' THEN 'figure' WHEN 'vision_footnote' THEN CASE WHEN starts_with(low, '表注') OR contains(low, 'table') THEN 'table' WHEN starts_with(low, '图注') OR contains(low, 'figure') THEN 'image' WHEN anchor IN ('table_html', 'table') THEN 'table' WHEN anchor IN ('image_body', 'image') THEN 'image' ELSE 'unknown' END END AS target FROM a",
+)
+def provider_relations(t):
+    """Captions and footnotes with their target, named or the anchor before them on the page."""
+    b, at = F.col("block_idx"), 3 * F.col("doc_id") + 5 * F.col("block_idx")
+    label = F.when(b % 4 == 2, " Figure_Title").when(b % 4 == 3, "vision_footnote").otherwise("text")
+    made = blocks(t.documents).withColumns({"kind": cycle(_KINDS, at), "sub_kind": cycle(_SUBS, at), "label": label, "text": F.concat(cycle(_NOTES, F.col("doc_id") + b), F.col("text"))})
+    return N.relations(made, ["doc_id", "page_idx"], "block_idx").select("doc_id", "item_id", "target")
+
+
+_ROLE = "CASE WHEN block_idx % 8 = 7 THEN CASE WHEN doc_id % 6 = 0 THEN 'middle' WHEN doc_id % 2 = 0 THEN ' Tail' ELSE 'single' END WHEN block_idx % 8 = 0 THEN CASE WHEN doc_id % 7 = 0 THEN 'middle' ELSE 'head' END ELSE 'middle' END"
+_MODE = "CASE WHEN doc_id % 3 = 0 THEN 'double' WHEN doc_id % 3 = 1 THEN 'single' ELSE '' END"
+_ZONE = "CASE WHEN doc_id % 3 = 0 THEN CASE WHEN block_idx % 8 >= 4 THEN 'right_column' ELSE 'left_column' END WHEN doc_id % 11 = 4 THEN 'header' WHEN doc_id % 3 = 1 THEN 'single_column' ELSE 'full_width' END"
+_READING = "CASE WHEN (doc_id + block_idx // 4) % 9 = 2 THEN CASE block_idx % 4 WHEN 1 THEN NULL ELSE block_idx END WHEN (doc_id + block_idx // 4) % 9 = 5 THEN block_idx // 2 WHEN (doc_id + block_idx // 4) % 9 = 7 THEN 100 - block_idx ELSE block_idx END"
+_VALID_GROUP = "(block_idx + 2) // 4 * 2 + CASE WHEN (block_idx + 2) % 16 = 3 THEN 1 ELSE 0 END"
+
+
+@query(
+    "w06_group_validity",
+    f"WITH {BLOCKS}, i AS (SELECT doc_id, {_VALID_GROUP} AS grp, page_idx, block_idx, {_READING} AS o, lower(trim({_ROLE})) AS role, {_MODE} AS mode, {_ZONE} AS zone, length(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN left(text, 20) ELSE text END, '\\s+', '', 'g')) AS n FROM blocks), "
+    "l AS (SELECT *, lag(page_idx) OVER w AS p0, lag(role) OVER w AS r0, lag(mode) OVER w AS m0, lag(zone) OVER w AS z0, lag(n) OVER w AS n0 FROM i WINDOW w AS (PARTITION BY doc_id, grp ORDER BY coalesce(o, -1), page_idx, block_idx)), "
+    "s AS (SELECT *, r0 IN ('tail', 'single') AND role IN ('head', 'single') AND z0 <> 'header' AND zone <> 'header' AND CASE WHEN m0 = 'double' THEN z0 = 'right_column' ELSE z0 IN ('single_column', 'full_width') END AND CASE WHEN mode = 'double' THEN zone = 'left_column' ELSE zone IN ('single_column', 'full_width') END AND n0 >= 8 AND n >= 8 AND n0 + n >= 32 AS ok FROM l), "
+    "g AS (SELECT doc_id, grp, count(*) AS members, count(*) >= 2 AND bool_and(o IS NOT NULL AND o >= 0) AND count(DISTINCT o) = count(*) AS ordered, max(page_idx) - min(page_idx) AS span, count(*) FILTER (page_idx > p0) AS turns, coalesce(bool_or(page_idx < p0 OR page_idx > p0 + 1), false) AS jumps, coalesce(bool_and(ok) FILTER (page_idx > p0), false) AS meets FROM s GROUP BY ALL) "
+    "SELECT doc_id, grp, members, ordered AND span = 0 AS intra_page, ordered AND span = 1 AND turns = 1 AND NOT jumps AND meets AS cross_page FROM g",
+)
+def group_validity(t):
+    """Groups that fail each condition: no or doubled orders, orders against the pages, roles, zones, too little text."""
+    sql = lambda s: F.expr(s.replace("//", "div").replace("VARCHAR", "STRING"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.left("text", F.lit(20))).otherwise(F.col("text"))
+    made = blocks(t.documents).withColumns({"grp": sql(_VALID_GROUP), "reading_order": sql(_READING), "boundary_role": sql(_ROLE), "layout_mode": sql(_MODE), "layout_zone": sql(_ZONE), "text": text})
+    return N.group_validity(made, ["doc_id", "grp"])
+
+
+_LEAK_SOURCE = "text || CASE WHEN block_idx % 5 = 0 THEN '.' ELSE '' END || ' where $x_' || (block_idx % 3) || '$' || CASE WHEN block_idx % 4 = 1 THEN '。 ' ELSE ' and' END"
+_LEAKED = "left(text, (block_idx * 7) % 40) || CASE WHEN block_idx % 2 = 0 THEN '。' ELSE '' END || ' 以及 $x_' || (block_idx % 3) || '$，对于 $x_' || ((block_idx + CASE WHEN block_idx % 6 = 2 THEN 0 ELSE 1 END) % 3) || '$ 成立'"
+_SPANS = "list_transform(regexp_extract_all({0}, '\\$[^$\\\\\\n]+\\$'), lambda e: trim(e))"
+
+
+@query(
+    "w14_neighbour_leak",
+    f"WITH {ITEMS}, m AS (SELECT doc_id, block_idx, item_id, {_LEAK_SOURCE} AS src, {_LEAKED} AS said FROM items), l AS (SELECT *, lead(src) OVER (PARTITION BY doc_id ORDER BY block_idx) AS nx FROM m), "
+    f"f AS (SELECT *, CASE WHEN nx IS NOT NULL AND NOT regexp_matches(src, '[.!?。！？；;:：)\\]）】”’\"'']\\s*$') THEN list_filter({_SPANS.format('nx')}, lambda e: NOT list_contains({_SPANS.format('src')}, e) AND contains(said, e)) ELSE [] END AS leaked FROM l), "
+    "h AS (SELECT *, list_min(list_transform(leaked, lambda e: instr(said, e))) - 1 AS hit FROM f), c AS (SELECT *, rtrim(regexp_replace(rtrim(left(said, hit)), '[，,、\\s]*(?:在|为|是|等于|对于)\\s*$', '')) AS short, rtrim(regexp_extract(left(said, hit), '^(.*[。！？；])', 1)) AS long FROM h) "
+    "SELECT doc_id, item_id, CASE WHEN len(leaked) = 0 THEN said WHEN length(short) >= 8 THEN short WHEN length(long) >= 8 THEN long ELSE said END AS trimmed, len(leaked) > 0 AND greatest(length(short), length(long)) >= 8 AS cut FROM c",
+)
+def neighbour_leak(t):
+    """Translations that speak of the next item's formula, with and without own formulas and sentence ends."""
+    made = items(t.documents).withColumns({"src": F.expr(_LEAK_SOURCE), "said": F.expr(_LEAKED)})
+    nxt = F.lead("src").over(Window.partitionBy("doc_id").orderBy("block_idx"))
+    d = made.withColumn("nx", nxt).withColumn("d", N.trim_leak(F.col("said"), F.col("src"), F.col("nx")))
+    return d.select("doc_id", "item_id", F.col("d.text").alias("trimmed"), (F.size("d.leaked") > 0).alias("cut"))
+
+
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
+_TERM_TAIL = ["图神经网络（又称GNN-v2）和", "滤波器 (or Kalman Filter) 与中心(CNN)", "的方法（The）", "已被证明。", "模型（Spin/Orbit Model v.3）", "被测量的对象（Item）", "检测器（A Very Long Key Name Here）"]
+_KEY_EDGES = "[ ,.;:()\\[\\]{}，。；：（）【】]"
+
+
+def _clean(c: str) -> str:
+    return f"left(regexp_replace(regexp_replace({c}, '^{_KEY_EDGES}+', ''), '{_KEY_EDGES}+$', ''), 80)"
+
+
+_ZH, _EN = "([\\x{4e00}-\\x{9fff}][\\x{4e00}-\\x{9fff}A-Za-z0-9·\\-]{1,24})", "([A-Za-z][A-Za-z0-9 ._+/\\-]{1,48})"
+_PAIR_PATTERNS = [f"{_ZH}（(?:或称|又称|简称)?{_EN}）", f"{_ZH}\\((?:or |also known as )?{_EN}\\)", f"{_ZH}（{_EN}）"]
+_TECH = "\\b[A-Z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*(?:\\s+[A-Z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*){0,3}\\b"
+
+
+@query(
+    "c24_term_candidates",
+    f"WITH {ITEMS}, m AS (SELECT doc_id, item_id, {_ASCII} AS src, {norm(f"([{', '.join(repr(x) for x in _TERM_TAIL)}])[(doc_id + block_idx) % 7 + 1] || left(" + _ASCII + ", 30 + block_idx % 60)")} AS said FROM items), "
+    + "p AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, item_id, unnest(list_zip(regexp_extract_all(said, '{x}', 2), regexp_extract_all(said, '{x}', 1))) AS z FROM m" for x in _PAIR_PATTERNS)
+    + f"), e AS (SELECT doc_id, item_id, {_clean('z[1]')} AS key, {_clean('z[2]')} AS value, 'explicit_pair' AS origin, 1.0 AS score FROM p), "
+    + f"t AS (SELECT doc_id, item_id, said, unnest(list_transform(regexp_extract_all(src, '{_TECH}')[1:24], lambda x: {_clean(norm('x'))})) AS key FROM m), "
+    + "u AS (SELECT * FROM e UNION ALL SELECT doc_id, item_id, key, key, 'identity_technical_token', 0.55 FROM t WHERE contains(lower(said), lower(key))) "
+    + "SELECT doc_id, item_id, key, value, origin, CAST(score AS DOUBLE) AS score, len(string_split(key, ' ')) <= 4 AND value <> '' AND (lower(key) = lower(value) OR (NOT regexp_matches(value, '[，。；：、,.!?！？]') AND length(value) <= 12 AND len(regexp_extract_all(value, '[\\x{4e00}-\\x{9fff}]')) <= 8 AND NOT regexp_matches(value, '[的已将被从在这其]'))) AS allowed FROM u "
+    + "WHERE length(key) >= 2 AND lower(key) NOT IN ('or', 'and', 'the', 'from', 'with', 'for', 'this', 'that') AND regexp_matches(key, '\\p{L}') AND (origin <> 'explicit_pair' OR regexp_matches(value, '[\\x{4e00}-\\x{9fff}]'))",
+)
+def term_candidates(t):
+    """Pairs that a translation explains and technical tokens that it kept, scored, and whether they may be shown again."""
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    said = F.concat(cycle(_TERM_TAIL, F.col("doc_id") + F.col("block_idx")), F.left(ascii_only, (30 + F.col("block_idx") % 60).cast("int")))
+    found = items(t.documents).select("doc_id", "item_id", F.explode(K.candidates(ascii_only, said)).alias("c"))
+    return found.select("doc_id", "item_id", "c.key", "c.value", "c.origin", F.col("c.score").cast("double").alias("score"), K.allowed(F.col("c.key"), F.col("c.value")).alias("allowed"))
+
+
+_JOB_LINES = ["upload done: f%d.pdf", "batch b%d: state=pending", " task t%d: state= running ", "summary: /tmp/%d.json", "plain line %d", "task t%d: state=odd", "output pdf: o%d.pdf", "batch b%d: state=done", "", "output pdf:", "job root: /jobs/%d"]
+
+
+@query(
+    "t08_job_states",
+    f"WITH l AS (SELECT user_id AS job_id, event_id AS seq, trim(replace(([{', '.join(repr(x) for x in _JOB_LINES)}])[(event_id * 7) % 11 + 1], '%d', CAST(event_id AS VARCHAR))) AS line FROM events), p AS (SELECT *, regexp_extract(line, '^(summary|output pdf|job root): (.+)$', 1) AS label, regexp_extract(line, '^(summary|output pdf|job root): (.+)$', 2) AS value, regexp_extract(line, '^(batch|task) (.*?): state=', 1) AS kind, regexp_extract(line, '^(batch|task) (.*?): state=', 2) AS owner, trim(regexp_extract(line, ': state=(.*)$', 1)) AS raw FROM l WHERE line <> ''), "
+    f"s AS (SELECT *, CASE WHEN starts_with(line, 'upload done: ') THEN 'mineru_processing' WHEN kind <> '' THEN CASE raw WHEN 'done' THEN 'ocr_result_ready' ELSE 'mineru_processing' END END AS stage, CASE WHEN starts_with(line, 'upload done: ') THEN '{J.UPLOADED_STAGE[1]}' WHEN kind <> '' THEN CASE raw {' '.join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in J.STATES.items())} ELSE '{J.OTHER_STATE[1]}' || raw END END AS detail FROM p), "
+    "v AS (SELECT job_id, string_agg(label || '=' || value, ';' ORDER BY label) AS artifacts FROM (SELECT job_id, label, arg_max(value, seq) AS value FROM s WHERE label <> '' GROUP BY ALL) GROUP BY job_id) "
+    "SELECT CAST(job_id AS VARCHAR) AS job_id, arg_max(stage, seq) FILTER (stage IS NOT NULL) AS stage, arg_max(detail, seq) FILTER (stage IS NOT NULL) AS detail, arg_max(owner, seq) FILTER (kind = 'batch') AS batch_id, arg_max(owner, seq) FILTER (kind = 'task') AS task_id, count(*) AS lines, array_to_string(list(line ORDER BY seq)[-40:], '|') AS tail, any_value(coalesce(v.artifacts, '')) AS artifacts FROM s LEFT JOIN v USING (job_id) GROUP BY job_id",
+)
+def job_state_stream(t):
+    """Every job's stage, ids, artifacts and last 40 lines, kept by a stream over the event file."""
+    line = F.replace(cycle(_JOB_LINES, F.col("event_id") * 7), F.lit("%d"), F.col("event_id").cast("string"))
+    lines = _event_stream(t).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), line.alias("line"))
+    s = _run(t, J.stream_states(lines), "update", ("job_id",))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("artifacts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return s.select("job_id", "stage", "detail", "batch_id", "task_id", "lines", F.array_join("tail", "|").alias("tail"), F.coalesce(pairs, F.lit("")).alias("artifacts"))

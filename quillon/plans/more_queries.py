@@ -141,13 +141,6 @@ def unit_candidates(t):
     return blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.min("block_idx").alias("first_block"), F.min_by("item_id", "block_idx").alias("representative"))
 
 
-@query("w06_group_validity", f"WITH {BLOCKS} SELECT doc_id, sub_type, count(DISTINCT page_idx) = 2 AND max(page_idx) - min(page_idx) = 1 AND count(DISTINCT block_idx) = count(*) AND sum(length(text)) >= 32 AS usable FROM blocks GROUP BY doc_id, sub_type")
-def group_validity(t):
-    """Two consecutive pages, unique order and enough text."""
-    g = blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.count_distinct("page_idx").alias("p"), (F.max("page_idx") - F.min("page_idx")).alias("span"), (F.count_distinct("block_idx") == F.count(F.lit(1))).alias("unique"), F.sum(F.length("text")).alias("chars"))
-    return g.select("doc_id", "sub_type", ((F.col("p") == 2) & (F.col("span") == 1) & F.col("unique") & (F.col("chars") >= 32)).alias("usable"))
-
-
 @query("w10_absorbed_rows", f"WITH {BLOCKS}, l AS (SELECT *, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM blocks WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)) SELECT doc_id, item_id, coalesce(nx <> x0 AND least(y1, ny1) - greatest(y0, ny0) >= 0.25 * least(y1 - y0, ny1 - ny0), false) AS absorbed FROM l")
 def absorbed_rows(t):
     """The next row stands in the other column at the same height."""
@@ -157,15 +150,6 @@ def absorbed_rows(t):
     return blocks(t.documents).select("doc_id", "item_id", F.coalesce(hit, F.lit(False)).alias("absorbed"))
 
 
-@query("w14_neighbour_leak", f"WITH {ITEMS}, l AS (SELECT *, split_part(lead(text) OVER (PARTITION BY doc_id ORDER BY block_idx), ' ', 1) AS nx FROM items) SELECT doc_id, item_id, CASE WHEN length(nx) >= 6 AND instr(text, nx) > 0 THEN rtrim(left(text, instr(text, nx) - 1)) ELSE text END AS trimmed FROM l")
-def neighbour_leak(t):
-    """Text up to where the next row's first word appears in it."""
-    nx = F.split_part(F.lead("text").over(Window.partitionBy("doc_id").orderBy("block_idx")), F.lit(" "), F.lit(1))
-    i = items(t.documents).withColumn("nx", nx)
-    at = F.expr("instr(text, nx)")
-    return i.select("doc_id", "item_id", F.when((F.length("nx") >= 6) & (at > 0), F.rtrim(F.left(F.col("text"), at - 1))).otherwise(F.col("text")).alias("trimmed"))
-
-
 @query("w20_narrow_boxes", f"WITH {BLOCKS}, l AS (SELECT doc_id, item_id, x1 - x0 AS w, (lag(x1 - x0) OVER k + lead(x1 - x0) OVER k) / 2 AS around FROM blocks WINDOW k AS (PARTITION BY doc_id, page_idx, x0 ORDER BY y0)) SELECT doc_id, item_id, CASE WHEN around IS NOT NULL AND w < 0.95 * around THEN around ELSE w END AS width FROM l")
 def narrow_boxes(t):
     """A box much narrower than its neighbours counts with their mean width."""
@@ -216,13 +200,6 @@ def failures(t):
     return t.events.select("event_id", M.failure(_PICK(_LOGS, i), F.when(i % 17 == 0, 429).when(i % 17 == 1, 403).when(i % 17 == 2, 400)).alias("failure"))
 
 
-@query("c24_term_candidates", f"WITH {ITEMS}, m AS (SELECT doc_id, item_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))[1:24] AS ts, lower(text) AS low FROM items) SELECT doc_id, item_id, len(ts) AS n FROM m")
-def term_candidates(t):
-    """Up to 24 distinct capitalised tokens of each item."""
-    ts = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))), 1, 24)
-    return items(t.documents).select("doc_id", "item_id", F.size(ts).cast("long").alias("n"))
-
-
 @query("c28_result_union", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN event_type ELSE 'text' END AS decision, CASE event_id % 3 WHEN 0 THEN event_type || ' ' || user_id WHEN 1 THEN '' ELSE user_id || ':' || event_id END AS output FROM events")
 def result_union(t):
     """A result is a text, or an object with a decision, a text or both."""
