@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import terms as K
 from quillon.operators import commands as C
 from quillon.operators import continuation as N
+from quillon.operators import typography as Y
 from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import _code
@@ -212,3 +213,100 @@ def job_state_stream(t):
     s = _run(t, J.stream_states(lines), "update", ("job_id",))
     pairs = F.array_join(F.array_sort(F.transform(F.map_entries("artifacts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return s.select("job_id", "stage", "detail", "batch_id", "task_id", "lines", F.array_join("tail", "|").alias("tail"), F.coalesce(pairs, F.lit("")).alias("artifacts"))
+
+
+# typography: lines, fonts and leadings of blocks by formula
+_LINES = "block_idx % 6 + CASE WHEN doc_id % 7 = 0 OR block_idx % 8 = 6 THEN -9 ELSE 0 END"
+_LINE_HEIGHT = "CASE WHEN block_idx % 9 = 8 THEN 0.0 ELSE 6.5 + doc_id % 5 END"
+_LINE_PITCH = "9.0 + block_idx % 7 - CASE WHEN block_idx % 11 = 3 THEN 12 ELSE 0 END"
+
+
+def _lined(t):
+    k = lambda c: F.expr(c.replace("//", "div"))
+    b = blocks(t.documents).withColumns({"n": k(_LINES), "h": k(_LINE_HEIGHT), "p": k(_LINE_PITCH)})
+    span = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+
+    def line(i):
+        top = F.col("y0") + i * F.col("p")
+        words = span("text", F.substring("text", 1, (20 + (i * 7 + F.col("block_idx")) % 30).cast("int")))
+        maths = F.when((F.col("block_idx") + i) % 4 < F.col("doc_id") % 5, F.array(words, span("inline_equation", F.lit("x")), span("inline_equation", F.lit("y")))).otherwise(F.array(words))
+        return F.struct(top.cast("double").alias("y0"), (top + F.col("h")).cast("double").alias("y1"), maths.alias("spans"))
+
+    lines = F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>")), line)
+    return b.select("doc_id", "page_idx", "block_idx", F.col("block_type").alias("kind"), (F.col("sub_type") == "footnote").alias("annotation"), "x0", "y0", "x1", "y1", F.col("text"), lines.alias("lines"))
+
+
+@query(
+    "a11_font_baseline",
+    f"WITH {BLOCKS}, b AS (SELECT *, greatest(0, {_LINES}) AS n, {_LINE_HEIGHT} AS h, {_LINE_PITCH} AS p, block_type = 'text' AND sub_type <> 'footnote' AS text_item FROM blocks), "
+    "l AS (SELECT doc_id, page_idx, block_idx, k, y0 + k * p AS a, y0 + k * p + h AS z, length(regexp_replace(left(text, 20 + (k * 7 + block_idx) % 30), '\\s+', '', 'g')) AS chars, CASE WHEN (block_idx + k) % 4 < doc_id % 5 THEN 2 ELSE 0 END AS f FROM b, unnest(range(n)) AS u(k)), "
+    "d AS (SELECT *, (a + z) / 2 - lag((a + z) / 2) OVER (PARTITION BY doc_id, page_idx, block_idx ORDER BY k) AS step FROM l), "
+    "m AS (SELECT doc_id, page_idx, block_idx, coalesce(median(z - a) FILTER (z - a > 0), 0) AS height, coalesce(median(step) FILTER (step > 0), 0) AS pitch, max(z) - min(a) AS raw, coalesce(median(chars) FILTER (chars > 0), 0) AS per_line, sum(f) / (sum(f) + count(*)) AS ratio FROM d GROUP BY ALL), "
+    "w AS (SELECT doc_id, page_idx, median(x1 - x0) FILTER (text_item) AS wide FROM b GROUP BY ALL), "
+    "i AS (SELECT b.*, coalesce(height, 0) AS height, coalesce(pitch, 0) AS pitch, coalesce(per_line, 0) AS per_line, CASE WHEN n > 0 AND raw > 0 THEN least(y1 - y0, raw + CASE WHEN height > 0 THEN least(2.2, height * 0.22) ELSE 0 END) ELSE y1 - y0 END / greatest(1, n) AS local, "
+    "text_item AND n >= 3 AND length(regexp_replace(text, '\\s+', '', 'g')) >= 40 AND coalesce(ratio, 0) <= 0.5 AND NOT (wide > 0 AND x1 - x0 < wide * 0.6) AS chosen FROM b JOIN w USING (doc_id, page_idx) LEFT JOIN m USING (doc_id, page_idx, block_idx)), "
+    "c AS (SELECT *, CASE WHEN local > 0 THEN local ELSE pitch END AS lp, CASE WHEN height > 0 THEN height * 0.98 WHEN pitch > 0 THEN pitch * 0.82 ELSE 0 END AS metric FROM i), "
+    "g AS (SELECT doc_id, page_idx, coalesce(quantile_cont(lp, 0.42) FILTER (chosen AND lp > 0), 0) AS p, coalesce(quantile_cont(height, 0.42) FILTER (chosen AND height > 0), 0) AS h, coalesce(quantile_cont(metric, 0.42) FILTER (chosen AND metric > 0), 0) AS m, coalesce(median(per_line) FILTER (chosen AND per_line > 0), 0) AS d FROM c GROUP BY ALL), "
+    "r AS (SELECT *, CASE WHEN m > 0 THEN m WHEN h > 0 THEN h * 0.98 ELSE p * 0.82 END AS metric FROM g) "
+    "SELECT doc_id, page_idx, round_even(CASE WHEN metric > 0 THEN greatest(8.4, least(14.2, metric * 0.9215)) ELSE 11.4 END, 6) AS font_size, round_even(CASE WHEN metric > 0 THEN p ELSE 0 END, 6) AS line_pitch, round_even(CASE WHEN metric > 0 THEN h ELSE 0 END, 6) AS line_height, round_even(CASE WHEN metric > 0 THEN d ELSE 0 END, 6) AS chars_per_line FROM r",
+)
+def font_baseline(t):
+    """Four measures a page, with pages without lines, lines without height and against the order."""
+    six = lambda c: F.bround(c, 6).alias(c)
+    return Y.page_baseline(_lined(t), ["doc_id", "page_idx"]).select("doc_id", "page_idx", six("font_size"), six("line_pitch"), six("line_height"), six("chars_per_line"))
+
+
+_FONT = "CASE WHEN block_idx % 13 = 12 THEN 0.0 ELSE 8.0 + (doc_id + block_idx) % 9 * 0.5 END"
+_LEADING = "0.2 + (block_idx % 5) * 0.1"
+_DENSE = "(doc_id + block_idx) % 6 = 1 OR doc_id % 9 = 4"
+_CONTEXT = "block_type = 'text' AND sub_type NOT IN ('title', 'footnote', 'figure_caption')"
+_BOTTOM = "y1 + CASE WHEN (doc_id + block_idx) % 4 = 0 THEN 90 ELSE 0 END"
+_PAYLOAD = f"""w AS (SELECT doc_id, page_idx, median(x1 - x0) FILTER (block_type = 'text') AS wide FROM blocks GROUP BY ALL),
+b AS (SELECT doc_id, page_idx, block_idx, item_id, x0, y0, x1, {_BOTTOM} AS y1, CAST({_FONT} AS DOUBLE) AS font, CAST({_LEADING} AS DOUBLE) AS lead_em, CAST(length(text) AS DOUBLE) AS demand, CASE WHEN block_idx % 7 = 0 THEN 0.93 ELSE 1.0 END AS discount, ({_DENSE}) AS dense, ({_CONTEXT}) AS context, length(trim(text)) AS chars, wide FROM blocks JOIN w USING (doc_id, page_idx) WHERE block_idx % 3 <> 2),
+e AS (SELECT *, greatest(0, x1 - x0) AS width, greatest(0, y1 - y0) AS height, greatest(1, ceil(demand / greatest(greatest(4.0, greatest(8.0, x1 - x0) / greatest(font * 0.92, 1.0)) * 0.98, 1.0))) AS lines FROM b),
+n AS (SELECT *, font * lines * (1 + greatest(0, lead_em)) AS nat FROM e), r AS (SELECT *, CASE WHEN context AND NOT dense AND font > 0 AND lines >= 3 AND height >= 35 AND nat > 0 THEN height / nat END AS ratio FROM n),
+p AS (SELECT *, greatest(1.0, median(ratio) OVER (PARTITION BY doc_id, page_idx)) AS ref, least(height, greatest(height * 0.58, nat * 1.45)) AS part FROM r),
+dd AS (SELECT *, greatest(8.0, CASE WHEN ratio >= 1.8 AND ratio >= ref * 1.35 AND part < height - 0.5 THEN round(part, 2) ELSE y1 - y0 END) AS dh FROM p),
+x AS (SELECT *, lines * greatest(font * 1.02, font * (1 + lead_em)) * discount / dh AS density FROM dd)"""
+
+
+def _payloads(t):
+    b = blocks(t.documents)
+    wide = F.median(F.when(F.col("block_type") == "text", F.col("x1") - F.col("x0"))).over(Window.partitionBy("doc_id", "page_idx"))
+    made = b.withColumn("wide", wide).filter("block_idx % 3 != 2").withColumns({
+        "font": F.expr(_FONT).cast("double"), "leading": F.expr(_LEADING).cast("double"), "demand": F.length("text").cast("double"), "discount": F.when(F.col("block_idx") % 7 == 0, 0.93).otherwise(1.0),
+        "dense": F.expr(_DENSE), "context": F.expr(_CONTEXT), "text_chars": F.length(F.trim("text")), "y1": F.expr(_BOTTOM).cast("double"),
+    })
+    return made.select("doc_id", "page_idx", "block_idx", "item_id", "x0", "y0", "x1", "y1", "font", "leading", "demand", "discount", "dense", "context", "text_chars", "wide")
+
+
+@query("a15_body_targets", f"WITH {BLOCKS}, {_PAYLOAD} SELECT doc_id, page_idx, coalesce(median(font) FILTER (NOT dense), median(font)) AS font, round_even(greatest(0.82, least(0.92, median(density))), 6) AS density, round_even(median(demand / greatest(1.0, greatest(8.0, x1 - x0) * dh)), 6) AS pressure FROM x GROUP BY ALL")
+def body_targets(t):
+    """Fonts, densities and pressures, on pages where all boxes are dense, too, and with boxes much taller than their text."""
+    d = Y.body_targets(_payloads(t), ["doc_id", "page_idx"])
+    return d.select("doc_id", "page_idx", "font", F.bround("density", 6).alias("density"), F.bround("pressure", 6).alias("pressure"))
+
+
+@query(
+    "l09_anchors",
+    f"WITH {BLOCKS}, {_PAYLOAD}, f AS (SELECT *, context AND font > 0 AND NOT dense AND width >= greatest(1.0, wide * 0.58) AND height >= 30 AND density <= 1.18 AS best, context AND font > 0 AND width >= greatest(1.0, wide * 0.72) AND height >= 18 AS other FROM x), "
+    "s AS (SELECT *, count(*) FILTER (best) OVER (PARTITION BY doc_id, page_idx) AS n, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY best DESC, height * 2 + width * 0.25 + least(180, chars) DESC, block_idx) AS rank FROM f) "
+    "SELECT doc_id, page_idx, item_id, CASE WHEN n >= 2 THEN rank END AS rank FROM s WHERE (n >= 2 AND best AND rank <= 2) OR (n < 2 AND other)",
+)
+def anchors(t):
+    """The two best boxes of a page, or the fallback where fewer qualify."""
+    return Y.stable_anchors(_payloads(t), ["doc_id", "page_idx"], "block_idx", "wide").select("doc_id", "page_idx", "item_id", "rank")
+
+
+_WIDTH20 = "(x1 - x0) * CASE block_idx % 7 WHEN 3 THEN 0.5 WHEN 5 THEN 0.75 WHEN 6 THEN 0.0 ELSE 1.0 END"
+
+
+@query(
+    "w20_narrow_boxes",
+    f"WITH {BLOCKS}, g AS (SELECT doc_id, block_idx // 5 AS grp, block_idx, item_id, {_WIDTH20} AS w, 10.0 + block_idx % 9 AS capacity FROM blocks), l AS (SELECT *, lag(w) OVER k AS a, lead(w) OVER k AS z FROM g WINDOW k AS (PARTITION BY doc_id, grp ORDER BY block_idx)) "
+    "SELECT doc_id, item_id, round_even(CASE WHEN w > 0 AND a > 0 AND z > 0 AND w < (a + z) / 2 * 0.78 THEN capacity * greatest(w / ((a + z) / 2), 0.72) ELSE capacity END, 6) AS capacity FROM l",
+)
+def narrow_boxes(t):
+    """Capacities of boxes within groups, some narrow, some without width, at the edges unchanged."""
+    g = blocks(t.documents).select("doc_id", "item_id", "block_idx", F.expr("block_idx div 5").alias("grp"), F.expr(_WIDTH20).cast("double").alias("w"), (10.0 + F.col("block_idx") % 9).alias("capacity"))
+    return Y.relaxed_capacity(g, ["doc_id", "grp"], "block_idx", "w", "capacity").select("doc_id", "item_id", F.bround("relaxed", 6).alias("capacity"))

@@ -125,11 +125,6 @@ def seed_metrics(t):
     return b.join(m, ["doc_id", "page_idx"]).select("doc_id", "item_id", ((F.col("y1") - F.col("y0")) / F.col("h")).alias("relative_height"), F.bround((F.col("x1") - F.col("x0")) / F.col("w"), 6).alias("relative_width"))
 
 
-@query("a15_body_targets", f"WITH {BLOCKS} SELECT doc_id, least(60.0, greatest(25.0, median(y1 - y0))) AS target FROM blocks WHERE block_type = 'text' GROUP BY doc_id")
-def body_targets(t):
-    return blocks(t.documents).filter("block_type = 'text'").groupBy("doc_id").agg(F.least(F.lit(60.0), F.greatest(F.lit(25.0), F.median(F.col("y1") - F.col("y0")))).alias("target"))
-
-
 @query("a20_run_summary", "WITH s AS (SELECT user_id % 10 AS run, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, max(value) AS slowest FROM events GROUP BY 1) SELECT *, CASE WHEN errors * 4 > requests THEN 'lower_concurrency' WHEN slowest > 400 THEN 'split_batches' ELSE 'keep' END AS advice FROM s")
 def run_summary(t):
     s = t.events.groupBy((F.col("user_id") % 10).alias("run")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("value").alias("slowest"))
@@ -150,16 +145,6 @@ def absorbed_rows(t):
     return blocks(t.documents).select("doc_id", "item_id", F.coalesce(hit, F.lit(False)).alias("absorbed"))
 
 
-@query("w20_narrow_boxes", f"WITH {BLOCKS}, l AS (SELECT doc_id, item_id, x1 - x0 AS w, (lag(x1 - x0) OVER k + lead(x1 - x0) OVER k) / 2 AS around FROM blocks WINDOW k AS (PARTITION BY doc_id, page_idx, x0 ORDER BY y0)) SELECT doc_id, item_id, CASE WHEN around IS NOT NULL AND w < 0.95 * around THEN around ELSE w END AS width FROM l")
-def narrow_boxes(t):
-    """A box much narrower than its neighbours counts with their mean width."""
-    k = Window.partitionBy("doc_id", "page_idx", "x0").orderBy("y0")
-    b = blocks(t.documents).withColumn("w", F.col("x1") - F.col("x0"))
-    around = (F.lag("w").over(k) + F.lead("w").over(k)) / 2
-    b = b.withColumn("around", around)
-    return b.select("doc_id", "item_id", F.when(F.col("around").isNotNull() & (F.col("w") < 0.95 * F.col("around")), F.col("around")).otherwise(F.col("w")).alias("width"))
-
-
 @query("w24_next_in_column", f"WITH {BLOCKS} SELECT doc_id, item_id, lead(item_id) OVER (PARTITION BY doc_id, page_idx, x0 ORDER BY y0) AS next_id FROM blocks")
 def next_in_column(t):
     return blocks(t.documents).select("doc_id", "item_id", F.lead("item_id").over(Window.partitionBy("doc_id", "page_idx", "x0").orderBy("y0")).alias("next_id"))
@@ -176,11 +161,6 @@ def memory_trim(t):
     return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("user_id")).limit(160)
 
 
-@query("l09_anchors", f"WITH {BLOCKS}, r AS (SELECT doc_id, page_idx, item_id, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY length(text) DESC, block_idx) AS rank FROM blocks WHERE block_type = 'text') SELECT doc_id, page_idx, item_id, rank FROM r WHERE rank <= 2")
-def anchors(t):
-    return U.top_k(blocks(t.documents).filter("block_type = 'text'"), ["doc_id", "page_idx"], [F.desc(F.length("text")), "block_idx"], 2).select("doc_id", "page_idx", "item_id", "rank")
-
-
 @query("l11_batch_queues", f"WITH {BLOCKS}, b AS (SELECT doc_id, page_idx, count(*) AS n, max(length(text)) AS longest FROM blocks GROUP BY ALL) SELECT doc_id, page_idx, CASE WHEN n > 1 AND longest < 800 THEN 'batched_fast' WHEN longest < 800 THEN 'single_fast' ELSE 'single_slow' END AS queue FROM b")
 def batch_queues(t):
     b = blocks(t.documents).groupBy("doc_id", "page_idx").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))

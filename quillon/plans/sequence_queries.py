@@ -64,14 +64,6 @@ def positive_percentile(t):
     return t.events.groupBy("user_id").agg(F.coalesce(F.percentile(F.when(F.col("value") > 90, F.col("value")), F.lit(0.75)), F.lit(0.0)).alias("p75"))
 
 
-@query("a11_font_baseline", f"WITH {BLOCKS}, m AS (SELECT doc_id, page_idx, median(x1 - x0) AS w FROM blocks GROUP BY ALL) SELECT doc_id, page_idx, median(y1 - y0) AS baseline, count(*) AS n FROM blocks JOIN m USING (doc_id, page_idx) WHERE x1 - x0 >= 0.6 * w GROUP BY doc_id, page_idx")
-def font_baseline(t):
-    """Median height of a page's items that are wide enough."""
-    b = blocks(t.documents)
-    w = b.groupBy("doc_id", "page_idx").agg(F.median(F.col("x1") - F.col("x0")).alias("w"))
-    return b.join(w, ["doc_id", "page_idx"]).filter(F.col("x1") - F.col("x0") >= 0.6 * F.col("w")).groupBy("doc_id", "page_idx").agg(F.median(F.col("y1") - F.col("y0")).alias("baseline"), F.count(F.lit(1)).alias("n"))
-
-
 @query("a13_page_width", f"WITH {BLOCKS} SELECT doc_id, page_idx, max(x1) - min(x0) AS width, median(x1 - x0) AS median_width FROM blocks GROUP BY doc_id, page_idx")
 def page_width(t):
     return blocks(t.documents).groupBy("doc_id", "page_idx").agg((F.max("x1") - F.min("x0")).alias("width"), F.median(F.col("x1") - F.col("x0")).alias("median_width"))
