@@ -44,3 +44,9 @@ def array_median(values: Column) -> Column:
     s = F.array_sort(values)
     n = F.size(s)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
+def width_overlap(x0: Column, x1: Column, other_x0: Column, other_x1: Column) -> Column:
+    """Shared width of two boxes as a part of the narrower one."""
+    shared = F.greatest(F.lit(0.0), F.least(x1, other_x1) - F.greatest(x0, other_x0))
+    return shared / F.greatest(F.lit(1.0), F.least(x1 - x0, other_x1 - other_x0))

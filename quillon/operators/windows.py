@@ -35,6 +35,12 @@ def column_split(df: DataFrame, by: list[str], centre: str, left: str, right: st
     return g.select(*by, F.when(ok, "double").otherwise("single").alias("mode"), F.when(ok, F.col("m._mid")).otherwise(0.0).alias("split_x"))
 
 
+def page_layout(flow: DataFrame, by: list[str], centre: str, left: str, right: str) -> DataFrame:
+    """Per page: extent and median width of its flowing items, mode and where to cut."""
+    widths = flow.groupBy(*by).agg((F.max(right) - F.min(left)).alias("width"), F.median(F.col(right) - F.col(left)).alias("median_width"))
+    return widths.join(column_split(flow, by, centre, left, right), by)
+
+
 def join_score(df: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:
     """df with the scores and decision of each row against the next of its group.
 

@@ -53,28 +53,12 @@ def structured(t):
     return items(t.documents).select("doc_id", "item_id", M.structured_block(s).alias("structured"))
 
 
-@query("f16_english_output", f"WITH {ITEMS}, n AS (SELECT doc_id, item_id, len(regexp_extract_all(text, '[A-Za-z]+(?:[-''][A-Za-z]+)?')) AS en, len(regexp_extract_all(text, '[一-鿿]')) AS zh FROM items) SELECT doc_id, item_id, en >= 12 AND (zh = 0 OR en >= greatest(12, zh // 2)) AS english FROM n")
-def english_output(t):
-    c = F.col("text")
-    en, zh = X.english_words(c), F.regexp_count(c, F.lit("[一-鿿]"))
-    return items(t.documents).select("doc_id", "item_id", ((en >= 12) & ((zh == 0) | (en >= F.greatest(F.lit(12), F.floor(zh / 2))))).alias("english"))
-
-
 @query("f27_deletable", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'P') OR o_orderkey % 10 = 0")
 def deletable(t):
     """Jobs that are not open, or forced."""
     return t.orders.filter(~F.col("o_orderstatus").isin("O", "P") | (F.col("o_orderkey") % 10 == 0)).select("o_orderkey")
 
 
-@query("f28_glued_blocks", f"WITH {BLOCKS}, l AS (SELECT doc_id, item_id, length(text) / greatest(1.0, y1 - y0) AS ratio, least(x1, lead(x1) OVER w) - greatest(x0, lead(x0) OVER w) AS shared, lead(y0) OVER w - y1 AS gap FROM blocks WHERE block_type = 'text' WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY y0, x0)) SELECT doc_id, item_id FROM l WHERE ratio > 12 AND shared > 0 AND gap < 60")
-def glued_blocks(t):
-    """Too much text for its height, right above a block that it overlaps in x."""
-    w = Window.partitionBy("doc_id", "page_idx").orderBy("y0", "x0")
-    b = blocks(t.documents).filter("block_type = 'text'")
-    b = b.withColumns({"ratio": F.length("text") / F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")), "shared": F.least(F.col("x1"), F.lead("x1").over(w)) - F.greatest(F.col("x0"), F.lead("x0").over(w)), "gap": F.lead("y0").over(w) - F.col("y1")})
-    return b.filter("ratio > 12 and shared > 0 and gap < 60").select("doc_id", "item_id")
-
-
 @query("f30_refilled_page", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 20")
 def refilled_page(t):
     """The filter comes before paging, so pages are full."""
@@ -113,11 +97,6 @@ def counter_totals(t):
     return m.select("user_id", M.map_total(F.col("m")).alias("total"), F.size("m").cast("long").alias("kinds"))
 
 
-@query("a06_protocol_share", "SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS others FROM events")
-def protocol_share(t):
-    return t.events.agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") != "click").alias("others"))
-
-
 @query("a12_seed_metrics", f"WITH {BLOCKS}, m AS (SELECT doc_id, page_idx, median(y1 - y0) AS h, quantile_cont(x1 - x0, 0.75) AS w FROM blocks GROUP BY ALL) SELECT doc_id, item_id, (y1 - y0) / h AS relative_height, round_even((x1 - x0) / w, 6) AS relative_width FROM blocks JOIN m USING (doc_id, page_idx)")
 def seed_metrics(t):
     b = blocks(t.documents)
@@ -125,17 +104,6 @@ def seed_metrics(t):
     return b.join(m, ["doc_id", "page_idx"]).select("doc_id", "item_id", ((F.col("y1") - F.col("y0")) / F.col("h")).alias("relative_height"), F.bround((F.col("x1") - F.col("x0")) / F.col("w"), 6).alias("relative_width"))
 
 
-@query("a20_run_summary", "WITH s AS (SELECT user_id % 10 AS run, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, max(value) AS slowest FROM events GROUP BY 1) SELECT *, CASE WHEN errors * 4 > requests THEN 'lower_concurrency' WHEN slowest > 400 THEN 'split_batches' ELSE 'keep' END AS advice FROM s")
-def run_summary(t):
-    s = t.events.groupBy((F.col("user_id") % 10).alias("run")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("value").alias("slowest"))
-    return s.withColumn("advice", F.when(F.col("errors") * 4 > F.col("requests"), "lower_concurrency").when(F.col("slowest") > 400, "split_batches").otherwise("keep"))
-
-
-@query("a24_unit_candidates", f"WITH {BLOCKS} SELECT doc_id, sub_type, min(block_idx) AS first_block, arg_min(item_id, block_idx) AS representative FROM blocks GROUP BY doc_id, sub_type")
-def unit_candidates(t):
-    return blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.min("block_idx").alias("first_block"), F.min_by("item_id", "block_idx").alias("representative"))
-
-
 @query("w10_absorbed_rows", f"WITH {BLOCKS}, l AS (SELECT *, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM blocks WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)) SELECT doc_id, item_id, coalesce(nx <> x0 AND least(y1, ny1) - greatest(y0, ny0) >= 0.25 * least(y1 - y0, ny1 - ny0), false) AS absorbed FROM l")
 def absorbed_rows(t):
     """The next row stands in the other column at the same height."""
@@ -161,12 +129,6 @@ def memory_trim(t):
     return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("user_id")).limit(160)
 
 
-@query("l11_batch_queues", f"WITH {BLOCKS}, b AS (SELECT doc_id, page_idx, count(*) AS n, max(length(text)) AS longest FROM blocks GROUP BY ALL) SELECT doc_id, page_idx, CASE WHEN n > 1 AND longest < 800 THEN 'batched_fast' WHEN longest < 800 THEN 'single_fast' ELSE 'single_slow' END AS queue FROM b")
-def batch_queues(t):
-    b = blocks(t.documents).groupBy("doc_id", "page_idx").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
-    return b.select("doc_id", "page_idx", F.when((F.col("n") > 1) & (F.col("longest") < 800), "batched_fast").when(F.col("longest") < 800, "single_fast").otherwise("single_slow").alias("queue"))
-
-
 _LOGS = ["Failed to resolve host", "request timed out", "HTTP rate limit", "401 unauthorized", "placeholder inventory mismatch", "typst error: x", "JSONDecodeError: x", "source PDF not found", "something else"]
 
 

@@ -64,11 +64,6 @@ def positive_percentile(t):
     return t.events.groupBy("user_id").agg(F.coalesce(F.percentile(F.when(F.col("value") > 90, F.col("value")), F.lit(0.75)), F.lit(0.0)).alias("p75"))
 
 
-@query("a13_page_width", f"WITH {BLOCKS} SELECT doc_id, page_idx, max(x1) - min(x0) AS width, median(x1 - x0) AS median_width FROM blocks GROUP BY doc_id, page_idx")
-def page_width(t):
-    return blocks(t.documents).groupBy("doc_id", "page_idx").agg((F.max("x1") - F.min("x0")).alias("width"), F.median(F.col("x1") - F.col("x0")).alias("median_width"))
-
-
 @query("a14_low_quantile", f"WITH {BLOCKS} SELECT doc_id, list_sort(list(y1 - y0))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS target FROM blocks GROUP BY doc_id")
 def low_quantile(t):
     """The value at a quarter of the sorted heights, without interpolation."""
@@ -104,12 +99,6 @@ def glossary_usage(t):
     return total.join(found).select("entries", "source_hits", (F.col("entries") - F.col("source_hits")).alias("unused"), "preferred_hits")  # one row each
 
 
-@query("a19_inventory_equal", f"WITH {ITEMS} SELECT doc_id, item_id, list_sort(regexp_extract_all(text, '[0-9]+')) = list_sort(regexp_extract_all(lower(text), '[0-9]+')) AS same FROM items")
-def inventory_equal(t):
-    n = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    return items(t.documents).select("doc_id", "item_id", (n(F.col("text")) == n(F.lower("text"))).alias("same"))
-
-
 @query("a21_pages_of_unit", f"WITH {BLOCKS} SELECT doc_id, sub_type, array_to_string(list_sort(list_distinct(list(page_idx))), ',') AS pages FROM blocks GROUP BY doc_id, sub_type")
 def pages_of_unit(t):
     return blocks(t.documents).groupBy("doc_id", "sub_type").agg(F.array_join(F.array_sort(F.collect_set("page_idx")), ",").alias("pages"))

@@ -73,5 +73,5 @@ def test_anchors_and_their_fallback(spark):
     at = lambda rows: sorted((r["at"], r["rank"]) for r in Y.stable_anchors(spark.createDataFrame(rows, PAYLOAD), ["page"], "at", "wide").collect())
     assert at([payload(1), payload(2, height=70.0), payload(3, height=90.0), payload(4, height=20.0)]) == [(2, 2), (3, 1)]
     assert at([payload(1), payload(2)]) == [(1, 1), (2, 2)]
-    assert at([payload(1), payload(2, dense=True), payload(3, width=130.0), payload(4, height=17.0), payload(5, context=False)]) == [(1, 1), (3, 2)]
+    assert at([payload(1), payload(2, dense=True), payload(3, width=130.0, demand=40.0), payload(4, height=17.0), payload(5, context=False)]) == [(1, 1), (3, 2)]
     assert at([payload(1), payload(2, dense=True), payload(3, width=110.0), payload(4, height=18.0)]) == [(1, None), (2, None), (4, None)]
