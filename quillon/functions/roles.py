@@ -101,3 +101,27 @@ def translate_reason(kind: Column, layout: Column, semantic: Column) -> Column:
 
 def translates(reason: Column) -> Column:
     return reason.isin("caption_text", "semantic_role=abstract", "main_text")
+
+
+# Roles of blocks whose text is translated, and the structure that a derived role stands for.
+CAPTION_ROLES = ("caption", "figure_caption", "image_caption", "table_caption", "code_caption")
+FOOTNOTE_ROLES = ("footnote", "image_footnote", "table_footnote")
+PRIMARY_STRUCTURES = ("body", "abstract", "title", "heading", *CAPTION_ROLES, *FOOTNOTE_ROLES, "option_header", "option_description", "example_intro", "example_line")
+DERIVED_STRUCTURES = ("title", "heading", *CAPTION_ROLES, *FOOTNOTE_ROLES, "abstract", "reference_entry")
+
+
+def block_translates(explicit: Column, algorithm: Column, tags: Column, kind: Column, layout: Column, semantic: Column, structure: Column, derived: Column) -> Column:
+    """Whether a block's text is translated.
+
+    An explicit policy decides, but never lets algorithms through. Without one,
+    text is translated if its structure says so (its own or that of its derived
+    role), or its place in the layout, or if it is an abstract or a body
+    paragraph; a skip tag and algorithms are left alone.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    inside = F.coalesce(algorithm, F.lit(False))
+    effective = F.coalesce(F.nullif(low(structure), F.lit("")), F.when(low(derived).isin(*DERIVED_STRUCTURES), low(derived)), F.lit(""))
+    body = low(semantic).isin("body", "abstract") & (effective == "body") & low(layout).isin("paragraph", "list_item", "unknown", "")
+    primary = effective.isin(*PRIMARY_STRUCTURES) | low(layout).isin("title", "heading", "caption", "footnote") | (low(semantic) == "abstract") | body
+    skipped = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: low(t) == "skip_translation")
+    return F.when(explicit.isNotNull(), explicit & ~inside).otherwise(~inside & ~skipped & (low(kind) == "text") & primary)

@@ -151,3 +151,16 @@ def chains(edges: DataFrame) -> DataFrame:
 def exactly_one(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs whose key has no other pair."""
     return pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("_n = 1").drop("_n")
+
+
+def missing_inputs(jobs: DataFrame, artifacts: DataFrame, key: str, kind: str, required: tuple[str, ...], source: str | None = None) -> DataFrame:
+    """(key, missing): jobs that lack inputs they need, of their own or of the job named in ``source``, in the order of ``required``.
+
+    Only needed kinds are gathered, so a job's artifacts are a set of at most their number.
+    """
+    own = artifacts.filter(F.col(kind).isin(*required)).groupBy(F.col(key).alias("_job")).agg(F.collect_set(kind).alias("_held"))
+    found = jobs.join(own, F.col(key) == F.col("_job"), "left").withColumn("_all", F.coalesce("_held", F.array().cast("array<string>"))).drop("_job", "_held")
+    if source is not None:
+        found = found.join(own, F.col(source) == F.col("_job"), "left").withColumn("_all", F.array_union("_all", F.coalesce("_held", F.array().cast("array<string>"))))
+    missing = F.array_except(F.array(*map(F.lit, required)), F.col("_all"))
+    return found.select(key, missing.alias("missing")).filter(F.size("missing") > 0)

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import more as M
-from quillon.functions import roles as R
 from quillon.functions import text as X
 from quillon.operators import sets as U
 from quillon.plans.items import BLOCKS, ITEMS, blocks, items
@@ -23,13 +22,6 @@ def _body():
     return F.col("semantic_role").isin("body", "abstract") | (F.col("structure_role") == "body") | (F.col("layout_role") == "paragraph")
 
 
-@query("f04_translatable", f"WITH {ROLES_SQL} SELECT doc_id, item_id, CASE WHEN block_idx % 11 = 0 THEN true WHEN block_idx % 13 = 0 THEN false ELSE reason IN ('caption_text', 'semantic_role=abstract', 'main_text') END AS translate FROM roles")
-def translatable(t):
-    """An explicit policy overrides the derived one."""
-    explicit = F.when(F.col("block_idx") % 11 == 0, True).when(F.col("block_idx") % 13 == 0, False)
-    return roled(t.documents).select("doc_id", "item_id", F.coalesce(explicit, R.translates(F.col("reason"))).alias("translate"))
-
-
 @query("f08_eligible", f"WITH {ROLES_SQL}, n AS (SELECT *, replace({norm('text')}, '\\$', '') AS s FROM roles) SELECT doc_id, item_id, {_BODY} AND (length(s) - length(replace(s, '$', ''))) % 2 = 0 AND s <> '' AS eligible FROM n")
 def eligible(t):
     c = F.col("text")
@@ -84,11 +76,6 @@ def child_events(t):
     return child.unionByName(t.events.filter("event_id % 2 = 0").select(F.col("user_id").alias("job_id"), "event_id", F.col("event_type").alias("event")))
 
 
-@query("j23_missing_inputs", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def missing_inputs(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("a05_counter_totals", "SELECT user_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def counter_totals(t):
     """Counters as a map and their total."""

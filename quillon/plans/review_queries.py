@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import roles as R
 from quillon.functions import rules as Q
 from quillon.functions import text as X
+from quillon.operators import joins as J
+from quillon.operators import markdown as K
 from quillon.operators import residue as E
 from quillon.operators import runs as O
 from quillon.operators import windows as W
 from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
-from quillon.plans.rule_queries import _ODD, _code, _prose
+from quillon.plans.rule_queries import _ODD, ROLES_SQL, _code, _prose, roled
 from quillon.plans.text_queries import norm, words
 from quillon.sources import versions
 from quillon.sources.shared import shared_folder
@@ -184,3 +186,44 @@ def job_versions(t):
     stored, rows = versions.read(t.spark, path, "jobs", "artifacts")
     n = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     return stored.join(n, "job_id", "left").select("job_id", "stage", F.coalesce("n", F.lit(0)).alias("artifacts"))
+
+
+@query(
+    "j23_missing_inputs",
+    "WITH j AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS source FROM orders), a AS (SELECT l_orderkey, list(DISTINCT l_returnflag || l_linestatus) AS held FROM lineitem GROUP BY 1), m AS (SELECT o_orderkey, list_filter(['AF', 'NO', 'RF'], lambda x: NOT list_contains(coalesce(a.held, []), x) AND NOT list_contains(coalesce(b.held, []), x)) AS missing FROM j LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN a b ON b.l_orderkey = source) SELECT o_orderkey, array_to_string(missing, ',') AS missing FROM m WHERE len(missing) > 0",
+)
+def missing_inputs(t):
+    """Jobs of which some may use what another job made."""
+    jobs = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 1).alias("source"))
+    artifacts = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+    found = J.missing_inputs(jobs, artifacts, "o_orderkey", "kind", ("AF", "NO", "RF"), "source")
+    return found.select("o_orderkey", F.array_join("missing", ",").alias("missing"))
+
+
+_STRUCTURES = "(" + ", ".join(f"'{x}'" for x in R.PRIMARY_STRUCTURES) + ")"
+_DERIVED_SET = "(" + ", ".join(f"'{x}'" for x in R.DERIVED_STRUCTURES) + ")"
+
+
+@query(
+    "f04_translatable",
+    f"WITH {ROLES_SQL}, e AS (SELECT *, CASE WHEN block_idx % 11 = 0 THEN true WHEN block_idx % 13 = 0 THEN false END AS explicit, (doc_id + block_idx) % 15 = 4 AS algo, (doc_id + block_idx) % 16 = 5 AS skip, CASE WHEN structure_role <> '' THEN structure_role WHEN derived_role IN {_DERIVED_SET} THEN derived_role ELSE '' END AS eff, lower(trim(CASE WHEN block_idx % 23 = 2 THEN upper(block_type) ELSE block_type END)) AS kind FROM roles) "
+    f"SELECT doc_id, item_id, CASE WHEN explicit IS NOT NULL THEN explicit AND NOT algo ELSE NOT algo AND NOT skip AND kind = 'text' AND (eff IN {_STRUCTURES} OR layout_role IN ('title', 'heading', 'caption', 'footnote') OR semantic_role = 'abstract' OR (semantic_role IN ('body', 'abstract') AND eff = 'body' AND layout_role IN ('paragraph', 'list_item', 'unknown', ''))) END AS translate FROM e",
+)
+def translatable(t):
+    """Explicit policies, algorithms, skip tags and roles of all kinds."""
+    b, s = F.col("block_idx"), F.col("doc_id") + F.col("block_idx")
+    explicit = F.when(b % 11 == 0, True).when(b % 13 == 0, False)
+    tags = F.when(s % 16 == 5, F.array(F.lit(" Skip_Translation"))).otherwise(F.array("tag"))
+    verdict = R.block_translates(explicit, s % 15 == 4, tags, F.col("block_type"), F.col("layout_role"), F.col("semantic_role"), F.col("structure_role"), F.col("derived_role"))
+    return roled(t.documents).select("doc_id", "item_id", verdict.alias("translate"))
+
+
+_MARKED = ["x_1 is 2 and ", "so$y_2$is ", "see [ab]_cd: ", "a*b ", r"\cite{3, 4} says ", r"\\alpha{n} and ", "", "5 $ and "]
+_MARKDOWN = ["$x_1$ is 2 and ", "so $y_2$ is ", "see $[ab]_{cd}$: ", r"a\*b ", "³,⁴ says ", r"$\alpha{n}$ and ", "", "5 $ and "]
+
+
+@query("c27_markdown", f"WITH {ITEMS}, m AS (SELECT doc_id, item_id, (doc_id + block_idx) % 8 AS k, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS plain FROM items) SELECT doc_id, item_id, trim(regexp_replace(([{', '.join(repr(x).replace(chr(92) * 2, chr(92)) for x in _MARKDOWN)}])[k + 1] || plain, '\\s+', ' ', 'g')) AS markdown FROM m")
+def to_markdown(t):
+    """Letters behind formulas, candidates, citations and stray marks."""
+    text = F.concat(cycle(_MARKED, F.col("doc_id") + F.col("block_idx")), F.regexp_replace("text", "[^A-Za-z ]", ""))
+    return items(t.documents).select("doc_id", "item_id", K.to_markdown()(text).alias("markdown"))

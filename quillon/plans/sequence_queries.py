@@ -10,7 +10,7 @@ from quillon.operators import sequential as S
 from quillon.operators import sets as U
 from quillon.operators import windows as W
 from quillon.plans.items import BLOCKS, ITEMS, blocks, items
-from quillon.plans.join_queries import _BOX, _DEDUP, _G, boxes, unique_glossary
+from quillon.plans.join_queries import _DEDUP, _G, boxes, unique_glossary
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import ROLES_SQL, roled
 from quillon.plans.text_queries import ends, glossary, last, listed, norm, starts
@@ -26,11 +26,12 @@ def status_summary(t):
     return b.select("reason", "final_status", F.explode("route_path").alias("route")).groupBy("route", "reason").agg(F.count(F.lit(1)).alias("n"), F.bround(ok / F.count(F.lit(1)), 4).alias("success_rate"))
 
 
-@query("a01_slow_items", f"WITH {BLOCKS}, s AS (SELECT greatest(30000, CAST(floor(avg(latency_ms) + 2 * stddev_pop(latency_ms)) AS BIGINT)) AS most FROM blocks WHERE latency_ms > 0) SELECT doc_id, item_id, latency_ms FROM blocks, s WHERE latency_ms > most")
+@query("a01_slow_items", f"WITH {BLOCKS}, m AS (SELECT doc_id, item_id, latency_ms * latency_ms // 60000 AS ms FROM blocks), s AS (SELECT greatest(30000, CAST(floor(avg(ms) + 2 * stddev_pop(ms)) AS BIGINT)) AS most FROM m WHERE ms > 0) SELECT doc_id, item_id, ms FROM m, s WHERE ms > most")
 def slow_items(t):
-    b = blocks(t.documents)
-    limit = b.filter("latency_ms > 0").agg(F.greatest(F.lit(30000), F.floor(F.avg("latency_ms") + 2 * F.stddev_pop("latency_ms"))).alias("most"))
-    return b.join(F.broadcast(limit), F.col("latency_ms") > F.col("most")).select("doc_id", "item_id", "latency_ms")  # one row
+    """Few slow items among many fast ones."""
+    b = blocks(t.documents).select("doc_id", "item_id", F.expr("latency_ms * latency_ms div 60000").alias("ms"))
+    limit = b.filter("ms > 0").agg(F.greatest(F.lit(30000), F.floor(F.avg("ms") + 2 * F.stddev_pop("ms"))).alias("most"))
+    return b.join(F.broadcast(limit), F.col("ms") > F.col("most")).select("doc_id", "item_id", "ms")  # one row
 
 
 @query("a01_error_taxonomy", f"WITH {BLOCKS} SELECT e AS error, count(*) AS n FROM (SELECT unnest(error_types) AS e FROM blocks) GROUP BY e")
@@ -118,11 +119,12 @@ def group_text(t):
     return g.filter("n >= 2 and chars <= 4000").select("doc_id", "sub_type", F.array_join(F.transform("m", lambda x: x["s"]), " ").alias("merged"))
 
 
-@query("a25_overlap_stats", f"WITH {BLOCKS}, {_BOX} SELECT a.doc_id, a.page_idx, a.box_id, count(*) AS n, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS shared FROM box a JOIN box b USING (doc_id, page_idx) WHERE a.box_id <> b.box_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL")
+@query("a25_overlap_stats", f"WITH {BLOCKS}, box AS (SELECT doc_id, page_idx, item_id AS box_id, x0, y0, x1, y1 + 90 AS y1 FROM blocks) SELECT a.doc_id, a.page_idx, a.box_id, count(*) AS n, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS shared FROM box a JOIN box b USING (doc_id, page_idx) WHERE a.box_id <> b.box_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL")
 def overlap_stats(t):
     from quillon.operators.joins import overlapping
 
-    p = overlapping(boxes(t), boxes(t), ["doc_id", "page_idx"], -1.0).filter("box_id != other_id")
+    tall = boxes(t).withColumn("y1", F.col("y1") + 50)  # down into the next box of the column
+    p = overlapping(tall, tall, ["doc_id", "page_idx"], -1.0).filter("box_id != other_id")
     return p.groupBy("doc_id", "page_idx", "box_id").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("shared"))
 
 

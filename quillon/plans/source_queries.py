@@ -223,10 +223,10 @@ def metadata_update(t):
     return t.documents.select("doc_id", m["title"].alias("title"), m["lang"].alias("lang"))
 
 
-@query("d07_expired", "SELECT event_id FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS")
+@query("d07_expired", "SELECT event_id FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 20 DAYS")
 def expired(t):
     top = t.events.agg(F.max("ts").alias("now"))
-    return sinks.expired(t.events.join(F.broadcast(top)), "ts", 30 * 86400, F.col("now")).select("event_id")  # one row
+    return sinks.expired(t.events.join(F.broadcast(top)), "ts", 20 * 86400, F.col("now")).select("event_id")  # one row
 
 
 @query("d11_probe_ratio", f"WITH {BLOCKS}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) AS r FROM blocks WHERE page_idx < 3) SELECT doc_id, CASE WHEN avg(CASE WHEN block_type = 'text' THEN 1.0 ELSE 0.0 END) >= 0.6 THEN 'overlay' ELSE 'direct' END AS mode FROM s WHERE r <= 24 GROUP BY doc_id")
