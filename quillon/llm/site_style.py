@@ -5,22 +5,33 @@ elements (tag and first class or id) are one node of the host's tree. A node
 has two features on every page: its presentation (the sequence of its child
 elements and texts, unless it is all text) and its content (the text directly in it). Over the m
 pages that have the node, a feature's importance is its entropy divided by
-log m: 0 where all pages show the same, 1 where all differ. A branch's
-importance is the mean over its nodes, discounted by ``GAMMA`` per level.
-Branches whose importance is below ``LEAST`` are removed from every page of the
-host: a menu of fixed shape goes even if its links change. A text of more than
-``MENU_WORDS`` words goes only if its node's content alone has so little
-importance, so a fixed frame around new prose takes nothing along. Inside
-``article`` and ``main``, where lists and tables of one shape hold different
-texts, a branch's importance must be below ``LEAST_INSIDE`` on ``ARTICLE_PAGES``
-pages or more, so that a site of copies keeps its text.
-
-Two kinds of boilerplate have no low entropy: texts that vary from page to page
-in a fixed place (rotating adverts, footers with dates) and pages of hosts with
-fewer than ``LEAST_PAGES`` pages. These are told by the element or by class, id
-and role names: a name counts if all its parts are such names (``main-nav``, but
-not ``has-sidebar`` or ``article-header``), and never on html, body, main and
-article.
+log m: 0 where all pages show the same, 1 where all differ. Two measures of a
+branch follow from it.
+
+* Its importance is the mean over its nodes, discounted by ``GAMMA`` per level.
+  Branches whose importance is below ``LEAST`` are removed from every page of
+  the host: a menu of fixed shape goes even if its links change. A text of more
+  than ``MENU_WORDS`` words goes only if its node's content alone has so little
+  importance, so a fixed frame around new prose takes nothing along. Inside
+  ``article`` and ``main``, where lists and tables of one shape hold different
+  texts, a branch's importance must be below ``LEAST_INSIDE`` on
+  ``ARTICLE_PAGES`` pages or more, so that a site of copies keeps its text.
+* Its information is the number of its words, each times the importance of its
+  text among the node's (1 for a text that one page has, 0 for one that all
+  have). The main branch is the deepest one that holds ``MAIN`` of its host's
+  information and isn't mere text. Branches beside it that hold less than
+  ``ASIDE`` of the information are removed, too: adverts, footers and teasers,
+  whose texts differ from page to page. Headings whose texts differ stay, and so
+  does what lies in ``article`` or ``main``.
+
+Hosts of fewer than ``LEAST_PAGES`` pages have no tree to speak of. There the
+element or class, id and role names tell: a name counts if all its parts are
+such names (``main-nav``, but not ``has-sidebar`` or ``article-header``), unless
+another name of the element is one of content, never on html, body, main and
+article, and inside the last two only if no part of an article is called so.
+A form or a named element that holds more than half of a page's words is none of
+these, but a page in a form. Readers' comments, which look like articles to any
+tree, are told by name everywhere.
 
 Feature counts are aggregated by host, node and feature, so a hot host is
 spread over many tasks; what returns to the pages of a host is the list of its
@@ -38,6 +49,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -53,6 +65,8 @@ LEAST_INSIDE = 0.05
 MENU_WORDS = 5
 LEAST_PAGES = 5
 ARTICLE_PAGES = 40
+MAIN = 0.5
+ASIDE = 0.15
 BROADCAST_BYTES = 8 << 20
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -64,6 +78,12 @@ IN_HEAD = frozenset("html head title base link meta style script noscript templa
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILERPLATE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe signup login search widget pagination pager skip toolbar".split())
 NEUTRAL_NAMES = frozenset("area bar bottom box container content global inner item items left link links list main primary right secondary section site slot text top unit wrap wrapper".split())
+CONTENT_NAMES = frozenset("article body content entry main post story text".split())
+#: names that tell inside an article, too
+INSIDE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr popup modal overlay navbar breadcrumb breadcrumbs comment comments disqus newsletter subscribe signup login share sharing pagination pager".split())
+#: elements that are boilerplate whatever they hold
+HARD_TAGS = frozenset("nav footer aside menu header".split())
+COMMENT_NAMES = frozenset("comment comments disqus respond reply replies".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: elements that a new one of the key's kind closes
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "p"}}
@@ -75,33 +95,49 @@ NESTED = frozenset("svg math object template noscript".split())
 FENCE = frozenset("html body article main section div ul ol dl table blockquote nav aside footer header form fieldset figure details dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S)
-_NAME = re.compile(r"\b(class|id|role|hidden)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"\b(class|id|role)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """(label of an element's class or id, whether its names mark boilerplate)."""
-    label, marked = "", False
+def _names(attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """(label of an element's class or id, whether its names mark boilerplate, or comments)."""
+    label, marked, content, comment = "", False, False, False
     for m in _NAME.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        kind = m[1].lower()
-        if kind == "role":
-            marked |= value in BOILERPLATE_ROLES
-        elif kind != "hidden":
-            words = value.split()
-            label = label or ("." + words[0].replace("%", "%25").replace("/", "%2f") if words else "")
-            for w in words:
-                parts = set(_PART.findall(w))
-                marked |= bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | NEUTRAL_NAMES
-    return label, marked
-
-
-def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tuple[str, str]]]:
-    """Blocks (path, marked, text) in page order; and path -> (child sequence, own text)."""
+        if m[1].lower() == "role":
+            marked |= value in BOILERPLATE_ROLES and not inside
+            continue
+        words = value.split()
+        label = label or ("." + words[0].replace("%", "%25").replace("/", "%2f") if words else "")
+        for w in words:
+            parts = set(_PART.findall(w))
+            marked |= bool(parts & (INSIDE_NAMES if inside else BOILERPLATE_NAMES)) and parts <= BOILERPLATE_NAMES | NEUTRAL_NAMES
+            comment |= bool(parts & COMMENT_NAMES) and parts <= COMMENT_NAMES | NEUTRAL_NAMES
+            content |= bool(parts) and parts <= CONTENT_NAMES
+    return label, marked and not content, comment and not content
+
+
+HARD, COMMENT = -1, -2
+
+
+def _marks(blocks: list[tuple[str, tuple[int, ...], str]]) -> list[tuple[str, int, str]]:
+    """Blocks with what marks them: 0 nothing, 1 an element, 2 readers' comments; an element around more than half of a page's words marks none."""
+    words: dict[int, int] = {}
+    total = 0
+    for _, by, t in blocks:
+        n = t.count(" ") + 1
+        total += n
+        for e in by:
+            words[e] = words.get(e, 0) + n
+    return [(path, 2 if COMMENT in by else int(any(e == HARD or 2 * words[e] <= total for e in by)), t) for path, by, t in blocks]
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, int, str]], dict[str, tuple[str, str]]]:
+    """Blocks (path, mark, text) in page order; and path -> (child sequence, own text)."""
     page = page or ""
-    blocks: list[tuple[str, bool, str]] = []
+    blocks: list[tuple[str, tuple[int, ...], str]] = []
     style: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, marked
+    stack: list[tuple[str, str, tuple[int, ...]]] = [("", "", ())]  # tag, path, elements that mark it
     text: list[str] = []
     skip, depth, opened = "", 0, 0  # the element whose text is skipped, those of its kind within, blocks open in it
     at = 0
@@ -191,24 +227,31 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, str]], dict[str, tupl
                 break
             if stack[i][0] in FENCE:
                 break
-        label, marked = _names(m[3])
         inside = any(s[0] in ("article", "main") for s in stack)
-        marked = tag not in SPARED and (marked or tag in BOILERPLATE_TAGS or (tag == "header" and not inside))
+        label, marked, comment = _names(m[3], inside)
         child = tag + label
         shown(child)
         path = f"{stack[-1][1]}/{child}"
         style.setdefault(path, [])
-        stack.append((tag, path, stack[-1][2] or marked))
+        by = stack[-1][2] if tag not in ("article", "main") else tuple(e for e in stack[-1][2] if e == COMMENT)
+        if tag not in SPARED:
+            if comment:
+                by = (*by, COMMENT)
+            if tag in HARD_TAGS and not (tag == "header" and inside):
+                by = (*by, HARD)
+            elif marked or tag in BOILERPLATE_TAGS:
+                by = (*by, m.start())
+        stack.append((tag, path, by))
     if at < len(page) and not skip:
         text.append(page[at:])
     flush()
     own: dict[str, list[str]] = {}
     for path, _, t in blocks:
         own.setdefault(path, []).append(t)
-    return blocks, {p: (" ".join(c) if set(c) - {"#"} else "", "\n".join(own.get(p, ()))) for p, c in style.items()}
+    return _marks(blocks), {p: (" ".join(c) if set(c) - {"#"} else "", "\n".join(own.get(p, ()))) for p, c in style.items()}
 
 
-FEATURES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType())])
+FEATURES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType()), T.StructField("words", T.LongType())])
 
 
 def _features(batches):
@@ -222,26 +265,64 @@ def _features(batches):
                 for path, (children, own) in parse(pages[i].as_py())[1].items():
                     if path:
                         if children:
-                            rows.append((host, path, 0, hashed(children)))
+                            rows.append((host, path, 0, hashed(children), 0))
                         if own:
-                            rows.append((host, path, 1, hashed(own)))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=FEATURES.names)
+                            rows.append((host, path, 1, hashed(own), len(own.split())))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=FEATURES.names)
 
 
 def importance(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, path, pages, importance, content) of every node of every host's tree; content is its own text's importance."""
+    """(host, path, pages, importance, content, information, plain) of every node of every host's tree.
+
+    ``content`` is the importance of the node's own text; ``information`` that of
+    its branch, of which ``plain`` is the node's own.
+    """
     seen = pages.filter(F.col(host) != "").select(host, page).mapInArrow(_features, FEATURES)
-    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))).otherwise(F.lit(1.0))
-    nodes = kinds.select("host", "path", "kind", "m", entropy.alias("h"))
-    # every node adds to the branches above it, less by GAMMA for each level
+    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("words").alias("words"))
+    words = F.col("n") * F.col("words")
+    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum(words).alias("w"), F.sum(words * F.log("n")).alias("ws"))
+    many = F.col("m") > 1
+    entropy = F.when(many, F.greatest(F.lit(0.0), (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))).otherwise(F.lit(1.0))
+    told = F.when(many, F.greatest(F.lit(0.0), F.col("w") - F.col("ws") / F.log("m"))).otherwise(F.col("w"))
+    nodes = kinds.select("host", "path", "kind", "m", entropy.alias("h"), told.alias("told"))
+    # every node adds to the branches above it, to their importance less by GAMMA for each level
     steps = F.split(F.expr("substring(path, 2)"), "/")
     up = nodes.withColumn("steps", steps).withColumn("d", F.explode(F.sequence(F.lit(1), F.size("steps"))))
     weight = F.col("m") * F.pow(F.lit(GAMMA), F.size("steps") - F.col("d"))
-    up = up.select("host", F.concat(F.lit("/"), F.array_join(F.slice("steps", F.lit(1), F.col("d")), "/")).alias("path"), weight.alias("w"), (weight * F.col("h")).alias("wh"), "m", F.when((F.col("kind") == 1) & (F.col("d") == F.size("steps")), F.col("h")).alias("own"))
-    return up.groupBy("host", "path").agg(F.max("m").alias("pages"), (F.sum("wh") / F.sum("w")).alias("importance"), F.max("own").alias("content"))
+    own = (F.col("kind") == 1) & (F.col("d") == F.size("steps"))
+    up = up.select("host", F.concat(F.lit("/"), F.array_join(F.slice("steps", F.lit(1), F.col("d")), "/")).alias("path"), weight.alias("w"), (weight * F.col("h")).alias("wh"), "m", F.when(own, F.col("h")).alias("own"), "told", F.when(own, F.col("told")).alias("plain"))
+    return up.groupBy("host", "path").agg(F.max("m").alias("pages"), (F.sum("wh") / F.sum("w")).alias("importance"), F.max("own").alias("content"), F.sum("told").alias("information"), F.coalesce(F.sum("plain"), F.lit(0.0)).alias("plain"))
+
+
+def branches(tree: DataFrame) -> DataFrame:
+    """(tree_host, known, low, dull, aside) of each host: whether it has pages enough, and its paths of little importance, of dull content, and beside the main branch."""
+    deep = F.struct(F.size(F.split("path", "/")).alias("depth"), "path")
+    hosts = tree.groupBy("host").agg(F.max("pages").alias("most"), F.sum("plain").alias("all"))
+    mains = tree.join(hosts, "host").filter((F.col("information") >= MAIN * F.col("all")) & (F.col("plain") < MAIN * F.col("information")))
+    mains = hosts.join(mains.groupBy("host").agg(F.max(deep)["path"].alias("main")), "host", "left")
+    t = tree.join(mains, "host")
+    inside = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
+    enough = F.col("pages") >= LEAST_PAGES
+    low = F.when(inside, (F.col("importance") < LEAST_INSIDE) & (F.col("pages") >= ARTICLE_PAGES)).otherwise((F.col("importance") < LEAST) & enough)
+    dull = F.coalesce(F.col("content") < LEAST, F.lit(False))
+    under = lambda a, b: F.startswith(F.concat(a, F.lit("/")), F.concat(b, F.lit("/")))
+    heading = F.col("path").rlike(r"/h[1-6](\.[^/]*)?$") & ~dull
+    beside = ~inside & enough & ~heading & (F.col("information") < ASIDE * F.col("all")) & ~under(F.col("path"), F.col("main")) & ~under(F.col("main"), F.col("path"))
+    kinds = {"low": low, "dull": dull, "aside": beside}
+    lists = [F.collect_list(F.when(F.coalesce(c, F.lit(False)), F.col("path"))).alias(k) for k, c in kinds.items()]
+    return t.groupBy(F.col("host").alias("tree_host")).agg((F.max("most") >= LEAST_PAGES).alias("known"), *lists)
+
+
+def kept_texts(page: str | None, names: bool, known: bool, low: Iterable[str], dull: Iterable[str], aside: Iterable[str]) -> Iterator[str]:
+    """The texts of a page's blocks that stay."""
+    branches, nodes, besides = tuple(f"{c}/" for c in low), frozenset(dull), tuple(f"{c}/" for c in aside)
+    for path, mark, t in parse(page)[0]:
+        at = f"{path}/"
+        falls = at.startswith(besides) or (at.startswith(branches) and (path in nodes or t.count(" ") < MENU_WORDS))
+        told = names and (mark == 2 or (mark == 1 and not known))
+        if not falls and not told:
+            yield t
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool = True) -> DataFrame:
@@ -249,17 +330,11 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool
     plain, name, back = positional(pages)
     host = F.regexp_extract(F.col(name(url)), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
     named = plain.withColumn("host_", F.lower(F.coalesce(host, F.lit(""))))
-    tree = importance(named, "host_", name(page))
-    inside = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
-    low = F.when(inside, (F.col("importance") < LEAST_INSIDE) & (F.col("pages") >= ARTICLE_PAGES)).otherwise((F.col("importance") < LEAST) & (F.col("pages") >= LEAST_PAGES))
-    dull = F.coalesce(F.col("content") < LEAST, F.lit(False))
-    marks = tree.select("host", "path", low.alias("is_low"), dull.alias("is_dull")).filter("is_low or is_dull")
-    lists = [F.collect_list(F.when(F.col(f"is_{k}"), F.col("path"))).alias(k) for k in ("low", "dull")]
-    low = table(marks.groupBy(F.col("host").alias("tree_host")).agg(*lists), "style-tree")
-    size = low.agg(F.sum(F.octet_length(F.concat_ws(" ", "low", "dull", "tree_host")))).first()[0]
+    low = table(branches(importance(named, "host_", name(page))), "style-tree")
+    size = low.agg(F.sum(F.octet_length(F.concat_ws(" ", "low", "dull", "aside", "tree_host")))).first()[0]
     if (size or 0) <= BROADCAST_BYTES:
         low = F.broadcast(low)
-    slim = named.join(low, F.col("host_") == F.col("tree_host"), "left").select(*plain.columns, "low", "dull")
+    slim = named.join(low, F.col("host_") == F.col("tree_host"), "left").select(*plain.columns, F.coalesce("known", F.lit(False)).alias("known"), "low", "dull", "aside")
     at, n = pages.columns.index(page), len(pages.columns)
     result = [*plain.columns, "main_text"]
 
@@ -268,11 +343,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", names: bool
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = []
-                for p, branches, nodes in zip(part.column(at), part.column(n), part.column(n + 1)):
-                    cut = tuple(c + "/" for c in branches.as_py() or ())
-                    dull = frozenset(nodes.as_py() or ())
-                    falls = lambda path, t: f"{path}/".startswith(cut) and (path in dull or t.count(" ") < MENU_WORDS)  # noqa: B023, E731
-                    texts.append("\n\n".join(t for path, marked, t in parse(p.as_py())[0] if not (marked and names) and not falls(path, t)))
+                for p, known, low, dull, aside in zip(part.column(at), *(part.column(n + k) for k in range(4))):
+                    texts.append("\n\n".join(kept_texts(p.as_py(), names, known.as_py(), low.as_py() or (), dull.as_py() or (), aside.as_py() or ())))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string())], names=result)
 
     done = slim.mapInArrow(run, with_fields(plain.schema, ("main_text", T.StringType())))

@@ -139,3 +139,81 @@ def test_a_fixed_frame_keeps_new_prose(spark):
     rows = [(i, "http://h/", frame.format(f"page {i} tells of {i * 3} things at some length")) for i in range(12)]
     got = [r["main_text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
     assert got == [f"page {i} tells of {i * 3} things at some length" for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><form id="aspnetForm"><div class="page"><h1>yes</h1><p>yes and more of it</p></div></form></body>',
+        '<form id="aspnetForm"><nav>no</nav><article><h1>yes</h1><p>yes and more of it</p></article></form>',
+        '<article><h1 class="header">yes</h1><p>yes and more of it</p></article>',
+        '<article><h1>yes</h1><section class="related"><p>yes and more of it</p></section></article>',
+        '<div class="main side"><h1>yes</h1><p>yes and more of it</p></div><div class="side">no</div>',
+        '<main><h1>yes</h1><div id="search"><p>yes and more of it</p></div></main>',
+        '<article><h1 hidden>yes</h1><p>yes and more of it</p><div class="comments"><p>no</p></div></article>',
+    ],
+)
+def test_names_that_say_nothing(page):
+    assert [b[2] for b in S.parse(page)[0] if not b[1]] == ["yes", "yes and more of it"]
+
+
+def site(i, unique=True):
+    own = f"page {i} is about {i * 7} " if unique else "page "
+    paragraphs = "".join(f"<p>{own}and thing {i}-{k} of many more things that are told here at some length</p>" for k in range(2 + i % 4))
+    return f"<body><div class=x1>buy {i * 3} new {i} things</div><div class=c7><div class=c8><h1>Title of {i}</h1>{paragraphs}</div></div><div class=z>(c) {i} by {i % 3} and {i * 2}</div></body>", paragraphs
+
+
+def test_the_main_branch_is_told_by_its_information(spark):
+    """No name helps and no text repeats: what is beside the branch with most of the words goes, the title stays."""
+    rows = [(i, "http://h/", site(i)[0]) for i in range(12)]
+    got = [r["main_text"] for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).orderBy("page_id").collect()]
+    for i, text in enumerate(got):
+        assert text.split("\n\n") == [f"Title of {i}", *site(i)[1].replace("</p>", "").split("<p>")[1:]]
+
+
+def test_the_tree_decides_where_there_is_one(spark):
+    """On a site with pages enough names don't take what its tree holds for content, but comments go."""
+    page = lambda i: f"<div class=sidebar><div class=q><h2>T{i}</h2><p>this {i * 7} and all the other words that page {i} has</p></div></div><div class=comments><p>reader {i} says {i * 5}</p></div>"
+    many = [(i, "http://h/", page(i)) for i in range(9)]
+    got = [r["main_text"] for r in S.extract(spark.createDataFrame(many, "page_id long, url string, html string")).collect()]
+    assert all("words that page" in t and "reader" not in t for t in got)
+
+
+def test_information_against_brute_force(spark, sf):
+    import math
+    from collections import Counter, defaultdict
+
+    rows = [(r["url"].split("/")[2].lower(), r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect()]
+    rows += [("h", f"<div><ul><li>x y<li>{i % 2} z</ul></div><p>{i}<p>same") for i in range(6)]
+    own = defaultdict(list)
+    for host, page in rows:
+        for path, (_, text) in S.parse(page)[1].items():
+            if path and text:
+                own[host, path].append(text)
+    plain = {}
+    for key, texts in own.items():
+        m = len(texts)
+        plain[key] = sum(len(t.split()) * (1 - math.log(Counter(texts)[t]) / math.log(m) if m > 1 else 1) for t in texts)
+    tree = {(r["host"], r["path"]): (r["information"], r["plain"]) for r in S.importance(spark.createDataFrame(rows, "host string, page string"), "host", "page").collect()}
+    for (host, path), (told, alone) in tree.items():
+        below = sum(v for (h, p), v in plain.items() if h == host and (p == path or p.startswith(path + "/")))
+        assert abs(told - below) < 1e-6 * max(1, below) and abs(alone - plain.get((host, path), 0)) < 1e-6 * max(1, below)
+
+
+def test_the_tree_alone_finds_the_articles(spark):
+    """On the larger tables every host has pages enough: without names at least nine in ten boilerplate blocks go and no block of an article."""
+    import os
+
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    lost = left = boilerplate = 0
+    for r in S.extract(pages, names=False).select("html", "main_text").toLocalIterator():
+        blocks = [("/article" in b[0], b[2]) for b in S.parse(r["html"])[0]]
+        article = [t for ok, t in blocks if ok]
+        kept = r["main_text"].split("\n\n") if r["main_text"] else []
+        boilerplate += len(blocks) - len(article)
+        lost += len(set(article) - set(kept))
+        left += max(0, len(kept) - len(article))
+    assert lost == 0 and left <= 0.1 * boilerplate
