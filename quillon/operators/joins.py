@@ -32,26 +32,13 @@ def overlay(base: DataFrame, top: DataFrame, key: str, columns: list[str], posit
     return both.select(F.coalesce("_b", "_o").alias(key), *pick, F.col("_b").isNull().cast("int").alias("block"), F.coalesce("_p", "_q").alias("position"))
 
 
-def words_of(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-
 def term_matches(texts: DataFrame, text: str, terms: DataFrame, term: str, whole_words: bool) -> DataFrame:
     """Every pair of a text and a term that occurs in it, letter case aside.
 
-    For whole words the pairs come from an equality join on the term's longest
-    word, so neither side needs to be small. For substrings no key exists: an
-    Aho-Corasick automaton of the terms reads every text once, and a longer term
-    list is taken in blocks of bounded size.
+    An Aho-Corasick automaton of the terms reads every text once, where it is;
+    a longer term list is taken in blocks of bounded size. For whole words the
+    characters on either side of a hit must not be ASCII letters or digits.
     """
-    if whole_words:
-        split = F.split(F.lower(term), r"[^\p{L}\p{N}]+")
-        anchor = F.element_at(F.array_sort(F.filter(split, lambda w: w != ""), lambda a, b: F.length(b) - F.length(a)), 1)
-        anchored = terms.withColumn("_anchor", anchor)
-        exploded = texts.withColumn("_word", F.explode(words_of(F.col(text))))
-        edge = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), F.col(term), F.lit(r"\E(?![A-Za-z0-9])"))
-        return exploded.join(anchored, F.col("_word") == F.col("_anchor")).filter(F.regexp_like(F.col(text), edge)).drop("_word", "_anchor")
     found = None
     listed = terms.select(F.col(term).alias("t"), F.lower(term).alias("low")).distinct().filter("length(low) > 0")
     lowered = texts.withColumn("_low", F.lower(text))
@@ -61,12 +48,15 @@ def term_matches(texts: DataFrame, text: str, terms: DataFrame, term: str, whole
         part = {}
         for t, low in listed.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).toLocalIterator():  # at most about TERM_ROWS terms
             part.setdefault(low, []).append(t)
-        one = _holding(lowered, "_low", part).drop("_low")
+        one = _holding(lowered, "_low", part, whole_words).drop("_low")
         found = one if found is None else found.unionByName(one)
     return found.join(terms, F.col("_term") == F.col(term)).drop("_term")
 
 
-def _holding(texts: DataFrame, text: str, terms: dict[str, list[str]]) -> DataFrame:
+WORDLIKE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def _holding(texts: DataFrame, text: str, terms: dict[str, list[str]], whole_words: bool) -> DataFrame:
     """texts with ``_term``: a row for each term whose key occurs in the text, by one pass of an automaton over it."""
     at = texts.columns.index(text)
     names = [*texts.columns, "_term"]
@@ -81,7 +71,9 @@ def _holding(texts: DataFrame, text: str, terms: dict[str, list[str]]) -> DataFr
         for batch in batches:
             rows, hits = [], []
             for i, value in enumerate(batch.column(at).to_pylist() if terms else ()):
-                for key in {k for _, k in automaton.iter(value or "")}:
+                value = value or ""
+                apart = lambda at, end: (at == 0 or value[at - 1] not in WORDLIKE) and (end == len(value) or value[end] not in WORDLIKE)  # noqa: B023, E731
+                for key in {k for last, k in automaton.iter(value) if not whole_words or apart(last + 1 - len(k), last + 1)}:
                     rows += [i] * len(terms[key])
                     hits += terms[key]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(hits, pa.string())], names=names)

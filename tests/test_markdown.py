@@ -39,7 +39,9 @@ def test_markdown(spark, text, promote, inline, want):
 def test_unbalanced_input(text):
     """Whatever is left open: nothing raises, formulas stay as they are, letters keep their order, and asterisks outside formulas are escaped."""
     out = K.markdown(text, promote=False)
-    assert [m for m in K.FORMULA.findall(out)] == K.FORMULA.findall(" ".join(text.split())) or "  " in text
+    at = 0
+    for m in K.FORMULA.findall(" ".join(text.split())):  # a space beside a formula may set off another one
+        at = out.index(m, at) + len(m)
     assert re.sub(r"[\s\\]", "", out) == re.sub(r"[\s\\]", "", text)
     assert not re.search(r"(?<!\\)\*", K.between(out, str)) or "$" in out
     K.tidy(text), K.markdown(text, True, True)
