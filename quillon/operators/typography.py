@@ -18,6 +18,13 @@ TALL_LINES, TALL_HEIGHT, TALL_RATIO, TALL_PAGE_RATIO, TALL_NATURAL, TALL_ORIGINA
 ANCHORS, ANCHOR_WIDTH, ANCHOR_HEIGHT, ANCHOR_DENSITY = 2, 0.58, 30.0, 1.18
 FALLBACK_WIDTH, FALLBACK_HEIGHT, TEXT_SCORE = 0.72, 18.0, 180.0
 NARROW, RELAXED = 0.78, 0.72
+SCALE_LEAST, SCALE_MOST, CAPTION_SCALE, FOOTNOTE_SCALE, FOOTNOTE_LEAST = 0.97, 1.03, 0.92, 0.78, 6.6
+BLEND, BLEND_LEAST, BLEND_SLOPE, COMPACT_MOST, COMPACT_SLOPE = 0.86, 0.74, 0.18, 0.04, 0.055
+BODY_WIDTH, BODY_SHORT, BODY_PERCENTILE, BODY_FLOOR = 0.75, 36, 0.46, 0.38
+COMPACT_CHARS, COMPACT_LINES, COMPACT_X, COMPACT_Y, COMPACT_FORMULAS, COMPACTNESS_MOST = 52, 3, 0.76, 0.40, 0.08, 0.7
+LEADING, LEADING_FACTOR, BODY_LEADING, OTHER_LEADING = 0.48, 0.988, (0.44, 0.68), (0.26, 0.56)
+TARGET, TARGET_LEAST, TARGET_SLOPE, TIGHT_MOST, TIGHT_SLOPE, NORMAL_LEADING = 0.56, 0.50, 0.07, 0.015, 0.07, 0.52
+DENSE_RATIO, FORMULA_RATIO = 0.9, 0.92
 
 
 def median(values: Column) -> Column:
@@ -66,32 +73,134 @@ def formula_ratio(lines: Column) -> Column:
     return let(kinds, lambda k: F.when(count(k, "text") + count(k, "inline_equation") > 0, count(k, "inline_equation") / (count(k, "text") + count(k, "inline_equation"))).otherwise(0.0))
 
 
-def page_baseline(items: DataFrame, page: list[str]) -> DataFrame:
-    """(page, font_size, line_pitch, line_height, chars_per_line) of every page.
+def clamp(c: Column, least: float | Column, most: float | Column) -> Column:
+    as_column = lambda x: F.lit(x) if isinstance(x, float) else x
+    return F.greatest(as_column(least), F.least(as_column(most), c))
+
+
+def occupied_width(lines: Column, width: Column) -> Column:
+    """Median width of the lines but for the last, as a part of the box."""
+    widths = F.transform(lines, lambda x: F.greatest(F.lit(0.0), x["x1"] - x["x0"]))
+    return F.when(width > 0, median(positive(F.slice(widths, F.lit(1), F.greatest(F.lit(1), F.size(widths) - 1)))) / width).otherwise(0.0)
+
+
+def occupied_height(lines: Column, height: Column) -> Column:
+    total = F.aggregate(F.transform(lines, lambda x: F.greatest(F.lit(0.0), x["y1"] - x["y0"])), F.lit(0.0), lambda a, h: a + h)
+    return F.when(height > 0, total / height).otherwise(0.0)
+
+
+def compactness(chars: Column, lines: Column, across: Column, down: Column, formulas: Column) -> Column:
+    """How densely a source is set, from 0 to 0.7: points for text, lines, width, height and formulas."""
+    points = lambda c, value: F.when(c, value).otherwise(0.0)
+    total = (
+        points(chars >= COMPACT_CHARS, F.least(F.lit(0.22), (chars - COMPACT_CHARS) / 220.0)) + points(lines >= COMPACT_LINES, F.least(F.lit(0.3), (lines - (COMPACT_LINES - 1)) * 0.08))
+        + points(across >= COMPACT_X, F.least(F.lit(0.24), (across - COMPACT_X) / 0.16 * 0.24)) + points(down >= COMPACT_Y, F.least(F.lit(0.12), (down - COMPACT_Y) / 0.24 * 0.12)) + points(formulas >= COMPACT_FORMULAS, F.lit(0.08))
+    )
+    return F.when(chars < BODY_SHORT, 0.0).otherwise(clamp(total, 0.0, COMPACTNESS_MOST))
+
+
+def measured(items: DataFrame, page: list[str]) -> DataFrame:
+    """items with what their lines and boxes measure, under names that begin with m_.
 
-    items has kind, annotation (a caption or footnote), x0 to y1, text and lines:
-    [(y0, y1, spans: [(type, content)])]. What counts are texts of three lines
-    and forty characters that aren't narrow nor mostly formulas. The font comes
-    from their own metrics, else from their line heights, else from the pitch;
-    a page without any has the default and zeros.
+    items has kind, caption, footnote, x0 to y1, text and lines: [(x0, y0, x1, y1,
+    spans: [(type, content)])]. Without lines the text's own lines are counted.
     """
     c = F.col
-    text = (c("kind") == "text") & ~F.coalesce(c("annotation"), F.lit(False))
-    wide = F.median(F.when(text, c("x1") - c("x0"))).over(Window.partitionBy(*page))
     lines = F.coalesce("lines", F.array().cast(items.schema["lines"].dataType))
-    i = items.withColumns({"_lines": lines, "_text": text, "_wide": wide, "_width": F.greatest(F.lit(0.0), c("x1") - c("x0")), "_box": F.greatest(F.lit(0.0), c("y1") - c("y0"))})
+    note = F.coalesce(c("caption"), F.lit(False)) | F.coalesce(c("footnote"), F.lit(False))
     explicit = F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""))
-    i = i.withColumns({"_height": line_height(c("_lines")), "_pitch": line_pitch(c("_lines")), "_n": F.when(F.size("_lines") > 0, F.size("_lines")).otherwise(F.greatest(F.lit(1), F.coalesce(explicit, F.lit(0))))})
-    local = text_height(c("_lines"), c("_height"), c("_box")) / c("_n")
-    chosen = c("_text") & (c("_n") >= CANDIDATE_LINES) & (visible(c("text")) >= CANDIDATE_CHARS) & (formula_ratio(c("_lines")) <= CANDIDATE_FORMULAS) & ~((c("_wide") > 0) & (c("_width") < c("_wide") * CANDIDATE_WIDTH))
-    i = i.withColumns({"_local": F.when(local > 0, local).otherwise(c("_pitch")), "_metric": font_metric(c("_height"), c("_pitch")), "_chars": chars_per_line(c("_lines")), "_chosen": F.coalesce(chosen, F.lit(False))})
-    at = lambda name: F.coalesce(F.percentile(F.when(c("_chosen") & (c(name) > 0), c(name)), F.lit(BASELINE)), F.lit(0.0))
-    p = i.groupBy(*page).agg(at("_local").alias("p"), at("_height").alias("h"), at("_metric").alias("m"), F.coalesce(F.median(F.when(c("_chosen") & (c("_chars") > 0), c("_chars"))), F.lit(0.0)).alias("chars"))
+    i = items.withColumns({"m_lines": lines, "m_note": note, "m_width": F.greatest(F.lit(0.0), c("x1") - c("x0")), "m_box": F.greatest(F.lit(0.0), c("y1") - c("y0")), "m_chars": visible(c("text"))})
+    i = i.withColumns({
+        "m_height": line_height(c("m_lines")), "m_pitch": line_pitch(c("m_lines")), "m_per_line": chars_per_line(c("m_lines")), "m_formulas": formula_ratio(c("m_lines")), "m_across": occupied_width(c("m_lines"), c("m_width")), "m_down": occupied_height(c("m_lines"), c("m_box")),
+        "m_n": F.when(F.size("m_lines") > 0, F.size("m_lines")).otherwise(F.greatest(F.lit(1), F.coalesce(explicit, F.lit(0)))), "m_wide": F.median(F.when((c("kind") == "text") & ~c("m_note"), c("m_width"))).over(Window.partitionBy(*page)),
+    })
+    local = text_height(c("m_lines"), c("m_height"), c("m_box")) / c("m_n")
+    return i.withColumns({"m_local": F.when(local > 0, local).otherwise(c("m_pitch")), "m_metric": font_metric(c("m_height"), c("m_pitch")), "m_compact": compactness(c("m_chars"), c("m_n"), c("m_across"), c("m_down"), c("m_formulas"))}).drop("m_lines")
+
+
+def page_baseline(items: DataFrame, page: list[str]) -> DataFrame:
+    """(page, font_size, line_pitch, line_height, chars_per_line) of every page (items as for ``measured``).
+
+    What counts are texts of three lines and forty characters that aren't narrow
+    nor mostly formulas, captions or footnotes. The font comes from their own
+    metrics, else from their line heights, else from the pitch; a page without
+    any has the default and zeros.
+    """
+    return _baseline(measured(items, page), page)
+
+
+def _baseline(i: DataFrame, page: list[str]) -> DataFrame:
+    c = F.col
+    chosen = (c("kind") == "text") & ~c("m_note") & (c("m_n") >= CANDIDATE_LINES) & (c("m_chars") >= CANDIDATE_CHARS) & (c("m_formulas") <= CANDIDATE_FORMULAS) & ~((c("m_wide") > 0) & (c("m_width") < c("m_wide") * CANDIDATE_WIDTH))
+    i = i.withColumn("m_chosen", F.coalesce(chosen, F.lit(False)))
+    at = lambda name: F.coalesce(F.percentile(F.when(c("m_chosen") & (c(name) > 0), c(name)), F.lit(BASELINE)), F.lit(0.0))
+    p = i.groupBy(*page).agg(at("m_local").alias("p"), at("m_height").alias("h"), at("m_metric").alias("m"), F.coalesce(F.median(F.when(c("m_chosen") & (c("m_per_line") > 0), c("m_per_line"))), F.lit(0.0)).alias("chars"))
     metric = F.when(c("m") > 0, c("m")).when(c("h") > 0, c("h") * HEIGHT_SCALE).otherwise(c("p") * PITCH_SCALE)
     known = metric > 0
-    font = F.greatest(F.lit(LEAST_FONT), F.least(F.lit(MOST_LOCAL_FONT), metric * BODY_FACTOR))
     zero = lambda name: F.when(known, c(name)).otherwise(0.0)
-    return p.select(*page, F.when(known, font).otherwise(DEFAULT_FONT).alias("font_size"), zero("p").alias("line_pitch"), zero("h").alias("line_height"), zero("chars").alias("chars_per_line"))
+    return p.select(*page, F.when(known, clamp(metric * BODY_FACTOR, LEAST_FONT, MOST_LOCAL_FONT)).otherwise(DEFAULT_FONT).alias("font_size"), zero("p").alias("line_pitch"), zero("h").alias("line_height"), zero("chars").alias("chars_per_line"))
+
+
+def body_candidate(plain: Column, layout: Column, semantic: Column, bodylike: Column) -> Column:
+    """Running text long and wide enough to tell a page's type by; a narrow one needs two lines and a body's role."""
+    c = F.col
+    narrow = (c("m_wide") > 0) & (c("m_width") < c("m_wide") * BODY_WIDTH)
+    kind = plain | layout.isin("paragraph", "list_item")
+    return ~c("m_note") & kind & F.coalesce(semantic, F.lit("")).isin("", "body", "abstract") & (c("m_formulas") <= CANDIDATE_FORMULAS) & (~narrow | (bodylike & (c("m_chars") >= BODY_SHORT) & (c("m_n") >= 2))) & (c("m_chars") >= CANDIDATE_CHARS)
+
+
+def local_font(textual: Column) -> Column:
+    """The font that an item's own lines tell, smaller for captions and footnotes."""
+    own = F.col("m_metric") * BODY_FACTOR
+    sized = F.when(F.coalesce("footnote", F.lit(False)), clamp(own * FOOTNOTE_SCALE, FOOTNOTE_LEAST, MOST_LOCAL_FONT)).when(F.coalesce("caption", F.lit(False)), clamp(own * CAPTION_SCALE, LEAST_FONT, MOST_LOCAL_FONT)).otherwise(clamp(own, LEAST_FONT, MOST_LOCAL_FONT))
+    return F.when(textual & (F.col("m_metric") > 0), F.bround(sized, 2)).otherwise(DEFAULT_FONT)
+
+
+def seed_font(textual: Column, body: Column) -> Column:
+    """An item's font: its own, for body text blended with the page's by how compact it is (page columns as of ``page_baseline``)."""
+    c = F.col
+    ratio = F.when((c("line_pitch") > 0) & (c("m_local") > 0), c("m_local") / c("line_pitch")).when((c("line_height") > 0) & (c("m_height") > 0), c("m_height") / c("line_height")).otherwise(1.0)
+    page = F.when(c("font_size") > 0, c("font_size") * clamp(ratio, SCALE_LEAST, SCALE_MOST)).otherwise(c("m_font"))
+    weight = F.greatest(F.lit(BLEND_LEAST), F.lit(BLEND) - c("m_compact") * BLEND_SLOPE)
+    blend = (page * weight + c("m_font") * (1.0 - weight)) * (1.0 - F.least(F.lit(COMPACT_MOST), c("m_compact") * COMPACT_SLOPE))
+    return F.when(~textual, DEFAULT_FONT).when(body, F.bround(clamp(blend, LEAST_FONT, MOST_LOCAL_FONT), 2)).otherwise(c("m_font"))
+
+
+def seed_leading(font: Column, body: Column) -> Column:
+    """An item's leading: what its pitch tells, mixed with a target, not below what dense lines and formulas need."""
+    c = F.col
+    told = lambda pitch: pitch / font - 1.0
+    pitch = F.when(c("m_local") > 0, c("m_local")).otherwise(c("line_pitch"))
+    target = F.greatest(F.lit(TARGET_LEAST), F.lit(TARGET) - c("m_compact") * TARGET_SLOPE)
+    flowing = F.when((pitch > 0) & (font > 0), told(pitch) * 0.35 + target * 0.65).otherwise(target) * LEADING_FACTOR * (1.0 - F.least(F.lit(TIGHT_MOST), c("m_compact") * TIGHT_SLOPE))
+    flowing = F.greatest(flowing, F.lit(NORMAL_LEADING * LEADING_FACTOR))
+    other = F.when((c("m_local") > 0) & (font > 0), told(c("m_local")) * 0.55 + LEADING * 0.45).otherwise(LEADING) * LEADING_FACTOR
+
+    def held(base: Column, span: tuple[float, float], dense: float, formulas: float) -> Column:
+        base = F.greatest(base, F.when(c("m_across") >= dense, span[0] / DENSE_RATIO).otherwise(0.0), F.when(c("m_formulas") >= formulas, span[0] / FORMULA_RATIO).otherwise(0.0))
+        return F.bround(clamp(base, *span), 2)
+
+    # what has no floor may be negative before it is clamped
+    return F.when(body, held(flowing, BODY_LEADING, 0.86, 0.08)).otherwise(held(other, OTHER_LEADING, 0.9, 0.12))
+
+
+def seed_metrics(items: DataFrame, page: list[str], textual: Column, body: Column, digits: int = 2) -> DataFrame:
+    """items with their page's baseline and ``is_body``, ``seed_font``, ``seed_leading``; ``page_body_font`` and ``page_body_width`` (null without body text).
+
+    ``textual`` says what has text of its own and ``body`` is a ``body_candidate``.
+    A page's body font is a percentile of its body's fonts, not far below the baseline, to ``digits`` places.
+    """
+    c = F.col
+    i = measured(items, page).withColumn("m_font", local_font(textual))
+    base = _baseline(i, page)
+    i = i.join(base.withColumnsRenamed({p: f"_{p}" for p in page}), [c(p) == c(f"_{p}") for p in page]).drop(*[f"_{p}" for p in page])
+    i = i.withColumn("is_body", F.coalesce(body, F.lit(False))).withColumn("seed_font", seed_font(textual, c("is_body")))
+    i = i.withColumn("seed_leading", seed_leading(c("seed_font"), c("is_body")))
+    w = Window.partitionBy(*page)
+    font = F.bround(F.percentile(F.when(c("is_body") & (c("seed_font") > 0), c("seed_font")), F.lit(BODY_PERCENTILE)).over(w), digits)
+    lifted = F.when(c("font_size") > 0, F.bround(F.greatest(font, c("font_size") - BODY_FLOOR), digits)).otherwise(font)
+    i = i.withColumns({"page_body_font": F.when(font.isNotNull(), lifted), "page_body_width": F.median(F.when(c("is_body"), c("m_width"))).over(w)})
+    return i.drop(*[n for n in i.columns if n.startswith("m_")])
 
 
 def with_density(payloads: DataFrame, page: list[str]) -> DataFrame:

@@ -230,32 +230,68 @@ def _lined(t):
         top = F.col("y0") + i * F.col("p")
         words = span("text", F.substring("text", 1, (20 + (i * 7 + F.col("block_idx")) % 30).cast("int")))
         maths = F.when((F.col("block_idx") + i) % 4 < F.col("doc_id") % 5, F.array(words, span("inline_equation", F.lit("x")), span("inline_equation", F.lit("y")))).otherwise(F.array(words))
-        return F.struct(top.cast("double").alias("y0"), (top + F.col("h")).cast("double").alias("y1"), maths.alias("spans"))
+        right = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.lit(0.5) + (i * 3 + F.col("block_idx")) % 5 * F.lit(0.12))
+        return F.struct("x0", top.cast("double").alias("y0"), right.alias("x1"), (top + F.col("h")).cast("double").alias("y1"), maths.alias("spans"))
 
     lines = F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>")), line)
-    return b.select("doc_id", "page_idx", "block_idx", F.col("block_type").alias("kind"), (F.col("sub_type") == "footnote").alias("annotation"), "x0", "y0", "x1", "y1", F.col("text"), lines.alias("lines"))
+    return b.select("doc_id", "page_idx", "block_idx", F.col("block_type").alias("kind"), (F.col("sub_type") == "footnote").alias("footnote"), (F.col("sub_type") == "figure_caption").alias("caption"), "item_id", "x0", "y0", "x1", "y1", F.col("text"), lines.alias("lines"))
 
 
-@query(
-    "a11_font_baseline",
-    f"WITH {BLOCKS}, b AS (SELECT *, greatest(0, {_LINES}) AS n, {_LINE_HEIGHT} AS h, {_LINE_PITCH} AS p, block_type = 'text' AND sub_type <> 'footnote' AS text_item FROM blocks), "
-    "l AS (SELECT doc_id, page_idx, block_idx, k, y0 + k * p AS a, y0 + k * p + h AS z, length(regexp_replace(left(text, 20 + (k * 7 + block_idx) % 30), '\\s+', '', 'g')) AS chars, CASE WHEN (block_idx + k) % 4 < doc_id % 5 THEN 2 ELSE 0 END AS f FROM b, unnest(range(n)) AS u(k)), "
+_BASELINE = (
+    f"{BLOCKS}, b AS (SELECT *, greatest(0, {_LINES}) AS n, {_LINE_HEIGHT} AS h, {_LINE_PITCH} AS p, sub_type IN ('footnote', 'figure_caption') AS note, block_type = 'text' AND sub_type NOT IN ('footnote', 'figure_caption') AS text_item, length(regexp_replace(text, '\\s+', '', 'g')) AS seen FROM blocks), "
+    "l AS (SELECT doc_id, page_idx, block_idx, k, x1 - x0 AS box, (x1 - x0) * CAST(0.5 + (k * 3 + block_idx) % 5 * 0.12 AS DOUBLE) AS wide, n, y0 + k * p AS a, y0 + k * p + h AS z, length(regexp_replace(left(text, 20 + (k * 7 + block_idx) % 30), '\\s+', '', 'g')) AS chars, CASE WHEN (block_idx + k) % 4 < doc_id % 5 THEN 2 ELSE 0 END AS f FROM b, unnest(range(n)) AS u(k)), "
     "d AS (SELECT *, (a + z) / 2 - lag((a + z) / 2) OVER (PARTITION BY doc_id, page_idx, block_idx ORDER BY k) AS step FROM l), "
-    "m AS (SELECT doc_id, page_idx, block_idx, coalesce(median(z - a) FILTER (z - a > 0), 0) AS height, coalesce(median(step) FILTER (step > 0), 0) AS pitch, max(z) - min(a) AS raw, coalesce(median(chars) FILTER (chars > 0), 0) AS per_line, sum(f) / (sum(f) + count(*)) AS ratio FROM d GROUP BY ALL), "
+    "m AS (SELECT doc_id, page_idx, block_idx, coalesce(median(z - a) FILTER (z - a > 0), 0) AS height, coalesce(median(step) FILTER (step > 0), 0) AS pitch, max(z) - min(a) AS raw, coalesce(median(chars) FILTER (chars > 0), 0) AS per_line, sum(f) / (sum(f) + count(*)) AS ratio, median(wide) FILTER (k < n - 1 OR n = 1) / any_value(box) AS across, sum(z - a) AS stacked FROM d GROUP BY ALL), "
     "w AS (SELECT doc_id, page_idx, median(x1 - x0) FILTER (text_item) AS wide FROM b GROUP BY ALL), "
-    "i AS (SELECT b.*, coalesce(height, 0) AS height, coalesce(pitch, 0) AS pitch, coalesce(per_line, 0) AS per_line, CASE WHEN n > 0 AND raw > 0 THEN least(y1 - y0, raw + CASE WHEN height > 0 THEN least(2.2, height * 0.22) ELSE 0 END) ELSE y1 - y0 END / greatest(1, n) AS local, "
-    "text_item AND n >= 3 AND length(regexp_replace(text, '\\s+', '', 'g')) >= 40 AND coalesce(ratio, 0) <= 0.5 AND NOT (wide > 0 AND x1 - x0 < wide * 0.6) AS chosen FROM b JOIN w USING (doc_id, page_idx) LEFT JOIN m USING (doc_id, page_idx, block_idx)), "
+    "i AS (SELECT b.*, wide, coalesce(height, 0) AS height, coalesce(pitch, 0) AS pitch, coalesce(per_line, 0) AS per_line, coalesce(ratio, 0) AS ratio, coalesce(across, 0) AS across, coalesce(stacked, 0) / (y1 - y0) AS down, CASE WHEN n > 0 AND raw > 0 THEN least(y1 - y0, raw + CASE WHEN height > 0 THEN least(2.2, height * 0.22) ELSE 0 END) ELSE y1 - y0 END / greatest(1, n) AS local, "
+    "text_item AND n >= 3 AND seen >= 40 AND coalesce(ratio, 0) <= 0.5 AND NOT (wide > 0 AND x1 - x0 < wide * 0.6) AS chosen FROM b JOIN w USING (doc_id, page_idx) LEFT JOIN m USING (doc_id, page_idx, block_idx)), "
     "c AS (SELECT *, CASE WHEN local > 0 THEN local ELSE pitch END AS lp, CASE WHEN height > 0 THEN height * 0.98 WHEN pitch > 0 THEN pitch * 0.82 ELSE 0 END AS metric FROM i), "
     "g AS (SELECT doc_id, page_idx, coalesce(quantile_cont(lp, 0.42) FILTER (chosen AND lp > 0), 0) AS p, coalesce(quantile_cont(height, 0.42) FILTER (chosen AND height > 0), 0) AS h, coalesce(quantile_cont(metric, 0.42) FILTER (chosen AND metric > 0), 0) AS m, coalesce(median(per_line) FILTER (chosen AND per_line > 0), 0) AS d FROM c GROUP BY ALL), "
-    "r AS (SELECT *, CASE WHEN m > 0 THEN m WHEN h > 0 THEN h * 0.98 ELSE p * 0.82 END AS metric FROM g) "
-    "SELECT doc_id, page_idx, round_even(CASE WHEN metric > 0 THEN greatest(8.4, least(14.2, metric * 0.9215)) ELSE 11.4 END, 6) AS font_size, round_even(CASE WHEN metric > 0 THEN p ELSE 0 END, 6) AS line_pitch, round_even(CASE WHEN metric > 0 THEN h ELSE 0 END, 6) AS line_height, round_even(CASE WHEN metric > 0 THEN d ELSE 0 END, 6) AS chars_per_line FROM r",
+    "r AS (SELECT *, CASE WHEN m > 0 THEN m WHEN h > 0 THEN h * 0.98 ELSE p * 0.82 END AS metric FROM g), "
+    "base AS (SELECT doc_id, page_idx, CASE WHEN metric > 0 THEN greatest(8.4, least(14.2, metric * 0.9215)) ELSE 11.4 END AS font_size, CASE WHEN metric > 0 THEN p ELSE 0 END AS line_pitch, CASE WHEN metric > 0 THEN h ELSE 0 END AS line_height, CASE WHEN metric > 0 THEN d ELSE 0 END AS chars_per_line FROM r)"
 )
+
+
+@query("a11_font_baseline", f"WITH {_BASELINE} SELECT doc_id, page_idx, round_even(font_size, 6) AS font_size, round_even(line_pitch, 6) AS line_pitch, round_even(line_height, 6) AS line_height, round_even(chars_per_line, 6) AS chars_per_line FROM base")
 def font_baseline(t):
     """Four measures a page, with pages without lines, lines without height and against the order."""
     six = lambda c: F.bround(c, 6).alias(c)
     return Y.page_baseline(_lined(t), ["doc_id", "page_idx"]).select("doc_id", "page_idx", six("font_size"), six("line_pitch"), six("line_height"), six("chars_per_line"))
 
 
+_SEEDS = (
+    f"{_BASELINE}, q AS (SELECT c.*, font_size, line_pitch, line_height, block_type = 'text' OR note AS textual, CASE WHEN seen < 36 THEN 0 ELSE least(0.7, CASE WHEN seen >= 52 THEN least(0.22, (seen - 52) / 220.0) ELSE 0 END + CASE WHEN greatest(1, n) >= 3 THEN least(0.3, (greatest(1, n) - 2) * 0.08) ELSE 0 END + CASE WHEN across >= 0.76 THEN least(0.24, (across - 0.76) / 0.16 * 0.24) ELSE 0 END + CASE WHEN down >= 0.4 THEN least(0.12, (down - 0.4) / 0.24 * 0.12) ELSE 0 END + CASE WHEN ratio >= 0.08 THEN 0.08 ELSE 0 END) END AS compact, "
+    "coalesce(NOT note AND (block_type = 'text' OR block_idx % 5 = 0) AND block_idx % 12 <> 7 AND ratio <= 0.5 AND (NOT (wide > 0 AND x1 - x0 < wide * 0.75) OR (block_idx % 3 <> 1 AND seen >= 36 AND greatest(1, n) >= 2)) AND seen >= 40, false) AS body FROM c JOIN base USING (doc_id, page_idx)), "
+    "lf AS (SELECT *, CASE WHEN NOT textual OR metric <= 0 THEN 11.4 WHEN sub_type = 'footnote' THEN round_even(greatest(6.6, least(14.2, metric * 0.9215 * 0.78)), 2) WHEN sub_type = 'figure_caption' THEN round_even(greatest(8.4, least(14.2, metric * 0.9215 * 0.92)), 2) ELSE round_even(greatest(8.4, least(14.2, metric * 0.9215)), 2) END AS own FROM q), "
+    "pe AS (SELECT *, font_size * greatest(0.97, least(1.03, CASE WHEN line_pitch > 0 AND lp > 0 THEN lp / line_pitch WHEN line_height > 0 AND height > 0 THEN height / line_height ELSE 1 END)) AS page_est, greatest(0.74, 0.86 - compact * 0.18) AS weight FROM lf), "
+    "sf AS (SELECT *, CASE WHEN NOT textual THEN 11.4 WHEN body THEN round_even(greatest(8.4, least(14.2, (page_est * weight + own * (1 - weight)) * (1 - least(0.04, compact * 0.055)))), 2) ELSE own END AS seed FROM pe), "
+    "sl AS (SELECT *, CASE WHEN body THEN round_even(greatest(0.44, least(0.68, greatest((CASE WHEN CASE WHEN lp > 0 THEN lp ELSE line_pitch END > 0 THEN (CASE WHEN lp > 0 THEN lp ELSE line_pitch END / seed - 1) * 0.35 + greatest(0.5, 0.56 - compact * 0.07) * 0.65 ELSE greatest(0.5, 0.56 - compact * 0.07) END) * 0.988 * (1 - least(0.015, compact * 0.07)), 0.52 * 0.988, CASE WHEN across >= 0.86 THEN 0.44 / 0.9 ELSE 0 END, CASE WHEN ratio >= 0.08 THEN 0.44 / 0.92 ELSE 0 END))), 2) "
+    "ELSE round_even(greatest(0.26, least(0.56, greatest((CASE WHEN lp > 0 THEN (lp / seed - 1) * 0.55 + 0.48 * 0.45 ELSE 0.48 END) * 0.988, CASE WHEN across >= 0.9 THEN 0.26 / 0.9 ELSE 0 END, CASE WHEN ratio >= 0.12 THEN 0.26 / 0.92 ELSE 0 END))), 2) END AS lead_em FROM sf)"
+)
+
+
+def _seeded(t):
+    b = F.col("block_idx")
+    textual = (F.col("kind") == "text") | F.col("footnote") | F.col("caption")
+    body = Y.body_candidate(F.col("kind") == "text", F.when(b % 5 == 0, "paragraph").otherwise("table"), F.when(b % 12 == 7, "reference").otherwise("body"), b % 3 != 1)
+    return Y.seed_metrics(_lined(t), ["doc_id", "page_idx"], textual, body, digits=6)
+
+
+@query("m11_seed_type", f"WITH {_SEEDS} SELECT doc_id, item_id, round_even(seed, 2) AS font_size, round_even(lead_em, 2) AS leading FROM sl")
+def seed_type(t):
+    """Fonts and leadings of body text, captions, footnotes and tables, with and without lines."""
+    return _seeded(t).select("doc_id", "item_id", F.bround("seed_font", 2).alias("font_size"), F.bround("seed_leading", 2).alias("leading"))
+
+
+@query(
+    "a12_seed_metrics",
+    f"WITH {_SEEDS}, pb AS (SELECT doc_id, page_idx, quantile_cont(seed, 0.46) FILTER (body) AS font, median(x1 - x0) FILTER (body) AS width FROM sl GROUP BY ALL) SELECT doc_id, item_id, body AS is_body, CASE WHEN font IS NOT NULL THEN round_even(greatest(font, font_size - 0.38), 6) END AS page_body_font, width AS page_body_width, round_even(wide, 6) AS page_text_width FROM sl JOIN pb USING (doc_id, page_idx)",
+)
+def page_seed_metrics(t):
+    wide = F.median(F.when((F.col("kind") == "text") & ~F.col("footnote") & ~F.col("caption"), F.col("x1") - F.col("x0"))).over(Window.partitionBy("doc_id", "page_idx"))
+    return _seeded(t).select("doc_id", "item_id", "is_body", "page_body_font", "page_body_width", F.bround(wide, 6).alias("page_text_width"))
+
+
 _FONT = "CASE WHEN block_idx % 13 = 12 THEN 0.0 ELSE 8.0 + (doc_id + block_idx) % 9 * 0.5 END"
 _LEADING = "0.2 + (block_idx % 5) * 0.1"
 _DENSE = "(doc_id + block_idx) % 6 = 1 OR doc_id % 9 = 4"

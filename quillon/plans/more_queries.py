@@ -84,13 +84,6 @@ def counter_totals(t):
     return m.select("user_id", M.map_total(F.col("m")).alias("total"), F.size("m").cast("long").alias("kinds"))
 
 
-@query("a12_seed_metrics", f"WITH {BLOCKS}, m AS (SELECT doc_id, page_idx, median(y1 - y0) AS h, quantile_cont(x1 - x0, 0.75) AS w FROM blocks GROUP BY ALL) SELECT doc_id, item_id, (y1 - y0) / h AS relative_height, round_even((x1 - x0) / w, 6) AS relative_width FROM blocks JOIN m USING (doc_id, page_idx)")
-def seed_metrics(t):
-    b = blocks(t.documents)
-    m = b.groupBy("doc_id", "page_idx").agg(F.median(F.col("y1") - F.col("y0")).alias("h"), F.percentile(F.col("x1") - F.col("x0"), F.lit(0.75)).alias("w"))
-    return b.join(m, ["doc_id", "page_idx"]).select("doc_id", "item_id", ((F.col("y1") - F.col("y0")) / F.col("h")).alias("relative_height"), F.bround((F.col("x1") - F.col("x0")) / F.col("w"), 6).alias("relative_width"))
-
-
 @query("w10_absorbed_rows", f"WITH {BLOCKS}, l AS (SELECT *, lead(x0) OVER w AS nx, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM blocks WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)) SELECT doc_id, item_id, coalesce(nx <> x0 AND least(y1, ny1) - greatest(y0, ny0) >= 0.25 * least(y1 - y0, ny1 - ny0), false) AS absorbed FROM l")
 def absorbed_rows(t):
     """The next row stands in the other column at the same height."""

@@ -141,12 +141,6 @@ def fitted_size(t):
     return d.select("doc_id", "item_id", got.alias("g")).select("doc_id", "item_id", "g.size", "g.lines", "g.overflow")
 
 
-@query("m11_seed_type", f"WITH {BLOCKS} SELECT doc_id, item_id, round_even((y1 - y0) / greatest(1, ceil(length(text) / 40.0)) * 0.8, 3) AS font_size, least(0.6, greatest(0.1, round_even((x1 - x0) / 1000, 3))) AS leading FROM blocks")
-def seed_type(t):
-    lines = F.greatest(F.lit(1), F.ceil(F.length("text") / 40.0))
-    return blocks(t.documents).select("doc_id", "item_id", F.bround((F.col("y1") - F.col("y0")) / lines * 0.8, 3).alias("font_size"), F.least(F.lit(0.6), F.greatest(F.lit(0.1), F.bround((F.col("x1") - F.col("x0")) / 1000, 3))).alias("leading"))
-
-
 def _pull(x: str, slope: str) -> str:
     return f"greatest(0.0, least(1.0, (1.0 / (1.0 + exp(-{slope} * ({x}))) - 0.5) * 2.0))"
 
