@@ -36,7 +36,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import positional, with_fields
+from quillon.llm.common import positional, settled, with_fields
 
 SUFFIX = "</w>"
 KEPT_WORDS = 150_000
@@ -274,4 +274,4 @@ def encode(docs: DataFrame, text: str, path: str, batch_chars: int = 1_000_000)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
                 start += len(texts)
 
-    return back(plain.mapInArrow(run, with_fields(plain.schema, ("ids", T.BinaryType()), ("decoded", T.StringType()))), "ids", "decoded")
+    return back(plain.mapInArrow(settled(run), with_fields(plain.schema, ("ids", T.BinaryType()), ("decoded", T.StringType()))), "ids", "decoded")

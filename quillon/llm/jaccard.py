@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import Scratch, table
+from quillon.llm.common import Scratch, settled, table
 from quillon.llm.components import components
 from quillon.llm.words import FOLD, chunks, mix, ngrams
 
@@ -413,9 +413,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     """
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    rows = scratch.table(plain.mapInArrow(_sketch(width), SKETCH), "sketch")
+    rows = scratch.table(plain.mapInArrow(settled(_sketch(width)), SKETCH), "sketch")
     # every class once, numbered when it is written
-    body = scratch.table(plain.select("text").mapInArrow(_texts(width), TEXTS).dropDuplicates(["c1", "c2"]).select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "body"), "classes")
+    body = scratch.table(plain.select("text").mapInArrow(settled(_texts(width)), TEXTS).dropDuplicates(["c1", "c2"]).select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "body"), "classes")
     texts = body.select("node", "body")
 
     def met_cells() -> DataFrame:
@@ -448,12 +448,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     if wanted.count() <= SEMI_ROWS:  # else both sides are shuffled
         wanted = F.broadcast(wanted)
     body_of = scratch.table(texts.join(wanted, "node", "left_semi"), "bodies")
-    point_of = scratch.table(body_of.mapInArrow(_points(width), POINTS), "points")
+    point_of = scratch.table(body_of.mapInArrow(settled(_points(width)), POINTS), "points")
 
     def verified(pairs: DataFrame) -> DataFrame:
         two = lambda side, name: body_of.select(F.col("node").alias(side), F.col("body").alias(name))
         pairs = pairs.join(two("a", "ta"), "a").join(two("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return scratch.table(pairs.sortWithinPartitions("a").mapInArrow(_verify(percent, width), PAIRS), "links")
+        return scratch.table(pairs.sortWithinPartitions("a").mapInArrow(settled(_verify(percent, width)), PAIRS), "links")
 
     def of_pairs(pairs: DataFrame) -> DataFrame:
         """The links among pairs of nodes: first by the bound, then by the texts."""

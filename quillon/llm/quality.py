@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table, with_fields
+from quillon.llm.common import settled, table, with_fields
 from quillon.llm.words import chunks, ngrams
 
 RATIOS = ("r_symbols", "r_dup_lines", "r_repeat", "r_again", "r_upper", "r_length")
@@ -90,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             got = measure_column(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[m]) for m in MEASURES)], names=[*batch.schema.names, *MEASURES])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, *((m, T.LongType()) for m in MEASURES)))
+    return docs.mapInArrow(settled(run), with_fields(docs.schema, *((m, T.LongType()) for m in MEASURES)))
 
 
 def ratios(measured: DataFrame) -> DataFrame:
