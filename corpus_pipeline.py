@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontaminate, jaccard, kneser_ney, quality
-from quillon.llm.common import positional, release, stored, table, written_so_far
+from quillon.llm.common import positional, release, rows_per_batch, stored, table, written_so_far
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +84,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no tokens, like an empty one; a null id stays null.
     """
     coded = bpe.encode(docs.select("doc_id", "text"), "text", public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    digests = coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    with rows_per_batch(spark, 1000):
+        return table(digests, "encoded")
 
 
 STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", encoding)]
