@@ -19,7 +19,7 @@ from quillon.plans.registry import query
 from quillon.plans.rule_queries import _ODD, ROLES_SQL, _code, _prose, roled
 from quillon.plans.text_queries import norm, words
 from quillon.sources import versions
-from quillon.sources.shared import shared_folder
+from quillon.sources.shared import shared_folder, track
 
 _NAMES = "Anna Smith, Bob Jones, Carl Brown, Dora White and Emil Black"
 _ZH = "这是一个用于测试的翻译结果，包含若干中文字符。"
@@ -177,7 +177,7 @@ def glued_blocks(t):
 )
 def job_versions(t):
     """Jobs stored with their artifacts, then some saved again with other artifacts; what the store holds."""
-    path = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4().hex}"
+    path = track(f"{shared_folder(t.spark)}/jobs-{uuid.uuid4().hex}")
     job = lambda stage, at: F.struct(F.col("o_orderkey").alias("job_id"), F.lit(at).alias("updated_at"), F.lit(stage).alias("stage"))
     jobs = lambda df, stage, at: df.select(job(stage, at).alias("j")).select("j.*")
     artifacts = t.lineitem.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("name"))

@@ -12,7 +12,7 @@ from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
 from quillon.plans.registry import query
 from quillon.sources import documents as D
 from quillon.sources import files, sinks
-from quillon.sources.shared import shared_folder
+from quillon.sources.shared import shared_folder, track
 from quillon.streaming import events as E
 
 
@@ -242,7 +242,9 @@ def _event_stream(t):
 
 def _run(t, stream, mode, keys=()):
     name = f"q{uuid.uuid4().hex}"
-    return E.run_once(stream, name, mode, f"{shared_folder(t.spark)}/{name}", keys)
+    checkpoint = track(f"{shared_folder(t.spark)}/{name}")
+    track(f"{checkpoint}-{name}")  # where run_once writes
+    return E.run_once(stream, name, mode, checkpoint, keys)
 
 
 @query("t02_latest_state", "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 0 END, ts, event_id)) AS stage, count(*) AS n FROM events GROUP BY user_id")

@@ -25,8 +25,28 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: folders in the shared one that results may still read
+_tracked: list[str] = []
+
+
+def track(path: str) -> str:
+    """A folder that ``release`` deletes."""
+    _tracked.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``written`` and streams have put into the shared folder, once the results that read it are written; how many folders."""
+    for p in _tracked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gone = len(_tracked)
+    _tracked.clear()
+    return gone
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts its lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: cuts its lineage and survives lost executors. It stays until ``release``."""
+    path = track(f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

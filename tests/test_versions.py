@@ -52,3 +52,15 @@ def test_nothing_stored(spark, tmp_path):
     assert versions.current(spark, str(tmp_path / "none")) is None
     with pytest.raises(FileNotFoundError):
         versions.read(spark, str(tmp_path / "none"), "jobs")
+
+
+def test_what_was_written_can_be_released(spark):
+    import os
+
+    from quillon.sources import shared
+
+    shared.release(spark)
+    df = shared.written(spark.range(5).toDF("id"), "some")
+    assert df.count() == 5
+    folder = shared._tracked[0]
+    assert os.path.isdir(folder) and shared.release(spark) == 1 and not os.path.exists(folder) and shared.release(spark) == 0
