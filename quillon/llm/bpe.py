@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from quillon.llm.common import positional, settled, with_fields
 
 SUFFIX = "</w>"
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 SHORT = 64
 #: code points whose case, composition and class are the same everywhere
 PLAIN = regex.compile("[\u0000-ʯΆ-ϿЀ-ҁҊ-ԯ‐-‧‰-⁞₠-₿぀-ゖァ-ヺ一-龥가-힣]*")
