@@ -27,21 +27,26 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hand_back() -> None:
+    """Give free memory that Arrow and the C library keep back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker hands its free memory back.
 
-    Python workers live on for the tasks of later stages; what Arrow and the C
-    library keep of one stage would add to what the next one needs.
+    Python workers live on for the tasks of later stages; what is kept of one
+    stage would add to what the next one needs.
     """
 
     def then_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            hand_back()
 
     return then_settle
 
@@ -89,6 +94,7 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    hand_back()  # what the driver has collected on the way
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
