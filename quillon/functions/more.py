@@ -50,15 +50,20 @@ def structured_block(c: Column) -> Column:
     return (s != "") & (F.length(s) <= 1200) & ((labels >= 2) | ((labels == 1) & value.rlike(LITERAL)))
 
 
+def _em(font: Column) -> Column:
+    """0.92 of a font size, rounded once: 9.2 of 10, where the product with 0.92 lies above and costs a line at the edge."""
+    return font * 92 / 100
+
+
 def box_capacity(x0: Column, y0: Column, x1: Column, y1: Column, font: Column, leading: Column) -> Column:
     """Characters that fit a box at a font size and leading."""
     width, height = F.greatest(F.lit(8.0), x1 - x0), F.greatest(F.lit(8.0), y1 - y0)
     step = F.greatest(font * 1.02, font * (1.0 + leading))
-    return F.greatest(F.lit(1), F.floor(height / step)) * F.greatest(F.lit(4.0), width / F.greatest(font * 0.92, F.lit(1.0))) * 0.98
+    return F.greatest(F.lit(1), F.floor(height / step)) * F.greatest(F.lit(4.0), width / F.greatest(_em(font), F.lit(1.0))) * 0.98
 
 
 def required_lines(x0: Column, x1: Column, demand: Column, font: Column) -> Column:
-    per_line = F.greatest(F.lit(4.0), F.greatest(F.lit(8.0), x1 - x0) / F.greatest(font * 0.92, F.lit(1.0)))
+    per_line = F.greatest(F.lit(4.0), F.greatest(F.lit(8.0), x1 - x0) / F.greatest(_em(font), F.lit(1.0)))
     return F.when(demand <= 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(demand / F.greatest(per_line * 0.98, F.lit(1.0)))))
 
 
