@@ -27,28 +27,28 @@ def last_word(c: Column) -> Column:
     return F.lower(F.coalesce(F.try_element_at(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.lit(-1)), F.lit("")))
 
 
-def starts_like_continuation(c: Column) -> Column:
-    """A small first letter, or a cue as the last word of the first 32 characters."""
-    s = normalize_space(c)
+def starts_like_continuation(c: Column, normal: bool = False) -> Column:
+    """A small first letter, or a cue as the last word of the first 32 characters; ``normal`` texts have single spaces already."""
+    s = c if normal else normalize_space(c)
     return (s != "") & (s.rlike("^[a-z]") | last_word(F.substring(s, 1, 32)).isin(CONTINUATION_STARTS))
 
 
-def ends_like_continuation(c: Column) -> Column:
-    s = normalize_space(c)
+def ends_like_continuation(c: Column, normal: bool = False) -> Column:
+    s = c if normal else normalize_space(c)
     return (s != "") & (s.endswith("-") | (~s.rlike(r"[.!?:;]$") & last_word(s).isin(CONTINUATION_ENDS)))
 
 
-def starts_like_heading(c: Column) -> Column:
-    return normalize_space(c).rlike(HEADING_START)
+def starts_like_heading(c: Column, normal: bool = False) -> Column:
+    return (c if normal else normalize_space(c)).rlike(HEADING_START)
 
 
-def ends_terminal(c: Column) -> Column:
-    return normalize_space(c).rlike(r"[.!?:;]$")
+def ends_terminal(c: Column, normal: bool = False) -> Column:
+    return (c if normal else normalize_space(c)).rlike(r"[.!?:;]$")
 
 
-def dollar_balance(c: Column) -> Column:
+def dollar_balance(c: Column, normal: bool = False) -> Column:
     """Unescaped dollar signs."""
-    return F.regexp_count(normalize_space(c), F.lit(r"(?<!\\)\$"))
+    return F.regexp_count(c if normal else normalize_space(c), F.lit(r"(?<!\\)\$"))
 
 
 def strip_placeholders(c: Column) -> Column:

@@ -44,29 +44,34 @@ def page_layout(flow: DataFrame, by: list[str], centre: str, left: str, right: s
 def join_score(df: DataFrame, by: list[str], order: list[str], text: str) -> DataFrame:
     """df with the scores and decision of each row against the next of its group.
 
-    ``page`` and the column box (x0, y0, x1, y1) are read from df; on one page a
-    pair must be in neighbouring columns or end in a hyphen.
+    ``page_idx`` and the column box (x0, y0, x1, y1) are read from df; on one page a
+    pair must be in neighbouring columns or end in a hyphen. A text's marks are
+    found once, before rows move; the next row is known by its marks alone.
     """
+    s = F.col("_s")
+    marks = {
+        "missing": F.col(text).isNull(), "blank": s == "", "even": X.dollar_balance(s, True) % 2 == 0, "starts": X.starts_like_continuation(s, True), "heading": X.starts_like_heading(s, True), "capital": s.rlike("^[A-Z]"),
+        "terminal": X.ends_terminal(s, True), "sentence": s.rlike(r"[.!?]$"), "ends": X.ends_like_continuation(s, True), "hyphen": s.endswith("-"), "comma": s.endswith(","), "suspicious": X.last_word(s).isin(X.SUSPICIOUS_ENDS),
+    }
+    d = df.withColumn("_s", X.normalize_space(F.col(text))).withColumns({f"_{k}": v for k, v in marks.items()}).drop("_s")
     w = Window.partitionBy(*by).orderBy(*order)
-    nxt = {c: F.lead(c).over(w) for c in (text, "page_idx", "x0", "y0")}
-    d = df.withColumns({f"next_{k}": v for k, v in nxt.items()})
-    a, b = F.col(text), F.col(f"next_{text}")
-    sa, sb = X.normalize_space(a), X.normalize_space(b)
-    same = F.col("page_idx") == F.col("next_page_idx")
-    cross = (F.col("next_x0") > F.col("x1") + 8) & (F.col("next_x0") - F.col("x1") <= 96)
-    near = (F.abs(F.col("next_x0") - F.col("x0")) <= 28) & (F.col("next_y0") - F.col("y1") <= 40)
-    likely = F.when(F.col("next_x0") > F.col("x1") + 8, F.col("next_x0") - F.col("x1") <= 96).otherwise(near)
-    even = lambda c: X.dollar_balance(c) % 2 == 0
-    fits = even(a) & even(b) & (sa != "") & (sb != "") & F.when(same, likely & (cross | sa.endswith("-"))).otherwise(F.col("next_page_idx") - F.col("page_idx") == 1)
+    ahead = F.lead(F.struct("page_idx", "x0", "y0", "_missing", "_blank", "_even", "_starts", "_heading", "_capital")).over(w)
+    d = d.withColumn("_next", ahead)
+    a = {k: F.col(f"_{k}") for k in marks}
+    b = {k: F.coalesce(F.col(f"_next._{k}"), F.lit(k in ("missing", "blank", "even"))) for k in ("missing", "blank", "even", "starts", "heading", "capital")}
+    same = F.col("page_idx") == F.col("_next.page_idx")
+    cross = (F.col("_next.x0") > F.col("x1") + 8) & (F.col("_next.x0") - F.col("x1") <= 96)
+    near = (F.abs(F.col("_next.x0") - F.col("x0")) <= 28) & (F.col("_next.y0") - F.col("y1") <= 40)
+    likely = F.when(F.col("_next.x0") > F.col("x1") + 8, F.col("_next.x0") - F.col("x1") <= 96).otherwise(near)
+    fits = a["even"] & b["even"] & ~a["blank"] & ~b["blank"] & F.when(same, likely & (cross | a["hyphen"])).otherwise(F.col("_next.page_idx") - F.col("page_idx") == 1)
     point = lambda c, n: F.when(c, n).otherwise(0)
-    starts, terminal = X.starts_like_continuation(b), X.ends_terminal(a)
-    score = point(starts, 3) + point(terminal & starts, 3) + point(X.ends_like_continuation(a), 3) + point(sa.endswith("-"), 4) + point(sa.endswith(","), 1) + point(X.last_word(a).isin(X.SUSPICIOUS_ENDS), 1)
-    score = score + F.when(same, point(cross, 2)).otherwise(point(~terminal, 2))
-    brk = F.when(sa.rlike(r"[.!?]$"), 4).when(terminal, 2).otherwise(0) - point(starts, 3) + point(X.starts_like_heading(b), 3) + point(sb.rlike("^[A-Z]") & ~starts, 1) + point(same & ~likely, 2)
+    score = point(b["starts"], 3) + point(a["terminal"] & b["starts"], 3) + point(a["ends"], 3) + point(a["hyphen"], 4) + point(a["comma"], 1) + point(a["suspicious"], 1)
+    score = score + F.when(same, point(cross, 2)).otherwise(point(~a["terminal"], 2))
+    brk = F.when(a["sentence"], 4).when(a["terminal"], 2).otherwise(0) - point(b["starts"], 3) + point(b["heading"], 3) + point(b["capital"] & ~b["starts"], 1) + point(same & ~likely, 2)
     d = d.withColumns({"join_score": F.when(F.coalesce(fits, F.lit(False)), score).otherwise(-999), "break_score": F.greatest(F.lit(0), brk)})
     j, k = F.col("join_score"), F.col("break_score")
-    decision = F.when(b.isNull(), None).when(j < 0, "break").when((j >= 4) & (j >= k + 2), "join").when((k >= 4) & (k >= j + 1), "break").otherwise("candidate")
-    return d.withColumn("decision", decision)
+    decision = F.when(b["missing"], None).when(j < 0, "break").when((j >= 4) & (j >= k + 2), "join").when((k >= 4) & (k >= j + 1), "break").otherwise("candidate")
+    return d.select(*df.columns, "join_score", "break_score", decision.alias("decision"))
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], linked: Column) -> DataFrame:
