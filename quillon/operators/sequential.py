@@ -6,30 +6,70 @@ what it is (a page of boxes, a paragraph's segments, one worker's requests).
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _ordered_pass(df: DataFrame, by: list[str], order: list[Column], schema: T.StructType, run: Callable[[pa.Table, list[int]], pa.Table]) -> DataFrame:
+    """``run`` over whole groups in order, as many at a time as an Arrow batch holds: it gets their rows and where each group begins.
+
+    Spark sorts and spills; a task holds a batch and the group that runs over its end.
+    """
+
+    def begins(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, len(t) - 1), bool)
+        for c in by:
+            v = t.column(c).combine_chunks()
+            a, b = v.slice(0, len(v) - 1), v.slice(1)
+            differs = pc.fill_null(pc.not_equal(a, b), False)
+            new |= np.asarray(pc.or_(differs, pc.not_equal(pc.is_null(a), pc.is_null(b))))
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the beginning of one group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edge = pa.Table.from_batches([*(h.slice(h.num_rows - 1) for h in held[-1:]), batch])
+            last = begins(edge)[-1] - (1 if held else 0)  # where the batch's last group begins; below 1 if the held one goes on
+            if last > 0 or (held and last == 0 and len(begins(edge.slice(0, 2))) > 1):
+                t = pa.Table.from_batches([*held, batch.slice(0, last)])
+                yield from run(t, begins(t)).to_batches()
+                held = []
+            held.append(batch.slice(max(0, last)))
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from run(t, begins(t)).to_batches()
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(passes, schema)
+
+
 def pack(df: DataFrame, by: list[str], order: list[str], size: str, most_items: int, most_size: int) -> DataFrame:
     """df with ``window``: rows packed greedily in order, a new window where count or size would exceed its limit."""
     schema = T.StructType([*df.schema.fields, T.StructField("window", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        window, items, total, out = 0, 0, 0, []
-        for n in pdf[size]:
+    def run(t: pa.Table, starts: list[int]) -> pa.Table:
+        first, out = set(starts), []
+        window = items = total = 0
+        for i, n in enumerate(t.column(size).to_pylist()):
+            if i in first:
+                window = items = total = 0
             if items and (items >= most_items or total + n > most_size):
                 window, items, total = window + 1, 0, 0
             items, total = items + 1, total + int(n)
             out.append(window)
-        return pdf.assign(window=out)
+        return t.append_column("window", pa.array(out, pa.int64()))
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return _ordered_pass(df, by, [F.col(c).asc_nulls_last() for c in order], schema, run)
 
 
 def pack_array(sizes: Column, most_items: int, most_size: int) -> Column:
@@ -52,21 +92,22 @@ def chain_ids(df: DataFrame, by: list[str], order: list[str], decision: str) ->
     """
     schema = T.StructType([*df.schema.fields, T.StructField("group_no", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        out, i, n, made = [None] * len(pdf), 0, len(pdf), 0
-        joins = (pdf[decision] == "join").tolist()
-        while i < n:
-            j = i
-            while j < n - 1 and joins[j]:
-                j += 1
-            if j > i:
-                made += 1
-                out[i : j + 1] = [made] * (j + 1 - i)
-            i = j + 1
-        return pdf.assign(group_no=pd.array(out, dtype="Int64"))
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def run(t: pa.Table, starts: list[int]) -> pa.Table:
+        joins = [d == "join" for d in t.column(decision).to_pylist()]
+        out: list[int | None] = [None] * len(joins)
+        for i, n in zip(starts, [*starts[1:], len(joins)]):
+            made = 0
+            while i < n:
+                j = i
+                while j < n - 1 and joins[j]:
+                    j += 1
+                if j > i:
+                    made += 1
+                    out[i : j + 1] = [made] * (j + 1 - i)
+                i = j + 1
+        return t.append_column("group_no", pa.array(out, pa.int64()))
+
+    return _ordered_pass(df, by, [F.col(c).asc_nulls_last() for c in order], schema, run)
 
 
 def merge_boxes(df: DataFrame, by: list[str]) -> DataFrame:
@@ -74,8 +115,7 @@ def merge_boxes(df: DataFrame, by: list[str]) -> DataFrame:
     edges = ["x0", "y0", "x1", "y1"]
     schema = T.StructType([*(f for f in df.schema.fields if f.name in by), *(T.StructField(e, T.DoubleType()) for e in edges), T.StructField("n", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = [[*map(float, r), 1] for r in pdf[edges].sort_values(edges).itertuples(index=False)]
+    def merged(todo: list[list]) -> list[list]:
         done: list[list] = []
         while todo:
             a = todo.pop()
@@ -85,9 +125,20 @@ def merge_boxes(df: DataFrame, by: list[str]) -> DataFrame:
             else:
                 b = done.pop(hit)
                 todo.append([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]])
-        return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], *d] for d in done], columns=[*by, *edges, "n"])
+        return done
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def run(t: pa.Table, starts: list[int]) -> pa.Table:
+        rows = [[*map(float, r), 1] for r in zip(*(t.column(e).to_pylist() for e in edges))]
+        at, out = [], []
+        for i, n in zip(starts, [*starts[1:], len(rows)]):
+            found = merged(rows[i:n])
+            at += [i] * len(found)
+            out += found
+        keys = t.select(by).take(pa.array(at, pa.int64()))
+        types = [pa.float64()] * 4 + [pa.int64()]
+        return pa.table([*keys.columns, *(pa.array([b[k] for b in out], x) for k, x in enumerate(types))], names=[*by, *edges, "n"])
+
+    return _ordered_pass(df, by, [F.col(c).asc_nulls_last() for c in edges], schema, run)
 
 
 def adaptive_limit(df: DataFrame, key: str, order: list[str], slow_ms: str, failed: str, start: int = 8, least: int = 1) -> DataFrame:
@@ -118,15 +169,15 @@ def smooth(df: DataFrame, by: list[str], order: list[str], value: str, most_step
     """df with ``smoothed``: each value moved towards the one before it until they differ by at most most_step."""
     schema = T.StructType([*df.schema.fields, T.StructField("smoothed", T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        last, out = None, []
-        for v in pdf[value]:
-            last = float(v) if last is None else min(last + most_step, max(last - most_step, float(v)))
+    def run(t: pa.Table, starts: list[int]) -> pa.Table:
+        first, out, last = set(starts), [], 0.0
+        for i, v in enumerate(t.column(value).to_pylist()):
+            v = math.nan if v is None else float(v)
+            last = v if i in first else min(last + most_step, max(last - most_step, v))
             out.append(last)
-        return pdf.assign(smoothed=out)
+        return t.append_column("smoothed", pa.array(out, pa.float64()))
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return _ordered_pass(df, by, [F.col(c).asc_nulls_last() for c in order], schema, run)
 
 
 @F.pandas_udf(T.DoubleType())
