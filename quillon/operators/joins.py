@@ -148,11 +148,13 @@ def exactly_one(pairs: DataFrame, key: str) -> DataFrame:
 def missing_inputs(jobs: DataFrame, artifacts: DataFrame, key: str, kind: str, required: tuple[str, ...], source: str | None = None) -> DataFrame:
     """(key, missing): jobs that lack inputs they need, of their own or of the job named in ``source``, in the order of ``required``.
 
-    Only needed kinds are gathered, so a job's artifacts are a set of at most their number.
+    Of a job's artifacts one flag for each needed kind is kept, so sums have a fixed size and Spark can spill them.
     """
-    own = artifacts.filter(F.col(kind).isin(*required)).groupBy(F.col(key).alias("_job")).agg(F.collect_set(kind).alias("_held"))
-    found = jobs.join(own, F.col(key) == F.col("_job"), "left").withColumn("_all", F.coalesce("_held", F.array().cast("array<string>"))).drop("_job", "_held")
+    flags = [f"_held_{i}" for i in range(len(required))]
+    own = artifacts.filter(F.col(kind).isin(*required)).groupBy(F.col(key).alias("_job")).agg(*[F.max(F.col(kind) == r).alias(f) for f, r in zip(flags, required)])
+    found = jobs.join(own, F.col(key) == F.col("_job"), "left").drop("_job")
     if source is not None:
-        found = found.join(own, F.col(source) == F.col("_job"), "left").withColumn("_all", F.array_union("_all", F.coalesce("_held", F.array().cast("array<string>"))))
-    missing = F.array_except(F.array(*map(F.lit, required)), F.col("_all"))
+        theirs = own.select("_job", *[F.col(f).alias(f"_other{f}") for f in flags])
+        found = found.join(theirs, F.col(source) == F.col("_job"), "left").drop("_job").withColumns({f: F.coalesce(f, F.lit(False)) | F.coalesce(f"_other{f}", F.lit(False)) for f in flags})
+    missing = F.array_compact(F.array(*[F.when(~F.coalesce(f, F.lit(False)), F.lit(r)) for f, r in zip(flags, required)]))
     return found.select(key, missing.alias("missing")).filter(F.size("missing") > 0)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillon.operators import sequential, windows
+from quillon.operators import joins, sequential, windows
 
 
 def plan(df):
@@ -54,3 +54,11 @@ def test_groups_over_ends_of_batches(spark):
         assert merged == sorted((g or 0, sum(r[0] == g for r in rows)) for g in (None, 1, 2, 3, 4, 5))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_missing_inputs_keep_no_sets(spark):
+    jobs = spark.createDataFrame([(1, None), (2, 1), (3, 9)], "j int, s int")
+    artifacts = spark.createDataFrame([(1, "a"), (1, "x"), (2, "b"), (2, "b"), (9, "a"), (9, "c")], "j int, k string")
+    found = joins.missing_inputs(jobs, artifacts, "j", "k", ("a", "b", "c"), "s")
+    assert "ObjectHashAggregate" not in plan(found)
+    assert sorted((r["j"], r["missing"]) for r in found.collect()) == [(1, ["b", "c"]), (2, ["c"]), (3, ["b"])]
