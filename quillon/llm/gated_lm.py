@@ -22,12 +22,12 @@ count stays in a table that the documents' words are joined with at the word's
 key. No word of that table is more frequent than the least of the head list.
 
 The network starts on at most ``sample_docs`` expected documents on the driver,
-of which a tenth is held back: epochs go on while those gain. Then ``share`` of
-all training documents, so more as the corpus grows, refine it where they are:
-every task trains a copy on each ``GROUP_DOCS`` documents of its part, and the
-copies' weights are averaged by tokens, block by block, at the block's key. The
-average is taken if the held-back documents gain. Documents are chosen by a
-hash of the id and read whole. Words are identified by 64-bit hashes.
+of which a tenth is held back: epochs go on while those gain. Then all other
+training documents (``share`` of them) refine it where they are: every task
+trains a copy on each ``GROUP_DOCS`` documents of its part, and the copies'
+weights are averaged by tokens, block by block, at the block's key. The average
+is taken if the held-back documents gain. The first documents are chosen by a
+hash of the id. All are read whole. Words are identified by 64-bit hashes.
 
 Defined results: a null or empty text is its end token alone; a null id counts
 as training; repeated rows are scored one by one, each with the same result;
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import remainder, table, with_fields
+from quillon.llm.common import remainder, rows_per_batch, settled, table, with_fields
 from quillon.llm.words import FOLD, chunks
 
 HIDDEN = 32
@@ -55,9 +55,10 @@ PER_CLASS = 64
 WINDOW = 24
 HEAD = 1 << 16
 STREAMS = 1024
-SHARE = 1 / 24
-GROUP_DOCS = 1500
+SHARE = 1.0
+GROUP_DOCS = 6000
 GROUP_TOKENS = 2_000_000
+GROUP_STREAMS = 512
 BLOCK = 8192
 SPELLINGS = 1 << 20
 LOG10 = float(np.log(10.0))
@@ -132,9 +133,15 @@ class Network:
         steps, s = x.shape
         hs, kept = [state], []
         wx = w["wx"]
+        ids = x.ravel()
+        sort = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[sort], prepend=-1))
+        used = ids[sort[first]]  # each input once, since frequent words fill most places
+        gates = np.zeros((len(w["emb"]), 3 * k), wx.dtype)
+        gates[used] = w["emb"][used] @ wx + w["b"]
         for t in range(steps):
             h = np.where((x[t] == end)[:, None], _F(0), hs[-1])
-            new, rz, n, gh = self.step(w["emb"][x[t]] @ wx + w["b"], h)
+            new, rz, n, gh = self.step(gates[x[t]], h)
             kept.append((h, rz, n, gh))
             hs.append(new)
         top = np.concatenate(hs[1:])
@@ -174,10 +181,10 @@ class Network:
             dgh = np.concatenate([dr, dz, dn * r], axis=1)
             g["wh"] += h.T @ dgh
             dh = (dh * z + dgh @ w["wh"].T) * (x[t] != end)[:, None]
-        flat, ids = dgx.reshape(-1, 3 * k), x.ravel()
+        flat = np.add.reduceat(dgx.reshape(-1, 3 * k)[sort], first, axis=0)
         g["b"] = flat.sum(axis=0)
-        g["wx"] = w["emb"][ids].T @ flat
-        np.add.at(g["emb"], ids, flat @ wx.T)
+        g["wx"] = w["emb"][used].T @ flat
+        g["emb"][used] = flat @ wx.T
         return g, loss / count, hs[-1]
 
     def train(self, docs: list[np.ndarray], end: int, *, epochs: int = 2, streams: int = 48, rate: float = 4e-3, good=None) -> None:
@@ -433,7 +440,7 @@ def _refine(shared):
             nonlocal docs, size, total, tokens
             copy = Network(model.network.size, {})
             copy.weights = {n: v.copy() for n, v in model.network.weights.items()}
-            copy.train(docs, model.end, epochs=1, rate=1e-3)
+            copy.train(docs, model.end, epochs=1, streams=GROUP_STREAMS, rate=1e-3)
             total += copy.flat() * size
             tokens += size
             docs, size = [], 0
@@ -468,7 +475,7 @@ def _add_blocks(batches):
 def refine(model: Model, texts: DataFrame, held: list[np.ndarray]) -> None:
     """Average the weights of copies trained on all texts, in place, if held-back documents gain by it."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    parts = texts.mapInArrow(_refine(shared), _BLOCKS).repartition("block").mapInArrow(_add_blocks, _BLOCKS)
+    parts = texts.mapInArrow(settled(_refine(shared)), _BLOCKS).repartition("block").mapInArrow(_add_blocks, _BLOCKS)
     got = sorted(((r["block"], r["sums"], r["tokens"]) for r in parts.collect()), key=lambda r: r[0])  # the network once
     if not got:
         return
@@ -523,7 +530,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, diviso
     sample = pa.array([r[0] for r in trains.filter(place < first).orderBy("doc_id", "text_hash").select("text").collect()], pa.string())  # bounded by sample_docs
 
     code = spelling_alphabet(np.concatenate([FOLD[c.raw] for c in chunks(sample, fold=True)] or [np.zeros(0, np.uint8)]))
-    tally = table(trains.select("text").mapInArrow(_tally(code), _TALLY).groupBy("kind", "key").agg(F.sum("n").alias("n")), "tally")
+    with rows_per_batch(spark, 1000):
+        tally = table(trains.select("text").mapInArrow(settled(_tally(code)), _TALLY).groupBy("kind", "key").agg(F.sum("n").alias("n")), "tally")
     words = tally.filter("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     ends = tally.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("s"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
@@ -534,7 +542,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, diviso
     by_count = top.column(0).to_numpy().view(np.uint64)
     model = vocabulary(by_count, top.column(1).to_numpy(), int(totals["s"]), int(ends))
     kept = fit(model, model.documents(sample))
-    refine(model, trains.filter((place >= first) & (place < more)).select("text"), kept)
+    with rows_per_batch(spark, 1000):
+        refine(model, trains.filter((place >= first) & (place < more)).select("text"), kept)
 
     order = np.argsort(by_count)
     head, counts = by_count[order], top.column(1).to_numpy()[order]
@@ -549,7 +558,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, diviso
     types = int(totals["v"]) - len(listed) + 1
     all_tokens, distinct = int(totals["s"]) + int(ends), int(totals["v"]) + (1 if ends else 0)
 
-    rows = table(base.select("doc_id", "text_hash", "text").mapInArrow(_gather(spark.sparkContext.broadcast((head, inside, speller))), _TAIL), "words")
+    with rows_per_batch(spark, 1000):
+        rows = table(base.select("doc_id", "text_hash", "text").mapInArrow(settled(_gather(spark.sparkContext.broadcast((head, inside, speller)))), _TAIL), "words")
     head_spelled = np.zeros(len(head))
     for r in rows.filter("n = 0").groupBy("word").agg(F.max("spelled")).collect():  # at most HEAD rows
         head_spelled[np.searchsorted(head, np.uint64(r[0] & 0xFFFFFFFFFFFFFFFF))] = r[1]
@@ -583,7 +593,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, diviso
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own[0].astype(np.int64)), pa.array(own[1].astype(np.int64)), pa.array(own[2]), pa.array(own[3])], names=scored.names)
 
     scored = with_fields(base.drop("text").schema, ("n_tokens", T.LongType()), ("near_known", T.LongType()), ("near_logs", T.DoubleType()), ("score", T.DoubleType()))
-    done = base.mapInArrow(run, scored)
+    with rows_per_batch(spark, 1000):  # a few numbers a document; texts would else go to Python in batches of 10,000
+        done = table(base.mapInArrow(settled(run), scored), "scored")
     copies = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text_hash"))
     done = done.withColumn("copies", copies)
     tail = tail.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "known", "logs", "outside")

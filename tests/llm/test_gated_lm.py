@@ -167,3 +167,12 @@ def test_unseen_words_have_the_mean_of_their_spelling_and_of_one_count(spark):
 def test_columns_of_any_name(spark, odd):
     clash = odd.withColumnRenamed("lang", "score").withColumnRenamed("source", "trains")
     assert G.score(clash).count() == odd.count()
+
+
+def test_every_training_document_trains(spark, monkeypatch):
+    rows = [(i, f"text {i} of a few words") for i in range(300)]
+    seen, fit = [], G.fit
+    monkeypatch.setattr(G, "fit", lambda model, docs: seen.extend(docs) or fit(model, docs))
+    monkeypatch.setattr(G, "refine", lambda model, texts, held: seen.extend(r["text"] for r in texts.collect()))
+    scored = G.score(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=40)
+    assert len(seen) == scored.filter("not held_out").count()
