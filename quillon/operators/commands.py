@@ -8,13 +8,12 @@ stand behind it). So the work is in proportion to the text's length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import rules as Q
 from quillon.functions import text as X
+from quillon.functions.text import let
 
 # What command tokens look like.
 COMMAND_HEAD = r"^[A-Za-z][\p{L}\p{N}_.-]{0,31}$"
@@ -29,11 +28,6 @@ PREFIX_TOKENS, PREFIX_EVIDENCE, PROSE_WORDS, LONG_WORDS, LINE_LETTERS = 3, 2, 6,
 FLAG, FILE, ARGUMENT, NUMBER, OPERATOR, PATH, ASSIGNED = (1 << k for k in range(7))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import rules as Q
 from quillon.functions import text as X
-from quillon.operators.commands import let
+from quillon.functions.text import let
 
 # What a run of English is and how much of it counts.
 RUN = r"[A-Za-z][A-Za-z0-9\s,;:()'./%+-]{30,}"
@@ -23,7 +24,7 @@ COPIED, LEAST_COPIED = 0.82, 32
 
 @dataclass(frozen=True)
 class Unit:
-    """The columns of a translated item."""
+    """The columns of a translated item; ``measures`` are those of ``measured``, else they are taken where they are needed."""
 
     source: Column
     translated: Column
@@ -33,6 +34,7 @@ class Unit:
     grouped: Column
     formulas: Column
     direct_math: Column
+    measures: Column | None = None
 
     @property
     def forced(self) -> Column:
@@ -40,40 +42,49 @@ class Unit:
 
     @property
     def dense(self) -> Column:
-        """Body text with so many formulas that English words say little."""
+        """Whether body text has so many formulas that English words say little."""
         n = F.regexp_count(self.source, F.lit(FORMULA_TOKEN))
-        return self.forced & (self.grouped | self.formulas) & ((n >= 3) | (self.grouped & (n >= 1)))
+        return (self.grouped | self.formulas) & ((n >= 3) | (self.grouped & (n >= 1)))
 
 
-def chinese(text: Column) -> Column:
-    return F.regexp_count(X.strip_placeholders(text), F.lit("[一-鿿]"))
+def long_runs(plain: Column) -> Column:
+    """Runs of English of ten words or more that read like prose, in a text without placeholders."""
+    runs = F.transform(F.regexp_extract_all(plain, F.lit(RUN), F.lit(0)), X.normalize_space)
+    return F.filter(runs, lambda r: (X.english_words(r) >= RUN_WORDS) & Q.english_prose(r))
 
 
-def words(text: Column) -> Column:
-    return X.english_words(X.strip_placeholders(text))
+def measures(u: Unit) -> Column:
+    """struct<zh, en, longest, runs> of a translation that isn't blank, of body text outside references; null for others."""
+    taken = lambda s: F.struct(F.regexp_count(s, F.lit("[一-鿿]")).alias("zh"), X.english_words(s).alias("en"), F.array_max(X.chunk_word_lengths(s)).alias("longest"), long_runs(s).alias("runs"))
+    may = (F.trim(F.coalesce(u.translated, F.lit(""))) != "") & ~u.reference & u.forced
+    return F.when(may, let(X.strip_placeholders(u.translated), taken))
 
 
-def long_runs(text: Column) -> Column:
-    """Runs of English of ten words or more that read like prose."""
-    runs = F.transform(F.regexp_extract_all(X.strip_placeholders(text), F.lit(RUN), F.lit(0)), X.normalize_space)
-    return F.filter(runs, lambda r: (X.english_words(r) >= RUN_WORDS) & Q.english_prose(r))
+def measured(df: DataFrame, u: Unit, name: str = "measures") -> tuple[DataFrame, Unit]:
+    """df with the measures of its units as a column, and the units that use it; so they are taken once for all verdicts."""
+    return df.withColumn(name, measures(u)), replace(u, measures=F.col(name))
+
 
+def _with_measures(u: Unit, body: Callable[[Column], Column]) -> Column:
+    return body(u.measures) if u.measures is not None else let(measures(u), body)
 
-def keeps_terms(u: Unit) -> Column:
+
+def keeps_terms(u: Unit, m: Column) -> Column:
     """Enough Chinese with short English terms in it, where formulas or groups explain those."""
-    longest = F.array_max(X.chunk_word_lengths(X.strip_placeholders(u.translated)))
-    short = (F.size(long_runs(u.translated)) == 0) & (longest <= MIXED_CHUNK)
-    few = words(u.translated) <= F.greatest(F.lit(MIXED_WORDS), chinese(u.translated) * 2)
-    return F.coalesce((chinese(u.translated) >= MIXED_CJK) & short & few & (u.direct_math | u.grouped | u.formulas), F.lit(False))
+    short = (F.size(m["runs"]) == 0) & (m["longest"] <= MIXED_CHUNK)
+    few = m["en"] <= F.greatest(F.lit(MIXED_WORDS), m["zh"] * 2)
+    return F.coalesce((m["zh"] >= MIXED_CJK) & short & few & (u.direct_math | u.grouped | u.formulas), F.lit(False))
+
+
+def _english(u: Unit, m: Column) -> Column:
+    verdict = F.when(F.size(m["runs"]) > 0, True).when(m["en"] < OUTPUT_WORDS, False).when(m["zh"] == 0, True).when(u.dense, False).otherwise(m["en"] >= F.greatest(F.lit(OUTPUT_WORDS), F.floor(m["zh"] / 2)))
+    may = m.isNotNull() & ~(u.direct_math & (m["zh"] > 0)) & ~keeps_terms(u, m) & verdict
+    return F.coalesce(may & ~F.coalesce(Q.author_list(u.source), F.lit(False)), F.lit(False))
 
 
 def mostly_english(u: Unit) -> Column:
     """A translation of English prose that is English itself, apart from what may stay so."""
-    zh, en = chinese(u.translated), words(u.translated)
-    prose = Q.english_prose(u.source)
-    may = (F.trim(F.coalesce(u.translated, F.lit(""))) != "") & ~u.reference & ~(u.direct_math & ((zh > 0) | ~prose)) & u.forced & prose & ~F.coalesce(Q.author_list(u.source), F.lit(False)) & ~keeps_terms(u)
-    verdict = F.when(F.size(long_runs(u.translated)) > 0, True).when(en < OUTPUT_WORDS, False).when(zh == 0, True).when(u.dense, False).otherwise(en >= F.greatest(F.lit(OUTPUT_WORDS), F.floor(zh / 2)))
-    return F.coalesce(may & verdict, F.lit(False))
+    return _with_measures(u, lambda m: _english(u, m))
 
 
 def surface(text: Column) -> Column:
@@ -82,26 +93,33 @@ def surface(text: Column) -> Column:
 
 
 @F.pandas_udf(T.BooleanType())
-def any_copied(source: pd.Series, parts: pd.Series) -> pd.Series:
-    """Whether a part is the source's surface or, from 32 characters, nearly so; null parts aren't looked at."""
+def any_copied(texts: pd.Series) -> pd.Series:
+    """Whether a text behind the first is the first or, from 32 characters, nearly so; null lists aren't looked at."""
     from difflib import SequenceMatcher
 
     def copied(a: str, b: str) -> bool:
         if not a or not b:
             return False
-        return a == b or (min(len(a), len(b)) >= LEAST_COPIED and SequenceMatcher(None, a, b).ratio() >= COPIED)
+        if a == b:
+            return True
+        if min(len(a), len(b)) < LEAST_COPIED or 2 * min(len(a), len(b)) / (len(a) + len(b)) < COPIED:  # the lengths' bound on the ratio
+            return False
+        return SequenceMatcher(None, a, b).ratio() >= COPIED
 
-    return pd.Series([p is not None and any(copied(s or "", x) for x in p) for s, p in zip(source, parts)], dtype=bool)
+    return pd.Series([t is not None and any(copied(t[0] or "", x) for x in t[1:]) for t in texts], dtype=bool)
 
 
 def untranslated(u: Unit) -> Column:
     """Mostly English, without any Chinese, and a copy of the source."""
-    hit = mostly_english(u) & (chinese(u.translated) == 0)
-    return any_copied(surface(u.source), F.when(hit, F.array(surface(u.translated))))
+    return any_copied(_with_measures(u, lambda m: F.when((m["zh"] == 0) & _english(u, m), F.array(surface(u.source), surface(u.translated)))))
 
 
 def mixed_residue(u: Unit) -> Column:
     """Chinese with a run of twelve English words or more that copies the source."""
-    may = (F.trim(F.coalesce(u.translated, F.lit(""))) != "") & ~u.reference & u.forced & ~u.dense & ~keeps_terms(u) & (chinese(u.translated) > 0) & Q.english_prose(u.source)
-    runs = let(long_runs(u.translated), lambda rs: F.transform(F.filter(rs, lambda r: X.english_words(r) >= COPIED_RUN_WORDS), surface))
-    return any_copied(surface(u.source), F.when(F.coalesce(may, F.lit(False)), runs))
+
+    def texts(m: Column) -> Column:
+        may = m.isNotNull() & (m["zh"] > 0) & ~u.dense & ~keeps_terms(u, m)
+        runs = F.filter(m["runs"], lambda r: X.english_words(r) >= COPIED_RUN_WORDS)
+        return F.when(may & (F.size(runs) > 0), F.concat(F.array(surface(u.source)), F.transform(runs, surface)))
+
+    return any_copied(_with_measures(u, texts))

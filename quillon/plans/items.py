@@ -22,6 +22,11 @@ def cycle(values: list[str], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.pmod(at, F.lit(len(values))).cast("int"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Items dealt over all tasks by their keys; a file's row group is read by one task, however many rows it holds."""
+    return rows.repartition("doc_id", "block_idx")
+
+
 def items(documents: DataFrame) -> DataFrame:
     """One row per non-blank line: doc_id, lang, source, page_idx, block_idx, item_id, text."""
     lines = documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))

@@ -1,10 +1,17 @@
 """Work per row and per group: texts are read once, groups go to Python together, counts keep to fixed-size sums."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, sequential, windows
+from quillon.operators import joins, markdown, runs, sequential, windows
+from quillon.plans import all_queries
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+DEALT = ("f16_copied_output", "f16_english_output", )
 
 
 def plan(df):
@@ -62,3 +69,15 @@ def test_missing_inputs_keep_no_sets(spark):
     found = joins.missing_inputs(jobs, artifacts, "j", "k", ("a", "b", "c"), "s")
     assert "ObjectHashAggregate" not in plan(found)
     assert sorted((r["j"], r["missing"]) for r in found.collect()) == [(1, ["b", "c"]), (2, ["c"]), (3, ["b"])]
+
+
+@tables
+@pytest.mark.parametrize("name", DEALT)
+def test_rows_of_one_row_group_are_dealt(spark, name):
+    assert "REPARTITION_BY_COL" in plan(all_queries.QUERIES[name](spark, SF))
+
+
+@tables
+@pytest.mark.parametrize("name", ["f16_copied_output", "f16_english_output"])
+def test_a_translation_is_measured_once(spark, name):
+    assert plan(all_queries.QUERIES[name](spark, SF)).count("{30,}") == 1
