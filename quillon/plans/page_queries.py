@@ -11,7 +11,7 @@ from quillon.operators import fitting as T
 from quillon.operators import pages as G
 from quillon.operators import protection as Z
 from quillon.operators import sequential as S
-from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
+from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, dealt, items
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import ROLES_SQL, roled
 from quillon.plans.text_queries import norm
@@ -78,12 +78,13 @@ _TERMS = [
 ]
 
 
-def tagged(t):
-    """Items with formulas between their words, protected with a glossary."""
+def tagged(t, *carried: str):
+    """Items with formulas between their words, protected with a glossary; ``carried`` are columns of blocks that stay."""
     i = F.col("doc_id") + F.col("block_idx")
     math = cycle([" \\alpha_{1}+x^{2} ", " E = m c^{2}, ", " C-H ", " {\\bf k}where ", " \\beta ", " a, b, c "], i)
     text = F.concat(F.substring_index("text", " ", 3), math, F.col("text"))
-    return items(t.documents).select("doc_id", "item_id", Z.protect(_TERMS)(text).alias("p")).select("doc_id", "item_id", "p.*")
+    made = dealt(blocks(t.documents) if carried else items(t.documents))
+    return made.select("doc_id", "item_id", *carried, Z.protect(_TERMS)(text).alias("p")).select("doc_id", "item_id", *carried, "p.*")
 
 
 @query("c07_protect")
