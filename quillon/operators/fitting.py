@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,10 @@ class Ems:
     width: np.ndarray
     formula: np.ndarray
 
+    def __post_init__(self):
+        self.widths, self.formulas = self.width.tolist(), self.formula.tolist()
+        self.upto, self.marks = [0.0, *accumulate(self.widths)], [0, *accumulate(map(int, self.formulas))]
+
     @staticmethod
     def of(text: str, formulas: dict[str, str]) -> Ems:
         width, formula = [], []
@@ -61,16 +67,15 @@ class Ems:
         if box <= 0 or size <= 0:
             return 1, 0
         room = max(1.0, box * LINE_SAFETY / size)
-        upto = np.concatenate([[0.0], np.cumsum(self.width)])
-        marks = np.concatenate([[0], np.cumsum(self.formula)])
-        n, at, lines, marked, used, has = len(self.width), 0, 1, 0, 0.0, False
+        width, formula, upto, marks = self.widths, self.formulas, self.upto, self.marks
+        n, at, lines, marked, used, has = len(width), 0, 1, 0, 0.0, False
         while at < n:
-            if used == 0.0 and self.width[at] > room:
-                lines += math.ceil(self.width[at] / room) - 1
-                used, has, at = float(self.width[at] % room), has or bool(self.formula[at]), at + 1
+            if used == 0.0 and width[at] > room:
+                lines += math.ceil(width[at] / room) - 1
+                used, has, at = width[at] % room, has or formula[at], at + 1
                 continue
-            to = max(at, int(np.searchsorted(upto, upto[at] + room - used + 1e-9, "right")) - 1)
-            used, has, at = used + upto[to] - upto[at], has or bool(marks[to] > marks[at]), to
+            to = max(at, bisect_right(upto, upto[at] + room - used + 1e-9, at) - 1)
+            used, has, at = used + upto[to] - upto[at], has or marks[to] > marks[at], to
             if at < n:
                 marked, lines, used, has = marked + has, lines + 1, 0.0, False
         return lines, marked + has

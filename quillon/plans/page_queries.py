@@ -130,9 +130,9 @@ def repair_math(t):
 
 def _fit_case(t):
     """Tagged items with the box and size that they are to be fitted with."""
-    b = blocks(t.documents).select("doc_id", "item_id", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
     formulas = F.transform(Z.formula_map(F.col("protected_map")), lambda e: F.struct(e["placeholder"].alias("placeholder"), e["formula_text"].alias("formula_text")))
-    return tagged(t).join(b, ["doc_id", "item_id"]).withColumns({"formulas": formulas, "size": F.lit(9.0) + (F.col("doc_id") % 4), "leading": F.lit(0.2)})
+    d = tagged(t, "x0", "x1", "y0", "y1")
+    return d.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0"), "formulas": formulas, "size": F.lit(9.0) + (F.col("doc_id") % 4), "leading": F.lit(0.2)})
 
 
 @query("m05_fitted_size")

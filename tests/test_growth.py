@@ -11,7 +11,7 @@ from quillon.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-DEALT = ("c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
+DEALT = ("m05_fitted_size", "c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
 
 
 def plan(df):
@@ -81,3 +81,8 @@ def test_rows_of_one_row_group_are_dealt(spark, name):
 @pytest.mark.parametrize("name", ["f16_copied_output", "f16_english_output"])
 def test_a_translation_is_measured_once(spark, name):
     assert plan(all_queries.QUERIES[name](spark, SF)).count("{30,}") == 1
+
+
+@tables
+def test_boxes_stay_with_their_texts(spark):
+    assert "Join" not in plan(all_queries.QUERIES["m05_fitted_size"](spark, SF))
