@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.functions.text import let
 
 # How terms are written, words that tell against them and what a term's sides score.
 _LEFT = r"([\x{4e00}-\x{9fff}][\x{4e00}-\x{9fff}A-Za-z0-9·\-]{1,24})"
@@ -48,14 +49,13 @@ def allowed(key: Column, value: Column) -> Column:
 
 def candidates(source: Column, translated: Column) -> Column:
     """[(key, value, origin, score)]: pairs that the translation explains, then technical tokens that it kept."""
-    said = X.normalize_space(translated)
     entry = lambda k, v, origin, score: F.struct(k.alias("key"), v.alias("value"), F.lit(origin).alias("origin"), F.lit(score).alias("score"))
 
-    def pairs(pattern: str) -> Column:
+    def pairs(said: Column, pattern: str) -> Column:
         sides = F.arrays_zip(F.regexp_extract_all(said, F.lit(pattern), F.lit(2)).alias("k"), F.regexp_extract_all(said, F.lit(pattern), F.lit(1)).alias("v"))
         return F.transform(sides, lambda s: entry(clean_term(s["k"]), clean_term(s["v"]), "explicit_pair", PAIR_SCORE))
 
-    explained = F.filter(F.concat(*map(pairs, PAIRS)), lambda c: useful_key(c["key"]) & useful_value(c["value"]))
+    explained = lambda said: F.filter(F.concat(*(pairs(said, p) for p in PAIRS)), lambda c: useful_key(c["key"]) & useful_value(c["value"]))
     tokens = F.transform(F.slice(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(TECHNICAL), F.lit(0)), 1, TOKENS), lambda t: entry(clean_term(t), clean_term(t), "identity_technical_token", IDENTITY_SCORE))
-    low = F.lower(said)
-    return F.concat(explained, F.filter(tokens, lambda c: useful_key(c["key"]) & (F.instr(low, F.lower(c["key"])) > 0)))
+    kept = lambda said: let(F.lower(said), lambda low: F.filter(tokens, lambda c: useful_key(c["key"]) & (F.instr(low, F.lower(c["key"])) > 0)))
+    return let(X.normalize_space(translated), lambda said: F.concat(explained(said), kept(said)))

@@ -9,7 +9,7 @@ from quillon.functions import terms as K
 from quillon.operators import commands as C
 from quillon.operators import continuation as N
 from quillon.operators import typography as Y
-from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, items
+from quillon.plans.items import BLOCKS, ITEMS, blocks, cycle, dealt, items
 from quillon.plans.registry import query
 from quillon.plans.rule_queries import _code
 from quillon.plans.source_queries import _event_stream, _run
@@ -190,9 +190,9 @@ _TECH = "\\b[A-Z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*(?:\\s+[A-Z][A-Za-z0-9]*(?:[-
 )
 def term_candidates(t):
     """Pairs that a translation explains and technical tokens that it kept, scored, and whether they may be shown again."""
-    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    said = F.concat(cycle(_TERM_TAIL, F.col("doc_id") + F.col("block_idx")), F.left(ascii_only, (30 + F.col("block_idx") % 60).cast("int")))
-    found = items(t.documents).select("doc_id", "item_id", F.explode(K.candidates(ascii_only, said)).alias("c"))
+    made = dealt(items(t.documents)).withColumn("src", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    made = made.withColumn("said", F.concat(cycle(_TERM_TAIL, F.col("doc_id") + F.col("block_idx")), F.left("src", (30 + F.col("block_idx") % 60).cast("int"))))
+    found = made.select("doc_id", "item_id", F.explode(K.candidates(F.col("src"), F.col("said"))).alias("c"))
     return found.select("doc_id", "item_id", "c.key", "c.value", "c.origin", F.col("c.score").cast("double").alias("score"), K.allowed(F.col("c.key"), F.col("c.value")).alias("allowed"))
 
 

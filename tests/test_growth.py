@@ -11,7 +11,7 @@ from quillon.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-DEALT = ("c27_markdown", "m05_fitted_size", "c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
+DEALT = ("c24_term_candidates", "c27_markdown", "m05_fitted_size", "c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
 
 
 def plan(df):
@@ -95,3 +95,8 @@ def test_rules_are_left_out_only_where_nothing_matches(monkeypatch):
     got = [markdown.markdown(t) for t in texts]
     monkeypatch.setattr(markdown, "MARKS", [""] * len(markdown.PROMOTED))
     assert got == [markdown.markdown(t) for t in texts]
+
+
+@tables
+def test_candidates_read_a_text_once(spark):
+    assert plan(all_queries.QUERIES["c24_term_candidates"](spark, SF)).count("[^\\x00-") == 1
