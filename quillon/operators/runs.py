@@ -79,19 +79,21 @@ def glued_blocks(items: DataFrame, page: list[str]) -> DataFrame:
 
     items has item_id, kind, group, unit_kind, direct_math, formulas, source,
     rendered, font, leading, demand, discount and x0 to y1. Pairs are neighbours
-    among the page's texts that are rendered, from the top.
+    among the page's texts that are rendered, from the top. Texts are measured
+    before rows move, and only those that may be long enough; so no text moves.
     """
     c = F.col
     w = Window.partitionBy(*page).orderBy("y0", "x0", "item_id")
     nxt = F.lead(F.struct("item_id", "x0", "y0", "x1")).over(w)
-    i = items.filter((c("kind") == "text") & (F.trim(F.coalesce("rendered", F.lit(""))) != "")).withColumn("n", nxt)
-    chars = F.length(F.regexp_replace(F.coalesce("source", F.lit("")), r"(?U)\s+", ""))
     plain = (F.coalesce("group", F.lit("")) == "") & (F.coalesce("unit_kind", F.lit("")) != "group") & ~F.coalesce("direct_math", F.lit(False)) & (F.coalesce("formulas", F.lit(0)) == 0)
     gap, room = c("n.y0") - c("y1"), c("n.y0") - c("y0") - COLLISION_GAP
     estimate = M.required_lines(c("x0"), c("x1"), c("demand"), c("font")) * F.greatest(c("font") * 1.02, c("font") * (1.0 + c("leading"))) * c("discount")
-    i = i.withColumns({"source_chars": chars, "_room": room, "_estimate": estimate})
+    chars = F.length(F.regexp_replace("source", r"(?U)\s+", ""))
+    i = items.filter((c("kind") == "text") & (F.trim(F.coalesce("rendered", F.lit(""))) != ""))
+    i = i.select(*page, "item_id", "x0", "y0", "x1", "y1", F.when(plain & (F.length("source") >= GLUE_CHARS), chars).alias("source_chars"), estimate.alias("_estimate"))
+    i = i.withColumn("n", nxt).withColumn("_room", room)
     hit = (
-        plain & (c("source_chars") >= GLUE_CHARS) & (c("source_chars") / F.greatest(F.lit(1.0), c("y1") - c("y0")) >= GLUE_RATIO) & (width_overlap(c("x0"), c("x1"), c("n.x0"), c("n.x1")) >= GLUE_OVERLAP)
+        (c("source_chars") >= GLUE_CHARS) & (c("source_chars") / F.greatest(F.lit(1.0), c("y1") - c("y0")) >= GLUE_RATIO) & (width_overlap(c("x0"), c("x1"), c("n.x0"), c("n.x1")) >= GLUE_OVERLAP)
         & gap.between(0, GLUE_GAP) & (c("_room") > 0) & (c("_estimate") > c("_room") * GLUE_OVERFLOW)
     )
     return i.filter(hit).select(*page, "item_id", c("n.item_id").alias("next_id"), "source_chars", F.round(c("_estimate") / c("_room"), 2).alias("overflow"))

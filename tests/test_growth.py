@@ -11,7 +11,7 @@ from quillon.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-DEALT = ("c24_term_candidates", "c27_markdown", "m05_fitted_size", "c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
+DEALT = ("f28_glued_blocks", "c24_term_candidates", "c27_markdown", "m05_fitted_size", "c07_protect", "c15_box_split", "f16_copied_output", "f16_english_output", )
 
 
 def plan(df):
@@ -100,3 +100,9 @@ def test_rules_are_left_out_only_where_nothing_matches(monkeypatch):
 @tables
 def test_candidates_read_a_text_once(spark):
     assert plan(all_queries.QUERIES["c24_term_candidates"](spark, SF)).count("[^\\x00-") == 1
+
+
+@tables
+def test_glued_texts_are_measured_before_rows_move(spark):
+    found = plan(all_queries.QUERIES["f28_glued_blocks"](spark, SF))
+    assert found.index("Window") < found.index("(?U)")
