@@ -88,9 +88,10 @@ def command_prefix(text: Column) -> Column:
             + worth(s["numbers"] >= 2, 1) + worth(has(s["tail"], PATH), 1) + worth(head.rlike(r"[\p{N}.-]"), 1)
         )
         taken = lambda s: (s["n"] >= PREFIX_TOKENS) & (evidence(s) >= PREFIX_EVIDENCE) & (s["words"] >= PROSE_WORDS)
-        codes = F.transform(found, lambda t: F.struct(kinds(t).alias("code"), long_words(t).alias("words")))
-        prefix = let(_run(codes), lambda s: F.when(taken(s), F.array_join(F.slice(found, F.lit(1), F.greatest(s["n"], F.lit(1))), " ")).otherwise(""))
-        return F.when((F.size(found) >= PREFIX_TOKENS) & command_head(head), prefix).otherwise("")
+        codes = lambda ts: F.transform(ts, lambda t: F.struct(kinds(t).alias("code"), long_words(t).alias("words")))
+        begins = _run(codes(F.slice(found, 1, PREFIX_TOKENS)))["n"] == PREFIX_TOKENS  # most texts fail here, so that the rest isn't read
+        prefix = let(_run(codes(found)), lambda s: F.when(taken(s), F.array_join(F.slice(found, F.lit(1), F.greatest(s["n"], F.lit(1))), " ")).otherwise(""))
+        return F.when((F.size(found) >= PREFIX_TOKENS) & command_head(head) & begins, prefix).otherwise("")
 
     return let(tokens(text), judged)
 

@@ -43,7 +43,7 @@ cut AS (SELECT doc_id, item_id, ln, s, coalesce({_HEADED}, false) AS headed, coa
 @query("f12_command_prefix", f"WITH {ITEMS}, src AS (SELECT doc_id, item_id, 0 AS ln, {_COMMAND_SQL} || text AS s FROM items), {_PREFIXES} SELECT doc_id, item_id, prefix FROM cut")
 def command_prefix(t):
     text = F.concat(cycle(_COMMANDS, F.col("doc_id") + F.col("block_idx")), F.col("text"))
-    return items(t.documents).select("doc_id", "item_id", C.command_prefix(text).alias("prefix"))
+    return dealt(items(t.documents)).select("doc_id", "item_id", C.command_prefix(text).alias("prefix"))
 
 
 _CODE_TOKENS = "len(list_filter(string_split(s, ' '), lambda x: regexp_matches(x, '[(){}\\[\\]=*<>+/,;:]|^[A-Z][A-Z0-9_.-]{3,}$|_|[A-Za-z].*\\d|\\d.*[A-Za-z]')))"
@@ -63,7 +63,7 @@ def mixed_decision(t):
     cmd = cycle(_COMMANDS, F.col("doc_id") + F.col("block_idx"))
     text = F.concat(cmd, F.col("text"))
     lines = F.when(F.col("block_idx") % 3 == 0, F.array(cmd, F.col("text"))).otherwise(F.array(text))
-    found = items(t.documents).select("doc_id", "item_id", C.local_decision(text, lines).alias("d"))
+    found = dealt(items(t.documents)).select("doc_id", "item_id", C.local_decision(text, lines).alias("d"))
     return found.select("doc_id", "item_id", "d.action", "d.prefix", F.col("d.by").alias("decided_by"))
 
 
