@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import joins, markdown, runs, sequential, windows
+from quillon.operators import joins, markdown, sequential, windows
 from quillon.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
