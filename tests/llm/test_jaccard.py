@@ -157,3 +157,16 @@ def test_heavy_cells_and_failed_forests(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85).toPandas()
     assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].values.tolist())) == brute(rows, 3, 85)
+
+
+def test_scratch_tables_take_less_disk_than_the_default(spark, tmp_path):
+    """Texts that an operator keeps on its way are packed more tightly than Spark's writer does by itself."""
+    import os
+
+    texts = spark.range(4000).selectExpr("concat_ws(' ', transform(sequence(1, 60), i -> concat('word', pmod(xxhash64(id, i), 3000)))) as text").repartition(1)
+    size = lambda path: sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    texts.write.parquet(str(tmp_path / "plain"))
+    scratch = Scratch(spark)
+    scratch.table(texts, "texts")
+    assert size(scratch.paths[0].removeprefix("file:")) < 0.8 * size(str(tmp_path / "plain"))
+    scratch.clear()
