@@ -170,3 +170,25 @@ def test_clashing_names(spark, odd):
     clash = odd.withColumnRenamed("n_chars", "kept").withColumnRenamed("source", "evidence")
     got = K.judge(clash, spark.createDataFrame([(1,), (6,)], "doc_id long"), least_docs=1)
     assert got.columns == ["doc_id", "text", "lang", "evidence", "log10_prob", "n_symbols", "perplexity", "threshold", "kept"] and got.count() == 14
+
+
+def test_ngrams_beyond_the_head_count_alike(spark, monkeypatch):
+    """Scores are the same however few n-grams the tasks hold."""
+    texts = [*CORPUS, "the zebra sat on a mat", "zebras zebras the cat the the dog", "on the mat the cat sat and ran"] * 6
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    trusted = docs.filter("doc_id < 36").select("doc_id")
+    judged = lambda: {r["doc_id"]: r["log10_prob"] for r in K.judge(docs, trusted, least_docs=1).collect()}
+    want = judged()
+    for head in (0, 40, 150):
+        monkeypatch.setattr(K, "HEAD", head)
+        got = judged()
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 * max(1, abs(want[d])) for d in want)
+
+
+def test_models_learn_from_all_trusted_documents(spark, monkeypatch):
+    """Three quarters of them by a hash of the id, however many there are."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('word', id % 50, ' and then') as text", "'en' as lang")
+    seen, train = [], K.train
+    monkeypatch.setattr(K, "train", lambda texts, *a: seen.append(texts.count()) or train(texts, *a))
+    K.judge(docs, docs.select("doc_id"))
+    assert seen == [docs.filter("pmod(xxhash64(11, doc_id), 4) < 3").count()]
