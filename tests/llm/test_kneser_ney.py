@@ -192,3 +192,43 @@ def test_models_learn_from_all_trusted_documents(spark, monkeypatch):
     monkeypatch.setattr(K, "train", lambda texts, *a: seen.append(texts.count()) or train(texts, *a))
     K.judge(docs, docs.select("doc_id"))
     assert seen == [docs.filter("pmod(xxhash64(11, doc_id), 4) < 3").count()]
+
+
+def test_the_filter_holds_all_keys_and_hardly_any_other(spark):
+    keys = np.random.default_rng(2).integers(1, 1 << 61, 40_000)
+    had = spark.createDataFrame([(int(k),) for k in keys[:20_000]], "key long").repartition(3)
+    asked = K.Asked(K.key_filter(had, K.Scratch(spark)))
+    may = asked.may(keys, 0)
+    assert (may[:20_000] == np.arange(20_000)).all() and len(may) < 20_020
+
+
+def test_only_the_features_stay_while_documents_are_scored(spark, monkeypatch):
+    """Tables that training wrote on its way would take disk beside the scores."""
+    import os
+
+    texts = [*CORPUS, "the zebra sat on a mat"] * 6
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    folder = os.path.dirname(K.Scratch(spark).table(spark.range(1), "probe").inputFiles()[0]).removeprefix("file:").rpartition("/")[0]
+    before, seen, score = set(os.listdir(folder)), [], K.score
+    monkeypatch.setattr(K, "HEAD", 40)
+    monkeypatch.setattr(K, "score", lambda *a: seen.extend(set(os.listdir(folder)) - before) or score(*a))
+    K.judge(docs, docs.filter("doc_id < 30").select("doc_id"), least_docs=1, toxic=docs.filter("doc_id > 38").select("doc_id"))
+    assert [n.split("-")[0] for n in seen] == ["features"] * 2
+
+
+def test_spellings_are_remembered_alike(spark, model):
+    """Words met before, new ones, and more than are kept."""
+    import pyarrow as pa
+
+    from quillon.llm.words import chunks
+
+    before = K.Spellings(model, None)
+    for most in (1 << 18, 3):
+        K.SPELLINGS, kept = most, K.SPELLINGS
+        for text in ("the cat sat", "the dog's café sat \U0001f600x", "cat ran a b c d e"):
+            for c in chunks(pa.array([text], pa.string())):
+                word, one = np.unique(c.hashes, return_index=True)
+                p, n = before.score(c, word, one)
+                want, size = model.score([text.split()[i] for i in one])
+                assert np.allclose(p, want) and (n == size).all()
+        K.SPELLINGS = kept
