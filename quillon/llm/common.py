@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -80,9 +81,13 @@ class Scratch:
         self.sweep()
         return self.spark.read.schema(schema).parquet(path)
 
-    def sweep(self) -> None:
-        """Let Spark remove shuffle files that nothing refers to any more, rather than when the driver next happens to collect."""
+    def sweep(self, wait: float = 0) -> None:
+        """Let Spark remove shuffle files that nothing refers to any more, rather than when the driver next happens to collect.
+
+        The JVM hears of what Python has let go only up to a second later; without ``wait`` the last table's files stay until the next sweep.
+        """
         gc.collect()
+        time.sleep(wait)
         if getattr(self.spark, "_jvm", None) is not None:
             self.spark._jvm.System.gc()
 

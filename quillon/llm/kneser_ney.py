@@ -65,7 +65,7 @@ VOCABULARY = 4000
 OTHER, START, END, FIRST = 1, 2, 3, 4
 LEARN = 3  # of four parts of the labelled documents
 HEAD = 1 << 21  # n-grams and contexts of a model that tasks hold; the others are joined
-FILTER = 1 << 28  # bits of the filter of all keys, three for each key in one word of 64
+FILTER = 1 << 27  # bits of the filter of all keys, three for each key in one word of 64
 FILTER_BLOCK = 4096  # words of the filter that are summed together
 SPELLINGS = 1 << 18  # words whose spelling a task remembers
 FEW_ROWS = 2_000_000  # rows of one or two numbers that are broadcast; beyond it Spark chooses
@@ -228,7 +228,7 @@ def key_filter(keys: DataFrame, scratch: Scratch) -> np.ndarray:
     """Bits of the keys in the one column; FILTER of them, whatever the number of keys."""
     got = scratch.table(keys.mapInArrow(settled(_filter_part), _FILTERED).repartition("block").mapInArrow(settled(_filter_sum), _FILTERED), "filter").toArrow()
     scratch.drop("filter")
-    scratch.sweep()
+    scratch.sweep(1)
     blocks: dict[int, np.ndarray] = {}
     for batch in got.to_batches():
         _or_blocks(blocks, batch)
@@ -431,6 +431,7 @@ def _orders(counted: DataFrame, size: int, order_: int, kind: int, scratch: Scra
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    scratch.sweep(1)  # the last order's shuffles are the largest
     every = scratch.table(every.select("n", "c", "gram", F.col("value").cast("float").alias("value"), "weight", F.floor(8 * F.log2("times")).cast("int").alias("heat")), "features")
     scratch.drop("grams", *(f"order{n}" for n in range(1, order_ + 1)))  # all is in this one table
     key = F.expr(f"gram | if(c = 1, {kind + 1 << 60}L, {kind << 60}L)").alias("key")
@@ -505,16 +506,19 @@ JUDGED = ("log10_prob", "n_symbols", "perplexity", "threshold", "kept")
 SCORES = (("log10_prob", T.DoubleType()), ("n_symbols", T.LongType()), ("evidence", T.DoubleType()))
 
 
-def score(docs: DataFrame, text: str, model: Model, telling: tuple[np.ndarray, np.ndarray] | None = None, sequence: Sequence | None = None, bits: np.ndarray | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str, model: Model, telling: tuple[np.ndarray, np.ndarray] | None = None, sequence: Sequence | None = None, bits: np.ndarray | None = None, sent: list | None = None) -> DataFrame:
     """docs with ``log10_prob``, ``n_symbols`` and ``evidence``; each distinct word of a batch is spelled once.
 
     Without ``sequence`` every word counts with its spelling alone. With ``bits``
     (``key_filter`` of the models' ``keys``) there is a column ``asked`` as well:
     keys whose weights, if they have any, have to be added to ``log10_prob``.
+    ``sent`` gets the broadcast of the models, to be destroyed when the result is stored.
     """
     letters_asked = model.rest is not None
     listed, weight = telling or (np.zeros(0, np.uint64), np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast((replace(model, rest=None, keys=None), sequence and replace(sequence, orders=replace(sequence.orders, rest=None, keys=None)), bits))
+    if sent is not None:
+        sent.append(shared)
     added = SCORES if bits is None else (*SCORES, ("asked", T.ArrayType(T.LongType())))
     at = docs.columns.index(text)
     plain, _, back_to = positional(docs)
@@ -611,10 +615,13 @@ def judge(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text:
         return scored.join(more, F.col("_row") == F.col("_r"), "left").withColumn("log10_prob", F.col("log10_prob") + F.coalesce("_more", F.lit(0.0))).drop("_row", "asked", "_r", "_more")
 
     kept_columns = [F.col(c).alias(f"c_{c}") for c in carry]
+    sent: list = []
     row = [] if rest is None else [F.monotonically_increasing_id().alias("_row")]
     with rows_per_batch(spark, 1000):
         # texts, if carried, are stored once rather than scored twice
-        scored = table(score(docs.select(*row, *kept_columns, *key, F.col(text).alias("_x")), "_x", model, telling, sequence, bits).drop("_x"), "scored")
+        scored = table(score(docs.select(*row, *kept_columns, *key, F.col(text).alias("_x")), "_x", model, telling, sequence, bits, sent).drop("_x"), "scored")
+    for models in sent:  # each executor has them on its disk
+        models.destroy()
     if rest is not None:
         scored = with_rest(scored)
     scored = scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_symbols"))))
